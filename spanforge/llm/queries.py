@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.common import table
 from spanforge.llm.mixing import mix
+from spanforge.llm.ngram_join import jaccard_join
 from spanforge.llm.quality import quality
 
 
@@ -19,6 +20,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
