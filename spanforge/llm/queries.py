@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.common import table
 from spanforge.llm.mixing import mix
+from spanforge.llm.neighbours import nearest
 from spanforge.llm.ngram_join import jaccard_join
 from spanforge.llm.quality import quality
+from spanforge.llm.warc import round_trip
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +22,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+l AS (SELECT payload_digest, max(page_id) AS leader FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN leader IS DISTINCT FROM page_id AND leader IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN leader IS DISTINCT FROM page_id THEN leader END AS refers_to
+FROM d LEFT JOIN l USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6}
