@@ -77,18 +77,16 @@ def _by_segment(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 class Filter:
-    """Log-frequency Bloom filters of some segments. starts: each segment's first bit; sizes: its bits; bits: all of them, packed."""
-
-    def __init__(self, segment_bits: int, parts: dict[int, bytes]):
-        self.shift, n = np.uint64(64 - segment_bits), 1 << segment_bits
-        self.sizes, self.starts = np.ones(n, np.uint64), np.zeros(n, np.uint64)
-        chunks, at = [], 0
-        for s, raw in sorted(parts.items()):
-            self.sizes[s], self.starts[s] = len(raw) * 8, at * 8
-            chunks.append(np.frombuffer(raw, np.uint8))
-            at += len(raw)
-        self.known = np.isin(np.arange(n), list(parts))
-        self.bits = np.concatenate(chunks) if chunks else np.zeros(1, np.uint8)
+    """Log-frequency Bloom filters by segment. starts: each segment's first bit, sizes: its bits (0: no such segment), bits: all of them, packed."""
+
+    def __init__(self, segment_bits: int, starts: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        self.shift, self.starts, self.sizes, self.bits = np.uint64(64 - segment_bits), starts, sizes, bits
+
+    @classmethod
+    def single(cls, segment_bits: int, segment: int, raw: bytes) -> Filter:
+        sizes = np.zeros(1 << segment_bits, np.uint64)
+        sizes[segment] = len(raw) * 8
+        return cls(segment_bits, np.zeros_like(sizes), sizes, np.frombuffer(raw, np.uint8))
 
     @staticmethod
     def places(keys: np.ndarray, level: int, sizes: np.ndarray, probe: int) -> np.ndarray:
@@ -109,7 +107,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         segment = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
         out = np.zeros(len(keys), np.int64)
-        left = np.flatnonzero(self.known[segment])
+        left = np.flatnonzero(self.sizes[segment] > 0)
         level = 0
         while len(left) and level < len(LEAST_OF_LEVEL) - 1:
             level += 1
@@ -193,22 +191,29 @@ def _score(part: pa.RecordBatch, exact: Callable, pair_levels: Callable, total:
     )
 
 
-def _broadcast_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, total: int, distinct: int, beta: float) -> DataFrame:
-    uni, filters = [], {}
+def _assembled(counts: DataFrame, segment_bits: int) -> tuple[np.ndarray, ...]:
+    """Sorted word hashes, their counts, and the filter's starts, sizes and bits, put in place segment by segment."""
+    lengths = np.zeros((2, 1 << segment_bits), np.int64)
+    for r in counts.select("kind", "segment", F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct")).alias("n")).collect():  # a few numbers for each segment
+        lengths[r.kind, r.segment] = r.n
+    ends = np.cumsum(lengths, axis=1)
+    keys, found, bits = np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(ends[UNIGRAM][-1], np.uint32), np.empty(max(1, ends[BIGRAM][-1]), np.uint8)
     for r in counts.select("kind", "segment", "keys", "data").toLocalIterator():
+        at = slice(ends[r.kind][r.segment] - lengths[r.kind][r.segment], ends[r.kind][r.segment])
         if r.kind == BIGRAM:
-            filters[r.segment] = bytes(r.data)
+            bits[at] = np.frombuffer(r.data, np.uint8)
         else:
-            uni.append((r.segment, bytes(r.keys), bytes(r.data)))
-    sent = docs.sparkSession.sparkContext.broadcast((sorted(uni), filters))
-    del uni, filters
+            keys[at], found[at] = unpack(r.keys, np.uint64), unpack(r.data, np.int64)
+    return keys, found, ((ends - lengths)[BIGRAM] * 8).astype(np.uint64), (lengths[BIGRAM] * 8).astype(np.uint64), bits
+
+
+def _broadcast_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, total: int, distinct: int, beta: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(_assembled(counts, segment_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = sent.value
-        both = [(unpack(k, np.uint64), unpack(c, np.int64).astype(np.uint32)) for _, k, c in words]
-        exact = Exact(*[np.concatenate(x) for x in zip(*both, strict=True)]) if both else Exact(np.zeros(0, np.uint64), np.zeros(0))
-        pair = Filter(segment_bits, parts)
-        for part in text_slices(batches, limit=1 << 21):
+        keys, found, starts, sizes, bits = sent.value
+        exact, pair = Exact(keys, found), Filter(segment_bits, starts, sizes, bits)
+        for part in text_slices(batches):
             yield _score(part, exact, pair.levels, total, distinct, beta)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, RESULT)
@@ -238,7 +243,7 @@ def _shuffled_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, buck
         if asked.num_rows and table.num_rows:
             t = table.to_pylist()[0]
             if t["kind"] == BIGRAM:
-                look = Filter(segment_bits, {t["segment"]: t["data"]}).levels
+                look = Filter.single(segment_bits, t["segment"], t["data"]).levels
             else:
                 look = Exact(unpack(t["keys"], np.uint64), unpack(t["data"], np.int64))
             for kind, bucket, keys in zip(*[asked.column(c).to_pylist() for c in ("kind", "bucket", "keys")], strict=True):
