@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanforge.llm import licenses
 from spanforge.llm.common import table
 from spanforge.llm.lm import score_texts
 from spanforge.llm.mixing import mix
@@ -16,6 +17,10 @@ from spanforge.llm.quality import quality
 from spanforge.llm.warc import round_trip
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -60,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6}
+    return {"op1_license_scan": licenses.oracle(), "op6_warc": OP6}
