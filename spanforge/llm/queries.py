@@ -14,6 +14,7 @@ from spanforge.llm.neighbours import nearest
 from spanforge.llm.ngram_join import jaccard_join
 from spanforge.llm.pii import find_pii
 from spanforge.llm.quality import quality
+from spanforge.llm.token_counts import edit_counts
 from spanforge.llm.warc import round_trip
 
 
@@ -53,6 +54,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts(table(spark, sf_dir, "documents"))
+
+
 OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
