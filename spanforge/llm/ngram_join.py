@@ -68,7 +68,7 @@ def _set_ids(grams: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> tuple
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """For each row of ``docs``: doc_id, sid (id of the n-gram set, null without words), n_grams and its band hashes."""
+    """For each row of ``docs``: doc_id, mark, sid (id of the n-gram set, null without words), n_grams and its band hashes."""
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +88,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     out[:, b] = total
             lengths = np.where(np.diff(offsets) > 0, bands, 0)
             hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sid, pa.array(size), hashes], ["doc_id", "sid", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), sid, pa.array(size), hashes], ["doc_id", "mark", "sid", "n_grams", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, sid binary, n_grams long, bands array<long>")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, sid binary, n_grams long, bands array<long>")
 
 
 def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
@@ -173,7 +173,12 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     count as copies. Other columns are ignored; an empty table gives no rows. A pair that shares no
     band is missed, with a probability of at most 1 - ``recall`` at the threshold and less above it.
     """
-    docs = wanted(docs, {"doc_id": "long", "text": "string"})
+    rows = _linked(wanted(docs, {"doc_id": "long", "text": "string"}), n, threshold, recall)
+    return rows.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """doc_id, mark (a hash of the text), root, class_id and n_links of each row; the last three are null for a row without links."""
     bands, rows = bands_for(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signed")
     sets = materialize(signed.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "sets")
@@ -198,9 +203,8 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     shared = sets.select("sid", "copies", "first").join(rooted, "sid", "left").filter("copies > 1 or links > 0")
     shared = shared.select("sid", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
     least = shared.groupBy("root").agg(F.min("first").alias("class_id"))
-    final = materialize(shared.join(least, "root").select("sid", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
-    rows_out = join_small(signed.select("doc_id", "sid"), final, ["sid"], "left", spread=F.col("doc_id"))
-    return rows_out.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = materialize(shared.join(least, "root").select("sid", "root", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
+    return join_small(signed.select("doc_id", "mark", "sid"), final, ["sid"], "left", spread=F.col("doc_id")).drop("sid")
 
 
 def _unique(chosen: DataFrame) -> bool:
@@ -221,18 +225,16 @@ def _of_set(found: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(run, found.schema)
 
 
-def keep_one(docs: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` without near duplicates, with all columns: of each class the row with the least doc_id, once.
-
-    Rows with a null doc_id all stay, as no id tells which of them to keep. Rows that repeat the
-    kept doc_id go too, where they have links.
-    """
-    from pyspark.sql import Window
-
-    joined = jaccard_join(docs, **options)
-    gone = joined.filter("class_id is not null and doc_id is not null and n_links > 0").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("__stays"))
-    kept = join_small(docs, gone, ["doc_id"], "left", spread=F.col("text"), max_rows=500_000).filter("__stays is null or __stays")
-    single = kept.filter("__stays is null").drop("__stays")
-    first = kept.filter("__stays").drop("__stays")
-    ranked = first.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return single.unionByName(ranked.filter("__n = 1").drop("__n"))
+def keep_one(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, with all columns: of each class the row with the least doc_id (null last), once. Rows without links stay."""
+    linked = _linked(wanted(docs, {"doc_id": "long", "text": "string"}), n, threshold, recall).filter("root is not null").select("doc_id", "mark", "root")
+    linked = materialize(linked.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")), "linked")
+    winners = linked.groupBy("root").agg(F.min("key").alias("winner"))
+    decided = join_small(linked, winners, ["root"], "inner", spread=F.col("mark")).groupBy("doc_id", "mark").agg(F.max(F.col("key") == F.col("winner")).alias("__stays"), F.count("*").alias("__rows"))
+    decided = materialize(decided, "decided")
+    marked = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = join_small(marked, decided.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left", spread=F.col("__mark")).filter("__stays is null or __stays")
+    out = kept.filter("__stays is null or __rows = 1")
+    if not decided.filter("__stays and __rows > 1").isEmpty():  # the same row more than once
+        out = out.unionByName(kept.filter("__stays and __rows > 1").dropDuplicates(["__id", "__mark"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -218,8 +218,8 @@ def decode(tokens: DataFrame, *, model: str = MODEL, keep: tuple[str, ...] = ())
     return tokens.mapInArrow(run, f"{kept}, decoded string")
 
 
-def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """doc_id, token_ids, n_tokens and same (whether decoding gives the text again) for each row of ``docs``; a null text counts as empty, one with U+2581 comes back with spaces."""
-    encoded = encode(docs, model=model, keep=("text",))
-    back = decode(encoded.withColumn("ids", F.col("token_ids")), model=model, keep=("text", "ids", "n_tokens"))
-    return back.select("doc_id", F.col("ids").alias("token_ids"), "n_tokens", (F.col("decoded") == F.col("text")).alias("same"))
+def round_trip(docs: DataFrame, *, model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, token_ids, n_tokens and same (whether decoding gives the text again) for each row of ``docs``; a null text counts as empty, one with U+2581 comes back with spaces."""
+    encoded = encode(docs, model=model, keep=("text", *keep))
+    back = decode(encoded.withColumn("ids", F.col("token_ids")), model=model, keep=("text", "ids", "n_tokens", *keep))
+    return back.select("doc_id", *[F.col(f"`{c}`") for c in keep], F.col("ids").alias("token_ids"), "n_tokens", (F.col("decoded") == F.col("text")).alias("same"))
