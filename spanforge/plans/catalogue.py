@@ -1,15 +1,533 @@
-"""The library's queries over the test tables, each with SQL that gives the same rows."""
+"""The library's queries over the test tables, each with SQL that gives the same rows.
+
+The tables stand in for annotated corpora: links are the anchors of pages, or the parts (names) and
+suppliers (titles) of order lines (pages); answers and sentences are words and lines of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.functions import text as T
+from spanforge.operators import decode, disambiguation, linking, mentions, packing, scores, sequences, vocabulary, windows
+from spanforge.sources import pages as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WORDS = r"[^\x20\x09-\x0D]+"
+_SQL_ANCHORS = r"""
+a0 AS (SELECT page_id, regexp_extract(html, '<html lang="(\w+)"', 1) AS lang, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>(.*?)</a>', 2) AS x FROM pages),
+links AS (SELECT page_id, lang, i AS pos, x[i] AS text, lower(regexp_replace(regexp_replace(h[i], '^/', ''), '[.,]+$', '')) AS title FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM a0)),
+l2 AS (SELECT page_id AS page, text AS name, title FROM links),
+lp AS (SELECT name, least(1.0, count(*) / count(DISTINCT page)) AS link_prob FROM l2 GROUP BY 1)"""
+_SQL_LINES = "orders3 AS (SELECT l_orderkey AS page, p_name AS name, s_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"
+_SQL_TOKENS = r"""list_filter(regexp_extract_all(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '[^\s]+'), lambda w: w NOT IN ('a', 'an', 'the'))"""
+_SQL_ANSWERS = rf"""
+w AS (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents),
+qa AS (SELECT doc_id AS qid, array_to_string(w[1:10], ' ') AS answer, CASE WHEN doc_id % 7 <> 0 THEN array_to_string(w[4:12], ' ') END AS text FROM w),
+tk AS (SELECT qid, text, {_SQL_TOKENS.format('answer')} AS g, {_SQL_TOKENS.format("coalesce(text, '')")} AS p FROM qa),
+sh AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) AS same FROM tk),
+sc AS (SELECT qid, text IS NOT NULL AS answered, CASE WHEN text IS NOT NULL AND p = g THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN text IS NULL OR same = 0 THEN 0.0 ELSE 2.0 * same / (len(p) + len(g)) END AS f1 FROM sh)"""
+_SQL_V2 = _SQL_ANSWERS + """,
+v2 AS (SELECT qid, exact, f1, quality = 1 AS has_ans, (qid * 7919) % 1000 / 1000 AS na_prob, answered AS answer_given FROM sc JOIN labels ON doc_id = qid)"""
+_SQL_TAGS = rf"""
+tg AS (SELECT doc_id, i - 1 AS pos, w[i] AS word, CASE WHEN regexp_matches(w[i], '^[A-Z]') THEN CASE WHEN length(w[i]) % 2 = 0 THEN 'I-PER' ELSE 'I-LOC' END ELSE 'O' END AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents)))"""
+_SQL_SENTENCES = rf"""
+sn AS (SELECT doc_id AS page, i - 1 AS sent, len(regexp_extract_all(s[i], '{WORDS}')) AS n FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with SQL for the same rows if there is any."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.links(_t(spark, sf_dir, "pages"))
+
+
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark, sf_dir).select(F.col("page_id").alias("page"), F.col("text").alias("name"), "title")
+    stats = mentions.mention_db(links, links.select("page", "name")).select("name", "link_prob").distinct()
+    return links.join(stats, "name")
+
+
+def _order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    part, supplier = _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(F.col("l_orderkey").alias("page"), F.col("p_name").alias("name"), F.col("s_name").alias("title"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+
+
+def _rounded(c: str, digits: int = 6) -> Column:
+    return F.round(c, digits).alias(c)
+
+
+# vocabularies
+
+
+@query(f"""WITH {_SQL_ANCHORS}, c AS (SELECT title, count(*) AS count FROM links WHERE NOT starts_with(title, 'Category:') GROUP BY 1),
+r AS (SELECT title, count, row_number() OVER (ORDER BY count DESC, title) + 2 AS id FROM c ORDER BY count DESC, title LIMIT 97)
+SELECT CAST(id AS INTEGER) AS id, title, count FROM r WHERE count >= 3 UNION ALL SELECT * FROM (VALUES (0, '[PAD]', 0), (1, '[UNK]', 0), (2, '[MASK]', 0))""")
+def entity_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.entity_vocab(_links(spark, sf_dir), 100, min_count=3)
+
+
+@query(f"""WITH {_SQL_ANCHORS}, c AS (SELECT title, lang, count(*) AS count FROM links GROUP BY ALL),
+m AS (SELECT CASE WHEN length(title) > 2 THEN 'q:' || title ELSE 't:' || lang || ':' || title END AS key, sum(count) AS count, count(*) AS n, list(struct_pack(title := title, lang := lang)) AS e FROM c GROUP BY 1 HAVING count(*) >= 2),
+r AS (SELECT row_number() OVER (ORDER BY (count = 0) DESC, count DESC, key) - 1 AS id, count, e FROM m ORDER BY (count = 0) DESC, count DESC, key LIMIT 50)
+SELECT CAST(id AS INTEGER) AS id, x.title AS title, x.lang AS lang, CAST(count AS BIGINT) AS count FROM (SELECT id, count, unnest(e) AS x FROM r)""")
+def vocab_multilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _links(spark, sf_dir).groupBy("title", "lang").agg(F.count("*").alias("count"))
+    items = counts.filter(F.length("title") > 2).select("title", "lang", F.col("title").alias("item"))
+    return vocabulary.multilingual_vocab(counts, items, size=50, min_languages=2)
+
+
+@query(f"""WITH {_SQL_ANCHORS}, i AS (SELECT DISTINCT title, lang FROM links)
+SELECT a.title || '@' || a.lang AS title, a.lang, b.title || '@' || b.lang AS other, b.lang AS other_lang FROM i a JOIN i b ON a.title = b.title""")
+def interwiki_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.item_titles(_items(spark, sf_dir))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _links(spark, sf_dir).select("title", "lang").distinct()
+    return rows.select(F.col("title").alias("item"), F.concat("title", F.lit("@"), "lang").alias("title"), "lang")
+
+
+# mentions
+
+
+@query(f"WITH {_SQL_LINES} SELECT name, title, count(*) AS link_count FROM orders3 GROUP BY ALL")
+def name_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.name_entity_counts(_order_links(spark, sf_dir))
+
+
+@query(f"""WITH {_SQL_LINES}, c AS (SELECT name, title, count(*) AS link_count FROM orders3 GROUP BY ALL),
+t AS (SELECT *, CAST(sum(link_count) OVER (PARTITION BY name) AS BIGINT) AS total_link_count, row_number() OVER (PARTITION BY name ORDER BY link_count DESC, title) AS rn FROM c),
+d AS (SELECT name, count(DISTINCT page) AS doc_count FROM orders3 GROUP BY 1)
+SELECT name, title, link_count, total_link_count, doc_count, round(least(1.0, total_link_count / doc_count), 6) AS link_prob, round(least(1.0, link_count / total_link_count), 6) AS prior_prob
+FROM t JOIN d USING (name) WHERE rn <= 5""")
+def mention_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _order_links(spark, sf_dir)
+    db = mentions.mention_db(links, links.select("page", "name"), top=5)
+    return db.select("name", "title", "link_count", "total_link_count", "doc_count", _rounded("link_prob"), _rounded("prior_prob"))
+
+
+@query(f"""WITH {_SQL_LINES} SELECT title, name, count FROM (SELECT title, name, count(*) AS count, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, name) AS rn FROM orders3 GROUP BY title, name) WHERE rn <= 5""")
+def entity_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.entity_db(_order_links(spark, sf_dir), top=5)
+
+
+@query(rf"""WITH n0 AS (SELECT regexp_extract_all(text, '{WORDS}') AS w FROM benchmark),
+names AS (SELECT DISTINCT array_to_string(w[i:i + k - 1], ' ') AS name FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM n0, (VALUES (1), (2), (3)) t(k))),
+d0 AS (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS name FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d0, (VALUES (1), (2), (3)) t(k)))
+SELECT name, count(*) AS doc_count FROM g JOIN names USING (name) GROUP BY 1""")
+def name_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = _t(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+    names = bench.select(F.explode(mentions.ngrams(F.col("words"), 3)).alias("name"))
+    return mentions.name_pages(mentions.occurrences(_words(spark, sf_dir).withColumnRenamed("doc_id", "page"), names, 3))
+
+
+@query(f"WITH {_SQL_ANCHORS} SELECT DISTINCT page, name, title, round(link_prob, 6) AS link_prob FROM l2 JOIN lp USING (name)")
+def wiki_link_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _page_links(spark, sf_dir)
+    return mentions.wiki_link_db(links.select("page", "name", "title"), links.select("name", "link_prob").distinct()).withColumn("link_prob", F.round("link_prob", 6))
+
+
+@query(f"WITH {_SQL_ANCHORS} SELECT page, name, min(title) AS title FROM l2 JOIN lp USING (name) WHERE link_prob >= 0.01 GROUP BY page, name HAVING count(*) = 1")
+def candidates_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.unique_candidates(_page_links(spark, sf_dir), 0.01)
+
+
+@query(f"WITH {_SQL_ANCHORS} SELECT page, lower(trim(name)) AS name, min(title) AS title FROM l2 JOIN lp USING (name) WHERE link_prob >= 0.01 GROUP BY 1, 2 HAVING count(DISTINCT title) = 1")
+def candidates_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.agreed_candidates(_page_links(spark, sf_dir), 0.01)
+
+
+@query(f"""WITH {_SQL_ANCHORS}, c AS (SELECT DISTINCT page_id AS page, title FROM links WHERE lang = 'en'),
+tr AS (SELECT DISTINCT title FROM links WHERE lang = 'fr'), n AS (SELECT DISTINCT title, text AS name FROM links WHERE lang = 'fr')
+SELECT page, name, min(title || '@fr') AS title FROM c JOIN tr USING (title) JOIN n USING (title) GROUP BY page, name HAVING count(*) = 1""")
+def mention_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark, sf_dir)
+    own = links.filter("lang = 'en'").select(F.col("page_id").alias("page"), F.concat("title", F.lit("@en")).alias("title"))
+    names = links.filter("lang = 'fr'").select(F.concat("title", F.lit("@fr")).alias("title"), F.col("text").alias("name"))
+    return linking.translated_candidates(own, vocabulary.translate_titles(_items(spark, sf_dir), "en", "fr"), names)
+
+
+@query()
+def greedy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = _t(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+    names = bench.select(F.explode(mentions.ngrams(F.col("words"), 3)).alias("name"))
+    return linking.greedy_links(_words(spark, sf_dir).withColumnRenamed("doc_id", "page"), names, 3)
+
+
+# answers
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir)
+    gold = rows.select(F.col("doc_id").alias("qid"), F.array_join(F.slice("words", 1, 10), " ").alias("answer"))
+    pred = rows.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice("words", 4, 9), " ").alias("text"))
+    return scores.answer_scores(pred, gold)
+
+
+@query(f"WITH {_SQL_ANSWERS} SELECT round(100 * avg(exact), 6) AS exact_match, round(100 * avg(f1), 6) AS f1, count(*) AS total FROM sc WHERE answered")
+def squad_em_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.corpus_scores(_answers(spark, sf_dir), False).select(_rounded("exact_match"), _rounded("f1"), "total")
+
+
+@query(f"WITH {_SQL_ANSWERS} SELECT round(100 * avg(exact), 6) AS exact_match, round(100 * avg(f1), 6) AS f1, count(*) AS total FROM sc")
+def record_em_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.corpus_scores(_answers(spark, sf_dir), True).select(_rounded("exact_match"), _rounded("f1"), "total")
+
+
+@query(f"WITH {_SQL_ANSWERS} SELECT qid, exact, round(f1, 6) AS f1, answered FROM sc")
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).withColumn("f1", F.round("f1", 6))
+
+
+def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), (F.col("quality") == 1).alias("has_ans"))
+    rows = _answers(spark, sf_dir).join(labels, "qid")
+    return rows.withColumn("na_prob", F.pmod(F.col("qid") * 7919, F.lit(1000)) / 1000).withColumnRenamed("answered", "answer_given")
+
+
+@query(f"""WITH {_SQL_V2}, th AS (SELECT has_ans, CASE WHEN na_prob > 0.7 THEN CASE WHEN has_ans THEN 0.0 ELSE 1.0 END ELSE exact END AS exact, CASE WHEN na_prob > 0.7 THEN CASE WHEN has_ans THEN 0.0 ELSE 1.0 END ELSE f1 END AS f1 FROM v2)
+SELECT round(100 * avg(exact), 6) AS exact, round(100 * avg(f1), 6) AS f1, count(*) AS total,
+round(100 * avg(exact) FILTER (has_ans), 6) AS has_ans_exact, round(100 * avg(f1) FILTER (has_ans), 6) AS has_ans_f1, count(*) FILTER (has_ans) AS has_ans_total,
+round(100 * avg(exact) FILTER (NOT has_ans), 6) AS no_ans_exact, round(100 * avg(f1) FILTER (NOT has_ans), 6) AS no_ans_f1, count(*) FILTER (NOT has_ans) AS no_ans_total FROM th""")
+def squad_v2_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scores.grouped_scores(scores.with_threshold(_v2(spark, sf_dir), 0.7))
+    return out.select(*[c if c.endswith("total") else _rounded(c) for c in out.columns])
+
+
+@query(f"""WITH {_SQL_V2}, r AS (SELECT na_prob, sum(CASE WHEN has_ans THEN f1 WHEN answer_given THEN -1.0 ELSE 0.0 END) OVER w AS run, row_number() OVER w AS rn FROM v2 WINDOW w AS (ORDER BY na_prob, qid)),
+b AS (SELECT sum(CASE WHEN has_ans THEN 0.0 ELSE 1.0 END) AS base, count(*) AS n FROM v2), t AS (SELECT run, na_prob FROM r ORDER BY round(run, 9) DESC, rn LIMIT 1)
+SELECT round(100 * (base + greatest(0.0, run)) / n, 6) AS best_score, CASE WHEN run > 0 THEN na_prob ELSE 0.0 END AS best_threshold FROM b, t""")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.best_threshold(_v2(spark, sf_dir), "f1").withColumn("best_score", F.round("best_score", 6))
+
+
+@query(f"""WITH {_SQL_V2}, r AS (SELECT na_prob, qid, sum(CASE WHEN has_ans THEN f1 ELSE 0.0 END) OVER w AS tp, row_number() OVER w AS rn, lead(na_prob) OVER w AS nxt, sum(CAST(has_ans AS INT)) OVER () AS n FROM v2 WINDOW w AS (ORDER BY na_prob, qid)),
+c AS (SELECT na_prob, qid, tp / rn AS p, tp / n AS r FROM r WHERE nxt IS NULL OR nxt <> na_prob)
+SELECT round(100 * sum(a), 6) AS ap FROM (SELECT p * (r - coalesce(lag(r) OVER (ORDER BY na_prob, qid), 0.0)) AS a FROM c)""")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.average_precision(_v2(spark, sf_dir), "f1").select(_rounded("ap"))
+
+
+# classes
+
+_SQL_CLASSES = "cl AS (SELECT o_orderpriority AS gold, CASE CAST(floor(o_totalprice) AS BIGINT) % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS pred FROM orders)"
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.floor("o_totalprice") % 4
+    pred = F.when(n == 0, "1-URGENT").when(n == 1, "2-HIGH").when(n == 2, "3-MEDIUM").otherwise("5-LOW")
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("gold"), pred.alias("pred"))
+
+
+_SQL_LABELS = f"""WITH {_SQL_CLASSES}, h AS (SELECT gold AS label, 1 AS g, 0 AS p, CAST(gold = pred AS INT) AS c FROM cl UNION ALL SELECT pred, 0, 1, 0 FROM cl),
+b AS (SELECT label, sum(c) AS c, sum(g) AS g, sum(p) AS p FROM h GROUP BY 1), f AS (SELECT *, CASE WHEN p > 0 THEN c / p ELSE 0.0 END AS pr, CASE WHEN g > 0 THEN c / g ELSE 0.0 END AS re FROM b)"""
+
+
+@query(f"""{_SQL_LABELS} SELECT round(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END), 6) AS macro_f1, round(2.0 * sum(c) / (sum(p) + sum(g)), 6) AS micro_f1 FROM f""")
+def multiway_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.multiway_f1(_classes(spark, sf_dir)).select(_rounded("macro_f1"), _rounded("micro_f1"))
+
+
+@query(f"""{_SQL_LABELS} SELECT label, CAST(c AS BIGINT) AS correct, CAST(g AS BIGINT) AS n_gold, CAST(p AS BIGINT) AS n_pred, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1 FROM f""")
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.label_scores(_classes(spark, sf_dir)).select("label", "correct", "n_gold", "n_pred", _rounded("precision"), _rounded("recall"), _rounded("f1"))
+
+
+_SQL_PRF = "SELECT round(c / p, 6) AS precision, round(c / g, 6) AS recall, round(2.0 * c / (p + g), 6) AS f1 FROM x"
+
+
+def _prf(rows: DataFrame) -> DataFrame:
+    return rows.select(_rounded("precision"), _rounded("recall"), _rounded("f1"))
+
+
+@query(f"WITH {_SQL_CLASSES}, x AS (SELECT count(*) FILTER (gold = pred AND pred <> '5-LOW') AS c, count(*) FILTER (pred <> '5-LOW') AS p, count(*) FILTER (gold <> '5-LOW') AS g FROM cl) {_SQL_PRF}")
+def micro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prf(scores.micro_f1(_classes(spark, sf_dir), "5-LOW"))
+
+
+@query(f"WITH {_SQL_CLASSES} SELECT round(count(*) FILTER (gold = pred) / count(*) FILTER (gold <> '5-LOW'), 6) AS accuracy FROM cl")
+def accuracy_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.accuracy(_classes(spark, sf_dir), "5-LOW").select(_rounded("accuracy"))
+
+
+@query(f"""WITH u AS (SELECT user_id, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 1), [])) AS gold, list_distinct(coalesce(list(event_type) FILTER (event_id % 2 = 0), [])) AS pred FROM events GROUP BY 1),
+x AS (SELECT sum(len(list_intersect(gold, pred))) AS c, sum(len(pred)) AS p, sum(len(gold)) AS g FROM u) {_SQL_PRF}""")
+def multilabel_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.col("event_id") % 2 == 1
+    rows = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(odd, F.col("event_type"))).alias("gold"), F.collect_set(F.when(~odd, F.col("event_type"))).alias("pred"))
+    return _prf(scores.multilabel_f1(rows))
+
+
+@query(f"""WITH {_SQL_ANCHORS}, m AS (SELECT title AS gold, min(title) OVER (PARTITION BY text) AS pred, length(text) > 3 AS has FROM links),
+x AS (SELECT count(*) FILTER (gold = pred AND has) AS c, count(*) FILTER (has) AS p, count(*) AS g FROM m) {_SQL_PRF}""")
+def ed_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark, sf_dir)
+    best = links.groupBy("text").agg(F.min("title").alias("pred"))
+    rows = links.join(best, "text").select(F.col("title").alias("gold"), "pred", (F.length("text") > 3).alias("has_candidates"))
+    return _prf(scores.disambiguation_prf(rows))
+
+
+_SQL_MENTIONS = rf"""
+m0 AS (SELECT doc_id AS doc, i AS mention, CASE WHEN i % 2 = 0 THEN array_to_string(w[i + 1:i + 2], ' ') ELSE w[i + 1] END AS text FROM (SELECT doc_id, w, unnest(range(0, least(10, len(w)))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents))),
+rf AS (SELECT a.doc, a.mention, b.mention AS other FROM m0 a JOIN m0 b ON a.doc = b.doc AND a.mention <> b.mention AND a.text <> b.text
+WHERE length(b.text) > 5 AND strpos(b.text, a.text) > 0 AND (strpos(b.text, a.text) = 1 OR substring(b.text, strpos(b.text, a.text) - 1, 1) = ' ')
+AND (strpos(b.text, a.text) + length(a.text) > length(b.text) OR substring(b.text, strpos(b.text, a.text) + length(a.text), 1) = ' '))"""
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir).filter(F.size("words") > 0)
+    rows = rows.select(F.col("doc_id").alias("doc"), "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(10), F.size("words")) - 1)).alias("mention"))
+    text = F.when(F.col("mention") % 2 == 0, F.array_join(F.slice("words", F.col("mention") + 1, 2), " ")).otherwise(F.get("words", "mention"))
+    return rows.select("doc", F.col("mention").cast("long").alias("mention"), text.alias("text"), text.alias("top"))
+
+
+@query(f"WITH {_SQL_MENTIONS} SELECT * FROM rf")
+def coreferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mentions(spark, sf_dir)
+    return disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+
+
+@query(f"""WITH {_SQL_MENTIONS}, ca AS (SELECT doc, mention, lower(text) AS title, 1.0 / (mention + 1) AS prior FROM m0), n AS (SELECT doc, mention, count(DISTINCT other) AS n FROM rf GROUP BY ALL)
+SELECT r.doc, r.mention, title, round(sum(prior) / min(n), 6) AS prior FROM rf r JOIN ca ON ca.doc = r.doc AND ca.mention = r.other JOIN n ON n.doc = r.doc AND n.mention = r.mention GROUP BY ALL""")
+def coref_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mentions(spark, sf_dir)
+    refs = disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+    candidates = rows.select("doc", "mention", F.lower("text").alias("title"), (1.0 / (F.col("mention") + 1)).alias("prior"))
+    return disambiguation.coreference_priors(refs, candidates).withColumn("prior", F.round("prior", 6))
+
+
+# windows and sequences
+
+_SQL_STRIDES = rf"""
+n AS (SELECT doc_id, len(regexp_extract_all(text, '{WORDS}')) AS n FROM documents),
+wi AS (SELECT doc_id, CAST(i AS INTEGER) AS "window", CAST(i * 64 AS INTEGER) AS start, CAST(least(128, n - i * 64) AS INTEGER) AS size FROM (SELECT doc_id, n, unnest(range(0, greatest(1, CAST(ceil((n - 128) / 64) AS BIGINT) + 1))) AS i FROM n))"""
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("doc_id", F.size("words").alias("n"))
+
+
+@query(f"WITH {_SQL_STRIDES} SELECT * FROM wi")
+def stride_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.stride_windows(_counts(spark, sf_dir), 128, 64)
+
+
+@query(f"""WITH {_SQL_STRIDES}, s AS (SELECT doc_id, "window", start, size, CAST(unnest(range(start, start + size)) AS INTEGER) AS word FROM wi)
+SELECT doc_id, word, "window" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY least(word - start, size - 1 - (word - start)) + 0.01 * size DESC, "window") AS rn FROM s) WHERE rn = 1""")
+def max_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.max_context(windows.stride_windows(_counts(spark, sf_dir), 128, 64))
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent", "line"))
+    return lines.select(F.col("doc_id").alias("page"), F.col("sent").cast("long").alias("sent"), F.size(F.regexp_extract_all("line", F.lit(WORDS), F.lit(0))).cast("long").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_SQL_SENTENCES}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY sent) AS rn FROM sn WHERE n BETWEEN 1 AND 64),
+r AS (SELECT page, sent, rn, 0 AS bin, n AS used FROM k WHERE rn = 1 UNION ALL SELECT k.page, k.sent, k.rn, CASE WHEN used + k.n > 64 THEN bin + 1 ELSE bin END, CASE WHEN used + k.n > 64 THEN k.n ELSE used + k.n END FROM r JOIN k ON k.page = r.page AND k.rn = r.rn + 1)
+SELECT page, sent, bin FROM r""")
+def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sentences(_sentences(spark, sf_dir), 64)
+
+
+_SQL_CENTRED = f"""{_SQL_SENTENCES}, o AS (SELECT page AS doc_id, sent AS sentence, sum(n) OVER (PARTITION BY page ORDER BY sent) - n AS s, sum(n) OVER (PARTITION BY page ORDER BY sent) AS e, sum(n) OVER (PARTITION BY page) AS n FROM sn),
+h AS (SELECT doc_id, sentence, s, n - e AS ra, greatest(0, 100 - (e - s)) AS room, greatest(0, 100 - (e - s)) // 2 AS half FROM o),
+l AS (SELECT *, CASE WHEN s < ra THEN least(s, half) ELSE least(s, room - least(ra, half)) END AS lf FROM h)"""
+
+
+@query(f'WITH {_SQL_CENTRED} SELECT doc_id, sentence, CAST(lf AS INTEGER) AS "left", CAST(least(ra, room - lf) AS INTEGER) AS "right" FROM l')
+def centred_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = windows.offsets(_sentences(spark, sf_dir), "page", "sent", "n")
+    rows = rows.select(F.col("page").alias("doc_id"), F.col("sent").alias("sentence"), F.col("offset").alias("start"), (F.col("offset") + F.col("n")).alias("end"), F.sum("n").over(Window.partitionBy("page")).alias("n"))
+    return windows.centred_context(rows, 100)
+
+
+@query(f"""WITH {_SQL_SENTENCES}, s AS (SELECT page AS doc_id, sent AS sentence, n, unnest(range(0, n)) AS st FROM sn WHERE n > 0)
+SELECT doc_id, sentence, CAST(st AS INTEGER) AS start, CAST(unnest(range(st + 1, least(n, st + 2) + 1)) AS INTEGER) AS "end" FROM s""")
+def enumerate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.spans(_sentences(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("sent").alias("sentence"), "n"), 2)
+
+
+@query(f"""WITH {_SQL_ANCHORS} SELECT page_id, pos, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN i < length(text) % 7 THEN pos + i ELSE -1 END), ',') AS ids FROM links""")
+def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark, sf_dir)
+    ids = T.position_ids("pos", F.col("pos") + F.length("text") % 7, 5)
+    return links.select("page_id", "pos", F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query(f"""WITH {_SQL_TAGS}, r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '-' || pos), pos) <= greatest(1, CAST(round_even(count(*) OVER (PARTITION BY doc_id) * 0.15, 0) AS INT)) AS masked FROM tg),
+u AS (SELECT *, CAST('0x' || substring(md5('action-' || doc_id || '-' || pos), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM r)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, masked, CASE WHEN masked THEN CASE WHEN u < 0.8 THEN 'mask' WHEN u < 0.9 THEN 'keep' ELSE 'random' END END AS action FROM u""")
+def mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word")).drop("word")
+    return packing.masked_words(rows)
+
+
+_SQL_SIZES = "z AS (SELECT lang AS dataset, count(*) AS size FROM documents GROUP BY 1)"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").alias("size"))
+
+
+@query(f"WITH {_SQL_SIZES} SELECT dataset, size, round(pow(size, 0.7) / sum(pow(size, 0.7)) OVER (), 6) AS rate FROM z")
+def dataset_mix_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.mixing_rates(_sizes(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {_SQL_SIZES} SELECT CAST(ceil(sum(size) * 3 / 32) AS BIGINT) AS steps FROM z")
+def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.train_steps(_sizes(spark, sf_dir), 32, 3)
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE n >= 10 AND (n - 10) % 4 = 1")
+def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.shard(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 4, 1, skip=10)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7-' || doc_id), doc_id LIMIT 100")
+def shuffled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.shuffled(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 7, 100)
+
+
+@query("SELECT doc_id, n_chars, batch, max(n_chars) OVER (PARTITION BY batch) AS width FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents)")
+def batch_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.batches(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 16, "n_chars")
+
+
+@query()
+def dataset_mix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
+    return packing.mixed_order(rows, packing.mixing_rates(_sizes(spark, sf_dir)))
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word"))
+    label = F.when(F.col("word").rlike("^[A-Z]"), F.when(F.length("word") % 2 == 0, "I-PER").otherwise("I-LOC")).otherwise("O")
+    return rows.withColumn("label", label)
+
+
+@query(f"""WITH {_SQL_TAGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, word, label, CASE WHEN label <> 'O' AND coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY pos), 'O') = 'O' THEN 'B-' || substring(label, 3) ELSE label END AS bio FROM tg""")
+def io_to_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.io_to_bio(_tags(spark, sf_dir), ["doc_id"], "pos")
+
+
+@query(f"""WITH {_SQL_TAGS}, b AS (SELECT doc_id, pos, CASE WHEN label <> 'O' AND pos % 2 = 0 THEN 'B-' || substring(label, 3) ELSE label END AS label FROM tg)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, label, CASE WHEN starts_with(label, 'B-') AND lag(CASE WHEN label = 'O' THEN 'O' ELSE substring(label, 3) END) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM substring(label, 3) THEN 'I-' || substring(label, 3) ELSE label END AS iob1 FROM b""")
+def iob2_to_iob1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir)
+    begun = F.when((F.col("label") != "O") & (F.col("pos") % 2 == 0), F.concat(F.lit("B-"), F.substring("label", 3, 10))).otherwise(F.col("label"))
+    return sequences.iob2_to_iob1(rows.select("doc_id", "pos", begun.alias("label")), ["doc_id"], "pos")
+
+
+_SQL_ENTITIES = f"""{_SQL_TAGS}, g AS (SELECT doc_id, pos, label, sum(CASE WHEN label <> 'O' AND lag(label) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM label THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM
+(SELECT * FROM tg)), en AS (SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS "end", min(substring(label, 3)) AS type FROM g WHERE label <> 'O' GROUP BY doc_id, run)"""
+_SQL_ENTITIES = f"""{_SQL_TAGS}, g0 AS (SELECT *, CASE WHEN label <> 'O' AND lag(label) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM label THEN 1 ELSE 0 END AS b FROM tg),
+g AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g0), en AS (SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS "end", min(substring(label, 3)) AS type FROM g WHERE label <> 'O' GROUP BY doc_id, run)"""
+
+
+@query(f"WITH {_SQL_ENTITIES} SELECT * FROM en")
+def iob_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.entities(_tags(spark, sf_dir), ["doc_id"], "pos")
+
+
+@query(f"""WITH {_SQL_ENTITIES}, p AS (SELECT doc_id, start, "end", CASE WHEN doc_id % 3 = 0 THEN 'LOC' ELSE type END AS type FROM en),
+x AS (SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM en)) AS c, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM en) AS g) {_SQL_PRF}""")
+def span_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = sequences.entities(_tags(spark, sf_dir), ["doc_id"], "pos")
+    pred = gold.withColumn("type", F.when(F.col("doc_id") % 3 == 0, "LOC").otherwise(F.col("type")))
+    return _prf(scores.span_f1(pred, gold, ["doc_id", "start", "end", "type"]))
+
+
+@query()
+def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    start = F.pmod(F.col("event_id"), F.lit(50))
+    rows = events.select("user_id", start.alias("start"), (start + 1 + F.pmod(F.col("event_id"), F.lit(4))).alias("end"), F.when(F.col("event_type") == "view", "O").otherwise(F.col("event_type")).alias("label"), F.col("value").alias("score"))
+    return sequences.greedy_spans(rows, "user_id")
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS file, i - 1 AS line, x[i] AS word FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents))),
+m AS (SELECT file, line, word, starts_with(word, 'The') AS st, trim(word) = '' AS bl FROM (SELECT file, line, regexp_replace(CASE WHEN line % 9 = 8 THEN '' ELSE word END, '\s', '', 'g') AS word FROM l)),
+d AS (SELECT *, sum(CAST(st AS INT)) OVER w AS doc, sum(CAST(st OR bl AS INT)) OVER w AS gap FROM m WINDOW w AS (PARTITION BY file ORDER BY line))
+SELECT file, doc, dense_rank() OVER (PARTITION BY file, doc ORDER BY gap) - 1 AS sent, CAST(line AS INTEGER) AS line, word, word AS label FROM d WHERE NOT st AND NOT bl""")
+def conll_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", " ")).alias("line", "word"))
+    word = F.regexp_replace(F.when(F.col("line") % 9 == 8, "").otherwise(F.col("word")), r"[\t\n\f\r ]", "")
+    text = F.when(word.startswith("The"), "-DOCSTART").otherwise(word)
+    out = sequences.sentences(lines.select("file", "line", text.alias("text")))
+    return out.select("file", "doc", "sent", "line", "word", "label")
+
+
+# decoding
+
+_SQL_NBEST = """
+v AS (SELECT vec_id AS id, embedding[1:32] AS s, embedding[33:64] AS e FROM embeddings),
+s1 AS (SELECT id, i, sc FROM (SELECT id, i, sc, row_number() OVER (PARTITION BY id ORDER BY sc DESC, i) AS rn FROM (SELECT id, unnest(range(0, 32)) AS i, unnest(s) AS sc FROM v)) WHERE rn <= 5),
+e1 AS (SELECT id, i, sc FROM (SELECT id, i, sc, row_number() OVER (PARTITION BY id ORDER BY sc DESC, i) AS rn FROM (SELECT id, unnest(range(0, 32)) AS i, unnest(e) AS sc FROM v)) WHERE rn <= 5),
+pr AS (SELECT s1.id, s1.i AS start, e1.i AS "end", CAST(s1.sc AS DOUBLE) + CAST(e1.sc AS DOUBLE) AS score FROM s1 JOIN e1 ON s1.id = e1.id AND e1.i >= s1.i AND e1.i - s1.i < 20),
+nb AS (SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, start, "end") AS rank, start, "end", score FROM pr) WHERE rank <= 3)"""
+
+
+def _nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    return decode.best_spans(whole.select("id", F.slice("e", 1, 32).alias("starts"), F.slice("e", 33, 32).alias("ends")), 5, 3, 20)
+
+
+@query(f"""WITH {_SQL_NBEST} SELECT id, CAST(rank AS INTEGER) AS rank, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", round(score, 6) AS score, round(exp(score - max(score) OVER (PARTITION BY id)) / sum(exp(score)) OVER (PARTITION BY id) * exp(max(score) OVER (PARTITION BY id)), 6) AS probability FROM nb""")
+def nbest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.probabilities(_nbest(spark, sf_dir)).withColumn("score", F.round("score", 6)).withColumn("probability", F.round("probability", 6))
+
+
+@query(f"""WITH {_SQL_NBEST}, g AS (SELECT nb.id, start, "end", CAST(s[1] AS DOUBLE) + CAST(e[1] AS DOUBLE) - score AS gap FROM nb JOIN v USING (id) WHERE rank = 1)
+SELECT id, CAST(CASE WHEN gap <= -0.5 THEN start END AS INTEGER) AS start, CAST(CASE WHEN gap <= -0.5 THEN "end" END AS INTEGER) AS "end", round(gap, 6) AS gap FROM g""")
+def null_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    nulls = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.get(e, F.lit(0)) + F.get(e, F.lit(32))).alias("null_score"))
+    return decode.null_decision(_nbest(spark, sf_dir), nulls, -0.5).withColumn("gap", F.round("gap", 6))
+
+
+# texts
+
+
+@query(rf"""WITH {_SQL_ANCHORS}, d AS (SELECT DISTINCT text FROM links) SELECT text, lower(trim(text)) AS mention, strip_accents(text) AS plain, regexp_matches(text, '^[!-/:-@\[-`{{-~]') AS marked, array_to_string({_SQL_TOKENS.format('text')}, ' ') AS answer FROM d""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _links(spark, sf_dir).select("text").distinct()
+    return texts.select("text", T.normalize_mention("text", lower=True).alias("mention"), T.strip_accents("text").alias("plain"), T.is_punctuation("text").alias("marked"), T.normalize_answer("text").alias("answer"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
