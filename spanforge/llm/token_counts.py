@@ -11,22 +11,32 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanforge.llm.common import text_slices, wanted
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to these ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CACHED = 400_000
+_CACHED = 250_000
 Edit = tuple[int, int, str]
 
 
+class Stretch(NamedTuple):
+    """Leaves ``first`` to ``last``, and the pre-tokens that are there now."""
+
+    first: int
+    last: int
+    pieces: list[str]
+
+
 class Tree:
     """Sums of two values over leaves: rows 0 (code points) and 1 (tokens) of ``sums``, node 1 the root, leaf i at ``width`` + i."""
 
@@ -51,15 +61,17 @@ class Tree:
         """Where each leaf starts, and the text's length."""
         return np.concatenate([[0], np.cumsum(self.sums[0, self.width :], dtype=np.int64)])
 
-    def fill(self, first: int, last: int, length: int, tokens: int) -> None:
-        """Leaves ``first`` to ``last`` become one at ``first``; then the nodes above, level by level."""
-        lo, hi = self.width + first, self.width + last
-        self.sums[:, lo : hi + 1] = 0
-        self.sums[:, lo] = length, tokens
-        while lo > 1:
-            lo, hi = lo // 2, hi // 2
-            at = np.arange(lo, hi + 1)
-            self.sums[:, at] = self.sums[:, 2 * at] + self.sums[:, 2 * at + 1]
+    def fill(self, stretches: list[Stretch], tokens: list[int]) -> None:
+        """Each stretch of leaves becomes one at its first; then the sums above all of them, level by level."""
+        low, high = np.array([[s.first, s.last] for s in stretches]).T + self.width
+        sizes = high - low + 1
+        touched = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.sums[:, touched] = 0
+        self.sums[0, low], self.sums[1, low] = [sum(map(len, s.pieces)) for s in stretches], tokens
+        while touched[0] > 1:
+            touched = touched // 2
+            touched = touched[np.concatenate([[True], np.diff(touched) > 0])]
+            self.sums[:, touched] = self.sums[:, 2 * touched] + self.sums[:, 2 * touched + 1]
 
 
 def edited(text: str, edits: list[Edit]) -> str:
@@ -71,34 +83,47 @@ def edited(text: str, edits: list[Edit]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def apply_edits(tree: Tree, text: str, edits: list[Edit], pattern, count: Callable[[list[str]], list[int]]) -> tuple[str, int]:
-    """The edited text, and the code points that were encoded again; ``tree`` follows the edits."""
+def touched(tree: Tree, text: str, edits: list[Edit], pattern) -> tuple[str, list[Stretch]]:
+    """The edited text, and the stretches of pre-tokens that the edits touch, cut anew."""
+    if not edits:
+        return text, []
     new, starts = edited(text, edits), tree.starts()
-    cuts = np.unique(starts)
-    space = lambda k: text[cuts[k] : cuts[k + 1]].isspace()
-    i = shift = again = done = 0  # done: the boundary up to which the tree is right, in the old text
+    places = starts.tolist()
+    cuts = starts[np.concatenate([[True], np.diff(starts) > 0])].tolist()  # empty leaves once
+    out: list[Stretch] = []
+    i = shift = done = 0  # done: the boundary up to which all is cut, in the old text
     while i < len(edits):
         # one pre-token before the one that the edit touches, as 're looks two ahead, and white space before that
-        k = max(0, int(np.searchsorted(cuts, max(0, edits[i][0] - 1), side="right")) - 2)
-        while k and space(k - 1):
+        k = max(0, bisect_right(cuts, max(0, edits[i][0] - 1)) - 2)
+        while k and text[cuts[k - 1] : cuts[k]].isspace():
             k -= 1
-        begin = max(int(cuts[k]), done)
+        begin = max(cuts[k], done)
         place, change, j, pieces = begin + shift, 0, i, []
         while True:
             while j < len(edits) and edits[j][0] + shift + change <= place:
                 change += len(edits[j][2]) - (edits[j][1] - edits[j][0])
                 j += 1
             old = place - shift - change
-            if place == len(new) or j > i and old > begin and old >= edits[j - 1][1] and cuts[np.searchsorted(cuts, old)] == old:
+            if place == len(new) or j > i and old > begin and old >= edits[j - 1][1] and cuts[bisect_left(cuts, old)] == old:
                 break
             pieces.append(pattern.match(new, place)[0])
             place += len(pieces[-1])
-        first = min(int(np.searchsorted(starts, begin, side="right")) - 1, tree.width - 1)
-        last = max(first, int(np.searchsorted(starts, old, side="left")) - 1)
-        length = sum(map(len, pieces))
-        tree.fill(first, last, length, sum(count(pieces)))
-        i, shift, again, done = j, shift + change, again + length, old
-    return new, again
+        first = min(bisect_right(places, begin) - 1, tree.width - 1)
+        out.append(Stretch(first, max(first, bisect_left(places, old) - 1), pieces))
+        i, shift, done = j, shift + change, old
+    return new, out
+
+
+def apply_all(trees: list[Tree], texts: list[str], edits: list[list[Edit]], pattern, count: Callable[[list[str]], list[int]]) -> tuple[list[str], list[int]]:
+    """The edited texts, and the code points that were encoded again; ``trees`` follow the edits. All texts' pre-tokens are counted at once."""
+    done = [touched(*x, pattern) for x in zip(trees, texts, edits, strict=True)]
+    counts = iter(count([p for _, stretches in done for s in stretches for p in s.pieces]))
+    again = []
+    for tree, (_, stretches) in zip(trees, done, strict=True):
+        if stretches:
+            tree.fill(stretches, [sum(itertools.islice(counts, len(s.pieces))) for s in stretches])
+        again.append(sum(len(p) for s in stretches for p in s.pieces))
+    return [new for new, _ in done], again
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -167,6 +192,13 @@ def build_trees(docs: DataFrame, *, ranks: str = RANKS, keep: tuple[str, ...] =
     return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", tree binary, n_tokens long")
 
 
+def _in_order(text: str, edits: list[Edit]) -> list[Edit]:
+    edits = sorted((min(a, len(text)), min(b, len(text)), new) for a, b, new in edits)
+    if any(a[1] > b[0] for a, b in itertools.pairwise(edits)):
+        raise ValueError("edits overlap")
+    return edits
+
+
 def update_trees(trees: DataFrame, *, ranks: str = RANKS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``trees`` (doc_id, text, tree, edits: array of struct<start, end, text> over code points) after its edits.
 
@@ -180,33 +212,44 @@ def update_trees(trees: DataFrame, *, ranks: str = RANKS, keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = make()
         for part in text_slices(batches):
-            out = []
-            for doc_id, text, raw, edits in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "tree", "edits")], strict=True):
-                tree = Tree(np.frombuffer(raw, np.int32).reshape(2, -1).copy())
-                changes = sorted((min(e["start"], len(text)), min(e["end"], len(text)), e["text"] or "") for e in edits or () if e is not None)
-                if any(a[1] > b[0] for a, b in zip(changes, changes[1:], strict=False)):
-                    raise ValueError(f"edits of document {doc_id} overlap")
-                new, again = apply_edits(tree, text, changes, counter.pattern, counter.count)
-                out.append((doc_id, new, tree.sums.tobytes(), tree.total, len(changes), again))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)] + [part.column(c) for c in keep], ["doc_id", "text", "tree", "n_tokens", "n_edits", "n_again", *keep])
+            texts, raw, given = (part.column(c).to_pylist() for c in ("text", "tree", "edits"))
+            trees = [Tree(np.frombuffer(r, np.int32).reshape(2, -1).copy()) for r in raw]
+            edits = [_in_order(t, [(e["start"], e["end"], e["text"] or "") for e in g or () if e is not None]) for t, g in zip(texts, given, strict=True)]
+            new, again = apply_all(trees, texts, edits, counter.pattern, counter.count)
+            columns = [pa.array(new, pa.string()), pa.array([t.sums.tobytes() for t in trees], pa.binary()), *[pa.array(c, pa.int64()) for c in ([t.total for t in trees], list(map(len, edits)), again)]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns] + [part.column(c) for c in keep], ["doc_id", "text", "tree", "n_tokens", "n_edits", "n_again", *keep])
 
     return trees.mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long, n_edits long, n_again long" + "".join(f", `{c}` {types[c]}" for c in keep))
 
 
-def cleaning_edits(docs: DataFrame) -> DataFrame:
-    """``docs`` with edits that a cleaning step would make: a mark before the text, each e-mail address as <email>, and at most one ! of a run."""
-    targets = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|!!++"
-    matches, gaps = F.regexp_extract_all("text", F.lit(targets), F.lit(0)), F.split("text", targets, -1)
-    turns = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("match"))), lambda x: x["match"].isNotNull())
-    step = lambda state, x: F.struct(
-        (state["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-        F.array_append(state["edits"], F.struct((state["at"] + x["gap"]).alias("start"), (state["at"] + x["gap"] + F.length(x["match"])).alias("end"), F.when(x["match"].startswith("!"), "!").otherwise("<email>").alias("text"))).alias("edits"),
-    )
-    first = F.expr("named_struct('at', 0L, 'edits', cast(array(named_struct('start', 0L, 'end', 0L, 'text', '<doc>')) as array<struct<start:bigint,end:bigint,text:string>>))")
-    return docs.withColumn("edits", F.aggregate(turns, first, step)["edits"])
+_CLEANED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|!!++")
+
 
+def cleaning_edits(text: str) -> list[Edit]:
+    """Edits that a cleaning step would make: a mark before the text, each e-mail address as <email>, and one ! of a run."""
+    edits = [(0, 0, "<doc>")]
+    if "@" in text or "!!" in text:
+        edits += [(*m.span(), "!" if m[0][0] == "!" else "<email>") for m in _CLEANED.finditer(text)]
+    return edits
 
-def edit_counts(docs: DataFrame, *, ranks: str = RANKS) -> DataFrame:
-    """doc_id, n_before, n_tokens (after), n_edits, n_chars (after) and n_again of each row of ``docs`` for its cleaning edits."""
-    trees = cleaning_edits(build_trees(docs, ranks=ranks)).withColumn("n_before", F.col("n_tokens"))
-    return update_trees(trees, ranks=ranks, keep=("n_before",)).select("doc_id", "n_before", "n_tokens", "n_edits", F.length("text").cast("long").alias("n_chars"), "n_again")
+
+def edit_counts(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = cleaning_edits, *, ranks: str = RANKS) -> DataFrame:
+    """doc_id, n_before, n_tokens (after), n_edits, n_chars (after) and n_again of each row of ``docs`` (doc_id, text) for the edits that ``edits_of`` makes of its text.
+
+    Trees are built and updated in one pass, for edits that follow from the text; build_trees and
+    update_trees keep them between passes. Nulls and repeats as there.
+    """
+    make = _shared(docs.sparkSession, ranks)
+    docs = wanted(docs, {"doc_id": "long", "text": "string"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = make()
+        for part in text_slices(batches):
+            texts = part.column("text").to_pylist()
+            trees = counter.trees(texts)
+            before, edits = [t.total for t in trees], [_in_order(t, edits_of(t)) for t in texts]
+            new, again = apply_all(trees, texts, edits, counter.pattern, counter.count)
+            columns = [before, [t.total for t in trees], list(map(len, edits)), list(map(len, new)), again]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "n_before", "n_tokens", "n_edits", "n_chars", "n_again"])
+
+    return docs.mapInArrow(run, "doc_id long, n_before long, n_tokens long, n_edits long, n_chars long, n_again long")

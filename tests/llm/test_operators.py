@@ -362,7 +362,7 @@ def test_token_counts_follow_edits():
         for _ in range(3):
             at = sorted(rnd.randint(0, len(text)) for _ in range(2 * rnd.choice([0, 1, 1, 2, 3])))
             edits = [(a, b, some(rnd.choice([0, 0, 1, 2, 5]))) for a, b in zip(at[::2], at[1::2], strict=True)]
-            text, _ = token_counts.apply_edits(tree, text, edits, c.pattern, c.count)
+            (text,), _ = token_counts.apply_all([tree], [text], [edits], c.pattern, c.count)
             assert tree.total == len(c.coding.encode_ordinary(text)) and tree.sums[0, 1] == len(text)
 
 
@@ -375,6 +375,20 @@ def test_token_counts_rows(spark):
     assert token_counts.edit_counts(empty(spark)).count() == 0
 
 
+def test_kept_trees(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one two  three"), (2, None), (None, "x" * 100), (3, "")]
+    trees = token_counts.build_trees(spark.createDataFrame(rows, DOCS))
+    edits = F.expr("array(named_struct('start', 4L, 'end', 7L, 'text', 'twenty-two'), named_struct('start', 0L, 'end', 0L, 'text', null))")
+    c = token_counts.Counter(token_counts.load_ranks())
+    once = token_counts.update_trees(trees.withColumn("edits", edits))
+    for _ in range(2):  # the second time over trees that have edits behind them
+        got = once.collect()
+        assert len(got) == 4 and all(r.n_tokens == len(c.coding.encode_ordinary(r.text)) and r.n_edits == 2 for r in got)
+        once = token_counts.update_trees(once.withColumn("edits", edits))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
