@@ -76,6 +76,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start, base = stop, ends[stop - 1]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Records go to Python in batches of 1000 instead of the default 10,000, unless the session says otherwise.
+
+    A batch of texts is held whole by Spark and by the Python worker; long texts make ten thousand
+    of them the largest thing in an executor's memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def wanted(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Just ``columns`` of ``df``, cast to the types given: extra columns can't clash with an operator's own."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])

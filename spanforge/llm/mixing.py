@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, join_small, materialize, wanted
+from spanforge.llm.common import WORD, join_small, materialize, small_batches, wanted
 
 #: A source's target stops at so many times its size.
 MOST_REPEATS = 3
@@ -135,6 +135,7 @@ def mixed_documents(docs: DataFrame, *, seed: int = 17, block_words: int = BLOCK
 
     Cut texts run from their first word's start to their last word's end; n_chars, if there, follows.
     """
+    small_batches(docs.sparkSession)
     sized = materialize(_sized(docs), "mix-sizes")
     sources, shards = shard_quotas(sized, seed, block_words, shard_words)
     marked = docs.select(F.struct("*").alias("__row"), *[F.col(c) for c in ("doc_id", "source", "text")])

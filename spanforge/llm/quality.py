@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import text_slices, wanted
+from spanforge.llm.common import small_batches, text_slices, wanted
 from spanforge.llm.words import Words, hash_spans, mix, words_of
 
 SYMBOLS = np.zeros(256, bool)
@@ -213,6 +213,7 @@ def quality(docs: DataFrame, *, min_repeat: int = MIN_REPEAT, max_covered: float
 
 def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns of ``docs``, in one narrow pass."""
+    small_batches(docs.sparkSession)
     limits = {"min_repeat": MIN_REPEAT, "max_covered": MAX_COVERED, "max_longest": MAX_LONGEST} | limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

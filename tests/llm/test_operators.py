@@ -145,6 +145,8 @@ def test_pieces_round_trip(spark):
     got = pieces.round_trip(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == len(rows) and all(r.same and r.n_tokens == len(r.token_ids) for r in got)
     assert pieces.round_trip(empty(spark)).count() == 0
+    back = pieces.decode(pieces.encode(spark.createDataFrame(rows, DOCS), keep=("text",)), keep=("text",)).collect()
+    assert len(back) == len(rows) and all(r.decoded == r.text for r in back)
 
 
 def _suffix_brute(w: list[str], least: int) -> tuple[int, int, int]:
