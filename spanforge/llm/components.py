@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import join_small, materialize
+
+#: Edges from which on a node's edges are dealt apart from the others'.
+HUB = 1000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,8 +21,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    # a component's least node has an edge to each other one: such hubs never meet their edges in one task
+    hubs = least.filter(F.col("n") >= HUB).select("u", F.col("m").alias("hub"))
+    tagged = join_small(pairs, hubs, ["u"], "left", spread=F.col("v"))
+    near = tagged.filter("hub is null").drop("hub").join(least.drop("n"), "u").unionByName(tagged.filter("hub is not null").withColumnRenamed("hub", "m"))
     if large:
         out = near.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

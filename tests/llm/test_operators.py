@@ -407,3 +407,26 @@ def test_pipeline(spark):
     assert mixed.columns == frame.columns
     last = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert last.same.all() and len(last) == mixed.count()
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, hub, monkeypatch):
+    from spanforge.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    rnd = random.Random(9)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 200 + i) for i in range(1, 20)]
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    want = {x: top(x) for p in pairs if p[0] != p[1] for x in p}
+    got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
