@@ -135,6 +135,13 @@ def span_f1(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     return _prf(both.agg(F.coalesce(F.sum(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)), F.lit(0)).alias("c"), F.count("p").alias("p"), F.count("g").alias("g")))
 
 
-def running_mean(rows: DataFrame, order: str, value: str) -> DataFrame:
-    over = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(order, F.avg(value).over(over).alias("mean"))
+def running_mean(rows: DataFrame, order: str, value: str, by: str | None = None) -> DataFrame:
+    """(by, order, mean): the mean of all values up to each row."""
+    whole = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    over = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*([by] if by else []), order, F.avg(value).over(over).alias("mean"))
+
+
+def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """(bin, n) of values from 0 to 1 (exclusive) in equal bins."""
+    return rows.groupBy(F.floor(F.col(value) * bins).alias("bin")).agg(F.count("*").alias("n"))

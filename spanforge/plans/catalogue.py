@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import decode, disambiguation, linking, mentions, packing, scores, sequences, vocabulary, windows
+from spanforge.operators import decode, disambiguation, features, linking, mentions, packing, scores, sequences, vocabulary, windows
 from spanforge.sources import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +516,39 @@ def null_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.null_decision(_nbest(spark, sf_dir), nulls, -0.5).withColumn("gap", F.round("gap", 6))
 
 
+@query("SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS value FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return features.mean_vectors(rows, "label", "v").withColumn("value", F.round("value", 6))
+
+
+@query("SELECT label, CAST(dim AS INTEGER) AS dim, max(x) AS value FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
+def max_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return features.max_vectors(rows, "label", "v")
+
+
+@query(f"WITH {_SQL_V2} SELECT CAST(floor(na_prob * 20) AS BIGINT) AS bin, count(*) AS n FROM v2 WHERE has_ans GROUP BY 1")
+def na_prob_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.histogram(_v2(spark, sf_dir).filter("has_ans"), "na_prob", 20)
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id) + 1e-8, 6) AS mean FROM events")
+def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.running_mean(_t(spark, sf_dir, "events"), "event_id", "value", by="user_id").select("event_id", F.round(F.col("mean") + 1e-8, 6).alias("mean"))
+
+
+@query(f"WITH {_SQL_NBEST}, d AS (SELECT id, start AS text, max(score) AS score FROM nb GROUP BY ALL) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, text) AS INTEGER) AS rank, CAST(text AS VARCHAR) AS text, round(score, 6) AS score FROM d")
+def distinct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nbest(spark, sf_dir).select("id", F.col("start").alias("text"), "score")
+    return decode.distinct_answers(rows, 3).select("id", "rank", F.col("text").cast("string").alias("text"), _rounded("score"))
+
+
+@query(f"WITH {_SQL_ANCHORS} SELECT CAST(row_number() OVER (ORDER BY lang <> 'fr', lang) - 1 AS INTEGER) AS id, lang AS label FROM (SELECT DISTINCT lang FROM links)")
+def label_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.label_list(_links(spark, sf_dir).select(F.col("lang").alias("label")), "fr")
+
+
 # texts
 
 
