@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -23,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in spark.checkpoint.dir. Only a session without one (tests) gets a folder
-    of its own.
+    of its own, which goes when Python ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
