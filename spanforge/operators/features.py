@@ -101,3 +101,44 @@ def global_step(rows: DataFrame) -> DataFrame:
 def masked_scores(scores: Column, allowed: Column) -> Column:
     """Scores with those that aren't allowed out of reach."""
     return F.zip_with(scores, allowed, lambda s, a: F.when(a, s).otherwise(F.lit(-1e32)))
+
+
+def entity_features(rows: DataFrame, most: int, length: int) -> DataFrame:
+    """(id, entity_ids, positions) of up to ``most`` mentions (array of struct<entity, start, end>), places padded to ``length``; without mentions one padding entity."""
+    from spanforge.functions.text import position_ids
+
+    kept = F.slice("mentions", 1, most)
+    none = F.size("mentions") == 0
+    ids = F.when(none, F.array(F.lit(0))).otherwise(F.transform(kept, lambda m: m["entity"].cast("int")))
+    places = F.when(none, F.array(F.array_repeat(F.lit(-1), length))).otherwise(F.transform(kept, lambda m: position_ids(m["start"], m["end"], length)))
+    return rows.select("id", ids.alias("entity_ids"), places.alias("positions"))
+
+
+def sided_mentions(rows: DataFrame) -> DataFrame:
+    """``rows`` (question, context: mentions with start and end; context_start) with mentions: the question's that end before the context, and the context's that start behind its first place."""
+    before = F.filter("question", lambda m: m["end"] < F.col("context_start"))
+    behind = F.filter("context", lambda m: m["start"] > F.col("context_start"))
+    return rows.withColumn("mentions", F.concat(before, behind))
+
+
+def split_document(rows: DataFrame, most: int, compat: bool = False) -> DataFrame:
+    """(doc, part, from, to): a document of n words in as few even parts of up to ``most`` words as it takes; a cut inside a mention (array of struct<start, end>) moves to the mention's start.
+
+    ``compat``: a cut inside the first mention stays, as older data have it.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
+    width = F.ceil(F.col("n") / parts).cast("int")
+    movable = F.slice("mentions", 2, 1 << 30) if compat else F.col("mentions")
+    cut = lambda at: F.coalesce(F.array_min(F.transform(F.filter(movable, lambda m: (m["start"] < at) & (m["end"] > at)), lambda m: m["start"].cast("int"))), at.cast("int"))
+    cuts = F.transform(F.sequence(F.lit(1), parts), lambda i: F.when(i == parts, F.col("n").cast("int")).otherwise(cut(i * width)))
+    both = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("from"), cuts.alias("to"))
+    return rows.select("doc", F.posexplode(both).alias("part", "x")).filter("x.to is not null").select("doc", "part", "x.from", "x.to")
+
+
+def likely_labels(rows: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """(id, label, probability) of rows (id, logits) whose softmax is above ``least``, names from labels (id, label)."""
+    from spanforge.functions.text import softmax
+
+    shares = rows.select("id", F.posexplode(softmax("logits")).alias("place", "probability"))
+    names = labels.select(F.col("id").alias("place"), "label")
+    return shares.filter(F.col("probability") > least).join(names, "place").select("id", "label", "probability")

@@ -79,3 +79,15 @@ def batches(rows: DataFrame, key: str, size: int, length: str) -> DataFrame:
     """``rows`` with batch (``size`` rows each, in order of ``key``) and width, the longest ``length`` in it."""
     ranked = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
     return ranked.withColumn("width", F.max(length).over(Window.partitionBy("batch")))
+
+
+def replacement(low: int, high: int, *keys: Column | str) -> Column:
+    """A whole number from low to high (exclusive) that hangs on the keys alone."""
+    return (F.lit(low) + F.floor(draw(F.lit("replace"), *keys) * (high - low))).cast("long")
+
+
+def warmup_rate(step: Column | str, warmup: int, total: int) -> Column:
+    """The share of the learning rate at a step: up linearly over ``warmup`` steps, then down to 0 at ``total``."""
+    s = F.col(step) if isinstance(step, str) else step
+    down = F.greatest(F.lit(0.0), (total - s) / F.lit(float(max(1, total - warmup))))
+    return F.when(s < warmup, s / F.lit(float(max(1, warmup)))).otherwise(down)

@@ -53,3 +53,20 @@ def test_vectors_and_choices(spark):
     means = scores.running_mean(spark.createDataFrame([(1, 2.0), (2, 4.0)], "i int, v double"), "i", "v")
     assert sorted(tuple(r) for r in means.collect()) == [(1, 2.0), (2, 3.0)]
     assert spark.range(1).select(features.masked_scores(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(False), F.lit(True))).alias("x")).first().x == [-1e32, 2.0]
+
+
+def test_more_features(spark):
+    from spanforge.operators import packing
+
+    kind = "id int, mentions array<struct<entity:int,start:int,end:int>>"
+    got = {r.id: (r.entity_ids, r.positions) for r in features.entity_features(spark.createDataFrame([(1, [(5, 2, 4), (6, 7, 8)]), (2, [])], kind), 1, 3).collect()}
+    assert got == {1: ([5], [[2, 3, -1]]), 2: ([0], [[-1, -1, -1]])}
+    kind = "question array<struct<start:int,end:int>>, context array<struct<start:int,end:int>>, context_start int"
+    assert [tuple(m) for m in features.sided_mentions(spark.createDataFrame([([(0, 2), (3, 6)], [(5, 6), (6, 8)], 5)], kind)).first().mentions] == [(0, 2), (6, 8)]
+    docs = spark.createDataFrame([("d", 10, [(4, 6), (8, 9)]), ("e", 3, [])], "doc string, n int, mentions array<struct<start:int,end:int>>")
+    assert sorted(tuple(r) for r in features.split_document(docs, 5).collect()) == [("d", 0, 0, 4), ("d", 1, 4, 10), ("e", 0, 0, 3)]
+    assert sorted(tuple(r) for r in features.split_document(docs, 5, compat=True).collect())[0] == ("d", 0, 0, 5)
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "id int, label string")
+    assert [(r.id, r.label) for r in features.likely_labels(spark.createDataFrame([(7, [0.0, 3.0])], "id int, logits array<double>"), labels).collect()] == [(7, "b")]
+    row = spark.range(1).select(packing.replacement(5, 8, F.lit("k")).alias("r"), packing.replacement(5, 8, F.lit("k")).alias("s"), packing.warmup_rate(F.lit(5), 10, 20).alias("up"), packing.warmup_rate(F.lit(15), 10, 20).alias("down")).first()
+    assert row.r == row.s and 5 <= row.r < 8 and (row.up, row.down) == (0.5, 0.5)
