@@ -153,3 +153,35 @@ def softmax(scores: Column | str) -> Column:
     s = col(scores)
     powers = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+
+
+def answer_text(text: Column | str, offsets: Column | str, lengths: Column | str, start: Column | str, end: Column | str, first: Column | int = 0) -> Column:
+    """The piece of ``text`` from token ``start`` to token ``end`` (inclusive, places in a sequence where the text's tokens begin at ``first``).
+
+    Tokens lie at ``offsets`` with ``lengths``; where an offset is null, the next token outward tells,
+    and beyond the last one the text's start or end. Place 0, the mark of no answer, gives ''.
+    """
+    at, size = col(offsets), col(lengths)
+    s, e = (col(start) - first).cast("int"), (col(end) - first).cast("int")
+    known = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(at) - 1).alias("i"), at.alias("at"), size.alias("n")), lambda t: t["at"].isNotNull())
+    before, behind = F.filter(known, lambda t: t["i"] <= s), F.filter(known, lambda t: t["i"] >= e)
+    begin = F.coalesce(F.try_element_at(before, F.lit(-1))["at"], F.lit(0))
+    stop = F.coalesce(F.get(behind, F.lit(0))["at"] + F.get(behind, F.lit(0))["n"], F.length(col(text)))
+    return F.when(col(start) == 0, F.lit("")).otherwise(F.substring(col(text), begin + 1, F.greatest(F.lit(0), stop - begin)))
+
+
+def projected_answer(answer: Column | str, text: Column | str, lower: bool = False) -> Column:
+    """The piece of ``text`` that ``answer``, words and marks parted by spaces, stands for; all of ``text`` where they can't be aligned.
+
+    Characters are matched one to one after spaces are taken out. ``lower``: the answer is in lower
+    case and has no accents.
+    """
+    plain = strip_accents(F.lower(col(text))) if lower else col(text)
+    tokens = F.array_join(F.regexp_extract_all(plain, F.lit(r"(?U)[^\W_]+|_|[^\w\s]"), F.lit(0)), " ")
+    start = F.position(col(answer), tokens)
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    places = F.filter(F.transform(F.split(col(text), ""), lambda c, i: F.when(~c.isin(" ", ""), i)), lambda i: i.isNotNull())
+    begin = F.get(places, F.length(bare(F.substring(tokens, F.lit(1), start - 1))))
+    stop = F.get(places, F.length(bare(F.substring(tokens, F.lit(1), start + F.length(col(answer)) - 1))) - 1)
+    aligned = (start > 0) & (F.length(bare(tokens)) == F.length(bare(col(text)))) & col(answer).rlike("(?s)^[^ ](?:.*[^ ])?$")
+    return F.when(aligned, F.substring(col(text), begin + 1, stop - begin + 1)).otherwise(col(text))

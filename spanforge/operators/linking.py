@@ -25,15 +25,20 @@ def translated_candidates(candidates: DataFrame, translations: DataFrame, names:
     return named.groupBy("page", "name").agg(F.count("*").alias("n"), F.min("title").alias("title")).filter("n = 1").drop("n")
 
 
-def greedy_links(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str | None = None) -> DataFrame:
     """(page, start, end, name) of docs (page, words): from each word on the longest name (of ``longest`` words at most) wins, and linking goes on behind it.
 
+    ``subword`` names a column of flags, true for tokens that go on with a word: they are joined
+    without a space, and no link starts or ends inside a word.
+
     Names that start at a word are found by one join of n-grams; what overlaps is then settled by
     a fold over the page's longest hits in order. Pages without a hit are never folded.
     """
     spans = F.flatten(
-        F.array(*[F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), _gram(n))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,name:string>>)")) for n in range(1, longest + 1)])
+        F.array(*[F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), _gram(n, subword))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,name:string>>)")) for n in range(1, longest + 1)])
     )
+    if subword:
+        spans = F.filter(spans, lambda s: ~F.get(F.col(subword), s["start"]) & ~F.coalesce(F.get(F.col(subword), s["end"]), F.lit(False)))
     grams = docs.select("page", F.inline(spans))
     hits = grams.join(names.select("name").distinct(), "name", "left_semi").groupBy("page", "start").agg(F.max_by(F.struct("start", "end", "name"), "end").alias("hit"))
     pages = hits.groupBy("page").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
@@ -42,5 +47,11 @@ def greedy_links(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
     return pages.select("page", F.inline(F.aggregate("hits", first, step)["kept"]))
 
 
-def _gram(n: int):
-    return lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"), F.array_join(F.slice("words", i + 1, n), " ").alias("name"))
+def _gram(n: int, subword: str | None = None):
+    def name(i):
+        if not subword:
+            return F.array_join(F.slice("words", i + 1, n), " ")
+        parts = F.zip_with(F.slice("words", i + 1, n), F.slice(subword, i + 1, n), lambda w, goes_on: F.concat(F.when(goes_on, "").otherwise(" "), w))
+        return F.ltrim(F.array_join(parts, ""))
+
+    return lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"), name(i).alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import share_of
+from spanforge.functions.text import padded, share_of
 
 
 def pack_sentences(sentences: DataFrame, most: int, least: int = 1) -> DataFrame:
@@ -91,3 +91,11 @@ def warmup_rate(step: Column | str, warmup: int, total: int) -> Column:
     s = F.col(step) if isinstance(step, str) else step
     down = F.greatest(F.lit(0.0), (total - s) / F.lit(float(max(1, total - warmup))))
     return F.when(s < warmup, s / F.lit(float(max(1, warmup)))).otherwise(down)
+
+
+def padded_batches(rows: DataFrame, key: str, size: int, columns: dict[str, int]) -> DataFrame:
+    """``rows`` with batch (``size`` rows each, in order of ``key``); each array of ``columns`` padded with its value to the longest of its batch."""
+    out = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    for name, pad in columns.items():
+        out = out.withColumn(name, padded(name, F.max(F.size(name)).over(Window.partitionBy("batch")), pad))
+    return out

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of all lines, counted from 0 in each file. A file is one row before it is cut."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return whole
+def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, line, text) of all lines, counted from 0 in each file; ``recursive``: of folders within too. A file is one row before it is cut."""
+    whole = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
+    return whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 
 
 def vocab_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -137,3 +137,67 @@ def redirects_tsv(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """(qid, text) of one JSON object."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("qid", "text"))
+
+
+def typing_spans(spark: SparkSession, path: str) -> DataFrame:
+    """(id, sentence, start, end, labels) of one JSON array of typing examples, numbered in order."""
+    kind = "array<struct<sent:string,start:int,end:int,labels:array<string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("id", "x"))
+    return rows.select("id", F.col("x.sent").alias("sentence"), "x.start", "x.end", "x.labels")
+
+
+def question_set(path: Column | str) -> Column:
+    """(dataset, question_lang, context_lang, title_lang) that a question file's name tells; null for other names."""
+    name = F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1)
+    english, crossed = F.regexp_extract(name, r"^xquad\.(..)\.json$", 1), r"^(?:dev|test)-context-(..)-question-(..)\.json$"
+    context, question = F.regexp_extract(name, crossed, 1), F.regexp_extract(name, crossed, 2)
+
+    def told(dataset: str, question: Column, context: Column, title: Column) -> Column:
+        return F.struct(F.lit(dataset).alias("dataset"), question.alias("question_lang"), context.alias("context_lang"), title.alias("title_lang"))
+
+    en = F.lit("en")
+    return F.when(name.rlike(r"^(?:train|dev)-v(?:1\.1|2\.0)\.json$"), told("squad", en, en, en)).when(english != "", told("xquad", english, english, en)).when(context != "", told("mlqa", question, context, context))
+
+
+def question_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(title) of the articles of question-answering JSON, with spaces for _."""
+    rows = spark.read.schema("data array<struct<title:string>>").option("multiLine", True).json(path).select(F.explode("data.title").alias("title"))
+    return rows.select(F.replace("title", F.lit("_"), F.lit(" ")).alias("title"))
+
+
+def mention_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Words (file, doc, pos, word) and mentions (file, doc, mention, start, end) of tab-separated lines.
+
+    -DOCSTART- lines name documents. A line of six fields or more is part of a mention: B begins
+    one and I makes it longer by a word; another tag is an error. Blank lines hold a place, as an
+    empty word, but for the one behind a file's last line break.
+    """
+    rows = lines(spark, path)
+    last = F.max("line").over(Window.partitionBy("file"))
+    rows = rows.withColumn("text", F.trim("text")).withColumn("__last", last).filter("not (line = __last and text = '')").drop("__last")
+    start = F.col("text").startswith("-DOCSTART-")
+    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    name = F.when(start, F.substring(F.get(F.split("text", r"\s+"), F.lit(1)), 2, 1 << 20))
+    rows = rows.withColumn("doc", F.last(name, ignorenulls=True).over(upto)).filter(~start).withColumn("f", F.split("text", "\t"))
+    words = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file", "doc").orderBy("line")) - 1)
+    tag = F.when(F.size("f") >= 6, F.get("f", F.lit(1)))
+    tagged = words.withColumn("tag", F.when(tag.isin("B", "I") | tag.isNull(), tag).otherwise(F.raise_error(F.concat(F.lit("no mention tag: "), tag)))).filter("tag is not null")
+    runs = tagged.withColumn("mention", F.sum((F.col("tag") == "B").cast("int")).over(Window.partitionBy("file", "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    spans = runs.groupBy("file", "doc", "mention").agg(F.min("pos").alias("start"), F.count("*").alias("n"))
+    return words.select("file", "doc", "pos", F.get("f", F.lit(0)).alias("word")), spans.select("file", "doc", "mention", "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+
+
+def entity_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, entity, text, titles) of files, one for each document and named after it, in ``path`` and the folders within.
+
+    ENTITY lines say in field 7, behind nine characters, what the mention reads; the CANDIDATE
+    lines up to the next name titles in field 5, behind 33 characters and with _ for spaces.
+    """
+    rows = lines(spark, path, recursive=True).withColumn("f", F.split("text", "\t"))
+    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head, candidate = F.col("text").startswith("ENTITY"), F.col("text").startswith("CANDIDATE")
+    rows = rows.withColumn("entity", F.sum(head.cast("int")).over(upto) - 1).filter((head | candidate) & (F.col("entity") >= 0))
+    title = F.replace(F.substring(F.get("f", F.lit(5)), 34, 1 << 20), F.lit("_"), F.lit(" "))
+    titles = F.array_sort(F.collect_list(F.when(candidate, F.struct("line", title.alias("title")))))
+    found = rows.groupBy("file", "entity").agg(F.max(F.when(head, F.substring(F.get("f", F.lit(7)), 10, 1 << 20))).alias("text"), titles.alias("titles"))
+    return found.select(F.substring_index("file", "/", -1).alias("doc"), "entity", "text", F.col("titles.title").alias("titles"))

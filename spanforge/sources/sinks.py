@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,15 @@ def write_examples(examples: DataFrame, path: str, properties: dict) -> None:
 def write_predictions(rows: DataFrame, path: str) -> None:
     """Lines {id, ...} of predictions, n-best lists or null scores."""
     rows.write.mode("overwrite").json(path)
+
+
+def write_bio(lines: DataFrame, path: str) -> None:
+    """Lines (file, line, text) of five fields by spaces with their last one, the label, in BIO form: after O or at a sentence's start a tag becomes B-."""
+    upto = Window.partitionBy("file").orderBy("line")
+    label = F.element_at(F.split(F.trim("text"), " "), -1)
+    blank = F.trim("text") == ""
+    rows = lines.withColumn("__label", F.when(~blank, label)).withColumn("__before", F.lag("__label").over(upto))
+    starts = ~blank & (F.col("__label") != "O") & (F.col("__before").isNull() | (F.col("__before") == "O"))
+    text = F.when(starts, F.concat(F.regexp_replace("text", r"\S+\s*$", ""), F.lit("B-"), F.substring("__label", 3, 1 << 20))).otherwise(F.col("text"))
+    out = rows.select("file", "line", text.alias("value"))
+    out.repartition("file").sortWithinPartitions("file", "line").select("value").write.mode("overwrite").text(path)
