@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def coreferences(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     """(doc, mention, other): other mentions of a document whose text holds this one's at word boundaries and whose best candidate is a person.
 
-    mentions (doc, mention, text, top). Only the first place where the text is found counts. Pairs
-    meet within one document only.
+    mentions (doc, mention, text, top). Only the first place where the text is found counts. A
+    longer text's runs of words meet equal texts of the document, so that work follows the pairs
+    found and not the square of a document's mentions.
     """
     other = mentions.join(persons.select(F.col("title").alias("top")).distinct(), "top", "left_semi").select("doc", F.col("mention").alias("other"), F.col("text").alias("whole"))
-    pairs = mentions.select("doc", "mention", "text").join(other, "doc").filter((F.col("mention") != F.col("other")) & (F.col("text") != F.col("whole")))
+    runs = other.select("doc", "whole").distinct().withColumn("words", F.split("whole", " ")).select("doc", "whole", F.explode(F.array_distinct(_runs("words"))).alias("text"))
     at = F.instr(F.col("whole"), F.col("text"))
     ends = at + F.length("text")
     open_left = (at == 1) | (F.substring(F.col("whole"), at - 1, F.lit(1)) == " ")
     open_right = (ends > F.length("whole")) | (F.substring(F.col("whole"), ends, F.lit(1)) == " ")
-    return pairs.filter((at > 0) & open_left & open_right).select("doc", "mention", "other")
+    texts = runs.filter((F.col("text") != F.col("whole")) & (at > 0) & open_left & open_right)
+    pairs = mentions.select("doc", "mention", "text").join(texts, ["doc", "text"]).join(other, ["doc", "whole"])
+    return pairs.filter(F.col("mention") != F.col("other")).select("doc", "mention", "other")
+
+
+def _runs(words: str) -> Column:
+    """All runs of one word or more of an array, joined by spaces."""
+    size = F.size(words)
+    ends = lambda i: F.transform(F.sequence(F.lit(1), size - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.flatten(F.transform(F.sequence(F.lit(0), size - 1), ends))
 
 
 def coreference_priors(refs: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ suppliers (titles) of order lines (pages); answers and sentences are words and l
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +82,19 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that are used several times."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:  # a session without one (tests): a folder that goes when Python ends
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _rounded(c: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(c)
 
@@ -323,6 +340,26 @@ def coref_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disambiguation.coreference_priors(refs, candidates).withColumn("prior", F.round("prior", 6))
 
 
+def _whole_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the benchmark wherever they stand in whole documents; a mention is its first word's place."""
+    hits = _kept(greedy_link(spark, sf_dir), "mentions")
+    return hits.select(F.col("page").alias("doc"), F.col("start").cast("long").alias("mention"), F.lower("name").alias("text"), F.lower("name").alias("top"))
+
+
+@query()
+def coreferences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _whole_mentions(spark, sf_dir)
+    return disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+
+
+@query()
+def coref_prior_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _whole_mentions(spark, sf_dir)
+    refs = disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+    candidates = rows.select("doc", "mention", F.col("text").alias("title"), (1.0 / (F.col("mention") + 1)).alias("prior"))
+    return disambiguation.coreference_priors(refs, candidates).withColumn("prior", F.round("prior", 6))
+
+
 # windows and sequences
 
 _SQL_STRIDES = rf"""
