@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,25 @@ from spanforge.functions.text import answer_tokens
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
-    """How many tokens two arrays share, each as often as in both."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
+    """How many tokens two arrays share, each as often as in both.
+
+    Counts of both sides, sorted by token, lie side by side where a token is in both: the work is
+    that of sorting, however long the arrays are.
+    """
+    both = F.sort_array(F.concat(_token_counts(a), _token_counts(b)))
+    return _let(both, lambda m: F.aggregate(F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["token"] == x["token"], F.least(x["n"], F.get(m, i + 1)["n"])).otherwise(0)), F.lit(0), lambda s, n: s + n))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, though ``f`` names it in lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _token_counts(tokens: Column) -> Column:
+    """(token, n) of the distinct tokens of an array: the lengths of equal runs when sorted."""
+    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), F.struct(t.alias("token"), i.alias("at")))), lambda r: r.isNotNull())
+    counted = lambda s, runs: F.transform(runs, lambda r, k: F.struct(r["token"].alias("token"), (F.coalesce(F.get(runs, k + 1)["at"], F.size(s)) - r["at"]).alias("n")))
+    return _let(F.sort_array(tokens), lambda s: _let(starts(s), lambda runs: counted(s, runs)))
 
 
 def token_f1(pred: Column, gold: Column, empty_counts: bool = False) -> Column:

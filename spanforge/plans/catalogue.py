@@ -223,9 +223,9 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).withColumn("f1", F.round("f1", 6))
 
 
-def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _v2(spark: SparkSession, sf_dir: str, answers: Query = _answers) -> DataFrame:
     labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), (F.col("quality") == 1).alias("has_ans"))
-    rows = _answers(spark, sf_dir).join(labels, "qid")
+    rows = answers(spark, sf_dir).join(labels, "qid")
     return rows.withColumn("na_prob", F.pmod(F.col("qid") * 7919, F.lit(1000)) / 1000).withColumnRenamed("answered", "answer_given")
 
 
@@ -252,6 +252,65 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.average_precision(_v2(spark, sf_dir), "f1").select(_rounded("ap"))
 
 
+# whole texts as answers
+
+_SQL_WHOLE_ANSWERS = rf"""
+qa AS (SELECT doc_id AS qid, text AS answer, CASE WHEN NOT regexp_matches(text, '{WORDS}') THEN NULL WHEN strpos(text, chr(10)) > 0 THEN substring(text, strpos(text, chr(10)) + 1) ELSE text END AS text FROM documents),
+tk AS (SELECT qid, text, {_SQL_TOKENS.format("coalesce(answer, '')")} AS g, {_SQL_TOKENS.format("coalesce(text, '')")} AS p FROM qa),
+nt AS (SELECT qid, t, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM (SELECT qid, 0 AS side, unnest(p) AS t FROM tk UNION ALL SELECT qid, 1, unnest(g) FROM tk) GROUP BY qid, t),
+sm AS (SELECT qid, sum(least(a, b)) AS same FROM nt GROUP BY 1),
+sh AS (SELECT tk.*, coalesce(same, 0) AS same FROM tk LEFT JOIN sm USING (qid)),
+sc AS (SELECT qid, text IS NOT NULL AS answered, CASE WHEN text IS NOT NULL AND p = g THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN text IS NULL OR same = 0 THEN 0.0 ELSE 2.0 * same / (len(p) + len(g)) END AS f1 FROM sh)"""
+
+
+def _whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as the answer, and what follows its first line as the prediction (all of it if it has one line); texts without words have none."""
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text")
+    line = F.instr("text", "\n")
+    pred = F.when(~F.col("text").rlike(WORDS), None).when(line > 0, F.substring(F.col("text"), line + 1, F.length("text"))).otherwise(F.col("text"))
+    return scores.answer_scores(rows.select("qid", pred.alias("text")), rows.select("qid", F.col("text").alias("answer")))
+
+
+def _whole_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _v2(spark, sf_dir, _whole_answers)
+
+
+def _whole_sql(name: str) -> str:
+    assert _SQL_ANSWERS in _SQL[name]
+    return _SQL[name].replace(_SQL_ANSWERS, _SQL_WHOLE_ANSWERS)
+
+
+@query(_whole_sql("squad_em_f1"))
+def squad_em_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.corpus_scores(_whole_answers(spark, sf_dir), False).select(_rounded("exact_match"), _rounded("f1"), "total")
+
+
+@query(_whole_sql("record_em_f1"))
+def record_em_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.corpus_scores(_whole_answers(spark, sf_dir), True).select(_rounded("exact_match"), _rounded("f1"), "total")
+
+
+@query(_whole_sql("answer_scores"))
+def answer_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_answers(spark, sf_dir).withColumn("f1", F.round("f1", 6))
+
+
+@query(_whole_sql("squad_v2_eval"))
+def squad_v2_eval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scores.grouped_scores(scores.with_threshold(_whole_v2(spark, sf_dir), 0.7))
+    return out.select(*[c if c.endswith("total") else _rounded(c) for c in out.columns])
+
+
+@query(_whole_sql("best_threshold"))
+def best_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.best_threshold(_whole_v2(spark, sf_dir), "f1").withColumn("best_score", F.round("best_score", 6))
+
+
+@query(_whole_sql("average_precision"))
+def average_precision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.average_precision(_whole_v2(spark, sf_dir), "f1").select(_rounded("ap"))
+
+
 # classes
 
 _SQL_CLASSES = "cl AS (SELECT o_orderpriority AS gold, CASE CAST(floor(o_totalprice) AS BIGINT) % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS pred FROM orders)"

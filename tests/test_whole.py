@@ -45,3 +45,38 @@ def test_coreferences_of_whole_documents(spark):
         sums[d, m, text[d, o]] += 1 / (o + 1)
     priors = {(r.doc, r.mention, r.title): r.prior for r in catalogue.queries()["coref_prior_whole"](spark, SF).collect()}
     assert priors.keys() == sums.keys() and all(abs(p - sums[k] / n[k[:2]]) < 1e-6 for k, p in priors.items())
+
+
+def test_shared_tokens_of_long_answers(spark):
+    import time
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from spanforge.operators.scores import shared_tokens
+
+    rnd = random.Random(2)
+    some = [[rnd.choice("abcde") for _ in range(rnd.randint(0, 9))] for _ in range(60)]
+    rows = [(i, a, rnd.choice(some)) for i, a in enumerate(some)] + [(99, None, ["a"])]
+    df = spark.createDataFrame(rows, "id long, a array<string>, b array<string>").withColumn("n", shared_tokens(F.col("a"), F.col("b")))
+    assert {r.id: r.n for r in df.collect()} == {i: None if a is None else (Counter(a) & Counter(b)).total() for i, a, b in rows}
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: i.cast("string")).alias("a"))
+    began = time.time()
+    assert long.select(shared_tokens(F.col("a"), F.slice("a", 5, 40_000)).alias("n")).first().n == 39_996
+    assert time.time() - began < 30  # by the square of the tokens it takes minutes
+
+
+def test_scores_of_whole_answers(spark):
+    import re
+    from collections import Counter
+
+    tokens = lambda t: [w for w in re.sub(r"[!-/:-@\[-`{-~]", "", t.lower()).split() if w not in ("a", "an", "the")]
+    got = {r.qid: r for r in catalogue.queries()["answer_scores_whole"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g, p = tokens(r.text or ""), tokens((r.text or "").split("\n", 1)[-1])
+        same = (Counter(g) & Counter(p)).total()
+        answered = bool((r.text or "").split())
+        assert (got[r.doc_id].answered, got[r.doc_id].exact) == (answered, float(answered and g == p))
+        assert abs(got[r.doc_id].f1 - (2 * same / (len(g) + len(p)) if answered and same else 0)) < 2e-6
