@@ -453,6 +453,15 @@ def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sentences(_sentences(spark, sf_dir), 64)
 
 
+#: As the reference has them: a sequence of 512 pieces less two marks, and the longest mention its reader takes.
+SEQUENCE, LONGEST_MENTION = 512 - 2, 16
+
+
+@query(_SQL["pack_sentences"].replace("64", str(SEQUENCE)))
+def pack_sentences_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sentences(_sentences(spark, sf_dir), SEQUENCE)
+
+
 _SQL_CENTRED = f"""{_SQL_SENTENCES}, o AS (SELECT page AS doc_id, sent AS sentence, sum(n) OVER (PARTITION BY page ORDER BY sent) - n AS s, sum(n) OVER (PARTITION BY page ORDER BY sent) AS e, sum(n) OVER (PARTITION BY page) AS n FROM sn),
 h AS (SELECT doc_id, sentence, s, n - e AS ra, greatest(0, 100 - (e - s)) AS room, greatest(0, 100 - (e - s)) // 2 AS half FROM o),
 l AS (SELECT *, CASE WHEN s < ra THEN least(s, half) ELSE least(s, room - least(ra, half)) END AS lf FROM h)"""
@@ -473,6 +482,11 @@ def enumerate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.spans(_sentences(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("sent").alias("sentence"), "n"), 2)
 
 
+@query(_SQL["enumerate_spans"].replace("st + 2", f"st + {LONGEST_MENTION}"))
+def enumerate_spans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.spans(_sentences(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("sent").alias("sentence"), "n"), LONGEST_MENTION)
+
+
 @query(f"""WITH {_SQL_ANCHORS} SELECT page_id, pos, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN i < length(text) % 7 THEN pos + i ELSE -1 END), ',') AS ids FROM links""")
 def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)

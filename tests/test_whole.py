@@ -80,3 +80,18 @@ def test_scores_of_whole_answers(spark):
         answered = bool((r.text or "").split())
         assert (got[r.doc_id].answered, got[r.doc_id].exact) == (answered, float(answered and g == p))
         assert abs(got[r.doc_id].f1 - (2 * same / (len(g) + len(p)) if answered and same else 0)) < 2e-6
+
+
+def test_packing_and_spans_by_production_values(spark):
+    lines = {r.doc_id: [len(x.split()) for x in r.text.split("\n")] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None}
+    packed = {(r.page, r.sent): r.bin for r in catalogue.queries()["pack_sentences_full"](spark, SF).collect()}
+    want = {}
+    for page, sizes in lines.items():
+        at = used = 0
+        for sent, n in enumerate(sizes):
+            if 1 <= n <= 510:
+                at, used = (at + 1, n) if used + n > 510 else (at, used + n)
+                want[page, sent] = at
+    assert packed == want and any(64 < lines[page][sent] for page, sent in packed)
+    spans = catalogue.queries()["enumerate_spans_full"](spark, SF)
+    assert spans.count() == sum(max(0, n - k) for sizes in lines.values() for n in sizes for k in range(16)) and spans.filter("end - start = 16").count() > 0
