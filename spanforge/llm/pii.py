@@ -14,6 +14,8 @@ so that a running sum of their lengths gives code point offsets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from spanforge.llm.common import join_small, materialize, wanted
 KINDS = ("email", "ip", "card", "phone")
 _S = r"\x20\x09-\x0D"
 _LOCAL = r"[A-Za-z0-9._%+-]"
+_GROUP = rf"\(?[0-9][0-9().-]*+(?![^{_S},;:!?])"
 #: Same matches as the plain forms, in linear time: no start inside a run that has failed before, no giving back.
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,20 +32,42 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "other": rf"(?<![^{_S}])[^{_S}0-9@]*+[0-9@][^{_S}]*+",
+    # digit groups with single spaces between them: several words that may be one identifier
+    "groups": rf"(?<![^{_S}]){_GROUP}(?:\x20{_GROUP})++",
 }
 #: What an instance found by context must look like, by kind.
-LOOKS = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9A-Fa-f]+(?:[.:]+[0-9A-Fa-f]+){2,}$", "card": r"^[0-9](?:-?[0-9]){11,}$", "phone": r"^[0-9(](?:[().-]*[0-9]){6,14}$"}
+LOOKS = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9A-Fa-f]+(?:[.:]+[0-9A-Fa-f]+){2,}$", "card": r"^[0-9](?:[\x20-]?[0-9]){11,}$", "phone": r"^[0-9(](?:[\x20().-]*[0-9]){6,14}$"}
 _EDGE = r"[\"'()\[\]{}<>,;:.!?]"
 CONTEXT = 80
 MIN_PRECISION, MIN_SUPPORT, MIN_SCORE, ROUNDS = 0.6, 3, 0.6, 3
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, though ``f`` names it in lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _hits(kind: str, guard: Column) -> Column:
-    """Gaps and matches of one pattern, in turn; a text without a match has none."""
-    matches, gaps = F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)), F.split("text", PATTERNS[kind], -1)
-    turns = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head"), m.alias("match")))
-    numbered = F.transform(turns, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["tail"].alias("tail"), x["head"].alias("head"), x["match"].alias("match")))
-    return F.when(guard & (F.size(matches) > 0), numbered).otherwise(F.expr("cast(array() as array<struct<kind:string,i:int,gap:bigint,tail:string,head:string,match:string>>)"))
+    """Gaps and matches of one pattern, in turn, with the text before and after each match; a text without a match has none.
+
+    Context runs over other matches of the kind: a gap and a match have two characters at least, so
+    that CONTEXT / 2 of them on each side are enough.
+    """
+    near = CONTEXT // 2
+    pairs = F.zip_with(F.split("text", PATTERNS[kind], -1), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    ends = lambda ps: F.transform(ps, lambda p: F.right(F.concat(p["gap"], F.coalesce(p["match"], F.lit(""))), F.lit(CONTEXT)))
+    starts = lambda ps: F.transform(ps, lambda p: F.left(F.concat(p["gap"], F.coalesce(p["match"], F.lit(""))), F.lit(CONTEXT)))
+
+    def turns(ps: Column, behind: Column, ahead: Column) -> Column:
+        def turn(p: Column, i: Column) -> Column:
+            tail = F.concat(F.array_join(F.slice(behind, F.greatest(F.lit(1), i + 1 - near), F.least(i, F.lit(near))), ""), p["gap"])
+            head = F.array_join(F.slice(ahead, i + 2, F.lit(near + 1)), "")
+            return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["gap"]).cast("long").alias("gap"), F.right(tail, F.lit(CONTEXT)).alias("tail"), F.left(head, F.lit(CONTEXT)).alias("head"), p["match"].alias("match"))
+
+        return F.transform(ps, turn)
+
+    numbered = _let(pairs, lambda ps: F.when(F.size(ps) > 1, _let(ends(ps), lambda behind: _let(starts(ps), lambda ahead: turns(ps, behind, ahead)))))
+    return F.coalesce(F.when(guard, numbered), F.expr("cast(array() as array<struct<kind:string,i:int,gap:bigint,tail:string,head:string,match:string>>)"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -76,11 +101,12 @@ def occurrences(raw: DataFrame) -> DataFrame:
     own = Window.partitionBy("row_id", "kind").orderBy("i")
     width = F.coalesce(F.length("match"), F.lit(0)).cast("long")
     end = F.sum(F.col("gap") + width).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = turns.withColumn("end", end).withColumn("start", end - width).withColumn("after", F.lead("head").over(own)).filter("match is not null").filter(_valid())
-    # of other words, what is inside the punctuation around them
-    front = F.length("match") - F.length(F.regexp_replace("match", f"^{_EDGE}+", ""))
-    inner = F.regexp_replace(F.regexp_replace("match", f"^{_EDGE}+", ""), f"{_EDGE}+$", "")
-    other = F.col("kind") == "other"
+    found = turns.withColumn("end", end).withColumn("start", end - width).withColumnRenamed("head", "after").filter("match is not null").filter(_valid())
+    # of other words, what is inside the punctuation around them; groups keep the bracket in front
+    other, groups = F.col("kind").isin("other", "groups"), F.col("kind") == "groups"
+    bare = F.when(groups, F.col("match")).otherwise(F.regexp_replace("match", f"^{_EDGE}+", ""))
+    front = F.length("match") - F.length(bare)
+    inner = F.regexp_replace(bare, f"{_EDGE}+$", "")
     found = found.withColumn("key", F.when(other, inner).otherwise(F.col("match"))).withColumn("start", F.when(other, F.col("start") + front).otherwise(F.col("start"))).withColumn("end", F.when(other, F.col("start") + F.length("key")).otherwise(F.col("end")))
     found = found.filter(~other | (F.length("key") >= 6))
     order = Window.partitionBy("row_id").orderBy("start", "end", "kind")
@@ -90,7 +116,7 @@ def occurrences(raw: DataFrame) -> DataFrame:
     before, after = _words(F.col("tail")), _words(F.coalesce("after", F.lit("")))
     l1, l2, r1 = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("")), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit(""))
     patterns = F.array(F.when(l1.rlike("[:=#]$"), F.concat(F.lit("lead "), l1)), F.when((l1 != "") & (l2 != ""), F.concat(F.lit("two "), l2, F.lit(" "), l1)), F.when((l1 != "") & (r1 != ""), F.concat(F.lit("around "), l1, F.lit(" _ "), r1)))
-    return found.select("row_id", "kind", "start", "end", F.lower("key").alias("key"), F.array_compact(patterns).alias("patterns"))
+    return found.select("row_id", F.when(other, "other").otherwise(F.col("kind")).alias("kind"), "start", "end", F.lower("key").alias("key"), F.array_compact(patterns).alias("patterns"))
 
 
 def discover(found: DataFrame, *, min_precision: float = MIN_PRECISION, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
@@ -128,11 +154,15 @@ def _joined(only_base: bool) -> Column:
 def _found(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` (text, and ``columns``) by row_id, and the spans (row_id, kind, start, end, base)."""
     at, digit = F.contains(F.col("text"), F.lit("@")), F.col("text").rlike("[0-9]")
-    guards = {"email": at, "ip": digit, "card": digit, "phone": F.contains(F.col("text"), F.lit("+")) & digit, "other": at | digit}
+    guards = {"email": at, "ip": digit, "card": digit, "phone": F.contains(F.col("text"), F.lit("+")) & digit, "other": at | digit, "groups": digit}
     hits = F.concat(*[_hits(k, g) for k, g in guards.items()])
     raw = materialize(docs.withColumn("text", F.coalesce("text", F.lit(""))).select(F.monotonically_increasing_id().alias("row_id"), *columns, hits.alias("hits")), "pii-hits")
     found = materialize(occurrences(raw.filter(F.size("hits") > 0)), "pii-found")
     named = found.filter("kind = 'other'").join(discover(found), "key").select("row_id", F.col("found").alias("kind"), "start", "end", F.lit(False).alias("base"))
+    # a word inside digit groups that are found too is part of them
+    wide = Window.partitionBy("row_id").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(wide.rowsBetween(Window.unboundedPreceding, -1))
+    named = named.withColumn("reach", reach).filter("reach is null or end > reach").drop("reach")
     return raw.drop("hits"), found.filter("kind <> 'other'").select("row_id", "kind", "start", "end", F.lit(True).alias("base")).unionByName(named)
 
 

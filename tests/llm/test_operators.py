@@ -430,3 +430,21 @@ def test_components(spark, hub, monkeypatch):
     want = {x: top(x) for p in pairs if p[0] != p[1] for x in p}
     got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert len(got) == len(want) and {r.node: r.root for r in got} == want
+
+
+def test_pii_context_runs_over_other_hits(spark):
+    seeds = [f"phones: +1 386 555-37{i:02d} and tel2: +1 386 555-38{i:02d} end" for i in range(8)]
+    some = seeds + ["tel2: 386-555-9911 end", "phones: 386-555-9912, 386-555-9913", "phones: (386) 555-9914 and so on", "size: (386) 555-9915 end"]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(some)), DOCS)).collect()}
+    assert {i: r.spans for i, r in got.items() if r.n_found} == {8: "phone:6:18", 9: "phone:8:20", 10: "phone:8:22"}
+    text = " ".join(f"w{i}" for i in range(60)) + "\t12 345 678\n9a"
+    df = spark.createDataFrame([(text,)], "text string")
+    for kind in pii.PATTERNS:
+        turns = df.select(pii._hits(kind, pii.F.lit(True)).alias("h")).first().h
+        at = 0
+        for t in turns:
+            at += t.gap
+            if t.match is not None:
+                assert text[at : at + len(t.match)] == t.match and t.tail == text[max(0, at - 80) : at]
+                assert t.head == text[at + len(t.match) :][:80]
+                at += len(t.match)
