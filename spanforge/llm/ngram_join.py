@@ -181,7 +181,10 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     """doc_id, mark (a hash of the text), root, class_id and n_links of each row; the last three are null for a row without links."""
     bands, rows = bands_for(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signed")
-    sets = materialize(signed.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "sets")
+    # the representative is the row with the least doc_id, null last
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    sets = signed.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), least_row.alias("row"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    sets = materialize(sets.select("sid", "copies", F.col("row.doc_id").alias("first"), F.col("row.mark").alias("mark"), "n_grams", "bands"), "sets")
     banded = sets.select("sid", F.explode("bands").alias("h"))
     buckets = banded.groupBy("h").agg(F.min("sid").alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
     clusters = components(banded.join(buckets, "h").select(F.col("sid").alias("a"), F.col("head").alias("b")))
@@ -189,8 +192,10 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n_grams") / BLOCK_GRAMS, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("n_blocks"))
     members = materialize(clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), "n_blocks").cast("int")), "members")
 
-    chosen = members.select("sid", "first", "cluster", "copies", "n_blocks", "block")
-    found = join_small(docs.withColumnRenamed("doc_id", "first"), chosen, ["first"], "inner", spread=F.col("text")) if _unique(chosen) else docs.withColumnRenamed("doc_id", "first").join(chosen, F.col("first").eqNullSafe(chosen["first"])).drop(chosen["first"])
+    # a set meets the rows with its representative's id and text, whatever else has that id
+    chosen = members.select("sid", "first", "mark", "cluster", "copies", "n_blocks", "block")
+    marked = docs.withColumnRenamed("doc_id", "first").withColumn("mark", F.xxhash64("text"))
+    found = join_small(marked, chosen, ["first", "mark"], "inner", spread=F.monotonically_increasing_id())
     texts = _of_set(found, n).dropDuplicates(["sid"])
     other = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")))
     paired = texts.withColumn("pair", F.explode(other)).select("cluster", "n_blocks", "pair.a", "pair.b", "block", "sid", "copies", "text")
@@ -207,11 +212,6 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     return join_small(signed.select("doc_id", "mark", "sid"), final, ["sid"], "left", spread=F.col("doc_id")).drop("sid")
 
 
-def _unique(chosen: DataFrame) -> bool:
-    """Whether each first document stands for one set only (ids that repeat with other texts may not)."""
-    return chosen.groupBy("first").count().filter("count > 1").isEmpty()
-
-
 def _of_set(found: DataFrame, n: int) -> DataFrame:
     """The rows of ``found`` whose text has the n-gram set that their sid names."""
     columns = ["text", "sid", "cluster", "copies", "n_blocks", "block"]

@@ -448,3 +448,13 @@ def test_pii_context_runs_over_other_hits(spark):
                 assert text[at : at + len(t.match)] == t.match and t.tail == text[max(0, at - 80) : at]
                 assert t.head == text[at + len(t.match) :][:80]
                 at += len(t.match)
+
+
+def test_ngram_join_reads_each_set_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(None if i % 2 else 7, " ".join(rnd.choice("abcdefgh") for _ in range(40))) for i in range(12)]
+    rows = [(i, t + end) for i, t in rows for end in ("", " z")]
+    read, plain = [], ngram_join._of_set
+    monkeypatch.setattr(ngram_join, "_of_set", lambda found, n: read.append(found.count()) or plain(found, n))
+    got = sorted((tuple(r) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert got == _classes(rows) and read == [24]
