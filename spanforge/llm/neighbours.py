@@ -133,31 +133,32 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = K, factor: float =
 
     Nearest first, ties to the smaller vec_id; scores are inner products of the original vectors in
     double precision. Vectors that are null, empty, zero or hold null or non-finite components, and
-    rows without a vec_id, take no part, nor do those with another number of components than most
-    long ones have (the largest number). Of rows that repeat a vec_id the least vector counts.
+    rows without a vec_id, take no part. Vectors meet those with the same number of components only.
+    Of rows that repeat a vec_id the least vector counts.
     Other columns are ignored; an empty table gives no rows.
     """
-    rows = usable(vectors)
-    # two scalars and a count: the shape of the work, not the data
+    rows = usable(vectors).withColumn("dim", F.size("embedding"))
+    # a row for each number of components: the shape of the work, not the data
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    total, queries, dim, reach = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("embedding")), F.max(norm)).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-queries // block_queries))
-    rows = rows.filter(F.size("embedding") == F.lit(dim or 0))
+    shape = rows.groupBy("dim").agg(F.count("*").alias("total"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"), F.max(norm).alias("reach")).collect()
+    shards, blocks = max([1, *(-(-r.total // shard_rows) for r in shape)]), max([1, *(-(-r.queries // block_queries) for r in shape)])
+    reach = {r.dim: float(r.reach) for r in shape}
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(n)).cast("int")
-    points = rows.select("vec_id", "embedding", dealt(shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    points = rows.select("vec_id", "embedding", "dim", dealt(shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = rows.filter(F.col("vec_id") % every == 0)
-    asked = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dealt(blocks, 2).alias("block"))
+    asked = asked.select("vec_id", "embedding", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dealt(blocks, 2).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> np.ndarray:
             return t.column("embedding").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
 
         if left.num_rows and right.num_rows:
-            got = search_shard(left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right), float(reach), k, factor)
+            x = matrix(left)
+            got = search_shard(left.column("vec_id").to_numpy(), x, right.column("vec_id").to_numpy(), matrix(right), reach[x.shape[1]], k, factor)
         else:
             got = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pa.Table.from_pandas(got, preserve_index=False)
 
-    found = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = points.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

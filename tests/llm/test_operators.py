@@ -458,3 +458,16 @@ def test_ngram_join_reads_each_set_once(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_of_set", lambda found, n: read.append(found.count()) or plain(found, n))
     got = sorted((tuple(r) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
     assert got == _classes(rows) and read == [24]
+
+
+def test_nearest_by_number_of_components(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=(64, 8)[i % 3 == 0]).tolist()) for i in range(150)] + [(160, rnd.normal(size=65).tolist())]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1.0, shard_rows=40, block_queries=3).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    vectors = {i: np.array(v) for i, v in rows}
+    assert set(got) == set(range(0, 150, 20))
+    for q, found in got.items():
+        want = sorted((i for i, v in vectors.items() if i != q and len(v) == len(vectors[q])), key=lambda i: (-(vectors[i] @ vectors[q]), i))[:20]
+        assert [i for _, i in sorted(found)] == want
