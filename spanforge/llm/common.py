@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many rows and bytes a table is broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,42 +25,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only a session without one (tests) gets a folder
-    of its own, which goes when Python ends.
+    The cluster names it in spark.checkpoint.dir. Only a local session without one (tests) gets a
+    folder of its own, which goes when Python ends; on several machines each would write to its own
+    disk, so there a session without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clean_up`` removes."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, computed once.
 
-    A lost executor costs no more than the tasks it ran, as the files outlive it.
+    A lost executor costs no more than the tasks it ran, as the files outlive it. They stay until
+    ``clean_up`` is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", *, spread: Column, max_rows: int = 200_000, salts: int = 16) -> DataFrame:
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder so far, archives included; how many paths.
+
+    To be called when results are written out: until then they may still read those files.
+    """
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", *, spread: Column, at_most: int | None = None, salts: int = 16) -> DataFrame:
     """Null-safe equi-join of ``big`` with ``small``, which has one row for each key.
 
-    ``small`` is counted first: up to ``max_rows`` rows it is broadcast. Beyond that both sides are
-    shuffled, ``big`` salted by ``spread`` and ``small`` repeated ``salts`` times, so that a key with
-    a third of the rows is dealt over many tasks.
+    ``small`` is measured first, in rows and in bytes (as JSON text): up to SMALL_ROWS and
+    SMALL_BYTES it is broadcast. ``at_most`` is a bound of its rows that the caller knows, which
+    spares the measuring where rows are a few numbers wide. Beyond that both sides are shuffled,
+    ``big`` salted by ``spread`` and ``small`` repeated ``salts`` times, so that a key with a third
+    of the rows is dealt over many tasks.
     """
     keys = [f"__k{i}" for i in range(len(on))]
     for k, c in zip(keys, on, strict=True):
         small = small.withColumnRenamed(c, k)
-    if small.count() <= max_rows:
+    if (at_most <= SMALL_ROWS) if at_most is not None else _fits(small):
         same = [big[c].eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)]
         return big.join(F.broadcast(small), same, how).drop(*keys)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
@@ -65,6 +96,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return salted.join(copies, [salted["__salt"] == F.col("__copy"), *same], how).drop("__salt", "__copy", *keys)
 
 
+def _fits(small: DataFrame) -> bool:
+    width = F.length(F.to_json(F.struct(*[F.col(c) for c in small.columns]))).cast("long")
+    found = small.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return found.rows <= SMALL_ROWS and found.bytes <= SMALL_BYTES
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece has ``limit`` bytes of text, or one row; null texts become empty."""
     for batch in batches:
@@ -79,6 +116,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start, base = stop, ends[stop - 1]
 
 
+def key_slices(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows in sequence with equal ``keys`` as (keys, slice): a slice ends with its batch, so that a long sequence comes in several."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for start, stop in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield tuple(c[start].item() for c in columns), batch.slice(start, stop - start)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Records go to Python in batches of 1000 instead of the default 10,000, unless the session says otherwise.
 
