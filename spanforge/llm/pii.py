@@ -2,11 +2,11 @@
 
 The fixed patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. These
 are the seeds. The words around a seed make lexical patterns (a lead ending in : = or #, two words
-before, a word before and a word after), and the same patterns around other identifier-like words
-give a bipartite graph of patterns and instances. Rounds of scoring go over it: a pattern's
-confidence is the share of its distinct instances that are held for identifiers of the kind, an
-instance's score what its confident patterns say together. Instances that end above a threshold and
-have the kind's look are added as spans.
+before, such a lead and any word behind it, a word before and a word after), and the same
+patterns around other identifier-like words give a bipartite graph of patterns and instances. Rounds
+of scoring go over it: a pattern's confidence is the share of its distinct instances that are
+held for identifiers of the kind, an instance's score what its confident patterns say together; found instances count with their score in the next round. Instances that end
+above a threshold and have the kind's look are added as spans.
 
 Positions come without Python: the gaps between matches (split) and the matches (extract) alternate,
 so that a running sum of their lengths gives code point offsets.
@@ -106,7 +106,8 @@ def occurrences(raw: DataFrame) -> DataFrame:
     other, groups = F.col("kind").isin("other", "groups"), F.col("kind") == "groups"
     bare = F.when(groups, F.col("match")).otherwise(F.regexp_replace("match", f"^{_EDGE}+", ""))
     front = F.length("match") - F.length(bare)
-    inner = F.regexp_replace(bare, f"{_EDGE}+$", "")
+    # only a run's first mark is tried, so that a long run inside a word takes no time
+    inner = F.regexp_replace(bare, f"(?<!{_EDGE}){_EDGE}++$", "")
     found = found.withColumn("key", F.when(other, inner).otherwise(F.col("match"))).withColumn("start", F.when(other, F.col("start") + front).otherwise(F.col("start"))).withColumn("end", F.when(other, F.col("start") + F.length("key")).otherwise(F.col("end")))
     found = found.filter(~other | (F.length("key") >= 6))
     order = Window.partitionBy("row_id").orderBy("start", "end", "kind")
@@ -115,7 +116,7 @@ def occurrences(raw: DataFrame) -> DataFrame:
     found = found.withColumn("clear", ~other | ((F.coalesce(base_end, F.lit(-1)) <= F.col("start")) & (F.coalesce(base_start, F.col("end")) >= F.col("end")))).filter("clear")
     before, after = _words(F.col("tail")), _words(F.coalesce("after", F.lit("")))
     l1, l2, r1 = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("")), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit(""))
-    patterns = F.array(F.when(l1.rlike("[:=#]$"), F.concat(F.lit("lead "), l1)), F.when((l1 != "") & (l2 != ""), F.concat(F.lit("two "), l2, F.lit(" "), l1)), F.when((l1 != "") & (r1 != ""), F.concat(F.lit("around "), l1, F.lit(" _ "), r1)))
+    patterns = F.array(F.when(l1.rlike("[:=#]$"), F.concat(F.lit("lead "), l1)), F.when((l1 != "") & (l2 != ""), F.concat(F.lit("two "), l2, F.lit(" "), l1)), F.when(l2.rlike("[:=#]$"), F.concat(F.lit("skip "), l2)), F.when((l1 != "") & (r1 != ""), F.concat(F.lit("around "), l1, F.lit(" _ "), r1)))
     return found.select("row_id", F.when(other, "other").otherwise(F.col("kind")).alias("kind"), "start", "end", F.lower("key").alias("key"), F.array_compact(patterns).alias("patterns"))
 
 
@@ -123,25 +124,30 @@ def discover(found: DataFrame, *, min_precision: float = MIN_PRECISION, min_supp
     """(key, kind) of identifiers that confident patterns name, from occurrences.
 
     The graph has an edge for each distinct pair of pattern and instance, so that copies don't count.
-    A row for each pattern and kind meets the edges of that pattern; a frequent pattern's edges are
-    dealt anew by the adaptive plan.
+    A pattern takes part for a kind with ``min_support`` seeds or more of it, and is confident from
+    ``min_precision`` on. Edges meet a row for each pattern or instance, broadcast where that is
+    small and else salted, so that a frequent pattern's edges are dealt over many tasks.
     """
     edges = materialize(found.select("key", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "key").agg(F.min("kind").alias("kind")), "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.filter("kind <> 'other'").select("key", "kind").distinct().withColumn("score", F.lit(1.0))
-    seeded = edges.filter("kind <> 'other'").groupBy("pattern", "kind").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
-    # only patterns with enough seeds can ever become confident; the rest of the graph is idle
-    alive = materialize(edges.select("pattern", "key", F.col("kind").alias("own")).join(seeded, "pattern").join(sizes, "pattern"), "pii-alive")
-    scores = seeds
+    sums = F.array(*[F.struct(F.lit(k).alias("kind"), F.count_if(F.col("kind") == k).alias("support"), F.count("*").alias("n")) for k in KINDS])
+    able = edges.groupBy("pattern").agg(sums.alias("kinds")).select("pattern", F.inline(F.filter("kinds", lambda x: x["support"] >= min_support)))
+    # only patterns with enough seeds can ever become confident, and only instances with a kind's look count for it; the rest of the graph is idle
+    able = materialize(able.groupBy("pattern").agg(F.collect_list(F.struct("kind", "n")).alias("able")), "pii-able")
+    alive = join_small(edges.withColumnRenamed("kind", "own"), able, ["pattern"], "inner", spread=F.col("key")).select("pattern", "key", "own", F.inline("able"))
+    fits = F.coalesce(*[F.when(F.col("kind") == k, (F.col("own") == k) | ((F.col("own") == "other") & F.col("key").rlike(p))) for k, p in LOOKS.items()])
+    alive = materialize(alive.filter(fits), "pii-alive")
+    seeds = alive.filter("own = kind").select("key", "kind").distinct().withColumn("score", F.lit(1.0))
+    scores = materialize(seeds, "pii-seeds")
     for _ in range(rounds):
-        held = alive.join(scores, ["key", "kind"], "left")
+        held = join_small(alive, scores, ["key", "kind"], "left", spread=F.col("pattern"))
         confident = held.groupBy("pattern", "kind").agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.first("n")).alias("precision")).filter(F.col("precision") >= min_precision)
-        unknown = alive.filter("own = 'other'").join(confident, ["pattern", "kind"])
-        looks = F.coalesce(*[F.when(F.col("kind") == k, F.col("key").rlike(p)) for k, p in LOOKS.items()])
+        confident = materialize(confident, "pii-confident")
+        unknown = join_small(alive.filter("own = 'other'"), confident, ["pattern", "kind"], "inner", spread=F.col("key"))
         doubt = F.sum(F.log(1 - F.least(F.col("precision"), F.lit(0.99))))
-        new = unknown.filter(looks).groupBy("key", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        scores = materialize(seeds.unionByName(new.join(seeds.select("key", "kind"), ["key", "kind"], "left_anti")), "pii-scores")
-    best = scores.join(seeds.select("key").distinct(), "key", "left_anti").filter(F.col("score") >= min_score)
+        new = unknown.groupBy("key", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        # an edge's instance is a seed everywhere or nowhere, so that new ones aren't seeds
+        scores = materialize(seeds.unionByName(new), "pii-scores")
+    best = scores.join(edges.filter("kind <> 'other'").select("key").distinct(), "key", "left_anti").filter(F.col("score") >= min_score)
     return best.groupBy("key").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
 
 
@@ -176,9 +182,9 @@ def _equals(n: int):
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans added by context).
+    """For each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans added by context), n_spans (all).
 
-    Null and empty texts have no spans (counts 0, the digest of an empty string, spans ''). Null
+    Context is what stands within CONTEXT characters on each side. Null and empty texts have no spans (counts 0, the digest of an empty string, spans ''). Null
     and repeated doc_ids stay as they are, repeated rows are each their own; an instance counts once
     for a pattern however often it occurs. Other columns are ignored; an empty table gives no rows.
     """
@@ -187,7 +193,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     joined = rows.join(_by_row(spans), "row_id", "left").withColumn("spans", F.coalesce("spans", empty))
     counts = [F.size(F.filter(F.filter("spans", lambda s: s["base"])["rank"], _equals(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS, 1)]
     extra = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_found")
-    return joined.select("doc_id", *counts, F.sha2(_joined(True), 256).alias("base_sha256"), _joined(False).alias("spans"), extra)
+    return joined.select("doc_id", *counts, F.sha2(_joined(True), 256).alias("base_sha256"), _joined(False).alias("spans"), extra, F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -206,7 +212,7 @@ def masked(docs: DataFrame) -> DataFrame:
     # rows with equal doc_id and text have equal spans: one of them tells
     told = rows.join(lists, "row_id").groupBy("doc_id", "__mark").agg(F.first("__spans").alias("__spans"))
     told = materialize(told, "pii-spans")
-    both = join_small(keyed, told, ["doc_id", "__mark"], "left", spread=F.col("__mark"), max_rows=100_000)
+    both = join_small(keyed, told, ["doc_id", "__mark"], "left", spread=F.col("__mark"))
     pieces = F.transform("__spans", lambda s, i: F.concat(F.substring(F.col("text"), F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0)).cast("int") + 1, (s["start"] - F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))).cast("int")), F.lit("<"), s["kind"], F.lit(">")))
     tail = F.substring(F.col("text"), F.element_at("__spans", -1)["end"].cast("int") + 1, F.length("text"))
     text = F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
