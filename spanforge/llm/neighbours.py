@@ -2,22 +2,27 @@
 
 Largest inner product becomes nearest in Euclidean distance by one more coordinate, sqrt(m^2 -
 |x|^2) for a vector and 0 for a query, with m the largest norm. Vectors are dealt to shards of a
-bounded size by a hash of their id, queries to blocks of a bounded size, and each pair of shard and
-block is one task's work: it builds the shard's tree and takes the whole block down it together,
-first to each query's nearest leaf, then to all parts that the triangle inequality, relaxed by
-``factor``, can't rule out. Factor 1 is exact; a smaller one prunes more.
+bounded size by a hash of their row. A task gets a shard's vectors first, builds its tree once, and
+then all queries stream past it in batches: each batch goes down the tree together, first to each
+query's nearest leaf, then to all parts that the triangle inequality, relaxed by ``factor``, can't
+rule out. Factor 1 is exact; a smaller one prunes more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import key_slices, materialize
+
 K, FACTOR = 20, 0.2
-SHARD_ROWS, BLOCK_QUERIES, LEAF = 16_384, 4_096, 96
+#: Vectors of a shard; queries that pass one tree in one task; vectors of a leaf.
+SHARD_ROWS, PASS_QUERIES, LEAF = 16_384, 1 << 20, 96
 
 
 class VantageTree:
@@ -28,26 +33,27 @@ class VantageTree:
         self.extra = np.sqrt(np.maximum(0, self.reach2 - (x * x).sum(axis=1)))
         self.random = np.random.default_rng(seed)
         self.nodes: list[tuple] = []  # (rows,) for a leaf, else (vantage row, radius, bounds, inner, outer)
-        self.root = self._build(np.arange(len(x)))
-
-    def _build(self, rows: np.ndarray) -> int:
-        at = len(self.nodes)
-        self.nodes.append((rows,))
-        if len(rows) <= LEAF:
-            return at
-        p = int(rows[self.random.integers(len(rows))])
-        gap = self.extra[rows] - self.extra[p]
-        d2 = ((self.x[rows] - self.x[p]) ** 2).sum(axis=1) + gap * gap
-        d = np.sqrt(d2)
-        radius = float(np.median(d))
-        inside = d <= radius
-        if inside.all():  # all as far: nothing to part
-            inside = d < radius
-            if not inside.any():
-                return at
-        bounds = (d[inside].min(), d[inside].max(), d[~inside].min(), d[~inside].max())
-        self.nodes[at] = (p, radius, bounds, self._build(rows[inside]), self._build(rows[~inside]))
-        return at
+        self._build()
+
+    def _build(self) -> None:
+        """Halve rows by rank of their distance to a random one, so that ties, even of all, are cut too; node 0 is the root."""
+        self.nodes.append((np.arange(len(self.x)),))
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            rows = self.nodes[at][0]
+            if len(rows) <= LEAF:
+                continue
+            p = int(rows[self.random.integers(len(rows))])
+            gap = self.extra[rows] - self.extra[p]
+            d = np.sqrt(((self.x[rows] - self.x[p]) ** 2).sum(axis=1) + gap * gap)
+            half = len(rows) // 2
+            by = np.argpartition(d, half - 1)
+            near, far = by[:half], by[half:]
+            inner, outer = len(self.nodes), len(self.nodes) + 1
+            self.nodes += [(rows[near],), (rows[far],)]
+            self.nodes[at] = (p, float(d[near].max()), (d[near].min(), d[near].max(), d[far].min(), d[far].max()), inner, outer)
+            todo += [inner, outer]
 
     def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the ``k`` or so largest inner products found for each of ``q``, -1 where there are fewer; and how many products were computed for each."""
@@ -97,68 +103,89 @@ class VantageTree:
                 may = (far >= lo - reach - slack) & (far <= hi + reach + slack)
                 visit(child, who[may], want)
 
-        down(self.root, np.arange(len(q)))
-        visit(self.root, np.arange(len(q)), max(1, k // 2))
+        down(0, np.arange(len(q)))
+        visit(0, np.arange(len(q)), max(1, k // 2))
         return found, work
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, reach: float, k: int, factor: float) -> pd.DataFrame:
-    """Each query's ``k`` best of one shard: query_id, vec_id, score. Of equal vectors only the k + 1 least ids can count, and all of those do."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
-    _, first, inverse = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(inverse, kind="stable")
-    offsets = np.searchsorted(inverse[by], np.arange(len(first) + 1))
-    distinct = x[first]
-    found, _ = VantageTree(distinct, reach).search(q, min(2 * k + 2, max(1, len(distinct))), factor)
-    row, place = np.nonzero(found >= 0)
-    which = found[row, place]
-    copies = np.minimum(np.diff(offsets), k + 1)[which]
-    at = np.repeat(offsets[:-1][which], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-    score = (q[row] * distinct[which]).sum(axis=1)  # in the same way for equal vectors, wherever they lie
-    out = pd.DataFrame({"query_id": query_ids[np.repeat(row, copies)], "vec_id": ids[by[at]], "score": np.repeat(score, copies)})
-    out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return out[out.groupby("query_id").cumcount() < k]
+class Shard:
+    """Vectors ``x`` with ``rows`` and ``ids`` (``no_id``: none, which comes last), and a tree over the distinct ones. Of equal vectors only the k + 1 least ids can count for a query, and all of those do."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, no_id: np.ndarray, x: np.ndarray, reach: float):
+        order = np.lexsort((rows, ids, no_id))
+        self.rows, self.ids, self.no_id, x = rows[order], ids[order], no_id[order], np.ascontiguousarray(x[order])
+        _, first, inverse = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        self.by = np.argsort(inverse, kind="stable")
+        self.offsets = np.searchsorted(inverse[self.by], np.arange(len(first) + 1))
+        self.distinct = x[first]
+        self.tree = VantageTree(self.distinct, reach)
+
+    def search(self, query_rows: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+        """Each query's ``k`` best here, but itself: query_row, query_id, row, vec_id, score."""
+        found, _ = self.tree.search(q, min(2 * k + 2, len(self.distinct)), factor)
+        row, place = np.nonzero(found >= 0)
+        which = found[row, place]
+        copies = np.minimum(np.diff(self.offsets), k + 1)[which]
+        at = np.repeat(self.offsets[:-1][which], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        score = (q[row] * self.distinct[which]).sum(axis=1)  # in the same way for equal vectors, wherever they lie
+        which, at = np.repeat(row, copies), self.by[at]
+        out = pd.DataFrame({"query_row": query_rows[which], "query_id": query_ids[which], "row": self.rows[at], "vec_id": self.ids[at], "no_id": self.no_id[at], "score": np.repeat(score, copies)})
+        out = out[out.query_row != out.row].sort_values(["query_row", "score", "no_id", "vec_id", "row"], ascending=[True, False, True, True, True])
+        out = out[out.groupby("query_row").cumcount() < k]
+        columns = [pa.array(out[c].to_numpy(), mask=out.no_id.to_numpy() if c == "vec_id" else None) for c in FOUND]
+        return pa.RecordBatch.from_arrays(columns, FOUND)
+
+
+FOUND = ["query_row", "query_id", "row", "vec_id", "score"]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, as doubles, one for each id."""
+    """(row, vec_id, embedding, dim) of the vectors that take part, as doubles; row numbers them in no order."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    return rows.filter("vec_id is not null and embedding is not null").filter(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.filter("embedding is not null").filter(sound).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.size("embedding").alias("dim"))
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each vector whose vec_id is divisible by ``every``, the ``k`` nearest found of all others.
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, pass_queries: int = PASS_QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by ``every``, the ``k`` nearest found of all other rows.
 
-    Nearest first, ties to the smaller vec_id; scores are inner products of the original vectors in
-    double precision. Vectors that are null, empty, zero or hold null or non-finite components, and
-    rows without a vec_id, take no part. Vectors meet those with the same number of components only.
-    Of rows that repeat a vec_id the least vector counts.
-    Other columns are ignored; an empty table gives no rows.
+    Nearest first, ties to the smaller vec_id, null last; scores are inner products of the original
+    vectors in double precision. Vectors that are null, empty, zero or hold null or non-finite
+    components take no part. Rows that repeat a vec_id are candidates of their own, for each other
+    too, and each asks its own query under the same query_id; a row without a vec_id is a candidate
+    but no query. Vectors meet those with the same number of components only. Other columns are
+    ignored; an empty table gives no rows. Vectors are shuffled once for each ``pass_queries``
+    queries, queries once for each shard.
     """
-    rows = usable(vectors).withColumn("dim", F.size("embedding"))
+    rows = materialize(usable(vectors), "vectors")
     # a row for each number of components: the shape of the work, not the data
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
     shape = rows.groupBy("dim").agg(F.count("*").alias("total"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"), F.max(norm).alias("reach")).collect()
-    shards, blocks = max([1, *(-(-r.total // shard_rows) for r in shape)]), max([1, *(-(-r.queries // block_queries) for r in shape)])
+    shards, passes = max([1, *(-(-r.total // shard_rows) for r in shape)]), max([1, *(-(-r.queries // pass_queries) for r in shape)])
     reach = {r.dim: float(r.reach) for r in shape}
-    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(n)).cast("int")
-    points = rows.select("vec_id", "embedding", "dim", dealt(shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    asked = asked.select("vec_id", "embedding", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dealt(blocks, 2).alias("block"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table) -> np.ndarray:
-            return t.column("embedding").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-
-        if left.num_rows and right.num_rows:
-            x = matrix(left)
-            got = search_shard(left.column("vec_id").to_numpy(), x, right.column("vec_id").to_numpy(), matrix(right), reach[x.shape[1]], k, factor)
-        else:
-            got = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pa.Table.from_pandas(got, preserve_index=False)
-
-    found = points.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("row")), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    points = rows.select("dim", dealt(shards, 1).alias("shard"), every_one(passes).alias("pass"), F.lit(0).alias("asks"), "row", "vec_id", "embedding")
+    asked = rows.filter(F.col("vec_id") % every == 0).select("dim", every_one(shards).alias("shard"), dealt(passes, 2).alias("pass"), F.lit(1).alias("asks"), "row", "vec_id", "embedding")
+    cells = len(shape) * shards * passes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard, now = [], None, None
+        for (dim, at, turn, asks), part in key_slices(batches, ["dim", "shard", "pass", "asks"]):
+            if now != (dim, at, turn):
+                held, shard, now = [], None, (dim, at, turn)
+            x = part.column("embedding").flatten().to_numpy().reshape(part.num_rows, dim)
+            numbers, ids = part.column("row").to_numpy(), part.column("vec_id").fill_null(0).to_numpy()
+            if not asks:
+                held.append((numbers, ids, part.column("vec_id").is_null().to_numpy(zero_copy_only=False), x))
+                continue
+            if shard is None:
+                if not held:
+                    continue
+                shard, held = Shard(*[np.concatenate(c) for c in zip(*held, strict=True)], reach[dim]), []
+            yield shard.search(numbers, ids, x, k, factor)
+
+    both = points.unionByName(asked).repartition(max(1, 4 * cells), "dim", "shard", "pass").sortWithinPartitions("dim", "shard", "pass", "asks")
+    found = both.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
