@@ -23,10 +23,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import join_small, materialize, shared_dir, wanted
+from spanforge.llm.common import fresh_path, join_small, materialize, wanted
 
 LEAST_BYTES = 1000
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
 DATE = "2020-01-01T00:00:00Z"
@@ -175,11 +175,16 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of ``files`` (path, length): id, type, URI, refers_to_id, payload, payload_bytes and digests.
 
     payload_bytes and payload_digest are of the full payload: what a response holds, what a revisit
-    declares. A response's declared digest is there to compare. Ranges are dealt evenly over tasks;
-    one record is held at a time. No files give no rows; empty files give none.
+    declares. A response's declared digest is there to compare. Ranges are dealt in turn over tasks: one
+    for each TASK_BYTES of all files, but, where there are as many ranges, four for each core at
+    least. One record is held at a time. No files give no rows; empty files give none.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))
-    ranges = files.filter("length > 0").select("path", "length", F.explode(starts).alias("start")).repartition("path", "start")
+    there = files.filter("length > 0")
+    whole = there.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.ceil(F.col("length") / split_bytes)), F.lit(0)).alias("ranges")).first()
+    tasks = max(1, -(-whole.bytes // TASK_BYTES), min(int(whole.ranges), 4 * files.sparkSession.sparkContext.defaultParallelism))
+    # the number is stated, as ranges are tiny rows that would else be put together for a few tasks
+    ranges = there.select("path", "length", F.explode(starts).alias("start")).repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +204,7 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 def round_trip(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back: a row for each page."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = fresh_path(pages.sparkSession, "warc")
     records = read_warc(write_warc(pages, folder, least_bytes=least_bytes), split_bytes=split_bytes)
     found = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
     return records.select(found("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", found("refers_to_id").alias("refers_to"))
