@@ -4,16 +4,18 @@ Texts become words of a-z and 0-9, pairs of neighbouring words are hashed, and o
 WINDOW words (each STEP words) get a MinHash value for each band over their pairs. A template, or
 each run of CONTAINED words of a longer one, has the same bands; a window that holds such a run
 whole shares at least 4 of 11 pairs with the shortest, so that all BANDS bands miss it with a
-probability of (7 / 11) ** 20, about 1 in 8000 (1 in 80 million or less for 7 words). Templates that some band
-retrieves are verified by containment: the share of the template's distinct runs of five words that
-the document has.
+probability of (7 / 11) ** 20, about 1 in 8000 (1 in 80 million or less for 7 words). The pairs of
+document and template that some band retrieves are then verified by containment: the share of the
+template's distinct runs of five words that the document has.
 
-The bands and the five-word runs of a window are probed by one join with the templates' few
-thousand hashes, a table of fixed size that is broadcast. No text is shuffled; only hits are.
+Bands, and then five-word runs, are probed in the templates' few thousand hashes, a table of fixed
+size that is broadcast. No text is shuffled; only hits are.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ TEMPLATES = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("gpl-3.0", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
 
@@ -63,30 +76,33 @@ def _mask(k: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _hashes(windows: DataFrame, width: int, runs: int) -> DataFrame:
-    """To windows add hash and band: BANDS MinHash values, and the hashes of the five-word runs that start at the first ``runs`` words.
+def _bands(windows: DataFrame, width: int) -> DataFrame:
+    """To windows the hash of each band: BANDS rows with a MinHash value over the window's pairs.
 
     A band's MinHash is the pair that comes first when hashes are compared after a change of bits by
     the band's own mask. Bands are rows before they are computed: one short expression stays
     compiled, where one for each band would not.
     """
-    masks = F.array(*[F.lit(_mask(k)) for k in range(BANDS)], *[F.lit(0).cast("long")] * runs)
-    rows = windows.select("*", F.posexplode(masks).alias("k", "mask"))
+    rows = windows.select("*", F.posexplode(F.array(*[F.lit(_mask(k)) for k in range(BANDS)])).alias("k", "mask"))
     band = F.xxhash64("k", F.least(*[F.get("p", F.lit(i)).bitwiseXOR(F.col("mask")) for i in range(width - 1)]))
-    parts = [F.get("p", F.col("k") - BANDS + j) for j in range(N - 1)]
-    run = F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(-1), *parts))
-    is_band = F.col("k") < BANDS
-    return rows.withColumn("band", is_band).withColumn("hash", F.when(is_band, band).otherwise(run)).drop("p", "k", "mask").filter("hash is not null")
+    return rows.withColumn("hash", band).drop("p", "k", "mask")
+
+
+def _runs(windows: DataFrame, starts: int) -> DataFrame:
+    """To windows the hashes of the five-word runs that start at their first ``starts`` words."""
+    rows = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("k"))
+    parts = [F.get("p", F.col("k") + j) for j in range(N - 1)]
+    return rows.filter(parts[-1].isNotNull()).withColumn("hash", F.xxhash64(F.lit(-1), *parts)).drop("p", "k")
 
 
-def template_hashes(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(hash, template, license, runs, band): bands of each template's runs of CONTAINED words, and its five-word runs; runs: how many distinct ones."""
+def template_windows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """(template, license, at, p): each template's runs of CONTAINED words; runs at its end, or of a shorter one, are as long as the words last."""
+    for name, text in templates:
+        if len(re.findall("[a-z0-9]+", text.lower())) < N:
+            raise ValueError(f"a template of {name} has fewer than {N} words: {text!r}")
     rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)]
     texts = spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
-    hashes = _hashes(_windows(texts, CONTAINED, 1, "template", "license").filter(F.size("p") >= N - 1), CONTAINED, 1).drop("at").distinct()
-    # windows at a template's end have the last whole run of CONTAINED words, or the template is shorter
-    sizes = hashes.filter("not band").groupBy("template").agg(F.count("*").alias("runs"))
-    return hashes.join(sizes, "template")
+    return _windows(texts, CONTAINED, 1, "template", "license").filter(F.size("p") >= N - 1)
 
 
 def license_scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,17 +110,23 @@ def license_scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = N
 
     matched of the template's runs (distinct runs of five words) are in the document, ``threshold``
     or more of them; first_word is the place of the first window with one. Rows that share a doc_id
-    (or have none) are read as one document. Null, empty and short texts contain nothing; nor can a
-    template of fewer than five words be given. Other columns are ignored; an empty table gives no rows.
+    (or have none) are read as one document. Null, empty and short texts contain nothing; a template
+    of fewer than five words is an error, no templates find nothing. Other columns are ignored; an
+    empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    known = F.broadcast(template_hashes(docs.sparkSession, templates))
+    known = template_windows(docs.sparkSession, templates or [("", "a b c d e")]).filter(F.lit(bool(templates)))
+    bands = _bands(known, CONTAINED).select("template", "hash").distinct()
+    runs = _runs(known, 1).select("template", "license", "hash").distinct()
+    sizes = runs.groupBy("template").agg(F.count("*").alias("runs"))
     windows = _windows(wanted(docs, {"doc_id": "long", "text": "string"}), WINDOW, STEP, "doc_id")
-    hits = _hashes(windows, WINDOW, STEP).select("doc_id", "at", "hash").join(known, "hash")
-    found = hits.groupBy("doc_id", "license", "template", "runs").agg(
-        F.max("band").alias("retrieved"), F.size(F.collect_set(F.when(~F.col("band"), F.col("hash")))).cast("long").alias("matched"), F.min(F.when(~F.col("band"), F.col("at"))).cast("long").alias("first_word")
-    )
-    return found.filter(F.col("retrieved") & (F.col("matched") >= F.col("runs") * threshold)).select("doc_id", "license", "template", "matched", "runs", "first_word")
+    retrieved = _bands(windows, WINDOW).join(F.broadcast(bands), "hash").select("doc_id", "template").distinct()
+    hits = _runs(windows, STEP).join(F.broadcast(runs.join(sizes, "template")), "hash")
+    # a row for each pair and run: its first place
+    hits = hits.groupBy("doc_id", "template", "license", "runs", "hash").agg(F.min("at").alias("at"))
+    pairs = hits.alias("h").join(retrieved.alias("r"), F.expr("h.doc_id <=> r.doc_id and h.template = r.template"), "left_semi")
+    found = pairs.groupBy("doc_id", "license", "template", "runs").agg(F.count("*").alias("matched"), F.min("at").cast("long").alias("first_word"))
+    return found.filter(F.col("matched") >= F.col("runs") * threshold).select("doc_id", "license", "template", "matched", "runs", "first_word")
 
 
 def oracle() -> str:
