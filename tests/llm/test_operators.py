@@ -59,6 +59,11 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.license) for r in licenses.license_scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {(1, "apache-2.0"), (2, "mit"), (6, "mit"), (7, "cc-by-nc-4.0")}
     assert licenses.license_scan(empty(spark)).count() == 0
+    more = spark.createDataFrame([(None, licenses.TEMPLATES[2][1], 1, "x", "y"), (None, None, 2, "x", "y")], "doc_id long, text string, template int, hash string, license string")  # columns that clash
+    assert [tuple(r)[:5] for r in licenses.license_scan(more).collect()] == [(None, "mit", 2, 1, 1)]
+    with pytest.raises(ValueError):
+        licenses.license_scan(more, templates=[("x", "four words are few")])
+    assert licenses.license_scan(more, templates=[]).count() == 0
 
 
 def test_license_recall_over_offsets(spark):
@@ -90,28 +95,65 @@ def test_mix(spark):
         own = got[got.source.isna()] if s is None else got[got.source == s]
         assert own.source_size.unique().tolist() == [size[s]] and own.target.iloc[0] == pytest.approx(target[s])
         assert own.taken.sum() == pytest.approx(target[s], rel=0.02, abs=3)
+        assert s != "tiny" or own.taken.sum() == 12
     again = mixing.mix(df.repartition(7), shard_words=5000).toPandas()
     key = lambda f: sorted(map(str, f[["doc_id", "size", "taken"]].itertuples(index=False)))
     assert key(got) == key(again)
     whole = mixing.mixed_documents(df, shard_words=5000)
     assert sum(len(WORD.findall(r.text)) for r in whole.collect()) == got.taken.sum()
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def _greedy(weights: list[int], seats: int) -> list[int]:
+    have = [0] * len(weights)
+    for _ in range(seats):
+        have[max(range(len(weights)), key=lambda i: (weights[i] / (2 * have[i] + 1), -i))] += 1
+    return have
+
+
+def test_mix_by_blocks(spark):
+    """Quotas of sources and shards by the plain loop with blocks of 256 words, and just the words of the runs."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"{i}.{j}" for j in range(rnd.randrange(0, 900))) + " ", "abc"[min(2, i % 7)], len(str(i)), "x") for i in range(300)]
+    rows += [(7000, "q " * 700, "a", 1, "x")] * 5 + [(None, None, "b", 1, "x"), (None, "only words\n here", None, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, size string")  # columns that clash
+    sized = df.select("doc_id", "source", mixing.word_count().alias("size"), mixing.F.xxhash64("text").alias("mark"))
+    sources, shards = mixing.shard_quotas(sized, 17, 256, 20_000)
+    own = sorted(sources.collect(), key=lambda r: (r.source is None, r.source or ""))
+    total = sum(r.source_size for r in own)
+    least = _greedy([r.target for r in own], total // 256)
+    assert [r.quota for r in own] == least
+    for r in own:
+        parts = sorted((x for x in shards.collect() if x.source == r.source), key=lambda x: x.shard)
+        assert len(parts) <= r.n_shards and [x.quota for x in parts] == _greedy([x.shard_size for x in parts], r.quota)
+        assert sum(x.passes * x.shard_size + x.length for x in parts) == pytest.approx(r.target, rel=0.01, abs=1)
+    got = mixing.mix(df, shard_words=20_000).toPandas()
+    mixed = mixing.mixed_documents(df, shard_words=20_000)
+    assert mixed.schema == df.schema
+    words, back = collections.Counter(), collections.Counter()
+    for r in mixed.collect():
+        found = WORD.findall(r.text)
+        assert r.text.strip(" \n") and found and (r.text in {t for _, t, *_ in rows} or (r.n_chars == len(r.text) and r.text == r.text.strip()))
+        back[r.source] += len(found)
+        words.update(w for w in found if "." in w)
+    for source, n in back.items():
+        assert n == pytest.approx(next(r.target for r in own if r.source == source), rel=0.01, abs=1)
+    assert sum(back.values()) == got.taken.sum()
+    # each document's words in the run are in sequence, cut at most at the ends of runs
+    cut = sum(len({words[f"{i}.{j}"] for j in range(len(WORD.findall(t or "")))}) > 1 for i, t, *_ in rows if i is not None and i < 300)
+    assert 0 < cut <= 2 * sum(1 for _ in shards.collect())
 
 
 def test_sainte_lague(spark):
     rnd = random.Random(5)
     weights = [rnd.choice([0, 1, 5, 5, 40, 333]) for _ in range(30)]
-    df = spark.createDataFrame([(i, w, s) for s in (1, 17, 100) for i, w in enumerate(weights)], "k int, w long, seats long")
+    df = spark.createDataFrame([(i, w, s) for s in (1, 17, 100, 1001) for i, w in enumerate(weights)], "k int, w long, seats long")
     got = collections.defaultdict(dict)
     for r in mixing.sainte_lague(df, ["seats"], "w", "seats", "k", "n").collect():
         got[r.seats][r.k] = r.n
-    for seats in (1, 17, 100):
-        have = [0] * len(weights)
-        for _ in range(seats):
-            best = max(range(len(weights)), key=lambda i: (weights[i] / (2 * have[i] + 1), -i))
-            have[best] += 1
-        assert sum(got[seats].values()) == seats
-        assert sorted(weights[i] / (2 * n - 1) for i, n in got[seats].items() if n)[:1] == pytest.approx(sorted(weights[i] / (2 * n - 1) for i, n in enumerate(have) if n)[:1])
+    for seats in (1, 17, 100, 1001):
+        have = _greedy(weights, seats)
+        assert [got[seats][i] for i in range(len(weights))] == have
 
 
 @pytest.fixture(scope="module")
@@ -190,28 +232,55 @@ def test_quality_rows(spark, docs):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def _brute_neighbours(rows, k=20):
+    """By (query's place in rows): its k nearest as (vec_id, score), among all other rows of as many components."""
+    sound = {n: np.array(v, float) for n, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
+    out = {}
+    for n, q in sound.items():
+        if (i := rows[n][0]) is not None and i % 20 == 0:
+            far = [((-float((q * v).sum()), rows[m][0] is None, rows[m][0] or 0), rows[m][0]) for m, v in sound.items() if m != n and len(v) == len(q)]
+            out[n] = [(i, -key[0]) for key, i in sorted(far)[:k]]
+    return out
+
+
 def test_nearest(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(600, 12))
     x[100:160] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 12), (740, [float("nan")] + [1.0] * 11), (760, [None] + [1.0] * 11), (0, x[0].tolist()), (None, x[1].tolist()), (780, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, factor=1.0, shard_rows=150, block_queries=11).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 20))
-    for q, found in got.items():
-        s = (x * x[q]).sum(axis=1)
-        want = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:20]
-        assert [i for _, i, _ in sorted(found)] == want and [r for r, _, _ in sorted(found)] == list(range(1, 21))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 12), (740, [float("nan")] + [1.0] * 11), (760, [None] + [1.0] * 11), (780, [1.0, 2.0])]
+    rows += [(0, x[0].tolist()), (40, x[3].tolist()), (7, (2 * x[9]).tolist()), (None, (3 * x[9]).tolist()), (None, (3 * x[9]).tolist())]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, row int, rank int")  # columns that clash
+    got = collections.Counter()
+    for r in neighbours.nearest(df, factor=1.0, shard_rows=150, pass_queries=11).collect():
+        got[r.query_id, r.rank, r.vec_id, round(r.score, 9)] += 1
+    want = collections.Counter()
+    for n, found in _brute_neighbours(rows).items():
+        want.update((rows[n][0], rank, i, round(s, 9)) for rank, (i, s) in enumerate(found, 1))
+    assert got == want and sum(want.values()) == 32 * 20
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
-def test_nearest_recall(spark):
+def test_nearest_keeps_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.1])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbours.nearest(df).orderBy("rank").collect()] == [(0, 1, 1, 0.9), (0, 2, 1, 0.5)]
+
+
+def test_vantage_tree_of_equal_distances():
+    x = np.eye(3000)
+    tree = neighbours.VantageTree(x, 1.0)
+    q = x[:7] * 2.0
+    found, _ = tree.search(q, 3, 1.0)
+    assert [max(f, key=lambda i: q[n] @ x[i]) for n, f in enumerate(found)] == list(range(7))
+    leaves = [n[0] for n in tree.nodes if len(n) == 1]
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and max(map(len, leaves)) <= neighbours.LEAF
+
+
+@pytest.mark.parametrize("shard_rows", [neighbours.SHARD_ROWS, 1000])
+def test_nearest_recall(spark, shard_rows):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = df.toPandas()
     x, ids = np.stack(pdf.embedding.to_list()).astype(float), pdf.vec_id.to_numpy()
-    got = neighbours.nearest(df).toPandas().groupby("query_id").vec_id.apply(set)
+    got = neighbours.nearest(df, shard_rows=shard_rows).toPandas().groupby("query_id").vec_id.apply(set)
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
         s = x @ x[q]
@@ -464,10 +533,47 @@ def test_nearest_by_number_of_components(spark):
     rnd = np.random.default_rng(6)
     rows = [(i, rnd.normal(size=(64, 8)[i % 3 == 0]).tolist()) for i in range(150)] + [(160, rnd.normal(size=65).tolist())]
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1.0, shard_rows=40, block_queries=3).collect():
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1.0, shard_rows=40, pass_queries=3).collect():
         got[r.query_id].append((r.rank, r.vec_id))
     vectors = {i: np.array(v) for i, v in rows}
     assert set(got) == set(range(0, 150, 20))
     for q, found in got.items():
         want = sorted((i for i, v in vectors.items() if i != q and len(v) == len(vectors[q])), key=lambda i: (-(vectors[i] @ vectors[q]), i))[:20]
         assert [i for _, i in sorted(found)] == want
+
+
+def test_pii_finds_planted_identifiers_without_seeds(spark):
+    """Numbers that no fixed pattern finds, in contexts of found ones; other numbers of the same look in contexts of their own stay."""
+    rnd = random.Random(12)
+    words = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(n))
+    number = lambda: f"{rnd.randrange(200, 999)}-{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+    rows, planted = [], 0
+    for i in range(200):
+        lead = ["phone:", "call me at", "tel: home"][i % 3]
+        seed = i % 4 > 0
+        rows.append((i, f"{words(5)} {lead} {'+1 ' if seed else ''}{number()} {words(6)}"))
+        planted += not seed
+    rows += [(1000 + i, f"{words(4)} {rnd.choice(['part', 'order', 'size:', 'lot: no'])} {number()} {words(4)}") for i in range(200)]
+    got = {r.doc_id: r.n_found for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    caught, wrong = sum(got[i] for i in range(200) if i % 4 == 0), sum(n for i, n in got.items() if i >= 1000)
+    assert caught == planted and wrong == 0
+
+
+def test_pii_long_runs_of_marks(spark):
+    import time
+
+    rows = [(1, "a1bc" + "." * 40_000 + "d5ef"), (2, "x@" + "." * 40_000)]
+    began = time.time()
+    assert [r.n_spans for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()] == [0, 0]
+    assert time.time() - began < 60
+
+
+def test_shared_folder_is_cleared(spark, tmp_path):
+    from spanforge.llm import common
+
+    kept = common.materialize(spark.range(3).toDF("a"), "some")
+    path = common._written[-1].removeprefix("file://")
+    assert kept.count() == 3 and common.clean_up(spark) >= 1
+    import os
+
+    assert not os.path.exists(path) and common.clean_up(spark) == 0
