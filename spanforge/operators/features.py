@@ -36,9 +36,9 @@ def relation_features(rows: DataFrame) -> DataFrame:
 
 def label_list(rows: DataFrame, first: str | None = None) -> DataFrame:
     """(id, label) of the labels of rows (label), ``first`` at 0, the others in order."""
-    known = rows.select("label").distinct()
-    order = [(F.col("label") != first).cast("int"), "label"] if first else ["label"]
-    return known.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("id"), "label")
+    # a task's labels are few: one array of them is put in order
+    ranked = F.array_sort(F.collect_set(F.struct((F.col("label") != (first or "")).cast("int").alias("later"), "label")))
+    return rows.filter("label is not null").agg(ranked.alias("all")).select(F.posexplode("all").alias("id", "x")).select("id", "x.label")
 
 
 def passage_features(rows: DataFrame, double: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,27 +34,45 @@ def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str |
     ``subword`` names a column of flags, true for tokens that go on with a word: they are joined
     without a space, and no link starts or ends inside a word.
 
-    Names that start at a word are found by one join of n-grams; what overlaps is then settled by
-    a fold over the page's longest hits in order. Pages without a hit are never folded.
+    Runs of words meet names by 96 bits of hashes, so that no run becomes a string before it is
+    known to be a name. What overlaps is then settled page by page: hits go by in order, and only
+    where the last link ended is remembered.
     """
-    spans = F.flatten(
-        F.array(*[F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), _gram(n, subword))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,name:string>>)")) for n in range(1, longest + 1)])
-    )
+    hits = name_hits(docs, names, longest, subword)
+    best = hits.groupBy("page", "start").agg(F.max_by("name", "end").alias("name"), F.max("end").alias("end"))
+    kind = dict(docs.dtypes)["page"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, at = object(), 0
+        for batch in batches:
+            keep = []
+            for p, start, end in zip(*[batch.column(c).to_pylist() for c in ("page", "start", "end")], strict=True):
+                if p != page:
+                    page, at = p, 0
+                keep.append(start >= at)
+                if start >= at:
+                    at = end
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = best.select("page", "start", "end", "name").repartition("page").sortWithinPartitions("page", "start")
+    return ordered.mapInArrow(run, f"page {kind}, start int, end int, name string")
+
+
+def name_hits(docs: DataFrame, names: DataFrame, longest: int, subword: str | None = None) -> DataFrame:
+    """(page, start, end, name) of all runs of up to ``longest`` words of docs (page, words) that are names."""
+    places = range(longest + 1)
+    flag = lambda i: F.get(F.col(subword), i) if subword else F.lit(False)
+    at = lambda i: F.struct(i.cast("int").alias("start"), *[F.get("words", i + k).alias(f"w{k}") for k in places], *[flag(i + k).alias(f"g{k}") for k in places])
+    rows = docs.filter(F.size("words") > 0).select("page", F.inline(F.transform(F.sequence(F.lit(0), F.size("words") - 1), at)))
     if subword:
-        spans = F.filter(spans, lambda s: ~F.get(F.col(subword), s["start"]) & ~F.coalesce(F.get(F.col(subword), s["end"]), F.lit(False)))
-    grams = docs.select("page", F.inline(spans))
-    hits = grams.join(names.select("name").distinct(), "name", "left_semi").groupBy("page", "start").agg(F.max_by(F.struct("start", "end", "name"), "end").alias("hit"))
-    pages = hits.groupBy("page").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    first = F.expr("named_struct('at', 0, 'kept', cast(array() as array<struct<start:int,end:int,name:string>>))")
-    step = lambda s, h: F.when(h["start"] >= s["at"], F.struct(h["end"].alias("at"), F.array_append(s["kept"], h).alias("kept"))).otherwise(s)
-    return pages.select("page", F.inline(F.aggregate("hits", first, step)["kept"]))
-
-
-def _gram(n: int, subword: str | None = None):
-    def name(i):
-        if not subword:
-            return F.array_join(F.slice("words", i + 1, n), " ")
-        parts = F.zip_with(F.slice("words", i + 1, n), F.slice(subword, i + 1, n), lambda w, goes_on: F.concat(F.when(goes_on, "").otherwise(" "), w))
-        return F.ltrim(F.array_join(parts, ""))
-
-    return lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"), name(i).alias("name"))
+        rows = rows.filter(~F.col("g0"))
+
+    def run(n: int) -> Column:
+        gaps = [F.when(F.col(f"g{k}"), "").otherwise(" ") if subword else F.lit(" ") for k in range(n)]
+        name = F.concat("w0", *[x for k in range(1, n) for x in (gaps[k], F.col(f"w{k}"))])
+        there = F.col(f"w{n - 1}").isNotNull() & (~F.coalesce(F.col(f"g{n}"), F.lit(False)) if subword else F.lit(True))
+        return F.when(there, F.struct(F.lit(n).alias("n"), F.xxhash64(name).alias("__h"), F.hash(name).alias("__g")))
+
+    hashed = names.select("name").distinct().select("name", F.xxhash64("name").alias("__h"), F.hash("name").alias("__g"))
+    runs = rows.select("page", "start", F.inline(F.array(*[run(n) for n in range(1, longest + 1)]))).filter("n is not null")
+    return runs.join(hashed, ["__h", "__g"]).select("page", "start", (F.col("start") + F.col("n")).alias("end"), "name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.linking import name_hits
+
 
 def name_entity_counts(links: DataFrame) -> DataFrame:
     """(name, title, link_count) from links (page, name, title)."""
@@ -24,8 +26,7 @@ def ngrams(words, n: int):
 
 def occurrences(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
     """(page, name) for each page of docs (page, words) and name of up to ``longest`` words that stands in it at word boundaries."""
-    found = docs.select("page", F.explode(F.array_distinct(ngrams(F.col("words"), longest))).alias("name"))
-    return found.join(names.select("name").distinct(), "name", "left_semi").select("page", "name")
+    return name_hits(docs, names, longest).select("page", "name").distinct()
 
 
 def mention_db(links: DataFrame, pages: DataFrame, *, top: int = 30, min_links: int = 1, min_probability: float = 0.0) -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import padded, share_of
+from spanforge.operators.ordering import in_order
 
 
 def pack_sentences(sentences: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """(page, sent, bin) for sentences (page, sent, n) of ``least`` to ``most`` words: in order, a bin is full when the next sentence would exceed ``most``."""
-    kept = sentences.filter(F.col("n").between(least, most))
-    rows = kept.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("sent", "n"))).alias("all"))
-    first = F.expr("named_struct('bin', 0, 'used', 0L, 'out', cast(array() as array<int>))")
-
-    def step(s: Column, x: Column) -> Column:
-        over = s["used"] + x["n"] > most
-        at = F.when(over, s["bin"] + 1).otherwise(s["bin"]).cast("int")
-        return F.struct(at.alias("bin"), F.when(over, x["n"]).otherwise(s["used"] + x["n"]).cast("long").alias("used"), F.array_append(s["out"], at).alias("out"))
-
-    bins = F.aggregate("all", first, step)["out"]
-    return rows.select("page", F.inline(F.arrays_zip("all.sent", bins.alias("bin"))))
+    """(page, sent, bin) for sentences (page, sent, n) of ``least`` to ``most`` words: in order, a bin is full when the next sentence would exceed ``most``.
+
+    Where a bin ends hangs on where the one before did, so that a page's sentences go by in order;
+    none but the last is remembered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, at, used = object(), 0, 0
+        for batch in batches:
+            bins = []
+            for p, n in zip(batch.column("page").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if p != page:
+                    page, at, used = p, 0, n
+                elif used + n > most:
+                    at, used = at + 1, n
+                else:
+                    used += n
+                bins.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("sent"), pa.array(bins, pa.int32())], ["page", "sent", "bin"])
+
+    kept = sentences.filter(F.col("n").between(least, most)).select("page", "sent", "n")
+    kinds = dict(kept.dtypes)
+    return kept.repartition("page").sortWithinPartitions("page", "sent").mapInArrow(run, f"page {kinds['page']}, sent {kinds['sent']}, bin int")
 
 
 def examples(packed: DataFrame, most_entities: int | None = None, keep_empty: bool = True) -> DataFrame:
@@ -54,10 +69,12 @@ def mixing_rates(sizes: DataFrame, smoothing: float = 0.7) -> DataFrame:
 
 def mixed_order(rows: DataFrame, rates: DataFrame, key: str = "doc_id") -> DataFrame:
     """``rows`` (dataset, key) with order, by which they come as if datasets were drawn by rate until all are used up."""
-    joined = rows.join(rates.select("dataset", "rate"), "dataset")
-    n = F.row_number().over(Window.partitionBy("dataset").orderBy(F.md5(F.concat_ws("-", "dataset", key))))
+    joined = rows.join(rates.select("dataset", "rate"), "dataset").withColumn("__hash", F.md5(F.concat_ws("-", "dataset", key)))
+    placed = in_order(joined, "dataset", "__hash", key, place="__at")
+    first = placed.groupBy("dataset").agg(F.min("__at").alias("__first"))
+    n = F.col("__at") - F.col("__first") + 1
     # the n-th row of a dataset comes about when n / rate draws have been made
-    return joined.withColumn("order", (n - draw("dataset", key)) / F.col("rate")).drop("rate")
+    return placed.join(first, "dataset").withColumn("order", (n - draw("dataset", key)) / F.col("rate")).select(*[f"`{c}`" for c in rows.columns], "order")
 
 
 def train_steps(sizes: DataFrame, batch: int, epochs: int) -> DataFrame:
@@ -66,7 +83,7 @@ def train_steps(sizes: DataFrame, batch: int, epochs: int) -> DataFrame:
 
 def shard(rows: DataFrame, key: str, workers: int, worker: int, skip: int = 0) -> DataFrame:
     """Every ``workers``-th of the rows behind the first ``skip``, in order of ``key``."""
-    ranked = rows.withColumn("__n", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = in_order(rows, key, place="__n")
     return ranked.filter((F.col("__n") >= skip) & (F.pmod(F.col("__n") - skip, F.lit(workers)) == worker)).drop("__n")
 
 
@@ -77,7 +94,7 @@ def shuffled(rows: DataFrame, key: str, seed: int, limit: int) -> DataFrame:
 
 def batches(rows: DataFrame, key: str, size: int, length: str) -> DataFrame:
     """``rows`` with batch (``size`` rows each, in order of ``key``) and width, the longest ``length`` in it."""
-    ranked = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    ranked = in_order(rows, key, place="batch").withColumn("batch", F.floor(F.col("batch") / size))
     return ranked.withColumn("width", F.max(length).over(Window.partitionBy("batch")))
 
 
@@ -95,7 +112,7 @@ def warmup_rate(step: Column | str, warmup: int, total: int) -> Column:
 
 def padded_batches(rows: DataFrame, key: str, size: int, columns: dict[str, int]) -> DataFrame:
     """``rows`` with batch (``size`` rows each, in order of ``key``); each array of ``columns`` padded with its value to the longest of its batch."""
-    out = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    out = in_order(rows, key, place="batch").withColumn("batch", F.floor(F.col("batch") / size))
     for name, pad in columns.items():
         out = out.withColumn(name, padded(name, F.max(F.size(name)).over(Window.partitionBy("batch")), pad))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import answer_tokens
+from spanforge.operators.ordering import in_order
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
@@ -76,11 +77,10 @@ def best_threshold(scores: DataFrame, value: str) -> DataFrame:
     Sorted by na_prob, the running sum starts at the number without answer, gains an answer's
     score, and loses 1 where a question without one would be answered with something.
     """
-    order = Window.orderBy("na_prob", "qid")
     gain = F.when(F.col("has_ans"), F.col(value)).otherwise(F.when(F.col("answer_given"), -1.0).otherwise(0.0))
     base = scores.agg(F.sum((~F.col("has_ans")).cast("double")).alias("base"), F.count("*").alias("n"))
-    steps = scores.select("na_prob", "qid", F.sum(gain).over(order).alias("run"), F.row_number().over(order).alias("rn"))
-    top = steps.agg(F.max_by(F.struct("run", "na_prob"), F.struct("run", -F.col("rn"))).alias("top"))
+    steps = in_order(scores.select("na_prob", "qid", gain.alias("gain")), "na_prob", "qid", place="rn", sums={"run": F.col("gain")})
+    top = steps.agg(F.max_by(F.struct("run", "na_prob"), F.struct(F.round("run", 9), -F.col("rn"))).alias("top"))
     joined = base.crossJoin(top)  # one row each
     better = F.col("top.run") > 0
     return joined.select((100 * (F.col("base") + F.when(better, F.col("top.run")).otherwise(0.0)) / F.col("n")).alias("best_score"), F.when(better, F.col("top.na_prob")).otherwise(0.0).alias("best_threshold"))
@@ -88,12 +88,12 @@ def best_threshold(scores: DataFrame, value: str) -> DataFrame:
 
 def average_precision(scores: DataFrame, value: str) -> DataFrame:
     """(ap): precision and recall along rising na_prob, taken where the next na_prob differs."""
-    order = Window.orderBy("na_prob", "qid")
-    rows = scores.withColumn("hit", F.when(F.col("has_ans"), F.col(value)).otherwise(0.0))
-    run = rows.select("na_prob", "qid", F.sum("hit").over(order).alias("true"), F.row_number().over(order).alias("rn"), F.lead("na_prob").over(order).alias("next"), F.sum(F.col("has_ans").cast("int")).over(Window.partitionBy(F.lit(0))).alias("n"))
-    cut = run.filter("next is null or next <> na_prob").select("na_prob", "qid", (F.col("true") / F.col("rn")).alias("precision"), (F.col("true") / F.col("n")).alias("recall"))
-    area = cut.withColumn("area", F.col("precision") * (F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))))
-    return area.agg((100 * F.sum("area")).alias("ap"))
+    hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)
+    steps = scores.groupBy("na_prob").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    run = in_order(steps, "na_prob", sums={"true": F.col("hits"), "seen": F.col("n")})
+    wanted = scores.agg(F.sum(F.col("has_ans").cast("int")).alias("wanted"))
+    # a step's recall is its hits' share: precision goes by all up to it
+    return run.agg(F.sum(F.col("true") / F.col("seen") * F.col("hits")).alias("area")).crossJoin(wanted).select((100 * F.col("area") / F.col("wanted")).alias("ap"))
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -156,9 +156,11 @@ def span_f1(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
 
 def running_mean(rows: DataFrame, order: str, value: str, by: str | None = None) -> DataFrame:
     """(by, order, mean): the mean of all values up to each row."""
-    whole = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    over = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(*([by] if by else []), order, F.avg(value).over(over).alias("mean"))
+    if by is None:
+        steps = in_order(rows.select(order, value), order, sums={"__sum": F.col(value), "__n": F.col(value).isNotNull().cast("long")})
+        return steps.select(order, (F.col("__sum") / F.when(F.col("__n") > 0, F.col("__n"))).alias("mean"))
+    over = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(by, order, F.avg(value).over(over).alias("mean"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:

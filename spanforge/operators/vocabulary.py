@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ordering import in_order
+
 SPECIAL = ("[PAD]", "[UNK]", "[MASK]")
 
 
@@ -36,7 +38,7 @@ def entity_vocab(links: DataFrame, size: int, *, valid: DataFrame | None = None,
     given = fixed.join(counts, "title", "left").filter("part = 0 or count > 0").select("part", F.col("pos").cast("long").alias("pos"), "title", F.when(F.col("part") == 0, 0).otherwise(F.col("count")).alias("count"))
     rest = counts.join(fixed.filter("part = 1").select("title"), "title", "left_anti").orderBy(F.desc("count"), "title").limit(max(0, size - len(SPECIAL)))
     rows = given.unionByName(rest.select(F.lit(2).alias("part"), (-F.col("count")).alias("pos"), "title", "count"))
-    ranked = rows.withColumn("id", F.row_number().over(Window.orderBy("part", "pos", "title")) - 1).filter(F.col("id") < size)
+    ranked = rows.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part", "pos", "title")) - 1).filter(F.col("id") < size)
     return ranked.filter((F.col("part") < 2) | (F.col("count") >= min_count)).select("id", "title", "count")
 
 
@@ -51,8 +53,9 @@ def multilingual_vocab(counts: DataFrame, items: DataFrame, *, size: int | None
     merged = keyed.groupBy("key").agg(F.sum("count").alias("count"), F.collect_set(F.struct("title", "lang")).alias("entities")).filter(F.size("entities") >= min_languages)
     order = [(F.col("count") == 0).desc(), F.desc("count"), F.col("key")]
     if size is not None:
-        merged = merged.orderBy(*order).limit(size)
-    ranked = merged.withColumn("id", F.row_number().over(Window.orderBy(*order)) - 1)
+        ranked = merged.orderBy(*order).limit(size).withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    else:
+        ranked = in_order(merged, *order, place="id").withColumn("id", F.col("id").cast("int"))
     return ranked.select("id", F.explode("entities").alias("e"), "count").select("id", "e.title", "e.lang", "count")
 
 

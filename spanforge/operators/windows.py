@@ -61,11 +61,7 @@ def offsets(pieces: DataFrame, by: str, order: str, size: str) -> DataFrame:
 
 def char_words(docs: DataFrame) -> DataFrame:
     """(doc_id, chars): for each character of a text the number of its word, white space belonging to the word before; -1 before the first."""
-    blank = r"[ \t\r\n\x{202F}]"
-    step = lambda s, c: F.struct(
-        F.when(~c.rlike(blank) & s["gap"], s["word"] + 1).otherwise(s["word"]).alias("word"),
-        c.rlike(blank).alias("gap"),
-        F.array_append(s["out"], F.when(~c.rlike(blank) & s["gap"], s["word"] + 1).otherwise(s["word"])).alias("out"),
-    )
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    return docs.select("doc_id", F.aggregate(chars, F.expr("named_struct('word', -1, 'gap', true, 'out', cast(array() as array<int>))"), step)["out"].alias("chars"))
+    blank = r" \t\r\n\x{202F}"
+    lead = F.length(F.regexp_extract("text", f"^[{blank}]*", 0))
+    words = F.regexp_extract_all("text", F.lit(f"[^{blank}]+[{blank}]*"), F.lit(0))
+    return docs.select("doc_id", F.concat(F.array_repeat(F.lit(-1), lead), F.flatten(F.transform(words, lambda w, i: F.array_repeat(i, F.length(w))))).alias("chars"))

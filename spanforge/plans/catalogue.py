@@ -6,10 +6,6 @@ suppliers (titles) of order lines (pages); answers and sentences are words and l
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import decode, disambiguation, features, linking, mentions, packing, scores, sequences, vocabulary, windows
+from spanforge.session import keep
 from spanforge.sources import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +29,14 @@ lp AS (SELECT name, least(1.0, count(*) / count(DISTINCT page)) AS link_prob FRO
 _SQL_LINES = "orders3 AS (SELECT l_orderkey AS page, p_name AS name, s_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"
 _SQL_TOKENS = r"""list_filter(regexp_extract_all(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '[^\s]+'), lambda w: w NOT IN ('a', 'an', 'the'))"""
 _SQL_ANSWERS = rf"""
-w AS (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents),
-qa AS (SELECT doc_id AS qid, array_to_string(w[1:10], ' ') AS answer, CASE WHEN doc_id % 7 <> 0 THEN array_to_string(w[4:12], ' ') END AS text FROM w),
-tk AS (SELECT qid, text, {_SQL_TOKENS.format('answer')} AS g, {_SQL_TOKENS.format("coalesce(text, '')")} AS p FROM qa),
-sh AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) AS same FROM tk),
-sc AS (SELECT qid, text IS NOT NULL AS answered, CASE WHEN text IS NOT NULL AND p = g THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN text IS NULL OR same = 0 THEN 0.0 ELSE 2.0 * same / (len(p) + len(g)) END AS f1 FROM sh)"""
+qa AS (SELECT doc_id AS qid, text AS answer, CASE WHEN lang = 'de' OR NOT regexp_matches(text, '{WORDS}') THEN NULL WHEN strpos(text, chr(10)) > 0 THEN substring(text, strpos(text, chr(10)) + 1) ELSE text END AS text FROM documents),
+gd AS (SELECT qid, 0 AS k, coalesce(answer, '') AS answer FROM qa UNION ALL SELECT qid, 1, substring(answer, 1, strpos(answer, chr(10)) - 1) FROM qa WHERE strpos(answer, chr(10)) > 0),
+pt AS (SELECT qid, text, {_SQL_TOKENS.format("coalesce(text, '')")} AS p FROM qa),
+tk AS (SELECT gd.qid, k, text, {_SQL_TOKENS.format("answer")} AS g, p FROM gd JOIN pt USING (qid)),
+nt AS (SELECT qid, k, t, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM (SELECT qid, k, 0 AS side, unnest(p) AS t FROM tk UNION ALL SELECT qid, k, 1, unnest(g) FROM tk) GROUP BY qid, k, t),
+sm AS (SELECT qid, k, sum(least(a, b)) AS same FROM nt GROUP BY 1, 2),
+sh AS (SELECT tk.*, coalesce(same, 0) AS same FROM tk LEFT JOIN sm USING (qid, k)),
+sc AS (SELECT qid, bool_or(text IS NOT NULL) AS answered, max(CASE WHEN text IS NOT NULL AND p = g THEN 1.0 ELSE 0.0 END) AS exact, max(CASE WHEN text IS NULL OR same = 0 THEN 0.0 ELSE 2.0 * same / (len(p) + len(g)) END) AS f1 FROM sh GROUP BY qid)"""
 _SQL_V2 = _SQL_ANSWERS + """,
 v2 AS (SELECT qid, exact, f1, quality = 1 AS has_ans, (qid * 7919) % 1000 / 1000 AS na_prob, answered AS answer_given FROM sc JOIN labels ON doc_id = qid)"""
 _SQL_TAGS = rf"""
@@ -82,19 +82,6 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, for results that are used several times."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # a session without one (tests): a folder that goes when Python ends
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _rounded(c: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(c)
 
@@ -202,10 +189,13 @@ def greedy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _words(spark, sf_dir)
-    gold = rows.select(F.col("doc_id").alias("qid"), F.array_join(F.slice("words", 1, 10), " ").alias("answer"))
-    pred = rows.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice("words", 4, 9), " ").alias("text"))
-    return scores.answer_scores(pred, gold)
+    """A whole text and its first line as answers, what follows the first line as the prediction (all of it if it has one line); German texts and those without words have none."""
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text", "lang")
+    line = F.instr("text", "\n")
+    none = (F.col("lang") == "de") | ~F.col("text").rlike(WORDS)
+    pred = F.when(none, None).when(line > 0, F.substring(F.col("text"), line + 1, F.length("text"))).otherwise(F.col("text"))
+    first = rows.filter(line > 0).select("qid", F.substring(F.col("text"), F.lit(1), line - 1).alias("answer"))
+    return scores.answer_scores(rows.select("qid", pred.alias("text")), rows.select("qid", F.coalesce("text", F.lit("")).alias("answer")).unionByName(first))
 
 
 @query(f"WITH {_SQL_ANSWERS} SELECT round(100 * avg(exact), 6) AS exact_match, round(100 * avg(f1), 6) AS f1, count(*) AS total FROM sc WHERE answered")
@@ -371,17 +361,24 @@ def ed_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_MENTIONS = rf"""
-m0 AS (SELECT doc_id AS doc, i AS mention, CASE WHEN i % 2 = 0 THEN array_to_string(w[i + 1:i + 2], ' ') ELSE w[i + 1] END AS text FROM (SELECT doc_id, w, unnest(range(0, least(10, len(w)))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents))),
+mw AS (SELECT doc_id AS doc, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)) WHERE regexp_matches(w[i], '^[A-Z]')),
+mr AS (SELECT *, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS run FROM mw),
+m0 AS (SELECT doc, min(pos) AS mention, string_agg(word, ' ' ORDER BY pos) AS text FROM mr GROUP BY doc, run HAVING count(*) <= 5),
 rf AS (SELECT a.doc, a.mention, b.mention AS other FROM m0 a JOIN m0 b ON a.doc = b.doc AND a.mention <> b.mention AND a.text <> b.text
 WHERE length(b.text) > 5 AND strpos(b.text, a.text) > 0 AND (strpos(b.text, a.text) = 1 OR substring(b.text, strpos(b.text, a.text) - 1, 1) = ' ')
 AND (strpos(b.text, a.text) + length(a.text) > length(b.text) OR substring(b.text, strpos(b.text, a.text) + length(a.text), 1) = ' '))"""
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _words(spark, sf_dir).filter(F.size("words") > 0)
-    rows = rows.select(F.col("doc_id").alias("doc"), "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(10), F.size("words")) - 1)).alias("mention"))
-    text = F.when(F.col("mention") % 2 == 0, F.array_join(F.slice("words", F.col("mention") + 1, 2), " ")).otherwise(F.get("words", "mention"))
-    return rows.select("doc", F.col("mention").cast("long").alias("mention"), text.alias("text"), text.alias("top"))
+    """Runs of up to five words in a row that begin with a capital, wherever they stand in whole texts; a mention is its first word's place among the words of letters."""
+    from pyspark.sql import Window
+
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("pos", "word")).filter(F.col("word").rlike("^[A-Z]"))
+    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
+    runs = rows.groupBy("doc", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all")).filter(F.size("all") <= 5)
+    text = F.array_join("all.word", " ")
+    return keep(runs.select("doc", F.get("all.pos", F.lit(0)).cast("long").alias("mention"), text.alias("text"), text.alias("top")), "mentions")
 
 
 @query(f"WITH {_SQL_MENTIONS} SELECT * FROM rf")
@@ -394,14 +391,14 @@ def coreferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.doc, r.mention, title, round(sum(prior) / min(n), 6) AS prior FROM rf r JOIN ca ON ca.doc = r.doc AND ca.mention = r.other JOIN n ON n.doc = r.doc AND n.mention = r.mention GROUP BY ALL""")
 def coref_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _mentions(spark, sf_dir)
-    refs = disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+    refs = keep(disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title"))), "refs")
     candidates = rows.select("doc", "mention", F.lower("text").alias("title"), (1.0 / (F.col("mention") + 1)).alias("prior"))
     return disambiguation.coreference_priors(refs, candidates).withColumn("prior", F.round("prior", 6))
 
 
 def _whole_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the benchmark wherever they stand in whole documents; a mention is its first word's place."""
-    hits = _kept(greedy_link(spark, sf_dir), "mentions")
+    hits = keep(greedy_link(spark, sf_dir), "mentions")
     return hits.select(F.col("page").alias("doc"), F.col("start").cast("long").alias("mention"), F.lower("name").alias("text"), F.lower("name").alias("top"))
 
 
@@ -414,7 +411,7 @@ def coreferences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def coref_prior_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _whole_mentions(spark, sf_dir)
-    refs = disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title")))
+    refs = keep(disambiguation.coreferences(rows, rows.filter(F.length("text") > 5).select(F.col("text").alias("title"))), "refs")
     candidates = rows.select("doc", "mention", F.col("text").alias("title"), (1.0 / (F.col("mention") + 1)).alias("prior"))
     return disambiguation.coreference_priors(refs, candidates).withColumn("prior", F.round("prior", 6))
 
@@ -534,10 +531,12 @@ def batch_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.batches(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 16, "n_chars")
 
 
-@query()
+@query(f"""WITH {_SQL_SIZES}, q AS (SELECT dataset, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () AS rate FROM z),
+h AS (SELECT doc_id, lang AS dataset, rate, md5(lang || '-' || doc_id) AS h FROM documents JOIN q ON lang = dataset)
+SELECT doc_id, dataset, round((row_number() OVER (PARTITION BY dataset ORDER BY h, doc_id) - CAST('0x' || substring(h, 1, 8) AS BIGINT) / 4294967296.0) / rate, 6) AS "order" FROM h""")
 def dataset_mix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
-    return packing.mixed_order(rows, packing.mixing_rates(_sizes(spark, sf_dir)))
+    return packing.mixed_order(rows, packing.mixing_rates(_sizes(spark, sf_dir))).withColumn("order", F.round("order", 6))
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:

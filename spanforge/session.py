@@ -1,6 +1,13 @@
-"""Session defaults for local runs; a cluster brings its own session."""
+"""Session defaults for local runs (a cluster brings its own session), and the folder that all executors share."""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -16,3 +23,22 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that are used several times.
+
+    The cluster names the folder in spark.checkpoint.dir; only a local session may be without one
+    (tests), and gets a folder that goes when Python ends.
+    """
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

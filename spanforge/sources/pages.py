@@ -10,10 +10,11 @@ ANCHOR = r'<a href="([^"]*)"[^>]*>(.*?)</a>'
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, lang, pos, href, text) of each link; pos counts from 1 within the page."""
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("text"))
+    # pages are searched once; what a match holds is then read from it alone
+    both = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
     lang = F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("lang")
     rows = pages.select("page_id", lang, F.posexplode(both).alias("pos", "a"))
-    return rows.select("page_id", "lang", (F.col("pos") + 1).cast("long").alias("pos"), F.col("a.href").alias("href"), F.col("a.text").alias("text"))
+    return rows.select("page_id", "lang", (F.col("pos") + 1).cast("long").alias("pos"), F.regexp_extract("a", ANCHOR, 1).alias("href"), F.regexp_extract("a", ANCHOR, 2).alias("text"))
 
 
 def href_title(href: Column | str = "href") -> Column:

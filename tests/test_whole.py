@@ -95,3 +95,72 @@ def test_packing_and_spans_by_production_values(spark):
     assert packed == want and any(64 < lines[page][sent] for page, sent in packed)
     spans = catalogue.queries()["enumerate_spans_full"](spark, SF)
     assert spans.count() == sum(max(0, n - k) for sizes in lines.values() for n in sizes for k in range(16)) and spans.filter("end - start = 16").count() > 0
+
+
+def test_greedy_links_of_whole_documents(spark):
+    names = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = (r.text or "").split()
+        names |= {" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)}
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        w, i = (r.text or "").split(), 0
+        while i < len(w):
+            k = next((k for k in (3, 2, 1) if i + k <= len(w) and " ".join(w[i : i + k]) in names), 0)
+            if k:
+                want.append((r.doc_id, i, i + k, " ".join(w[i : i + k])))
+            i += k or 1
+    assert sorted(tuple(r) for r in catalogue.queries()["greedy_link"](spark, SF).collect()) == sorted(want)
+
+
+def test_subword_links(spark):
+    from spanforge.operators.linking import greedy_links
+
+    docs = spark.createDataFrame([("p", ["To", "kyo", "Bay", "a", "To"], [False, True, False, False, False]), ("q", [], [])], "page string, words array<string>, inner array<boolean>")
+    names = spark.createDataFrame([("Tokyo",), ("Tokyo Bay",), ("kyo",), ("To",), ("a To",)], "name string")
+    assert sorted(tuple(r) for r in greedy_links(docs, names, 3, "inner").collect()) == [("p", 0, 3, "Tokyo Bay"), ("p", 3, 5, "a To")]
+
+
+def test_greedy_spans_by_brute_force(spark):
+    rows = [r.asDict() for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    by = defaultdict(list)
+    for r in rows:
+        if r["event_type"] != "view":
+            start = r["event_id"] % 50
+            by[r["user_id"]].append((-r["value"], start, start + 1 + r["event_id"] % 4, r["event_type"]))
+    want = []
+    for user, spans in by.items():
+        taken = []
+        for minus, a, b, label in sorted(spans):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                want.append((user, a, b, label, -minus))
+    got = sorted((r.user_id, r.start, r.end, r.label, r.score) for r in catalogue.queries()["greedy_spans"](spark, SF).collect())
+    assert got == sorted(want)
+
+
+def test_places_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from spanforge.operators.ordering import in_order
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *range(40)]), i, rnd.choice([None, 1, 2, 5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int, v int").repartition(7)
+    got = sorted((r.place, r.k, r.i, r.s) for r in in_order(df, "k", F.desc("i"), sums={"s": F.col("v")}).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -r[1]))
+    assert [(k, i) for _, k, i, _ in got] == [(k, i) for k, i, _ in want] and [p for p, *_ in got] == list(range(500))
+    run = 0
+    for (_, _, v), (*_, s) in zip(want, got, strict=True):
+        run += v or 0
+        assert s == run
+    assert in_order(df.limit(0), "k").count() == 0
+
+
+def test_words_of_characters_of_long_texts(spark):
+    from spanforge.operators.windows import char_words
+
+    text = "ab c\n" * 8000
+    got = char_words(spark.createDataFrame([(1, text), (2, ""), (3, "  ")], "doc_id int, text string")).collect()
+    chars = {r.doc_id: r.chars for r in got}
+    assert chars[1] == [2 * (i // 5) + (i % 5 >= 3) for i in range(40_000)] and chars[2] == [] and chars[3] == [-1, -1]
