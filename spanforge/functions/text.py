@@ -15,7 +15,7 @@ LANGUAGE_ARTICLES = {
     "es": ("un", "una", "unos", "unas", "el", "la", "los", "las"),
     "vi": ("của", "là", "cái", "chiếc", "những"),
     "de": ("ein", "eine", "einen", "einem", "eines", "einer", "der", "die", "das", "den", "dem", "des"),
-    "ar": (),
+    "ar": ("ال",),
     "zh": (),
     "hi": (),
 }
@@ -89,19 +89,34 @@ def split_last(key: Column | str, sign: str = ":") -> Column:
     return F.struct(F.substring(k, F.lit(1), F.length(k) - F.length(last) - len(sign)).alias("head"), last.alias("tail"))
 
 
-def answer_tokens(text: Column | str, language: str = "en") -> Column:
-    """Tokens of an answer in normal form: lower case, no punctuation, no articles. Chinese characters are tokens each."""
-    signs = r"[!-/:-@\[-`{-~]" if language == "en" else PUNCTUATION
+def answer_tokens(text: Column | str, language: str = "en", unicode_marks: bool | None = None) -> Column:
+    """Tokens of an answer in normal form: lower case, no punctuation, no articles. Chinese characters are tokens each.
+
+    Articles go at word boundaries, so that they part what marks beyond ASCII had joined; the Arabic
+    one goes wherever it stands. ``unicode_marks``: whether all marks are punctuation, or ASCII ones
+    only, as is usual for English alone.
+    """
+    signs = PUNCTUATION if (language != "en" if unicode_marks is None else unicode_marks) else r"[!-/:-@\[-`{-~]"
     plain = F.regexp_replace(F.lower(col(text)), signs, "")
+    if articles := "|".join(LANGUAGE_ARTICLES.get(language, ())):
+        plain = F.regexp_replace(plain, articles if language == "ar" else rf"(?U)\b(?:{articles})\b", " ")
     if language == "zh":
         plain = F.regexp_replace(plain, r"([\x{4E00}-\x{9FA5}])", " $1 ")
-    articles = LANGUAGE_ARTICLES[language]
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    return F.filter(words, lambda w: ~w.isin(*articles)) if articles else words
+    return F.filter(F.split(plain, SPACES), lambda w: w != "")
+
+
+def normalize_answer(text: Column | str, language: str = "en", unicode_marks: bool | None = None) -> Column:
+    return F.array_join(answer_tokens(text, language, unicode_marks), " ")
+
+
+def inclusive_positions(start: Column | str, end: Column | str, length: int) -> Column:
+    """Places start .. end, both included, cut or padded with -1 to ``length``."""
+    return position_ids(col(start), col(end) + 1, length)
 
 
-def normalize_answer(text: Column | str, language: str = "en") -> Column:
-    return F.array_join(answer_tokens(text, language), " ")
+def marker_span(tokens: Column | str, mark: str) -> Column:
+    """(start, end) from the first to behind the last ``mark``."""
+    return F.struct(first_index(tokens, mark).cast("int").alias("start"), (last_index(tokens, mark) + 1).cast("int").alias("end"))
 
 
 def bankers(x: Column) -> Column:

@@ -28,6 +28,29 @@ def distinct_answers(spans: DataFrame, n: int) -> DataFrame:
     return one.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def with_empty(answers: DataFrame, nulls: DataFrame) -> DataFrame:
+    """``answers`` (id, rank, text, score) with '' of nulls (id, null_score) behind those that lack it; an id that then has but one entry gets 'empty' of score 0 in front."""
+    lacking = nulls.join(answers.filter("text = ''").select("id"), "id", "left_anti").select("id", F.lit((1 << 31) - 1).alias("rank"), F.lit("").alias("text"), F.col("null_score").alias("score"))
+    both = answers.select("id", "rank", "text", "score").unionByName(lacking)
+    alone = both.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1").select("id", F.lit(0).alias("rank"), F.lit("empty").alias("text"), F.lit(0.0).alias("score"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    return both.unionByName(alone).withColumn("rank", order)
+
+
+def valid_spans(spans: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
+    """Of ``spans`` (id, start, end) those within their window's tokens (id, in_context, max_context: flags of its tokens) that start and end in the context, start where the window has most context, and have up to ``longest`` tokens."""
+    flag = lambda name, at: F.coalesce(F.get(F.col(name), F.col(at)), F.lit(False))
+    rows = spans.join(windows.select("id", "in_context", "max_context"), "id")
+    ok = flag("in_context", "start") & flag("in_context", "end") & flag("max_context", "start") & (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= longest)
+    return rows.filter(ok & (F.col("start") >= 0)).drop("in_context", "max_context")
+
+
+def best_windows(rows: DataFrame, by: str, last: bool = False) -> DataFrame:
+    """Of rows (by, window, score, ...) each one's best by score; of equal ones the first window, or the ``last``."""
+    rest = F.struct(*[c for c in rows.columns if c != by])
+    return rows.groupBy(by).agg(F.max_by(rest, F.struct("score", F.col("window") if last else -F.col("window"))).alias("x")).select(by, "x.*")
+
+
 def probabilities(spans: DataFrame) -> DataFrame:
     """``spans`` (id, score) with probability, by softmax over each id's."""
     top = F.max("score").over(Window.partitionBy("id"))

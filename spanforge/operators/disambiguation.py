@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,38 @@ def trainable(mentions: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     return kept.join(vocab.select(F.col("title").alias("gold")).distinct(), "gold", "left_semi")
 
 
+def valid_gold(mentions: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Mentions whose gold title, redirects (src, dest) followed once, is one of ``titles`` (title); gold is what it leads to."""
+    hop = redirects.groupBy(F.col("src").alias("gold")).agg(F.min("dest").alias("__to"))
+    moved = mentions.join(hop, "gold", "left").withColumn("gold", F.coalesce("__to", "gold")).select(*[f"`{c}`" for c in mentions.columns])
+    return moved.join(titles.select(F.col("title").alias("gold")).distinct(), "gold", "left_semi").select(*[f"`{c}`" for c in mentions.columns])
+
+
+def without_documents(rows: DataFrame, names: list[str], doc: str = "doc") -> DataFrame:
+    """``rows`` but those of documents that are left out by name."""
+    return rows.filter(~F.coalesce(F.col(doc).isin(*names), F.lit(False))) if names else rows
+
+
+def candidate_titles(parts: dict[str, DataFrame]) -> DataFrame:
+    """(title): all candidates of mentions (candidates: array of struct<title, prior>) of several splits, once each."""
+    return union_splits(parts).select(F.explode("candidates.title").alias("title")).distinct()
+
+
+def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several splits with split, the name of theirs."""
+    return reduce(DataFrame.unionByName, [df.withColumn("split", F.lit(name)) for name, df in parts.items()])
+
+
+def local_choice(rows: DataFrame) -> DataFrame:
+    """(doc, mention, title, score): each mention's best of rows (doc, mention, place, title, score), the first place among equals."""
+    return rows.groupBy("doc", "mention").agg(F.max_by(F.struct("title", "score"), F.struct("score", -F.col("place"))).alias("x")).select("doc", "mention", "x.*")
+
+
+def target_first(rows: DataFrame) -> DataFrame:
+    """(doc, target, mentions): for each of mentions (doc, mentions: array of structs) all of its document's, itself first, the others in order."""
+    return rows.select("doc", "mentions", F.posexplode("mentions").alias("target", "own")).select("doc", "target", F.concat(F.array("own"), F.filter("mentions", lambda m, i: i != F.col("target"))).alias("mentions"))
+
+
 def align(mentions: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc, mention, start, end): mentions (doc, mention, text) meet spans (doc, start, end, text) in order; spans are passed over until the texts agree but for case and marks.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import normalize_mention
 from spanforge.operators.linking import name_hits
 
 
@@ -64,3 +65,22 @@ def prior_counts(prior: DataFrame, known: DataFrame | None = None) -> DataFrame:
     one = known.groupBy("name").agg(F.max("link_prob").alias("link_prob"))
     docs = F.coalesce((F.col("total") / F.when(F.col("link_prob") > 0, F.col("link_prob"))).cast("int"), F.lit(0))
     return rows.join(one, "name", "left").select("name", "title", "link_count", docs.alias("doc_count"))
+
+
+def page_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, links): for pages (page) their links (page, name, title, link_prob) in order of name and title; [] for those without."""
+    own = links.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("name", "title", "link_prob"))).alias("links"))
+    none = F.expr("cast(array() as array<struct<name:string,title:string,link_prob:double>>)")
+    return pages.join(own, "page", "left").select("page", F.coalesce("links", none).alias("links"))
+
+
+def lookup(db: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, found): for texts (text) the rows of a mention table (name in normal form, title, prior_prob) under their normal form, best first; [] for those without."""
+    own = db.groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("prior_prob")).alias("minus"), "title"))).alias("all"))
+    keyed = texts.withColumn("name", normalize_mention("text", lower=True)).join(own, "name", "left")
+    return keyed.select("text", F.coalesce(F.col("all.title"), F.expr("cast(array() as array<string>)")).alias("found"))
+
+
+def short_names(db: DataFrame, tokens: str, longest: int) -> DataFrame:
+    """The rows of a mention table whose name has up to ``longest`` tokens."""
+    return db.filter(F.size(tokens) <= longest)

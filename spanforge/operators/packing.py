@@ -52,13 +52,65 @@ def draw(*keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *keys)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def action_of(u: Column) -> Column:
+    """What becomes of a masked token by its draw: 80 % mask, then 10 % random, then 10 % keep."""
+    return F.when(u < 0.8, "mask").when(u < 0.9, "random").otherwise("keep")
+
+
+def masked_groups(tokens: DataFrame, rate: float = 0.15) -> DataFrame:
+    """tokens (doc_id, pos from 0, subword, entity: whether in the span of a masked entity) with masked and action, whole words together.
+
+    A document has a budget of ``rate`` of its tokens, 1 at least. Entity tokens are masked first
+    and count. Other words come in a drawn order, each masked with all its tokens if it fits what
+    is left. Where nothing fits, one token (but the last two, if there are others) is masked. A word
+    has one draw for what becomes of its tokens, an entity's tokens one each.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = (~F.col("subword") | (F.col("pos") == 0)).cast("int")
+    rows = tokens.withColumn("__group", F.sum(starts).over(order))
+    groups = rows.groupBy("doc_id", "__group").agg(F.count("*").alias("size"), F.min("pos").alias("pos"), F.max("entity").alias("blocked"))
+    stats = tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("entity").alias("used"))
+    drawn = groups.join(stats, "doc_id").withColumn("left", share_of(F.col("n"), rate) - F.col("used")).withColumn("hash", F.md5(F.concat_ws("-", "doc_id", "pos")))
+    kind = dict(tokens.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, left = object(), 0
+        for batch in batches:
+            keep = []
+            for d, size, budget in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "size", "left")], strict=True):
+                if d != doc:
+                    doc, left = d, budget
+                keep.append(size <= left)
+                if size <= left:
+                    left -= size
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "__group"])
+
+    ordered = drawn.filter("not blocked").select("doc_id", "hash", "__group", "size", "left").repartition("doc_id").sortWithinPartitions("doc_id", "hash")
+    chosen = ordered.mapInArrow(run, f"doc_id {kind}, __group long").withColumn("__chosen", F.lit(True))
+    joined = rows.join(chosen, ["doc_id", "__group"], "left").join(stats.select("doc_id", "n"), "doc_id")
+    some = F.max(F.col("entity") | F.col("__chosen").isNotNull()).over(Window.partitionBy("doc_id"))
+    forced = ~some & (F.col("pos") == F.floor(draw(F.lit("forced"), "doc_id") * F.greatest(F.lit(1), F.col("n") - 2)))
+    first = F.first("pos").over(Window.partitionBy("doc_id", "__group").orderBy("pos"))
+    action = F.when(forced, "mask").when(F.col("entity"), action_of(draw(F.lit("action"), "doc_id", "pos"))).when(F.col("__chosen"), action_of(draw(F.lit("action"), "doc_id", first)))
+    return joined.withColumn("action", action).withColumn("masked", F.col("action").isNotNull()).select(*[f"`{c}`" for c in tokens.columns], "masked", "action")
+
+
+def masked_entities(entities: DataFrame, rate: float = 0.3) -> DataFrame:
+    """entities (doc_id, index, positions: array<int>, -1 as padding) with masked and action: ``rate`` of a document's, 1 at least; positions move behind [CLS]."""
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("-", F.lit("entity"), "doc_id", "index")), "index")
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    rows = entities.withColumn("masked", F.row_number().over(order) <= share_of(n, rate))
+    moved = F.transform("positions", lambda p: F.when(p == -1, -1).otherwise(p + 1).cast("int"))
+    return rows.withColumn("action", F.when(F.col("masked"), action_of(draw(F.lit("entity action"), "doc_id", "index")))).withColumn("positions", moved)
+
+
 def masked_words(words: DataFrame, rate: float = 0.15) -> DataFrame:
-    """words (doc_id, pos) with masked and action: ``rate`` of a document's words, 1 at least; of them 80 % mask, 10 % keep, 10 % random."""
+    """words (doc_id, pos) with masked and action: ``rate`` of a document's words, 1 at least; of them 80 % mask, 10 % random, 10 % keep."""
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("-", "doc_id", "pos")), "pos")
     n = F.count("*").over(Window.partitionBy("doc_id"))
     rows = words.withColumn("masked", F.row_number().over(order) <= share_of(n, rate))
     u = draw(F.lit("action"), "doc_id", "pos")
-    return rows.withColumn("action", F.when(F.col("masked"), F.when(u < 0.8, "mask").when(u < 0.9, "keep").otherwise("random")))
+    return rows.withColumn("action", F.when(F.col("masked"), action_of(u)))
 
 
 def mixing_rates(sizes: DataFrame, smoothing: float = 0.7) -> DataFrame:

@@ -50,6 +50,13 @@ def answer_scores(pred: DataFrame, gold: DataFrame, language: str = "en", empty_
     return rows.groupBy("qid").agg(F.max("exact").alias("exact"), F.max("f1").alias("f1"), F.max("answered").alias("answered"))
 
 
+def usable_gold(gold: DataFrame, language: str = "en") -> DataFrame:
+    """The answers of gold (qid, answer) whose normal form isn't empty; a question without any has ''."""
+    some = gold.filter(F.size(answer_tokens("answer", language)) > 0).select("qid", "answer")
+    none = gold.select("qid").distinct().join(some.select("qid"), "qid", "left_anti").withColumn("answer", F.lit(""))
+    return some.unionByName(none)
+
+
 def corpus_scores(scores: DataFrame, unanswered: bool) -> DataFrame:
     """(exact_match, f1, total) in percent; ``unanswered``: whether questions without a prediction count."""
     rows = scores if unanswered else scores.filter("answered")
@@ -86,6 +93,27 @@ def best_threshold(scores: DataFrame, value: str) -> DataFrame:
     return joined.select((100 * (F.col("base") + F.when(better, F.col("top.run")).otherwise(0.0)) / F.col("n")).alias("best_score"), F.when(better, F.col("top.na_prob")).otherwise(0.0).alias("best_threshold"))
 
 
+def best_thresholds(scores: DataFrame) -> DataFrame:
+    """One row: best_exact, best_exact_thresh, best_f1, best_f1_thresh, and has_ans_exact and has_ans_f1, the means of questions with an answer."""
+    one = lambda v: best_threshold(scores, v).select(F.col("best_score").alias(f"best_{v}"), F.col("best_threshold").alias(f"best_{v}_thresh"))
+    has = scores.agg(*[F.avg(F.when(F.col("has_ans"), F.col(v))).alias(f"has_ans_{v}") for v in ("exact", "f1")])
+    return one("exact").crossJoin(one("f1")).crossJoin(has)  # one row each
+
+
+def precision_curve(scores: DataFrame, value: str) -> DataFrame:
+    """(na_prob, precision, recall) at each distinct na_prob, for answering up to it."""
+    hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)
+    steps = scores.groupBy("na_prob").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    run = in_order(steps, "na_prob", sums={"true": F.col("hits"), "seen": F.col("n")})
+    wanted = scores.agg(F.sum(F.col("has_ans").cast("int")).alias("wanted"))
+    return run.crossJoin(wanted).select("na_prob", (F.col("true") / F.col("seen")).alias("precision"), (F.col("true") / F.col("wanted")).alias("recall"))
+
+
+def oracle_precision(scores: DataFrame) -> DataFrame:
+    """(ap) of telling questions with an answer from the others by na_prob."""
+    return average_precision(scores.withColumn("__has", F.col("has_ans").cast("double")), "__has")
+
+
 def average_precision(scores: DataFrame, value: str) -> DataFrame:
     """(ap): precision and recall along rising na_prob, taken where the next na_prob differs."""
     hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)

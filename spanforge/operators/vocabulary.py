@@ -95,3 +95,24 @@ def translate_titles(items: DataFrame, source: str, target: str) -> DataFrame:
     """(title, translated) between two languages; of several the least."""
     pairs = item_titles(items).filter((F.col("lang") == source) & (F.col("other_lang") == target))
     return pairs.groupBy("title").agg(F.min("other").alias("translated"))
+
+
+def pages_in(pages: DataFrame, known: DataFrame, title: str = "title") -> DataFrame:
+    """``pages`` whose ``title`` is one of ``known`` (title)."""
+    return pages.join(known.select(F.col("title").alias(title)).distinct(), title, "left_semi").select(*[f"`{c}`" for c in pages.columns])
+
+
+def abstracts(paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs (abstract) that are of a page's abstract."""
+    return paragraphs.filter(F.coalesce("abstract", F.lit(False)))
+
+
+def ids_of_title(vocab: DataFrame, title: str) -> DataFrame:
+    """(id, lang) of a title in all languages that have it."""
+    return vocab.filter(F.col("title") == title).select("id", "lang")
+
+
+def titles_of_ids(rows: DataFrame, vocab: DataFrame, lang: str) -> DataFrame:
+    """``rows`` (id) with title, the least that the id has in one language; null if it has none."""
+    known = vocab.filter(F.col("lang") == lang).groupBy("id").agg(F.min("title").alias("title"))
+    return rows.join(known, "id", "left")

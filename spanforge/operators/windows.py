@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ordering import in_order
+
 
 def stride_starts(n: Column | str, length: int, stride: int) -> Column:
     """Starts of windows of ``length`` over n words, ``stride`` apart; the last is the first that reaches the end."""
@@ -47,6 +49,29 @@ def spans(sentences: DataFrame, longest: int) -> DataFrame:
     return starts.select("doc_id", "sentence", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n").cast("int"), F.col("start") + longest))).alias("end"))
 
 
+def word_spans(sentences: DataFrame, longest: int, most: int) -> DataFrame:
+    """(doc_id, sentence, start, end, first, last, chunk) of sentences (doc_id, sentence, sizes: subwords of each word): all spans of whole words with up to ``longest`` subwords, in as few even chunks of up to ``most`` as it takes.
+
+    start and end count subwords, first and last (exclusive) words.
+    """
+    words = sentences.select("doc_id", "sentence", F.posexplode("sizes").alias("first", "size"))
+    by = Window.partitionBy("doc_id", "sentence").orderBy("first")
+    words = words.withColumn("end", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
+    # each word has one subword at least, so that no span has more words than subwords
+    ahead = F.collect_list(F.struct("end", (F.col("first") + 1).alias("last"))).over(by.rowsBetween(Window.currentRow, longest - 1))
+    rows = words.withColumn("ahead", ahead).select("doc_id", "sentence", "first", (F.col("end") - F.col("size")).cast("int").alias("start"), F.explode("ahead").alias("x"))
+    rows = rows.select("doc_id", "sentence", "start", "x.end", "first", "x.last").filter(F.col("end") - F.col("start") <= longest)
+    whole = Window.partitionBy("doc_id", "sentence")
+    n = F.count("*").over(whole)
+    at = F.row_number().over(whole.orderBy("first", "last")) - 1
+    return rows.withColumn("chunk", F.floor(at / F.ceil(n / F.ceil(n / F.lit(most)))).cast("int"))
+
+
+def numbered_windows(rows: DataFrame, *by: str, first: int = 1_000_000_000) -> DataFrame:
+    """``rows`` with unique_id, counted from ``first`` in the order of ``by``."""
+    return in_order(rows, *by, place="unique_id").withColumn("unique_id", F.col("unique_id") + first)
+
+
 def inside(windows: DataFrame, things: DataFrame, keys: list[str]) -> DataFrame:
     """``things`` (keys, start, end) whole inside ``windows`` (keys, window, w_start, w_end), with places from the window's start on."""
     rows = things.join(windows, keys).filter((F.col("start") >= F.col("w_start")) & (F.col("end") <= F.col("w_end")))

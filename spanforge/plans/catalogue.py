@@ -493,7 +493,7 @@ def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SQL_TAGS}, r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '-' || pos), pos) <= greatest(1, CAST(round_even(count(*) OVER (PARTITION BY doc_id) * 0.15, 0) AS INT)) AS masked FROM tg),
 u AS (SELECT *, CAST('0x' || substring(md5('action-' || doc_id || '-' || pos), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM r)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, masked, CASE WHEN masked THEN CASE WHEN u < 0.8 THEN 'mask' WHEN u < 0.9 THEN 'keep' ELSE 'random' END END AS action FROM u""")
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, masked, CASE WHEN masked THEN CASE WHEN u < 0.8 THEN 'mask' WHEN u < 0.9 THEN 'random' ELSE 'keep' END END AS action FROM u""")
 def mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _words(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word")).drop("word")
     return packing.masked_words(rows)
@@ -668,8 +668,11 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from spanforge.plans import inputs  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

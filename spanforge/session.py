@@ -25,13 +25,12 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, for results that are used several times.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share.
 
-    The cluster names the folder in spark.checkpoint.dir; only a local session may be without one
-    (tests), and gets a folder that goes when Python ends.
+    The cluster names it in spark.checkpoint.dir; only a local session may be without one (tests),
+    and gets a folder that goes when Python ends.
     """
-    spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -39,6 +38,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that are used several times."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +203,44 @@ def entity_candidates(spark: SparkSession, path: str) -> DataFrame:
     titles = F.array_sort(F.collect_list(F.when(candidate, F.struct("line", title.alias("title")))))
     found = rows.groupBy("file", "entity").agg(F.max(F.when(head, F.substring(F.get("f", F.lit(7)), 10, 1 << 20))).alias("text"), titles.alias("titles"))
     return found.select(F.substring_index("file", "/", -1).alias("doc"), "entity", "text", F.col("titles.title").alias("titles"))
+
+
+def relation_spans(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, subj, obj, label): tokens joined by spaces, and the character spans (start, end) of subject and object; ends in the file are inclusive."""
+    rows = spark.read.schema("id string, token array<string>, subj_start int, subj_end int, obj_start int, obj_end int, relation string").option("multiLine", True).json(path)
+
+    def span(a: str, b: str) -> Column:
+        before, own = F.array_join(F.slice("token", F.lit(1), F.col(a)), " "), F.array_join(F.slice("token", F.col(a) + 1, F.col(b) - F.col(a) + 1), " ")
+        start = F.length(before) + F.when(F.col(a) > 0, 1).otherwise(0)
+        return F.struct(start.alias("start"), (start + F.length(own)).alias("end"))
+
+    return rows.select("id", F.array_join("token", " ").alias("text"), span("subj_start", "subj_end").alias("subj"), span("obj_start", "obj_end").alias("obj"), F.col("relation").alias("label"))
+
+
+def candidate_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(pair, page, name, title) from one object of language pairs, each with pages that map names to titles."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,map<string,string>>>")).alias("pair", "pages"))
+    return whole.select("pair", F.explode("pages").alias("page", "names")).select("pair", "page", F.explode("names").alias("name", "title"))
+
+
+def example_sets(spark: SparkSession, paths: list[str], same: list[str]) -> DataFrame:
+    """The examples under several folders (as write_examples leaves them) as one table; an error unless they agree in the properties ``same``."""
+    wanted = spark.read.json([f"{p}/metadata" for p in paths]).select(*same).distinct().limit(2).count()
+    if wanted > 1:
+        raise ValueError(f"the sets differ in {', '.join(same)}")
+    return spark.read.parquet(*[f"{p}/examples" for p in paths])
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A vocabulary by the kind of its file: tab-separated, or JSON lines."""
+    if path.endswith(".tsv"):
+        return vocab_tsv(spark, path).withColumn("lang", F.lit(None).cast("string")).select("id", "title", "lang", "count")
+    if path.endswith((".jsonl", ".json")):
+        return vocab_json(spark, path)
+    raise ValueError(f"a vocabulary ends in .tsv or .jsonl: {path}")
+
+
+def answer_language(path: str) -> tuple[str, bool]:
+    """The language whose normal form an evaluation file's answers have, and whether all marks count: by names like dev-context-de-question-en.json, else English with ASCII marks."""
+    found = re.search(r"context-(\w\w)-question", path.rpartition("/")[2])
+    return (found[1], True) if found else ("en", False)

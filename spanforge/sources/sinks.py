@@ -44,3 +44,11 @@ def write_bio(lines: DataFrame, path: str) -> None:
     text = F.when(starts, F.concat(F.regexp_replace("text", r"\S+\s*$", ""), F.lit("B-"), F.substring("__label", 3, 1 << 20))).otherwise(F.col("text"))
     out = rows.select("file", "line", text.alias("value"))
     out.repartition("file").sortWithinPartitions("file", "line").select("value").write.mode("overwrite").text(path)
+
+
+def write_tags(rows: DataFrame, path: str) -> None:
+    """Lines "word gold pred" of rows (sentence, pos, word, gold, pred) in order, an empty one behind each sentence."""
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("sentence"))
+    line = F.concat_ws(" ", "word", "gold", "pred")
+    out = rows.withColumn("value", F.when(last, F.concat(line, F.lit("\n"))).otherwise(line))
+    out.repartitionByRange("sentence").sortWithinPartitions("sentence", "pos").select("value").write.mode("overwrite").text(path)

@@ -164,3 +164,69 @@ def test_words_of_characters_of_long_texts(spark):
     got = char_words(spark.createDataFrame([(1, text), (2, ""), (3, "  ")], "doc_id int, text string")).collect()
     chars = {r.doc_id: r.chars for r in got}
     assert chars[1] == [2 * (i // 5) + (i % 5 >= 3) for i in range(40_000)] and chars[2] == [] and chars[3] == [-1, -1]
+
+
+def test_whole_word_masks_by_brute_force(spark):
+    import hashlib
+    from collections import Counter
+
+    from spanforge.operators.packing import masked_groups
+
+    rnd = random.Random(3)
+    rows = [(d, i, bool(i and rnd.random() < 0.5), rnd.random() < 0.05) for d in range(30) for i in range(rnd.choice([1, 2, 5, 40, 90]))]
+    rows += [(100, i, i > 0, False) for i in range(10)]  # one word that never fits
+    got = defaultdict(dict)
+    for r in masked_groups(spark.createDataFrame(rows, "doc_id long, pos int, subword boolean, entity boolean"), 0.2).collect():
+        got[r.doc_id][r.pos] = r
+    draw = lambda *k: int(hashlib.md5("-".join(map(str, k)).encode()).hexdigest()[:8], 16) / 2**32
+    action = lambda u: "mask" if u < 0.8 else "random" if u < 0.9 else "keep"
+    seen = Counter()
+    for d in got:
+        own = [r for r in rows if r[0] == d]
+        groups = []
+        for _, i, inner, entity in own:
+            if inner and groups:
+                groups[-1].append((i, entity))
+            else:
+                groups.append([(i, entity)])
+        left = max(1, round(len(own) * 0.2)) - sum(r[3] for r in own)
+        want = {r[1]: action(draw("action", d, r[1])) for r in own if r[3]}
+        for g in sorted((g for g in groups if not any(e for _, e in g)), key=lambda g: hashlib.md5(f"{d}-{g[0][0]}".encode()).hexdigest()):
+            if len(g) <= left:
+                left -= len(g)
+                want |= {i: action(draw("action", d, g[0][0])) for i, _ in g}
+        if not want:
+            want = {int(draw("forced", d) * max(1, len(own) - 2)): "mask"}
+        assert {i: r.action for i, r in got[d].items() if r.masked} == want
+        seen.update(want.values())
+    assert len(got) == 31 and seen["mask"] > seen["random"] > 0 and seen["keep"] > 0
+
+
+def test_small_text_functions(spark):
+    from spanforge.functions import text as T
+
+    rows = spark.createDataFrame([("the a’s end–the", "الكتاب الجديد", "我在 北京.", "un Él «la» casa"), ("a", "", "", "LA")], "en string, ar string, zh string, es string")
+    got = [tuple(r) for r in rows.select(T.normalize_answer("en"), T.normalize_answer("en", unicode_marks=True), T.normalize_answer("ar", "ar"), T.normalize_answer("zh", "zh"), T.normalize_answer("es", "es")).collect()]
+    assert got == [("’s end–", "as endthe", "كتاب جديد", "我 在 北 京", "él casa"), ("", "", "", "", "")]
+    r = spark.range(1).select(
+        T.needs_prefix_space(T.F.lit("ab cd"), T.F.lit(3)).alias("a"), T.needs_prefix_space(T.F.lit("ab cd"), T.F.lit(1)).alias("b"), T.is_subword(T.F.lit("Ġx"), "bytes").alias("c"), T.is_subword(T.F.lit("x"), "pieces").alias("d"), T.inclusive_positions(T.F.lit(2), T.F.lit(3), 4).alias("e")
+    ).first()
+    assert tuple(r) == (True, False, False, True, [2, 3, -1, -1])
+
+
+def test_files_by_kind(spark, tmp_path):
+    import pytest
+
+    from spanforge.sources import files, sinks
+    from spanforge.operators.vocabulary import abstracts
+
+    (tmp_path / "v.tsv").write_text("[PAD]\t0\nA b\t7\n")
+    assert [tuple(r) for r in files.vocabulary(spark, f"file://{tmp_path}/v.tsv").orderBy("id").collect()] == [(0, "[PAD]", None, 0), (1, "A b", None, 7)]
+    with pytest.raises(ValueError):
+        files.vocabulary(spark, "v.bin")
+    assert files.answer_language("/x/dev-context-de-question-en.json") == ("de", True) and files.answer_language("/x/dev-v2.0.json") == ("en", False)
+    for i in (1, 2):
+        sinks.write_examples(spark.range(3), f"file://{tmp_path}/e{i}", {"longest": i})
+    with pytest.raises(ValueError):
+        files.example_sets(spark, [f"file://{tmp_path}/e1", f"file://{tmp_path}/e2"], ["longest"])
+    assert abstracts(spark.createDataFrame([(True,), (False,), (None,)], "abstract boolean")).count() == 1
