@@ -21,7 +21,7 @@ from spanforge.llm.common import WORD, join_small, materialize, wanted
 #: A source's target stops at so many times its size.
 MOST_REPEATS = 3
 #: Words of a block, and of a shard: its ids are ranked in one window, and a row for each shard is kept.
-BLOCK_WORDS, SHARD_WORDS = 256, 1 << 22
+BLOCK_WORDS, SHARD_WORDS = 256, 1 << 19
 
 
 def sainte_lague(parts: DataFrame, by: list[str], weight: str, seats: str, key: str, out: str) -> DataFrame:
