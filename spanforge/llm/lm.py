@@ -166,7 +166,8 @@ def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())]))
 
     packed = docs.select("text").mapInArrow(count, "kind int, segment int, keys binary, counts binary")
-    packed = packed.repartition("kind", "segment").sortWithinPartitions("kind", "segment")
+    # as many partitions as groups: small ones aren't put together, as a group's arrays are held whole
+    packed = packed.repartition(2 << segment_bits, "kind", "segment").sortWithinPartitions("kind", "segment")
     return materialize(packed.mapInArrow(merge, "kind int, segment int, keys binary, data binary, distinct long, total long"), "lm-counts")
 
 
@@ -197,7 +198,7 @@ def _assembled(counts: DataFrame, segment_bits: int) -> tuple[np.ndarray, ...]:
     for r in counts.select("kind", "segment", F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct")).alias("n")).collect():  # a few numbers for each segment
         lengths[r.kind, r.segment] = r.n
     ends = np.cumsum(lengths, axis=1)
-    keys, found, bits = np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(ends[UNIGRAM][-1], np.uint32), np.empty(max(1, ends[BIGRAM][-1]), np.uint8)
+    keys, found, bits = np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(max(1, ends[BIGRAM][-1]), np.uint8)
     for r in counts.select("kind", "segment", "keys", "data").toLocalIterator():
         at = slice(ends[r.kind][r.segment] - lengths[r.kind][r.segment], ends[r.kind][r.segment])
         if r.kind == BIGRAM:
@@ -220,6 +221,7 @@ def _broadcast_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, tot
 
 
 def _shuffled_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, buckets: int, total: int, distinct: int, beta: float) -> DataFrame:
+    # a bucket asks for a word once, however often it occurs: segments get a share of distinct hashes each, frequent words or not
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     dealt = materialize(dealt.repartition("bucket").sortWithinPartitions("bucket"), "lm-buckets")
 
@@ -282,7 +284,7 @@ def score_texts(docs: DataFrame, *, beta: float = BETA, segment_bytes: int = SEG
     segment_bits = (segments - 1).bit_length()
     counts = count_ngrams(docs.filter("not held_out"), segment_bits)
     # memory that a worker needs for them
-    held, total, distinct = counts.agg(F.sum(F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct") * 12)), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("total"))), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("distinct")))).first()
+    held, total, distinct = counts.agg(F.sum(F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct") * 16)), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("total"))), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("distinct")))).first()
     if (held or 0) <= broadcast_bytes:
         return _broadcast_scores(docs, counts, segment_bits, total or 0, distinct or 0, beta)
     return _shuffled_scores(docs, counts, segment_bits, int(segments), total or 0, distinct or 0, beta)

@@ -5,6 +5,15 @@ words of a batch are encoded once: words of equal length advance together, all t
 hashes are probed in the sorted keys of the pieces, and at each place the best way to end there is
 a maximum over the pieces' lengths, kept as a backpointer. Characters that no piece holds become
 byte pieces.
+
+The pieces at hand are of a model whose own encoding merges pairs: its scores are merge ranks, which
+are taken as unigram scores here. The result is the best-scoring segmentation by them, not what that
+model's own encoder gives; ids for training with that model must come from its merges. A unigram
+model's file, given as ``model``, gives its own encoding.
+
+A word is encoded whole: its length times the longest piece's length (about 17) cells of 12 bytes
+are held, and each of its characters is one step, so that a word of 200,000 characters takes some
+seconds and 40 MB. Nothing is cut.
 """
 
 from __future__ import annotations

@@ -47,6 +47,7 @@ def suffix_array(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     new[1:] = (symbols[order][1:] != symbols[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    # ranks of each doubling are kept: 4 bytes a word for each of log2(longest repeat) levels
     levels, step = [rank], 1
     active = order[~(new & np.concatenate([new[1:], [True]]))]
     while len(active):

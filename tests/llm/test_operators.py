@@ -333,6 +333,35 @@ def test_lm(spark, docs):
     assert lm.score_texts(empty(spark)).count() == 0
 
 
+def test_lm_scores_by_a_plain_model(spark):
+    """Counts of pairs by a dictionary, quantised as the filter's levels are; the filter adds rare false hits only."""
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice("abcdefghijklmnop") * rnd.choice([1, 1, 2]) for _ in range(rnd.randrange(0, 120)))) for i in range(400)] + [(None, "A b"), (9, None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    words = lambda t: [*(t or "").lower().split(), "</s>"]
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            w = words(t)
+            one.update(w)
+            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+    n, v = sum(one.values()), len(one)
+    least = lambda c: math.ceil(round(lm.B ** math.floor(math.log(c, lm.B) + 1e-9), 9)) if c else 0
+
+    def score(t):
+        total = 0.0
+        for h, w in zip(["<s>", *words(t)[:-1]], words(t), strict=True):
+            before = one["</s>"] if h == "<s>" else one[h]
+            base = (one[w] + 0.1) / (n + 0.1 * (v + 1))
+            total += math.log10((min(least(two[h, w]), before) + lm.BETA * base) / (before + lm.BETA))
+        return total
+
+    got = sorted((r.score for r in lm.score_texts(spark.createDataFrame(rows, DOCS)).collect()))
+    want = sorted(score(t) for _, t in rows)
+    gaps = [abs(a - b) / abs(b) for a, b in zip(got, want, strict=True)]
+    assert max(gaps) < 0.03 and sum(gaps) / len(gaps) < 0.003
+
+
 def test_lm_filter_levels():
     rnd = np.random.default_rng(3)
     keys = rnd.integers(0, 2**63, 20_000).astype(np.uint64)
@@ -478,6 +507,33 @@ def test_pipeline(spark):
     assert last.same.all() and len(last) == mixed.count()
 
 
+def test_pipeline_stages_of_odd_rows(spark):
+    """Each stage over nulls, empty and long texts, repeated rows, clashing columns and nothing at all."""
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(5)) for _ in range(n))
+    rows = [(i, prose(80) + " mail me.at@x.org", ["en", None][i % 2], ["web", "book", None][i % 3], 7) for i in range(30)]
+    rows += [(100, None, None, None, None), (None, "", "en", "web", 0), (101, " \n", "en", "web", 2), (None, prose(90), "en", None, 9), (102, prose(6000), "de", "web", 1), (103, "z" * 30_000, "en", "web", 1)]
+    rows += [rows[3], rows[3], rows[4]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(rows, schema)
+    for docs in (frame, frame.limit(0)):
+        left = sum(1 for _ in docs.collect())
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            found = out.collect()
+            assert bool(found) == bool(left) or name == "quality_rules"
+            if name != "to_pieces":
+                assert out.schema.simpleString() == frame.schema.simpleString()
+                docs = spark.createDataFrame(found, frame.schema) if found else docs.limit(0)
+            else:
+                assert all(r.same for r in found)
+    more = spark.createDataFrame([(1, prose(60), "s", "x", 3, "y")], "doc_id long, text string, source string, size string, target long, shard string")  # columns that clash
+    for call in (mixing.mixed_documents, pii.masked, ngram_join.keep_one, quality.keep_good):
+        assert [tuple(r) for r in call(more).collect()] == [tuple(r) for r in more.collect()], call
+
+
 @pytest.mark.parametrize("hub", [1000, 3])
 def test_components(spark, hub, monkeypatch):
     from spanforge.llm import components
@@ -519,6 +575,26 @@ def test_pii_context_runs_over_other_hits(spark):
                 at += len(t.match)
 
 
+def test_ngram_join_recall_on_tables(spark):
+    """All links of the smallest tables' documents by the plain count, near copies in large groups, and a bucket whose sets differ from its head."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in frame.collect()]
+    rnd = random.Random(14)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(300)]
+    for i in range(330):
+        w = list(base)
+        for _ in range(rnd.randrange(9)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(9000)}"
+        rows.append((10_000 + i, " ".join(w)))
+    boiler = [f"b{i}" for i in range(60)]  # a passage that many texts share, which makes none of them alike
+    rows += [(20_000 + i, " ".join([*boiler, *[f"y{i}.{j}" for j in range(60)]])) for i in range(150)]
+    want = {i: (c, n) for i, c, n in _classes(rows)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values())
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want) and all(got[20_000 + i][1] == 0 for i in range(150))
+
+
 def test_ngram_join_reads_each_set_once(spark, monkeypatch):
     rnd = random.Random(8)
     rows = [(None if i % 2 else 7, " ".join(rnd.choice("abcdefgh") for _ in range(40))) for i in range(12)]
