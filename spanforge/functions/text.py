@@ -102,7 +102,7 @@ def answer_tokens(text: Column | str, language: str = "en", unicode_marks: bool
         plain = F.regexp_replace(plain, articles if language == "ar" else rf"(?U)\b(?:{articles})\b", " ")
     if language == "zh":
         plain = F.regexp_replace(plain, r"([\x{4E00}-\x{9FA5}])", " $1 ")
-    return F.filter(F.split(plain, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(plain, SPACES), "")
 
 
 def normalize_answer(text: Column | str, language: str = "en", unicode_marks: bool | None = None) -> Column:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.session import keep
+
 
 def unique_candidates(links: DataFrame, min_probability: float = 0.0) -> DataFrame:
     """(page, name, title) of names that occur in one link of the page only, from links (page, name, title, link_prob)."""
@@ -39,7 +41,6 @@ def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str |
     where the last link ended is remembered.
     """
     hits = name_hits(docs, names, longest, subword)
-    best = hits.groupBy("page", "start").agg(F.max_by("name", "end").alias("name"), F.max("end").alias("end"))
     kind = dict(docs.dtypes)["page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,16 +55,19 @@ def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str |
                     at = end
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    ordered = best.select("page", "start", "end", "name").repartition("page").sortWithinPartitions("page", "start")
+    # of the names at a word the longest comes first: if it is a link, or overlaps one, so do the shorter ones
+    ordered = hits.select("page", "start", "end", "name").repartition("page").sortWithinPartitions("page", "start", F.desc("end"))
     return ordered.mapInArrow(run, f"page {kind}, start int, end int, name string")
 
 
 def name_hits(docs: DataFrame, names: DataFrame, longest: int, subword: str | None = None) -> DataFrame:
     """(page, start, end, name) of all runs of up to ``longest`` words of docs (page, words) that are names."""
-    places = range(longest + 1)
-    flag = lambda i: F.get(F.col(subword), i) if subword else F.lit(False)
-    at = lambda i: F.struct(i.cast("int").alias("start"), *[F.get("words", i + k).alias(f"w{k}") for k in places], *[flag(i + k).alias(f"g{k}") for k in places])
-    rows = docs.filter(F.size("words") > 0).select("page", F.inline(F.transform(F.sequence(F.lit(0), F.size("words") - 1), at)))
+    # words and what follows them side by side, by slices of one array: rows of a few strings
+    ahead = {f"w{k}": F.slice("words", k + 1, 1 << 30) for k in range(longest)}
+    if subword:
+        ahead |= {f"g{k}": F.slice(subword, k + 1, 1 << 30) for k in range(longest + 1)}
+    rows = docs.filter(F.size("words") > 0).select("page", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in ahead.items()])).alias("start", "x"))
+    rows = rows.select("page", "start", "x.*").filter("w0 is not null")
     if subword:
         rows = rows.filter(~F.col("g0"))
 
@@ -73,6 +77,10 @@ def name_hits(docs: DataFrame, names: DataFrame, longest: int, subword: str | No
         there = F.col(f"w{n - 1}").isNotNull() & (~F.coalesce(F.col(f"g{n}"), F.lit(False)) if subword else F.lit(True))
         return F.when(there, F.struct(F.lit(n).alias("n"), F.xxhash64(name).alias("__h"), F.hash(name).alias("__g")))
 
-    hashed = names.select("name").distinct().select("name", F.xxhash64("name").alias("__h"), F.hash("name").alias("__g"))
+    # written first, so that their size is known: a table below Spark's threshold is broadcast, and no run of words is shuffled
+    hashed = keep(names.select("name").distinct().select("name", F.xxhash64("name").alias("__h"), F.hash("name").alias("__g")), "names")
+    if not subword:
+        firsts = hashed.select(F.xxhash64(F.substring_index("name", " ", 1)).alias("__f")).distinct()
+        rows = rows.withColumn("__f", F.xxhash64("w0")).join(firsts, "__f", "left_semi")
     runs = rows.select("page", "start", F.inline(F.array(*[run(n) for n in range(1, longest + 1)]))).filter("n is not null")
     return runs.join(hashed, ["__h", "__g"]).select("page", "start", (F.col("start") + F.col("n")).alias("end"), "name")

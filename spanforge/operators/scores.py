@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from spanforge.functions.text import answer_tokens
 from spanforge.operators.ordering import in_order
+from spanforge.session import keep
 
 
-def shared_tokens(a: Column, b: Column) -> Column:
-    """How many tokens two arrays share, each as often as in both.
+@F.pandas_udf(IntegerType())
+def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many tokens two arrays share, each as often as in both; null if one is null."""
 
-    Counts of both sides, sorted by token, lie side by side where a token is in both: the work is
-    that of sorting, however long the arrays are.
-    """
-    both = F.sort_array(F.concat(_token_counts(a), _token_counts(b)))
-    return _let(both, lambda m: F.aggregate(F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["token"] == x["token"], F.least(x["n"], F.get(m, i + 1)["n"])).otherwise(0)), F.lit(0), lambda s, n: s + n))
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, though ``f`` names it in lambdas."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    def shared(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        left, n = Counter(x), 0
+        for t in y:
+            if left[t] > 0:
+                left[t] -= 1
+                n += 1
+        return n
 
-
-def _token_counts(tokens: Column) -> Column:
-    """(token, n) of the distinct tokens of an array: the lengths of equal runs when sorted."""
-    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), F.struct(t.alias("token"), i.alias("at")))), lambda r: r.isNotNull())
-    counted = lambda s, runs: F.transform(runs, lambda r, k: F.struct(r["token"].alias("token"), (F.coalesce(F.get(runs, k + 1)["at"], F.size(s)) - r["at"]).alias("n")))
-    return _let(F.sort_array(tokens), lambda s: _let(starts(s), lambda runs: counted(s, runs)))
+    return pd.Series([shared(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def token_f1(pred: Column, gold: Column, empty_counts: bool = False) -> Column:
@@ -85,8 +83,8 @@ def best_threshold(scores: DataFrame, value: str) -> DataFrame:
     score, and loses 1 where a question without one would be answered with something.
     """
     gain = F.when(F.col("has_ans"), F.col(value)).otherwise(F.when(F.col("answer_given"), -1.0).otherwise(0.0))
-    base = scores.agg(F.sum((~F.col("has_ans")).cast("double")).alias("base"), F.count("*").alias("n"))
-    steps = in_order(scores.select("na_prob", "qid", gain.alias("gain")), "na_prob", "qid", place="rn", sums={"run": F.col("gain")})
+    steps = in_order(scores.select("na_prob", "qid", "has_ans", gain.alias("gain")), "na_prob", "qid", place="rn", sums={"run": F.col("gain")})
+    base = steps.agg(F.sum((~F.col("has_ans")).cast("double")).alias("base"), F.count("*").alias("n"))
     top = steps.agg(F.max_by(F.struct("run", "na_prob"), F.struct(F.round("run", 9), -F.col("rn"))).alias("top"))
     joined = base.crossJoin(top)  # one row each
     better = F.col("top.run") > 0
@@ -95,18 +93,24 @@ def best_threshold(scores: DataFrame, value: str) -> DataFrame:
 
 def best_thresholds(scores: DataFrame) -> DataFrame:
     """One row: best_exact, best_exact_thresh, best_f1, best_f1_thresh, and has_ans_exact and has_ans_f1, the means of questions with an answer."""
+    scores = keep(scores.select("qid", "exact", "f1", "has_ans", "na_prob", "answer_given"), "scores")
     one = lambda v: best_threshold(scores, v).select(F.col("best_score").alias(f"best_{v}"), F.col("best_threshold").alias(f"best_{v}_thresh"))
     has = scores.agg(*[F.avg(F.when(F.col("has_ans"), F.col(v))).alias(f"has_ans_{v}") for v in ("exact", "f1")])
     return one("exact").crossJoin(one("f1")).crossJoin(has)  # one row each
 
 
+def _steps(scores: DataFrame, value: str) -> DataFrame:
+    """(na_prob, hits, n, wanted, true, seen): sums at each distinct na_prob, and up to it."""
+    hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)
+    steps = scores.groupBy("na_prob").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"), F.sum(F.col("has_ans").cast("int")).alias("wanted"))
+    return in_order(steps, "na_prob", sums={"true": F.col("hits"), "seen": F.col("n")})
+
+
 def precision_curve(scores: DataFrame, value: str) -> DataFrame:
     """(na_prob, precision, recall) at each distinct na_prob, for answering up to it."""
-    hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)
-    steps = scores.groupBy("na_prob").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
-    run = in_order(steps, "na_prob", sums={"true": F.col("hits"), "seen": F.col("n")})
-    wanted = scores.agg(F.sum(F.col("has_ans").cast("int")).alias("wanted"))
-    return run.crossJoin(wanted).select("na_prob", (F.col("true") / F.col("seen")).alias("precision"), (F.col("true") / F.col("wanted")).alias("recall"))
+    run = _steps(scores, value)
+    all_wanted = run.agg(F.sum("wanted").alias("all"))
+    return run.crossJoin(all_wanted).select("na_prob", (F.col("true") / F.col("seen")).alias("precision"), (F.col("true") / F.col("all")).alias("recall"))  # one row
 
 
 def oracle_precision(scores: DataFrame) -> DataFrame:
@@ -116,12 +120,8 @@ def oracle_precision(scores: DataFrame) -> DataFrame:
 
 def average_precision(scores: DataFrame, value: str) -> DataFrame:
     """(ap): precision and recall along rising na_prob, taken where the next na_prob differs."""
-    hit = F.when(F.col("has_ans"), F.col(value)).otherwise(0.0)
-    steps = scores.groupBy("na_prob").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
-    run = in_order(steps, "na_prob", sums={"true": F.col("hits"), "seen": F.col("n")})
-    wanted = scores.agg(F.sum(F.col("has_ans").cast("int")).alias("wanted"))
     # a step's recall is its hits' share: precision goes by all up to it
-    return run.agg(F.sum(F.col("true") / F.col("seen") * F.col("hits")).alias("area")).crossJoin(wanted).select((100 * F.col("area") / F.col("wanted")).alias("ap"))
+    return _steps(scores, value).agg((100 * F.sum(F.col("true") / F.col("seen") * F.col("hits")) / F.sum("wanted")).alias("ap"))
 
 
 def _f1(p: Column, r: Column) -> Column:
