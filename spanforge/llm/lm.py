@@ -32,7 +32,7 @@ FOLDS = 10
 B, BETA = 1.5, 400.0
 BITS, PROBES = 10, 6
 SEGMENT_BYTES, BROADCAST_BYTES = 4 << 20, 192 << 20
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNIGRAM, BIGRAM = 0, 1
@@ -166,8 +166,7 @@ def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())]))
 
     packed = docs.select("text").mapInArrow(count, "kind int, segment int, keys binary, counts binary")
-    # as many partitions as groups: small ones aren't put together, as a group's arrays are held whole
-    packed = packed.repartition(2 << segment_bits, "kind", "segment").sortWithinPartitions("kind", "segment")
+    packed = packed.repartition("kind", "segment").sortWithinPartitions("kind", "segment")
     return materialize(packed.mapInArrow(merge, "kind int, segment int, keys binary, data binary, distinct long, total long"), "lm-counts")
 
 
@@ -192,13 +191,14 @@ def _score(part: pa.RecordBatch, exact: Callable, pair_levels: Callable, total:
     )
 
 
-def _assembled(counts: DataFrame, segment_bits: int) -> tuple[np.ndarray, ...]:
+def _assembled(counts: DataFrame, segment_bits: int, total: int) -> tuple[np.ndarray, ...]:
     """Sorted word hashes, their counts, and the filter's starts, sizes and bits, put in place segment by segment."""
     lengths = np.zeros((2, 1 << segment_bits), np.int64)
     for r in counts.select("kind", "segment", F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct")).alias("n")).collect():  # a few numbers for each segment
         lengths[r.kind, r.segment] = r.n
     ends = np.cumsum(lengths, axis=1)
-    keys, found, bits = np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(max(1, ends[BIGRAM][-1]), np.uint8)
+    # no count is above the sum of all
+    keys, found, bits = np.empty(ends[UNIGRAM][-1], np.uint64), np.empty(ends[UNIGRAM][-1], np.uint32 if total < 1 << 32 else np.uint64), np.empty(max(1, ends[BIGRAM][-1]), np.uint8)
     for r in counts.select("kind", "segment", "keys", "data").toLocalIterator():
         at = slice(ends[r.kind][r.segment] - lengths[r.kind][r.segment], ends[r.kind][r.segment])
         if r.kind == BIGRAM:
@@ -209,7 +209,7 @@ def _assembled(counts: DataFrame, segment_bits: int) -> tuple[np.ndarray, ...]:
 
 
 def _broadcast_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, total: int, distinct: int, beta: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(_assembled(counts, segment_bits))
+    sent = docs.sparkSession.sparkContext.broadcast(_assembled(counts, segment_bits, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, found, starts, sizes, bits = sent.value
