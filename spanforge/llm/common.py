@@ -142,3 +142,33 @@ def wanted(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Just ``columns`` of ``df``, cast to the types given: extra columns can't clash with an operator's own."""
     small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
+
+
+#: Slots of a sieve: 64 bits each, so that it has 8 MB of bits whatever the number of keys.
+SLOTS = 1 << 20
+
+
+def _slot_and_bits(key: Column) -> tuple[Column, Column]:
+    """Where a 64-bit hash stands in a sieve, and the four bits that it sets there."""
+    steps = [F.shiftrightunsigned(key, 20 + 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(4)]
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, s) for s in steps]
+    return key.bitwiseAND(F.lit(SLOTS - 1)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
+def sieve(keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """A Bloom filter over ``key`` (64-bit hashes) as a written table (slot, bits) of SLOTS rows at most.
+
+    Its size is fixed. With many keys it lets more pass that isn't among them, down to all, but it
+    never holds back one that is; whoever uses it checks what passes.
+    """
+    slot, bits = _slot_and_bits(key)
+    return materialize(keys.select(slot.alias("slot"), bits.alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")), name)
+
+
+def sifted(big: DataFrame, key: Column, passing: DataFrame) -> DataFrame:
+    """The rows of ``big`` whose ``key`` may be in the sieve ``passing``, which is broadcast: its size is bounded by SLOTS."""
+    slot, bits = _slot_and_bits(key)
+    own = big.withColumn("__slot", slot).withColumn("__own", bits)
+    met = own.join(F.broadcast(passing.withColumnsRenamed({"slot": "__at", "bits": "__bits"})), F.col("__slot") == F.col("__at"))
+    return met.filter(F.col("__bits").bitwiseAND(F.col("__own")) == F.col("__own")).select(*[F.col(f"`{c}`") for c in big.columns])

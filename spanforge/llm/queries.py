@@ -14,6 +14,7 @@ from spanforge.llm.neighbours import nearest
 from spanforge.llm.ngram_join import jaccard_join
 from spanforge.llm.pii import find_pii
 from spanforge.llm.quality import quality
+from spanforge.llm.substrings import dedup_substrings
 from spanforge.llm.token_counts import edit_counts
 from spanforge.llm.warc import round_trip
 
@@ -58,6 +59,10 @@ def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
@@ -69,9 +74,21 @@ FROM d LEFT JOIN l USING (payload_digest)
 """
 
 
+OP11 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 49)) AS p, ws FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS edge FROM s),
+r AS (SELECT doc_id, p FROM k JOIN (SELECT edge, min(doc_id) AS source FROM k GROUP BY edge) USING (edge) WHERE source < doc_id),
+u AS (SELECT doc_id, ws, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM w WHERE len(ws) > 0),
+c AS (SELECT u.doc_id, u.p, u.word, max(r.p) OVER (PARTITION BY u.doc_id ORDER BY u.p ROWS 49 PRECEDING) AS covered FROM u LEFT JOIN (SELECT DISTINCT * FROM r) r ON r.doc_id = u.doc_id AND r.p = u.p),
+o AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(count(covered) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (covered IS NULL), '') AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op6_warc": OP6}
+    return {"op1_license_scan": licenses.oracle(), "op6_warc": OP6, "op11_substring_dedup": OP11}
