@@ -6,12 +6,13 @@ hashes of its runs of ANCHOR words, so that equal windows have equal anchors, an
 anchor is in one document only are out. Windows in sequence with one anchor are a *run*, about one
 for 21 words; all that moves for a document are its runs, and equal runs count as one from there on.
 
-The windows of distinct runs are cut from the document where the run comes first. Equal ones are one
-edge, whose coordinates are the document and place where it comes first. Edges that other documents
-have too are joined to the nodes with one way in and one way out, which makes repeated nonbranching
-paths; a path is a span of one document, its source. Runs then meet the paths instead of windows, and
-a document's runs give its repeated spans, each with its place in the source. A second fingerprint
-of the words at both coordinates has to agree, else the span is not repeated.
+A run that is the only one with its anchor, whatever the number of documents that have it, is one long
+edge. The windows of others are cut from the document where the run comes first; equal ones are one
+edge, whose coordinates are the document with the least doc_id that has it and a place there. Edges
+that other documents have too are joined to the nodes with one way in and one way out, which makes
+repeated nonbranching paths; a path is a span of one document, its source. Runs then meet the paths
+instead of windows, and a document's runs give its repeated spans, each with its place in the source.
+A second fingerprint of the words at both coordinates has to agree, else the span is not repeated.
 """
 
 from __future__ import annotations
@@ -97,67 +98,81 @@ def signed(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(found: DataFrame, length: int) -> DataFrame:
-    """``found`` (doc_id, mark, text, runs: start, n, run, last) -> a row for each window of the runs: run, at (its place in the run), edge, tail and head (its nodes), second (another fingerprint), doc_id, mark, place, last."""
+    """``found`` (doc_id, mark, text, runs: start, n, run, last, alone) -> edges of the runs: a run that is alone with its anchor is one long edge, of any other each window is one.
+
+    Columns: run, alone, at (the edge's place in the run), n (its windows), edge, tail and head (its
+    nodes), second (another fingerprint of its windows), doc_id, place, last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             words = words_of(part.column("text"))
             hashes = words.hashes()
             one, two = Rolling(hashes), Rolling(hashes, _SECOND)
+            upto = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(two.spans(np.arange(max(0, len(hashes) - length + 1)), length))])
             lists = part.column("runs")
             of = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            start, n, name, last = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "run", "last"))
-            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-            at = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-            place = at + np.repeat(start, n)
-            row = np.repeat(of, n)
+            start, n, name, last, alone = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "run", "last", "alone"))
+            edges = np.where(alone, 1, n)
+            ends = np.concatenate([[0], np.cumsum(edges, dtype=np.int64)])
+            at = np.arange(ends[-1]) - np.repeat(ends[:-1], edges)
+            size = np.repeat(np.where(alone, n, 1), edges).astype(np.int64)
+            place = at + np.repeat(start, edges)
+            row = np.repeat(of, edges)
             here = place + words.first[row]
-            ids, marks = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "mark"))
-            nodes = [_signed(one.spans(here + i, length - 1)) for i in (0, 1)]
-            columns = [pa.array(np.repeat(name, n)), pa.array(at, pa.int32()), _signed(one.spans(here, length)), *nodes, _signed(two.spans(here, length)), pa.array(ids), pa.array(marks), pa.array(place, pa.int32()), pa.array(np.repeat(last, n))]
-            yield pa.RecordBatch.from_arrays(columns, ["run", "at", "edge", "tail", "head", "second", "doc_id", "mark", "place", "last"])
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            hashed = [_signed(x) for x in (one.spans(here, size + length - 1), one.spans(here, length - 1), one.spans(here + size, length - 1), upto[here + size] ^ upto[here])]
+            columns = [pa.array(np.repeat(name, edges)), pa.array(np.repeat(alone, edges)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), *hashed, pa.array(ids), pa.array(place, pa.int32()), pa.array(np.repeat(last, edges))]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "alone", "at", "n", "edge", "tail", "head", "second", "doc_id", "place", "last"])
 
-    return found.mapInArrow(run, "run long, at int, edge long, tail long, head long, second long, doc_id long, mark long, place int, last long")
+    return found.mapInArrow(run, "run long, alone boolean, at int, n int, edge long, tail long, head long, second long, doc_id long, place int, last long")
 
 
 def _texts_of(docs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` that ``lists`` (doc_id, mark, ...) has a row for, with its columns; a sieve spares most others the shuffle."""
+    """The rows of ``docs`` that ``lists`` (doc_id, mark, ...) has a row for, each once, with its columns; a sieve spares most others the shuffle."""
     key = F.xxhash64("doc_id", "mark")
-    return sifted(docs.filter("doc_id is not null"), key, sieve(lists, key, name)).join(lists, ["doc_id", "mark"])
+    near = sifted(docs.filter("doc_id is not null"), key, sieve(lists, key, name))
+    return near.groupBy("doc_id", "mark").agg(F.first("text").alias("text")).join(lists, ["doc_id", "mark"])
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """``edges`` with path: the place in its source where its repeated nonbranching path begins.
+    """``edges`` with path: the first edge of the repeated nonbranching path that each is on.
 
     An edge follows on the one before it where their common node has one way in and one way out, and
     the one before it comes just before it in the same source. So a path is one span of its source.
     """
     ways = edges.select(F.col("head").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).union(edges.select("tail", F.lit(0), F.lit(1)))
     plain = materialize(ways.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).filter("into = 1 and out = 1").select(F.col("node").alias("tail"), F.lit(True).alias("plain")), "nodes")
-    by = Window.partitionBy("source", "source_mark").orderBy("source_start")
-    follows = F.col("plain") & (F.lag("source_start").over(by) == F.col("source_start") - 1) & (F.lag("head").over(by) == F.col("tail"))
+    by = Window.partitionBy("source").orderBy("source_start")
+    follows = F.col("plain") & (F.lag(F.col("source_start") + F.col("n")).over(by) == F.col("source_start")) & (F.lag("head").over(by) == F.col("tail"))
     joined = edges.join(plain, "tail", "left").withColumn("begins", ~F.coalesce(follows, F.lit(False)))
-    return joined.withColumn("path", F.max(F.when(F.col("begins"), F.col("source_start"))).over(by)).drop("begins", "plain")
+    return joined.withColumn("path", F.last(F.when(F.col("begins"), F.col("edge")), ignorenulls=True).over(by)).drop("begins", "plain")
 
 
 def _spans(docs: DataFrame, sign: DataFrame, length: int) -> DataFrame:
     """doc_id, mark, start, n (windows in sequence), second, source, source_start: windows that a document with a smaller doc_id has too."""
     runs = sign.filter("doc_id is not null").select("doc_id", "mark", F.inline(F.arrays_zip("anchor", "run", "start", "n")))
     shared = materialize(runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "anchors")
-    kept = materialize(runs.join(shared, "anchor", "left_semi").drop("anchor"), "runs")
-    distinct = kept.groupBy("run").agg(F.min(F.struct("doc_id", "mark", "start")).alias("at"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
-    sources = distinct.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "run", "last")).alias("runs"))
+    kept = materialize(runs.join(shared, "anchor", "left_semi"), "runs")
+    distinct = kept.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
+    distinct = materialize(distinct.select("anchor", "run", "first.*", "last", "n"), "distinct")
+    alone = materialize(distinct.groupBy("anchor").agg(F.min("run").alias("a"), F.max("run").alias("b")).filter("a = b").select("anchor", F.lit(True).alias("alone")), "alone")
+    told = distinct.join(alone, "anchor", "left").withColumn("alone", F.coalesce("alone", F.lit(False))).filter("not alone or doc_id < last")
+    sources = told.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "run", "last", "alone")).alias("runs"))
     windows = materialize(_windows(_texts_of(docs, materialize(sources, "sources"), "source_sieve").select("doc_id", "mark", "text", "runs"), length), "windows")
-    first = F.min(F.struct("doc_id", "mark", "place", "second", "tail", "head"))
-    edges = windows.groupBy("edge").agg(first.alias("first"), F.max("last").alias("last")).filter("first.doc_id < last")
-    edges = materialize(edges.select("edge", F.col("first.doc_id").alias("source"), F.col("first.mark").alias("source_mark"), F.col("first.place").alias("source_start"), "first.second", "first.tail", "first.head"), "edges")
-    paths = materialize(_paths(edges).select("edge", "source", "source_mark", "source_start", "path", "second"), "paths")
-    met = windows.select("run", "at", "edge").join(paths, "edge")
-    # of a run, what is on one path at one distance is in sequence; a set, as a repeated row gives the same windows
-    ranges = met.groupBy("run", "source", "source_mark", "path", (F.col("source_start") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "second")).alias("windows"))
-    second = F.aggregate("windows", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(w.second))
-    ranges = ranges.select("run", "source", "shift", F.array_min("windows.at").alias("at"), F.size("windows").alias("windows"), second.alias("second"))
-    found = kept.join(materialize(ranges, "ranges"), "run").filter("source < doc_id")
+    # the same window may come twice in its source: which of its places counts is open
+    first = [F.min_by(c, "doc_id").alias(to) for c, to in (("place", "source_start"), ("second", "second"), ("tail", "tail"), ("head", "head"))]
+    edges = windows.filter("not alone").groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("last").alias("last"), *first).filter("source < last")
+    columns = ["edge", "source", "source_start", "second", "tail", "head"]
+    long = windows.filter("alone").select("edge", F.col("doc_id").alias("source"), F.col("place").alias("source_start"), "second", "tail", "head", "n")
+    edges = materialize(edges.select(*columns, F.lit(1).alias("n")).unionByName(long), "edges")
+    paths = materialize(_paths(edges).select("edge", "source", "source_start", "path", "second", "n"), "paths")
+    # of a run, what is on one path at one distance is in sequence
+    shift = (F.col("source_start") - F.col("at")).alias("shift")
+    met = windows.filter("not alone").select("run", "at", "edge").join(paths.filter("n = 1"), "edge")
+    ranges = met.groupBy("run", "source", "path", shift).agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows"), F.bit_xor("second").alias("second")).drop("path")
+    whole = windows.filter("alone").select("run", F.col("doc_id").alias("source"), F.col("place").alias("shift"), "at", F.col("n").alias("windows"), "second")
+    found = kept.join(materialize(ranges.unionByName(whole), "ranges"), "run").filter("source < doc_id")
     return found.select("doc_id", "mark", (F.col("start") + F.col("at")).alias("start"), F.col("windows").alias("n"), "second", "source", (F.col("shift") + F.col("at")).alias("source_start"))
 
 
@@ -227,8 +242,8 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """
     marked = wanted(docs, {"doc_id": "long", "text": "string"}).withColumn("mark", F.xxhash64("text"))
     sign, removed = _removed(marked, length)
-    once = materialize(removed.groupBy("doc_id", "mark").agg(F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("kept_sha256")), "removed")
-    out = sign.select("doc_id", "mark", "n_words", "whole").join(once, ["doc_id", "mark"], "left")
+    removed = materialize(removed.drop("kept_text"), "removed")
+    out = sign.select("doc_id", "mark", "n_words", "whole").join(removed, ["doc_id", "mark"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
@@ -236,7 +251,7 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """``docs`` with all its columns, and in texts with repeated spans just the words that stay, joined by one space; other texts are as they were."""
     small = wanted(docs, {"doc_id": "long", "text": "string"}).withColumn("mark", F.xxhash64("text"))
     _, removed = _removed(small, length)
-    once = materialize(removed.groupBy("doc_id", "mark").agg(F.first("kept_text").alias("__kept")).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), "kept")
+    once = materialize(removed.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept_text").alias("__kept")), "kept")
     rows = docs.withColumn("__own", F.col("doc_id").cast("long")).withColumn("__own_mark", F.xxhash64(F.col("text").cast("string")))
     joined = rows.join(once, (F.col("__own") == F.col("__id")) & (F.col("__own_mark") == F.col("__mark")), "left")
     return joined.select(*[F.coalesce("__kept", F.col("text").cast("string")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
