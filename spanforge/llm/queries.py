@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import licenses, pieces
+from spanforge.llm.alignment import align_tokens
+from spanforge.llm.collocations import collocations
 from spanforge.llm.common import table
 from spanforge.llm.lm import score_texts
 from spanforge.llm.mixing import mix
@@ -63,6 +65,14 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
@@ -86,9 +96,28 @@ SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 """
 
 
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+o AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w WHERE len(ws) > 0),
+f AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM o, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+k AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1 : k], ' ') AS p1, array_to_string(ws[k + 1 : m], ' ') AS p2 FROM c, (VALUES (1), (2), (3)) v(k) WHERE k < m),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, f1.a AS l, f2.a AS r, (CAST(2000000 AS HUGEINT) * k.a) // (f1.a + f2.a) AS score
+      FROM k JOIN f f1 ON f1.lang = k.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = k.lang AND f2.phrase = p2),
+x AS (SELECT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (1), (2), (3)) u(i), (VALUES (2), (3)) v(j) WHERE j < m AND i + j - 1 <= m GROUP BY 1, 2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN x USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op6_warc": OP6, "op11_substring_dedup": OP11}
+    return {"op1_license_scan": licenses.oracle(), "op6_warc": OP6, "op11_substring_dedup": OP11, "op12_collocations": OP12}
