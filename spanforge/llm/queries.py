@@ -99,9 +99,11 @@ SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 OP12 = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
-o AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w WHERE len(ws) > 0),
-f AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM o, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+i AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+w AS (SELECT lang, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM i),
+o AS (SELECT lang, w, w || ' ' || lead(w) OVER q AS w2, w || ' ' || lead(w) OVER q || ' ' || lead(w, 2) OVER q AS w3, w || ' ' || lead(w) OVER q || ' ' || lead(w, 2) OVER q || ' ' || lead(w, 3) OVER q AS w4 FROM w WINDOW q AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, 1 AS m, w AS phrase, count(*) AS a FROM o GROUP BY ALL UNION ALL SELECT lang, 2, w2, count(*) FROM o WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w3, count(*) FROM o WHERE w3 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 4, w4, count(*) FROM o WHERE w4 IS NOT NULL GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
 c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
 k AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1 : k], ' ') AS p1, array_to_string(ws[k + 1 : m], ' ') AS p2 FROM c, (VALUES (1), (2), (3)) v(k) WHERE k < m),
