@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.session import keep
+from spanforge.operators.names import name_runs
 
 
 def unique_candidates(links: DataFrame, min_probability: float = 0.0) -> DataFrame:
@@ -30,14 +30,13 @@ def translated_candidates(candidates: DataFrame, translations: DataFrame, names:
     return named.groupBy("page", "name").agg(F.count("*").alias("n"), F.min("title").alias("title")).filter("n = 1").drop("n")
 
 
-def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str | None = None) -> DataFrame:
-    """(page, start, end, name) of docs (page, words): from each word on the longest name (of ``longest`` words at most) wins, and linking goes on behind it.
+def greedy_links(docs: DataFrame, names: DataFrame, longest: int | None = None, subword: str | None = None) -> DataFrame:
+    """(page, start, end, name) of docs (page, words): from each word on the longest name (of ``longest`` tokens at most, or of any number) wins, and linking goes on behind it.
 
     ``subword`` names a column of flags, true for tokens that go on with a word: they are joined
     without a space, and no link starts or ends inside a word.
 
-    Runs of words meet names by 96 bits of hashes, so that no run becomes a string before it is
-    known to be a name. What overlaps is then settled page by page: hits go by in order, and only
+    Runs of words meet names by two hashes of 64 bits and their length. What overlaps is then settled page by page: hits go by in order, and only
     where the last link ended is remembered.
     """
     hits = name_hits(docs, names, longest, subword)
@@ -60,27 +59,20 @@ def greedy_links(docs: DataFrame, names: DataFrame, longest: int, subword: str |
     return ordered.mapInArrow(run, f"page {kind}, start int, end int, name string")
 
 
-def name_hits(docs: DataFrame, names: DataFrame, longest: int, subword: str | None = None) -> DataFrame:
-    """(page, start, end, name) of all runs of up to ``longest`` words of docs (page, words) that are names."""
-    # words and what follows them side by side, by slices of one array: rows of a few strings
-    ahead = {f"w{k}": F.slice("words", k + 1, 1 << 30) for k in range(longest)}
-    if subword:
-        ahead |= {f"g{k}": F.slice(subword, k + 1, 1 << 30) for k in range(longest + 1)}
-    rows = docs.filter(F.size("words") > 0).select("page", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in ahead.items()])).alias("start", "x"))
-    rows = rows.select("page", "start", "x.*").filter("w0 is not null")
-    if subword:
-        rows = rows.filter(~F.col("g0"))
-
-    def run(n: int) -> Column:
-        gaps = [F.when(F.col(f"g{k}"), "").otherwise(" ") if subword else F.lit(" ") for k in range(n)]
-        name = F.concat("w0", *[x for k in range(1, n) for x in (gaps[k], F.col(f"w{k}"))])
-        there = F.col(f"w{n - 1}").isNotNull() & (~F.coalesce(F.col(f"g{n}"), F.lit(False)) if subword else F.lit(True))
-        return F.when(there, F.struct(F.lit(n).alias("n"), F.xxhash64(name).alias("__h"), F.hash(name).alias("__g")))
-
-    # written first, so that their size is known: a table below Spark's threshold is broadcast, and no run of words is shuffled
-    hashed = keep(names.select("name").distinct().select("name", F.xxhash64("name").alias("__h"), F.hash("name").alias("__g")), "names")
+def name_hits(docs: DataFrame, names: DataFrame, longest: int | None = None, subword: str | None = None) -> DataFrame:
+    """(page, start, end, name) of all runs of words of docs (page, words) that are names, of up to ``longest`` words or of any number.
+
+    With ``subword`` words are put together first, and places are those of the tokens again after that.
+    """
     if not subword:
-        firsts = hashed.select(F.xxhash64(F.substring_index("name", " ", 1)).alias("__f")).distinct()
-        rows = rows.withColumn("__f", F.xxhash64("w0")).join(firsts, "__f", "left_semi")
-    runs = rows.select("page", "start", F.inline(F.array(*[run(n) for n in range(1, longest + 1)]))).filter("n is not null")
-    return runs.join(hashed, ["__h", "__g"]).select("page", "start", (F.col("start") + F.col("n")).alias("end"), "name")
+        return name_runs(docs, names, longest).select("page", "start", (F.col("start") + F.col("n")).alias("end"), "name")
+    # what goes on with a word before any word has begun belongs to none
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: ~F.element_at(subword, (i + 1).cast("int")))
+    begun = docs.filter(F.size("words") > 0).select("page", "words", at.alias("at"))
+    ends = F.concat(F.slice("at", 2, 1 << 30), F.array(F.size("words")))
+    whole = F.transform(F.arrays_zip(F.col("at").alias("a"), ends.alias("b")), lambda x: F.array_join(F.slice("words", x["a"] + 1, x["b"] - x["a"]), ""))
+    joined = begun.filter(F.size("at") > 0).select("page", whole.alias("words"), "at", ends.alias("ends"))
+    # the places ride along in the page, so that nothing is joined back
+    held = joined.select(F.struct("page", "at", "ends").alias("page"), "words")
+    found = name_runs(held, names).select("page.page", F.element_at("page.at", F.col("start") + 1).alias("start"), F.element_at("page.ends", F.col("start") + F.col("n")).alias("end"), "name")
+    return found if longest is None else found.filter(F.col("end") - F.col("start") <= longest)

@@ -25,8 +25,8 @@ def ngrams(words, n: int):
     return F.flatten(F.array(*[of(k) for k in range(1, n + 1)]))
 
 
-def occurrences(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
-    """(page, name) for each page of docs (page, words) and name of up to ``longest`` words that stands in it at word boundaries."""
+def occurrences(docs: DataFrame, names: DataFrame, longest: int | None = None) -> DataFrame:
+    """(page, name) for each page of docs (page, words) and name, of up to ``longest`` words or of any number, that stands in it at word boundaries."""
     return name_hits(docs, names, longest).select("page", "name").distinct()
 
 

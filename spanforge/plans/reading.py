@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.operators import linking, mentions
+from spanforge.operators import sentences as S
 from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
 from spanforge.session import fresh_path
@@ -46,3 +48,61 @@ def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = dump.paragraphs(pages.filter("redirect is null")).groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
     flags = pages.select("page_id", "title", "redirect", dump.is_disambiguation().alias("disambiguation"))
     return flags.join(own, "page_id", "left").select("title", "redirect", "disambiguation", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+# sentences
+
+
+_SQL_ABBREVIATIONS = rf"""tk AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{C.WORDS}')) AS t FROM documents),
+st AS (SELECT lang, CASE WHEN ends_with(t, '.') THEN substring(t, 1, length(t) - 1) ELSE t END AS word, ends_with(t, '.') AS stop FROM tk),
+ct AS (SELECT lang, word, count(*) FILTER (stop) AS n_stop, count(*) FILTER (NOT stop) AS n_plain FROM st WHERE regexp_matches(word, '^\p{{L}}[\p{{L}}.]*$') GROUP BY ALL),
+sh AS (SELECT lang, sum(n_stop) / sum(n_stop + n_plain) AS p FROM ct GROUP BY 1),
+sc AS (SELECT lang, word, n_stop, n_plain, length(replace(word, '.', '')) AS k, 2 * (n_stop * ln({S.SHARE} / p) + n_plain * ln({1 - S.SHARE} / (1 - p))) AS ratio FROM ct JOIN sh USING (lang) WHERE n_stop > 0),
+ab AS (SELECT lang, word, n_stop, n_plain, ratio * exp(-k) * (length(word) - k + 1) * pow(k, -n_plain) AS score FROM sc)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C._t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "lang", "text")
+
+
+@query(f"WITH {_SQL_ABBREVIATIONS} SELECT lang, word, n_stop, n_plain, round(score, 6) AS score FROM ab WHERE score >= {S.LEAST_SCORE}")
+def learned_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = S.abbreviation_scores(S.word_stops(_texts(spark, sf_dir))).filter(F.col("score") >= S.LEAST_SCORE)
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query()
+def sentences_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return S.sentences(docs, "en", S.abbreviations(docs))
+
+
+@query()
+def sentences_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return S.sentences(docs, S.TRAINED, S.abbreviations(docs))
+
+
+# names of any length
+
+
+_SQL_LONG_NAMES = rf"""b0 AS (SELECT regexp_extract_all(text, '{C.WORDS}') AS w FROM benchmark),
+names AS (SELECT DISTINCT array_to_string(x, ' ') AS name FROM (SELECT w AS x FROM b0 UNION ALL SELECT w[1:10] FROM b0 UNION ALL SELECT w[-5:] FROM b0) WHERE len(x) > 0),
+dx AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '{C.WORDS}'), ' ') || ' ' AS t FROM documents)"""
+
+
+def _long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items of the benchmark, their first ten and their last five words."""
+    words = C._t(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(C.WORDS), F.lit(0)).alias("w"))
+    parts = F.array("w", F.slice("w", 1, 10), F.slice("w", F.greatest(F.lit(1), F.size("w") - 4), 5))
+    return words.filter(F.size("w") > 0).select(F.explode(F.transform(parts, lambda x: F.array_join(x, " "))).alias("name")).distinct()
+
+
+@query(f"WITH {_SQL_LONG_NAMES} SELECT doc_id AS page, name FROM dx, names WHERE contains(t, ' ' || name || ' ')")
+def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.occurrences(C._words(spark, sf_dir).withColumnRenamed("doc_id", "page"), _long_names(spark, sf_dir))
+
+
+@query()
+def long_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.greedy_links(C._words(spark, sf_dir).withColumnRenamed("doc_id", "page"), _long_names(spark, sf_dir))
