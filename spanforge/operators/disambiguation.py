@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import keep
+
 
 def coreferences(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     """(doc, mention, other): other mentions of a document whose text holds this one's at word boundaries and whose best candidate is a person.
@@ -102,3 +104,32 @@ def align(mentions: DataFrame, spans: DataFrame) -> DataFrame:
 
     kind = dict(mentions.dtypes)["doc"]
     return mentions.groupBy("doc").cogroup(spans.groupBy("doc")).applyInPandas(merge, f"doc {kind}, mention long, start long, end long")
+
+
+def global_choices(candidates: DataFrame, topics: DataFrame, weight: int = 1) -> tuple[DataFrame, int]:
+    """(page, mention, title, score, round) of candidates (page, mention, title, score), and the number of rounds it took.
+
+    In each round every page fixes one mention, the one whose best candidate has the largest share of
+    its mention's scores, and gives it that title (ties: the lesser mention, then title). The titles
+    of the page that share a topic (topics: title, topic) with it then gain ``weight`` for each topic
+    shared, and the next round sees those scores. It ends when no mention is open. Scores are positive
+    whole numbers; a mention without candidates doesn't occur. Of repeated candidates the highest counts.
+
+    A round is a few joins on the page, over open mentions only, and is written, so that the plan of
+    the next one starts from a table; there are as many rounds as the page with the most mentions has.
+    """
+    left = candidates.groupBy("page", "mention", "title").agg(F.max("score").cast("long").alias("score"))
+    open_, done, rounds = keep(left, "open"), [], 0
+    pairs = topics.select("title", "topic").distinct()
+    while not open_.isEmpty():
+        rounds += 1
+        total = F.sum("score").over(Window.partitionBy("page", "mention"))
+        best = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("share"), "mention", "title"))
+        fixed = open_.withColumn("share", F.col("score") / total).withColumn("best", best).filter("best = 1")
+        fixed = keep(fixed.select("page", "mention", "title", "score", F.lit(rounds).alias("round")), "fixed")
+        done.append(fixed)
+        rest = open_.join(fixed.select("page", F.col("mention").alias("__fixed")), "page").filter("mention <> __fixed").drop("__fixed")
+        chosen = fixed.select("page", "title").join(pairs, "title").select("page", "topic")
+        gains = rest.select("page", "title").distinct().join(pairs, "title").join(chosen, ["page", "topic"]).groupBy("page", "title").agg((F.count("*") * weight).alias("gain"))
+        open_ = keep(rest.join(gains, ["page", "title"], "left").select("page", "mention", "title", (F.col("score") + F.coalesce("gain", F.lit(0))).alias("score")), "open")
+    return (reduce(DataFrame.unionByName, done) if done else left.withColumn("round", F.lit(0))), rounds

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import linking, mentions
+from spanforge.operators import disambiguation, linking, mentions, packing, sampling
 from spanforge.operators import sentences as S
 from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
@@ -106,3 +106,38 @@ def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def long_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.greedy_links(C._words(spark, sf_dir).withColumnRenamed("doc_id", "page"), _long_names(spark, sf_dir))
+
+
+# choices and orders
+
+
+@query(f"""WITH RECURSIVE {C._SQL_LINES}, k AS (SELECT name, title, count(*) AS n, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, title) AS rn FROM orders3 GROUP BY name, title),
+c AS (SELECT DISTINCT page, name AS mention, k.title, n AS score, s_nationkey AS topic FROM orders3 JOIN k USING (name) JOIN supplier ON s_name = k.title WHERE rn <= 5),
+r AS (SELECT 1 AS round, page, mention, title, topic, score, row_number() OVER (PARTITION BY page ORDER BY share DESC, mention, title) = 1 AS fixed
+      FROM (SELECT *, score / sum(score) OVER (PARTITION BY page, mention) AS share FROM c)
+  UNION ALL SELECT round, page, mention, title, topic, score, row_number() OVER (PARTITION BY page ORDER BY share DESC, mention, title) = 1
+      FROM (SELECT *, score / sum(score) OVER (PARTITION BY page, mention) AS share
+            FROM (SELECT round + 1 AS round, page, mention, title, topic, score + CASE WHEN topic = own THEN 2 ELSE 0 END AS score
+                  FROM (SELECT *, max(CASE WHEN fixed THEN mention END) OVER (PARTITION BY page) AS gone, max(CASE WHEN fixed THEN topic END) OVER (PARTITION BY page) AS own FROM r) WHERE mention <> gone)))
+SELECT page, mention, title, CAST(score AS BIGINT) AS score, round FROM r WHERE fixed""")
+def global_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = C._order_links(spark, sf_dir)
+    known = mentions.mention_db(links, links.select("page", "name"), top=5).select("name", "title", F.col("link_count").alias("score"))
+    candidates = links.select("page", "name").distinct().join(known, "name").select("page", F.col("name").alias("mention"), "title", "score")
+    topics = C._t(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.col("s_nationkey").alias("topic"))
+    return disambiguation.global_choices(candidates, topics, weight=2)[0]
+
+
+@query(f"""WITH {C._SQL_SIZES}, q AS (SELECT dataset, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () AS rate FROM z),
+g AS (SELECT doc_id, dataset, CAST(floor(-ln(((doc_id * 48271) % 2147483647 + 0.5) / 2147483647) * {sampling.STEPS} / rate) AS BIGINT) AS gap FROM documents JOIN q ON lang = dataset),
+t AS (SELECT doc_id, dataset, sum(gap) OVER (PARTITION BY dataset ORDER BY doc_id) AS t FROM g)
+SELECT doc_id, dataset, row_number() OVER (ORDER BY t, dataset, doc_id) - 1 AS place FROM t""")
+def drawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C._t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
+    chance = (F.pmod(F.col("doc_id") * 48271, F.lit(2147483647)) + 0.5) / 2147483647
+    return sampling.drawn_order(rows, packing.mixing_rates(C._sizes(spark, sf_dir)), "doc_id", chance=chance)
+
+
+@query("SELECT doc_id, lang FROM documents")
+def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.shuffle_buffer(C._t(spark, sf_dir, "documents").select("doc_id", "lang"), 128, seed=5)
