@@ -27,7 +27,7 @@ from spanforge.llm.words import bytes_of, hash_spans, mix
 
 LEAST, TOP, NO_LANG = 30, 2000, "und"
 #: Bytes of text in a block, but for a single longer one.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x09, 0x20]] = True
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -54,8 +54,8 @@ def block_of(texts: pa.Array, langs: pa.Array) -> Block:
     cut[rows] = True
     starts = np.flatnonzero(inside & (cut[:-1] | np.concatenate([[True], ~inside[:-1]])[: len(data)]))
     ends = np.flatnonzero(inside & (cut[1:] | np.concatenate([~inside[1:], [True]])[: len(data)])) + 1
-    row = np.searchsorted(rows, starts, side="right") - 1
-    piece = np.cumsum(_BREAK[data])[starts] + row
+    row = (np.searchsorted(rows, starts, side="right") - 1).astype(np.int32)
+    piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts] + row
     lang_data, lang_rows = bytes_of(langs)
     of_lang = mix(hash_spans(lang_data, lang_rows[:-1], lang_rows[1:]) + np.uint64(1))
     ids = mix(hash_spans(data, starts, ends) ^ of_lang[row])
