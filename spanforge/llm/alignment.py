@@ -228,7 +228,7 @@ def _head_from(counts: DataFrame, head: int) -> int:
         least = bits
     else:
         least = 1
-    return 0 if least == 1 else 1 << (least - 1)
+    return 0 if least == 1 else min(1 << (least - 1), (1 << 63) - 1)
 
 
 def _tallied(rows: DataFrame, counts: DataFrame, least: int, n_b: int) -> DataFrame:
