@@ -5,7 +5,9 @@ Largest inner product becomes nearest in Euclidean distance by one more coordina
 bounded size by a hash of their row. A task gets a shard's vectors first, builds its tree once, and
 then all queries stream past it in batches: each batch goes down the tree together, first to each
 query's nearest leaf, then to all parts that the triangle inequality, relaxed by ``factor``, can't
-rule out. Factor 1 is exact; a smaller one prunes more.
+rule out. Factor 1 is exact; a smaller one prunes more. A query whose last places are tied among more
+vectors than the search remembers is compared with all vectors of the shard, so that the least ids
+come out.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ class VantageTree:
             self.nodes[at] = (p, float(d[near].max()), (d[near].min(), d[near].max(), d[far].min(), d[far].max()), inner, outer)
             todo += [inner, outer]
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the ``k`` or so largest inner products found for each of ``q``, -1 where there are fewer; and how many products were computed for each."""
+    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the ``k`` or so largest inner products found for each of ``q``, -1 where there are fewer; the products; and how many were computed for each."""
         score = np.full((len(q), k), -np.inf)
         found = np.full((len(q), k), -1, np.int64)
         work = np.zeros(len(q), np.int64)
@@ -105,7 +107,7 @@ class VantageTree:
 
         down(0, np.arange(len(q)))
         visit(0, np.arange(len(q)), max(1, k // 2))
-        return found, work
+        return found, score, work
 
 
 class Shard:
@@ -117,17 +119,35 @@ class Shard:
         _, first, inverse = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
         self.by = np.argsort(inverse, kind="stable")
         self.offsets = np.searchsorted(inverse[self.by], np.arange(len(first) + 1))
-        self.distinct = x[first]
-        self.tree = VantageTree(self.distinct, reach)
+        self.distinct, self.least, self.reach = x[first], first, reach  # least: by it vectors are in order of their least ids
+        # squares and products of finite components may not be finite: then all are computed
+        self.tree = VantageTree(self.distinct, reach) if np.isfinite(4 * reach * reach) else None
+
+    def candidates(self, q: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """Distinct vectors for each of ``q``, -1 for none, the k + 1 best with the least ids among them."""
+        want = min(2 * k + 2, len(self.distinct))
+        if self.tree is None:
+            found, open_ = np.full((len(q), want), -1, np.int64), np.arange(len(q))
+        else:
+            found, score, _ = self.tree.search(q, want, factor)
+            best = -np.sort(-score, axis=1)
+            slack = 1e-12 * (np.sqrt((q * q).sum(axis=1)) * self.reach)
+            open_ = np.flatnonzero(best[:, -1] >= best[:, min(k, want - 1)] - slack) if want < len(self.distinct) else np.zeros(0, np.int64)
+        for i in open_:
+            with np.errstate(over="ignore", invalid="ignore"):
+                own = (q[i] * self.distinct).sum(axis=1)
+            found[i] = np.lexsort((self.least, -own))[:want]
+        return found
 
     def search(self, query_rows: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
         """Each query's ``k`` best here, but itself: query_row, query_id, row, vec_id, score."""
-        found, _ = self.tree.search(q, min(2 * k + 2, len(self.distinct)), factor)
+        found = self.candidates(q, k, factor)
         row, place = np.nonzero(found >= 0)
         which = found[row, place]
         copies = np.minimum(np.diff(self.offsets), k + 1)[which]
         at = np.repeat(self.offsets[:-1][which], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-        score = (q[row] * self.distinct[which]).sum(axis=1)  # in the same way for equal vectors, wherever they lie
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (q[row] * self.distinct[which]).sum(axis=1)  # in the same way for equal vectors, wherever they lie
         which, at = np.repeat(row, copies), self.by[at]
         out = pd.DataFrame({"query_row": query_rows[which], "query_id": query_ids[which], "row": self.rows[at], "vec_id": self.ids[at], "no_id": self.no_id[at], "score": np.repeat(score, copies)})
         out = out[out.query_row != out.row].sort_values(["query_row", "score", "no_id", "vec_id", "row"], ascending=[True, False, True, True, True])
@@ -150,7 +170,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = K, factor: float =
     """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by ``every``, the ``k`` nearest found of all other rows.
 
     Nearest first, ties to the smaller vec_id, null last; scores are inner products of the original
-    vectors in double precision. Vectors that are null, empty, zero or hold null or non-finite
+    vectors in double precision; where components are so large that a product isn't finite, infinity
+    comes before all numbers, what is no number last. Vectors that are null, empty, zero or hold null or non-finite
     components take no part. Rows that repeat a vec_id are candidates of their own, for each other
     too, and each asks its own query under the same query_id; a row without a vec_id is a candidate
     but no query. Vectors meet those with the same number of components only. Other columns are
@@ -187,5 +208,5 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = K, factor: float =
 
     both = points.unionByName(asked).repartition(max(1, 4 * cells), "dim", "shard", "pass").sortWithinPartitions("dim", "shard", "pass", "asks")
     found = both.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.isnan("score"), F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -269,12 +269,30 @@ def test_vantage_tree_of_equal_distances():
     x = np.eye(3000)
     tree = neighbours.VantageTree(x, 1.0)
     q = x[:7] * 2.0
-    found, _ = tree.search(q, 3, 1.0)
+    found, *_ = tree.search(q, 3, 1.0)
     assert [max(f, key=lambda i: q[n] @ x[i]) for n, f in enumerate(found)] == list(range(7))
     leaves = [n[0] for n in tree.nodes if len(n) == 1]
     assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and max(map(len, leaves)) <= neighbours.LEAF
 
 
+@pytest.mark.parametrize(("n", "factor", "scale"), [(60, 1.0, 1.0), (200, 0.2, 1.0), (200, 1.0, 1e160), (700, 1.0, 0.3), (3000, 1.0, 1.0)])
+def test_nearest_breaks_ties_by_id(spark, n, factor, scale):
+    width = min(n, 200)
+    x = np.zeros((n, width))
+    x[np.arange(n), np.random.default_rng(1).integers(0, width, n)] = scale
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    np.random.default_rng(n).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df.repartition(4), factor=factor, shard_rows=1500).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(0, n, 20):
+            score = (x[i] * x).sum(axis=1)
+            want = [(int(j), float(score[j])) for j in np.lexsort((np.arange(n), -score)) if j != i][:20]
+            assert got[i] == want
+
+
 @pytest.mark.parametrize("shard_rows", [neighbours.SHARD_ROWS, 1000])
 def test_nearest_recall(spark, shard_rows):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
