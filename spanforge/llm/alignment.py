@@ -33,7 +33,9 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 #: Pairs of ids whose counts go to all tasks, at most: 16 MB.
 HEAD = 1 << 20
 #: Units a task remembers, and links of them, before it starts anew; pairs it gathers before it counts them.
-_CACHED, _LINKS, _PAIRS = 150_000, 4_000_000, 3_000_000
+_CACHED, _LINKS, _PAIRS = 400_000, 8_000_000, 3_000_000
+#: Characters of units that are encoded as one text.
+_TOGETHER = 20_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s | \s| \Z")
 
@@ -55,7 +57,8 @@ class Sides:
         a = Tokenizer.from_str(self.a_file)
         a.encode_special_tokens = True
         b = sentencepiece.SentencePieceProcessor(model_proto=self.b_file)
-        return lambda texts: [e.ids for e in a.encode_batch(texts, add_special_tokens=False)], lambda texts: b.encode(texts, num_threads=1)
+        fast = getattr(a, "encode_batch_fast", a.encode_batch)  # without places in the text
+        return lambda texts: [e.ids for e in fast(texts, add_special_tokens=False)], lambda texts: b.encode(texts, num_threads=1)
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -99,6 +102,7 @@ class Aligner:
     def __init__(self, sides: Sides):
         self.sides, (self.encode_a, self.encode_b) = sides, sides.encoders()
         self.size_a, self.size_b = (np.array([len(b) for b in x], np.int64) for x in (sides.a_bytes, sides.b_bytes))
+        self.names = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         self._forget()
 
     def _forget(self) -> None:
@@ -107,13 +111,39 @@ class Aligner:
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, links; all zero if the bytes differ
         self.a, self.b, self.offsets = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _texts(self, units: list[str]) -> list[str]:
+        """``units`` in order, as few texts that are cut into them again: only where neither white space nor an end meets another may they be put together."""
+        out, size = [[]], 0
+        for u in units:
+            loose = not self.sides.cuts or not u or u[0].isspace() or u[-1].isspace()
+            if out[-1] and (loose or size > _TOGETHER):
+                out.append([])
+                size = 0
+            out[-1].append(u)
+            size = size + len(u) if not loose else _TOGETHER + 1
+        return [" ".join(x) for x in out if x]
+
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides in a row, how many each unit has, and which units' bytes both sides hold."""
+        texts = self._texts(units)
+        raw = [b" " + u.encode() for u in units]
+        ends = np.cumsum([len(r) for r in raw])
+        ids, counts, whole = [], [], b"".join(raw)
+        for found, size, held in ((self.encode_a([" " + t for t in texts]), self.size_a, self.sides.a_bytes), (self.encode_b(texts), self.size_b, self.sides.b_bytes)):
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32)
+            upto = np.searchsorted(np.cumsum(size[flat]), ends, side="right")
+            if b"".join(map(held.__getitem__, flat.tolist())) != whole or (np.cumsum(size[flat])[upto - 1] != ends).any():
+                return self._one_by_one(units, raw)
+            ids.append(flat)
+            counts.append(np.diff(upto, prepend=0))
+        return *ids, *counts, np.ones(len(units), bool)
+
+    def _one_by_one(self, units: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_ids``, where the bytes of some unit aren't held."""
         a, b = self.encode_a([" " + u for u in units]), self.encode_b(units)
         good = np.ones(len(units), bool)
-        for i, (u, x, y) in enumerate(zip(units, a, b, strict=True)):
-            raw = b" " + u.encode()
-            if b"".join(map(self.sides.a_bytes.__getitem__, x)) != raw or b"".join(map(self.sides.b_bytes.__getitem__, y)) != raw:
+        for i, (r, x, y) in enumerate(zip(raw, a, b, strict=True)):
+            if b"".join(map(self.sides.a_bytes.__getitem__, x)) != r or b"".join(map(self.sides.b_bytes.__getitem__, y)) != r:
                 good[i], a[i], b[i] = False, [], []
         return *(np.fromiter(itertools.chain.from_iterable(x), np.int32) for x in (a, b)), *(np.array([len(y) for y in x], np.int64) for x in (a, b)), good
 
@@ -126,9 +156,9 @@ class Aligner:
         numbers = np.stack([n_a, n_b, np.bincount(unit[closes], minlength=len(units)), links], axis=1)
         # a group's tokens are those after the last group's up to its own last ones
         last_a, last_b = of_a[closes] + 1, of_b[closes] + 1
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        name_a, name_b = list(map(self.names.__getitem__, a.tolist())), list(map(self.names.__getitem__, b.tolist()))
         sides = zip(itertools.pairwise([0, *last_a.tolist()]), itertools.pairwise([0, *last_b.tolist()]), strict=True)
-        text = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for (i, j), (k, m) in sides]
+        text = [f"{name_a[i]}|{name_b[k]}" if j - i == m - k == 1 else f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for (i, j), (k, m) in sides]
         bounds = np.concatenate([[0], np.cumsum(numbers[:, 2])]).tolist()
         self.place.update(zip(units, itertools.count(len(self.place))))
         self.groups += [";".join(text[i:j]) for i, j in itertools.pairwise(bounds)]
