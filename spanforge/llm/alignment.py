@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 #: Pairs of ids whose counts go to all tasks, at most: 16 MB.
 HEAD = 1 << 20
 #: Units a task remembers, and links of them, before it starts anew; pairs it gathers before it counts them.
-_CACHED, _LINKS, _PAIRS = 400_000, 8_000_000, 3_000_000
+_CACHED, _LINKS, _PAIRS = 300_000, 8_000_000, 3_000_000
 #: Characters of units that are encoded as one text.
 _TOGETHER = 20_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -51,6 +52,7 @@ class Sides:
     cuts: bool  # whether texts may be cut into units
 
     def encoders(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core, not all of them
         import sentencepiece
         from tokenizers import Tokenizer
 
