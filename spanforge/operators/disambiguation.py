@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.names import name_runs
 from spanforge.session import keep
 
 
@@ -18,7 +19,8 @@ def coreferences(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     found and not the square of a document's mentions.
     """
     other = mentions.join(persons.select(F.col("title").alias("top")).distinct(), "top", "left_semi").select("doc", F.col("mention").alias("other"), F.col("text").alias("whole"))
-    runs = other.select("doc", "whole").distinct().withColumn("words", F.split("whole", " ")).select("doc", "whole", F.explode(F.array_distinct(_runs("words"))).alias("text"))
+    wholes = other.select(F.struct("doc", "whole").alias("page"), F.split("whole", " ").alias("words")).distinct()
+    runs = name_runs(wholes, mentions.select(F.col("text").alias("name"))).select("page.*", F.col("name").alias("text")).distinct()
     at = F.instr(F.col("whole"), F.col("text"))
     ends = at + F.length("text")
     open_left = (at == 1) | (F.substring(F.col("whole"), at - 1, F.lit(1)) == " ")
@@ -28,13 +30,6 @@ def coreferences(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     return pairs.filter(F.col("mention") != F.col("other")).select("doc", "mention", "other")
 
 
-def _runs(words: str) -> Column:
-    """All runs of one word or more of an array, joined by spaces."""
-    size = F.size(words)
-    ends = lambda i: F.transform(F.sequence(F.lit(1), size - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.flatten(F.transform(F.sequence(F.lit(0), size - 1), ends))
-
-
 def coreference_priors(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc, mention, title, prior): the mean prior over a mention's coreferences, 0 where one lacks the title, from candidates (doc, mention, title, prior)."""
     n = refs.groupBy("doc", "mention").agg(F.count_distinct("other").alias("n"))

@@ -363,20 +363,20 @@ def ed_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_MENTIONS = rf"""
 mw AS (SELECT doc_id AS doc, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)) WHERE regexp_matches(w[i], '^[A-Z]')),
 mr AS (SELECT *, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS run FROM mw),
-m0 AS (SELECT doc, min(pos) AS mention, string_agg(word, ' ' ORDER BY pos) AS text FROM mr GROUP BY doc, run HAVING count(*) <= 5),
+m0 AS (SELECT doc, min(pos) AS mention, string_agg(word, ' ' ORDER BY pos) AS text FROM mr GROUP BY doc, run),
 rf AS (SELECT a.doc, a.mention, b.mention AS other FROM m0 a JOIN m0 b ON a.doc = b.doc AND a.mention <> b.mention AND a.text <> b.text
 WHERE length(b.text) > 5 AND strpos(b.text, a.text) > 0 AND (strpos(b.text, a.text) = 1 OR substring(b.text, strpos(b.text, a.text) - 1, 1) = ' ')
 AND (strpos(b.text, a.text) + length(a.text) > length(b.text) OR substring(b.text, strpos(b.text, a.text) + length(a.text), 1) = ' '))"""
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of up to five words in a row that begin with a capital, wherever they stand in whole texts; a mention is its first word's place among the words of letters."""
+    """Runs of words in a row, as many as there are, that begin with a capital, wherever they stand in whole texts; a mention is its first word's place among the words of letters."""
     from pyspark.sql import Window
 
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("pos", "word")).filter(F.col("word").rlike("^[A-Z]"))
     rows = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
-    runs = rows.groupBy("doc", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all")).filter(F.size("all") <= 5)
+    runs = rows.groupBy("doc", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all"))
     text = F.array_join("all.word", " ")
     return keep(runs.select("doc", F.get("all.pos", F.lit(0)).cast("long").alias("mention"), text.alias("text"), text.alias("top")), "mentions")
 

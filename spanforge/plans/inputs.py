@@ -226,7 +226,7 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_TURNS = rf"""tn AS (SELECT conv_id, turn, regexp_extract_all(text, '{C.WORDS}') AS q, lead(regexp_extract_all(text, '{C.WORDS}')) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM conversations),
-qa AS (SELECT conv_id * 1000 + turn AS id, q[1:24] AS q, c, len(c) AS n, 40 - least(24, len(q)) - 3 AS room, CASE WHEN len(c) > 4 AND len(c) % 3 > 0 THEN len(c) // 3 END AS s FROM tn WHERE c IS NOT NULL)"""
+qa AS (SELECT conv_id * 1000000 + turn AS id, q[1:24] AS q, q AS whole, c, len(c) AS n, 40 - least(24, len(q)) - 3 AS room, CASE WHEN len(c) > 4 AND len(c) % 3 > 0 THEN len(c) // 3 END AS s FROM tn WHERE c IS NOT NULL)"""
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +235,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("context", F.lead("question").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("context is not null")
     n = F.size("context")
     start = F.when((n > 4) & (n % 3 > 0), F.floor(n / 3).cast("int"))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context", start.alias("start"), (start + 2).alias("end"))
+    return rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "question", "context", start.alias("start"), (start + 2).alias("end"))
 
 
 @query(f"""WITH {_SQL_TURNS}, wi AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil((n - room) / 10) AS BIGINT) + 1))) AS w FROM qa), x AS (SELECT *, w * 10 AS ws, least(room, n - w * 10) AS sz, len(q) + 2 AS o FROM wi)
@@ -246,38 +246,40 @@ def question_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "window", F.array_join("tokens", " ").alias("tokens"), "offset", "w_start", "start", "end")
 
 
-@query(f"""WITH {_SQL_TURNS} SELECT id, array_to_string(['[CLS]'] || q || ['[SEP]', '[SEP]'] || c || ['[SEP]'], ' ') AS tokens, len(q) + 2 AS zeros, len(c) + 1 AS ones, CAST(len(q) + 3 AS INTEGER) AS b_offset FROM qa""")
+@query(f"""WITH {_SQL_TURNS} SELECT id, array_to_string(['[CLS]'] || whole || ['[SEP]', '[SEP]'] || c || ['[SEP]'], ' ') AS tokens, len(whole) + 2 AS zeros, len(c) + 1 AS ones, CAST(len(whole) + 3 AS INTEGER) AS b_offset FROM qa""")
 def passage_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).select("id", F.slice("question", 1, 24).alias("a"), F.col("context").alias("b"))
+    rows = _turns(spark, sf_dir).select("id", F.col("question").alias("a"), F.col("context").alias("b"))
     out = features.passage_features(rows, double=True)
     ones = F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select("id", F.array_join("tokens", " ").alias("tokens"), (F.size("segments") - ones - 1).alias("zeros"), ones.alias("ones"), "b_offset")
 
 
-@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, n // 4 AS s, n - 1 AS e, c[n // 2 + 1:n // 2 + 2] AS a FROM qa WHERE n >= 4), f AS (SELECT *, list_filter(range(s, greatest(s, e - len(a) + 1) + 1), lambda i: c[i + 1:i + len(a)] = a) AS hit FROM r)
+@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, n // 4 AS s, n - 1 AS e, c[n // 2 + 1:n // 2 + 2] AS a FROM qa WHERE n > 0), f AS (SELECT *, list_filter(range(s, greatest(s, e - len(a) + 1) + 1), lambda i: c[i + 1:i + len(a)] = a) AS hit FROM r)
 SELECT id, CAST(coalesce(hit[1], s) AS INTEGER) AS start, CAST(coalesce(hit[1] + len(a) - 1, e) AS INTEGER) AS "end" FROM f""")
 def narrowed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("context")
-    rows = _turns(spark, sf_dir).filter(n >= 4).select("id", F.col("context").alias("tokens"), F.floor(n / 4).cast("int").alias("start"), (n - 1).alias("end"), F.slice("context", F.floor(n / 2).cast("int") + 1, F.lit(2)).alias("answer"))
+    rows = _turns(spark, sf_dir).filter(n > 0).select("id", F.col("context").alias("tokens"), F.floor(n / 4).cast("int").alias("start"), (n - 1).alias("end"), F.slice("context", F.floor(n / 2).cast("int") + 1, F.lit(2)).alias("answer"))
     return features.improved_span(rows).select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, n // 3 AS s, n // 3 + 1 AS e FROM qa WHERE n >= 3) SELECT id, array_to_string(['[CLS]'] || c[1:s] || ['[ENTITY]'] || c[s + 1:e] || ['[ENTITY]'] || c[e + 1:n] || ['[SEP]'], ' ') AS tokens, CAST(s + 1 AS INTEGER) AS start, CAST(s + 1 + e - s + 2 AS INTEGER) AS "end", CASE WHEN n % 2 = 0 THEN '1,0' ELSE '0,1' END AS hot FROM r""")
+@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, n // 3 AS s, least(n, n // 3 + 1) AS e FROM qa) SELECT id, array_to_string(['[CLS]'] || c[1:s] || ['[ENTITY]'] || c[s + 1:e] || ['[ENTITY]'] || c[e + 1:n] || ['[SEP]'], ' ') AS tokens, CAST(s + 1 AS INTEGER) AS start, CAST(s + 1 + e - s + 2 AS INTEGER) AS "end", CASE WHEN n % 2 = 0 THEN '1,0' ELSE '0,1' END AS hot FROM r""")
 def typing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("context")
     s = F.floor(n / 3).cast("int")
     cut = lambda a, size: F.slice("context", a + 1, size)
-    rows = _turns(spark, sf_dir).filter(n >= 3).select("id", F.slice("context", F.lit(1), s).alias("left"), cut(s, F.lit(1)).alias("mention"), cut(s + 1, n).alias("right"), F.array(F.when(n % 2 == 0, "even").otherwise("odd")).alias("labels"))
+    rows = _turns(spark, sf_dir).select("id", F.slice("context", F.lit(1), s).alias("left"), cut(s, F.lit(1)).alias("mention"), cut(s + 1, n).alias("right"), F.array(F.when(n % 2 == 0, "even").otherwise("odd")).alias("labels"))
     return features.typing_features(rows, ["even", "odd"]).select("id", F.array_join("tokens", " ").alias("tokens"), "start", "end", _joined("hot"))
 
 
-@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, CASE WHEN id % 2 = 0 THEN 0 ELSE n - 1 END AS h, n // 2 AS t FROM qa WHERE n >= 4),
+@query(f"""WITH {_SQL_TURNS}, r AS (SELECT id, c, n, CASE WHEN id % 2 = 0 THEN 0 ELSE n - 1 END AS h, CASE WHEN n = 2 AND id % 2 > 0 THEN 0 ELSE n // 2 END AS t FROM qa WHERE n >= 2),
 m AS (SELECT *, CASE WHEN h < t THEN c[1:h] || ['[HEAD]', c[h + 1], '[HEAD]'] || c[h + 2:t] || ['[TAIL]', c[t + 1], '[TAIL]'] || c[t + 2:n] ELSE c[1:t] || ['[TAIL]', c[t + 1], '[TAIL]'] || c[t + 2:h] || ['[HEAD]', c[h + 1], '[HEAD]'] || c[h + 2:n] END AS k FROM r)
 SELECT id, array_to_string(k, ' ') AS tokens, CAST(CASE WHEN h < t THEN h ELSE h + 2 END AS INTEGER) AS head, CAST(CASE WHEN h < t THEN t + 2 ELSE t END AS INTEGER) AS tail FROM m""")
 def relation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("context")
-    h, t = F.when(F.col("id") % 2 == 0, 0).otherwise(n - 1), F.floor(n / 2).cast("int")
-    rows = _turns(spark, sf_dir).filter(n >= 4).select("id", F.col("context").alias("tokens"), h.alias("head_start"), (h + 1).alias("head_end"), t.alias("tail_start"), (t + 1).alias("tail_end"))
+    even = F.col("id") % 2 == 0
+    # two words at least: a head and a tail
+    h, t = F.when(even, 0).otherwise(n - 1), F.when((n == 2) & ~even, 0).otherwise(F.floor(n / 2).cast("int"))
+    rows = _turns(spark, sf_dir).filter(n >= 2).select("id", F.col("context").alias("tokens"), h.alias("head_start"), (h + 1).alias("head_end"), t.alias("tail_start"), (t + 1).alias("tail_end"))
     return features.relation_features(rows).select("id", F.array_join("tokens", " ").alias("tokens"), F.col("head.start").alias("head"), F.col("tail.start").alias("tail"))
 
 
@@ -387,11 +389,11 @@ def random_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C._t(spark, sf_dir, "events").select("event_id", packing.replacement(5, 1000, "event_id").alias("token"))
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN i < 4 THEN 1 ELSE 0 END), ',') AS mask, round(exp(e[1]) / list_sum(list_transform(e, lambda x: exp(x))), 6) AS share, e[2] > 0 AS open FROM e")
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, array_to_string(list_transform(range(0, 70), lambda i: CASE WHEN i < len(e) THEN 1 ELSE 0 END), ',') AS mask, round(exp(e[1]) / list_sum(list_transform(e, lambda x: exp(x))), 6) AS share, len(list_filter(e, lambda x: x > 0)) AS open FROM e")
 def padded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C._t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("e"))
+    rows = C._t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     shown = features.masked_scores(F.col("e"), F.transform("e", lambda x: x > 0))
-    rows = rows.withColumns({"mask": T.attention_mask("e", 6), "share": F.round(F.get(T.softmax("e"), F.lit(0)), 6), "open": F.get(shown, F.lit(1)) > -1e31})
+    rows = rows.withColumns({"mask": T.attention_mask("e", 70), "share": F.round(F.get(T.softmax("e"), F.lit(0)), 6), "open": F.size(F.filter(shown, lambda x: x > -1e31)).cast("long")})
     return rows.select("vec_id", _joined("mask"), "share", "open")
 
 
@@ -460,8 +462,8 @@ def relation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "relations")
     tokens = F.array("l_returnflag", "l_linestatus", F.lit("of"), F.col("l_linenumber").cast("string"))
     out = rows.select("l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), tokens.alias("token"), F.lit(0).alias("subj_start"), F.lit(0).alias("subj_end"), F.lit(3).alias("obj_start"), F.lit(3).alias("obj_end"), F.col("l_returnflag").alias("relation"))
-    # a file is one array
-    sets = out.groupBy("l_suppkey").agg(F.to_json(F.collect_list(F.struct(*out.columns[1:]))).alias("value"))
+    # a file is one array, of a thousand examples or so
+    sets = out.groupBy(F.pmod(F.xxhash64("id"), F.lit(1 + rows.count() // 1000))).agg(F.to_json(F.collect_list(F.struct(*out.columns[1:]))).alias("value"))
     sets.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.relation_spans(spark, path).select("id", "text", F.col("subj.start").alias("s"), F.col("subj.end").alias("s_end"), F.col("obj.start").alias("o"), F.col("obj.end").alias("o_end"), "label")
 
@@ -480,8 +482,9 @@ def candidate_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "candidates")
     pairs = C._links(spark, sf_dir).groupBy(F.concat("lang", F.lit("-en")).alias("pair"), F.col("page_id").cast("string").alias("page"), F.col("text").alias("name")).agg(F.min("title").alias("title"))
     pages = pairs.groupBy("pair", "page").agg(F.map_from_entries(F.collect_list(F.struct("name", "title"))).alias("names"))
-    whole = pages.groupBy("pair").agg(F.map_from_entries(F.collect_list(F.struct("page", "names"))).alias("pages")).select(F.map_from_arrays(F.array("pair"), F.array("pages")).alias("x"))
-    whole.select(F.to_json("x").alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    # a file holds a thousand pages or so
+    whole = pages.groupBy("pair", F.pmod(F.xxhash64("page"), F.lit(1 + pages.count() // 1000))).agg(F.map_from_entries(F.collect_list(F.struct("page", "names"))).alias("pages")).select(F.map_from_arrays(F.array("pair"), F.array("pages")).alias("x"))
+    whole.select(F.to_json("x").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return files.candidate_pairs(spark, path)
 
 
