@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import disambiguation, linking, mentions, packing, sampling
+from spanforge.operators import disambiguation, linking, mentions, packing, sampling, subwords, windows
 from spanforge.operators import sentences as S
 from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
@@ -13,6 +13,9 @@ from spanforge.session import fresh_path
 from spanforge.sources import dump
 from spanforge.sources import pages as P
 
+#: Where the public tokenizer files are.
+TOKENIZERS = "/opt/tokenizers"
+
 # dumps
 
 
@@ -141,3 +144,33 @@ def drawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang FROM documents")
 def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shuffle_buffer(C._t(spark, sf_dir, "documents").select("doc_id", "lang"), 128, seed=5)
+
+
+# subwords
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C._t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sentence", "text"))
+
+
+@query()
+def subword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = subwords.subwords(_lines(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return rows.select("doc_id", "sentence", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "sentence", "pos", "t.*")
+
+
+@query()
+def subword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = subwords.subwords(_lines(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+    sizes = F.filter("sizes", lambda n: n > 0)
+    return windows.word_spans(rows.select("doc_id", "sentence", sizes.alias("sizes")).filter(F.size("sizes") > 0), 16, 128)
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence, true AS whole, true AS covers FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))")
+def subword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the tokens of each line, by their places, lie one behind the other and cover it, and give back its text."""
+    rows = subwords.subwords(_lines(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    joined = F.array_join(F.transform(F.filter("tokens", lambda t: t["piece"].rlike("^[\x21-\x7E]*$")), lambda t: F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"])), "")
+    pieces = F.array_join(F.transform(F.filter("tokens", lambda t: t["piece"].rlike("^[\x21-\x7E]*$")), lambda t: t["piece"]), "")
+    ends = F.aggregate("tokens", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda s, t: F.struct(t["end"].alias("at"), (s["ok"] & (t["start"] <= s["at"]) & (t["end"] >= s["at"])).alias("ok")))
+    return rows.select("doc_id", "sentence", (joined == pieces).alias("whole"), (ends["ok"] & (ends["at"] == F.length("text"))).alias("covers"))
