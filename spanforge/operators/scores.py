@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,35 +13,35 @@ from spanforge.operators.ordering import in_order
 from spanforge.session import keep
 
 
-@F.pandas_udf(IntegerType())
-def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many tokens two arrays share, each as often as in both; null if one is null."""
+def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([0 if x is None else len(x) for x in arrays])
+    some = [x for x in arrays if x is not None]
+    return np.repeat(np.arange(len(arrays)), size), np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64)
 
-    def shared(x, y) -> int | None:
-        if x is None or y is None:
-            return None
-        left, n = Counter(x), 0
-        for t in y:
-            if left[t] > 0:
-                left[t] -= 1
-                n += 1
-        return n
 
-    return pd.Series([shared(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+@F.pandas_udf(IntegerType())
+def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many tokens, as 64-bit hashes, two arrays share, each as often as in both; null if one is null."""
+    counts = [pd.DataFrame(dict(zip(("row", "token"), _flat(x), strict=True))).groupby(["row", "token"], sort=False).size() for x in (a, b)]
+    both = pd.concat(counts, axis=1, join="inner").min(axis=1).groupby(level="row").sum()
+    same = both.reindex(np.arange(len(a)), fill_value=0).astype("Int32")
+    same[a.isna().to_numpy() | b.isna().to_numpy()] = pd.NA
+    return same.reset_index(drop=True)
 
 
 def token_f1(pred: Column, gold: Column, empty_counts: bool = False) -> Column:
     """F1 of token arrays, 0 without overlap; ``empty_counts``: if one is empty, whether both are."""
-    same = shared_tokens(pred, gold)
+    hashes = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    same = shared_tokens(hashes(pred), hashes(gold))
     f1 = F.when(same > 0, 2.0 * same / (F.size(pred) + F.size(gold))).otherwise(0.0)
     if not empty_counts:
         return f1
     return F.when((F.size(pred) == 0) | (F.size(gold) == 0), (F.size(pred) == F.size(gold)).cast("double")).otherwise(f1)
 
 
-def answer_scores(pred: DataFrame, gold: DataFrame, language: str = "en", empty_counts: bool = False) -> DataFrame:
+def answer_scores(pred: DataFrame, gold: DataFrame, language: str = "en", empty_counts: bool = False, unicode_marks: bool | None = None) -> DataFrame:
     """(qid, exact, f1, answered): the best over the gold answers (qid, answer) of each question, for pred (qid, text); unanswered ones have 0."""
-    rows = gold.join(pred, "qid", "left").withColumn("p", answer_tokens("text", language)).withColumn("g", answer_tokens("answer", language))
+    rows = gold.join(pred, "qid", "left").withColumn("p", answer_tokens("text", language, unicode_marks)).withColumn("g", answer_tokens("answer", language, unicode_marks))
     exact, f1 = (F.array_join("p", " ") == F.array_join("g", " ")).cast("double"), token_f1(F.col("p"), F.col("g"), empty_counts)
     rows = rows.select("qid", F.coalesce(exact, F.lit(0.0)).alias("exact"), F.coalesce(F.when(F.col("text").isNotNull(), f1), F.lit(0.0)).alias("f1"), F.col("text").isNotNull().alias("answered"))
     return rows.groupBy("qid").agg(F.max("exact").alias("exact"), F.max("f1").alias("f1"), F.max("answered").alias("answered"))
