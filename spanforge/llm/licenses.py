@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import wanted
+from spanforge.llm.common import materialize, sieve, sifted, wanted
 
 N, THRESHOLD = 5, 0.8
 BANDS, WINDOW, STEP = 20, 12, 6
@@ -119,9 +119,13 @@ def license_scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = N
     bands = _bands(known, CONTAINED).select("template", "hash").distinct()
     runs = _runs(known, 1).select("template", "license", "hash").distinct()
     sizes = runs.groupBy("template").agg(F.count("*").alias("runs"))
-    windows = _windows(wanted(docs, {"doc_id": "long", "text": "string"}), WINDOW, STEP, "doc_id")
-    retrieved = _bands(windows, WINDOW).join(F.broadcast(bands), "hash").select("doc_id", "template").distinct()
-    hits = _runs(windows, STEP).join(F.broadcast(runs.join(sizes, "template")), "hash")
+    texts = wanted(docs, {"doc_id": "long", "text": "string"})
+    retrieved = _bands(_windows(texts, WINDOW, STEP, "doc_id"), WINDOW).join(F.broadcast(bands), "hash").select("doc_id", "template").distinct()
+    retrieved = materialize(retrieved, "retrieved")
+    # only documents with a retrieved template are cut into runs
+    key = F.xxhash64("doc_id")
+    asked = sifted(texts, key, sieve(retrieved, key, "retrieved-sieve"))
+    hits = _runs(_windows(asked, WINDOW, STEP, "doc_id"), STEP).join(F.broadcast(runs.join(sizes, "template")), "hash")
     # a row for each pair and run: its first place
     hits = hits.groupBy("doc_id", "template", "license", "runs", "hash").agg(F.min("at").alias("at"))
     pairs = hits.alias("h").join(retrieved.alias("r"), F.expr("h.doc_id <=> r.doc_id and h.template = r.template"), "left_semi")
