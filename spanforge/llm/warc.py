@@ -98,7 +98,7 @@ class _Window:
 
     def __init__(self, path: str):
         where, name = _open(path)
-        self.file, self.at, self.held = where.open_input_file(name), 0, b""
+        self.path, self.file, self.at, self.held = path, where.open_input_file(name), 0, b""
         self.size = self.file.size()
 
     def bytes_at(self, at: int, n: int) -> bytes:
@@ -108,16 +108,18 @@ class _Window:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The decoded member at ``at`` and where it ends, or None if there is no whole WARC record."""
+    """The decoded member at ``at`` and where it ends, or None if no WARC record begins there; an error if one does, but breaks off or doesn't hold what its checksum says."""
     squeezed = zlib.decompressobj(31)
     parts, place, seen = [], at, 0
     while not squeezed.eof:
         piece = window.bytes_at(place, 1 << 12 if place == at else 1 << 16)
-        if not piece:
-            return None
         try:
+            if not piece:
+                raise zlib.error("the file ends in it")
             parts.append(squeezed.decompress(piece))
-        except zlib.error:
+        except zlib.error as e:
+            if _begins(window, at):
+                raise ValueError(f"the record at {at} of {window.path} is damaged: {e}") from e
             return None
         place, seen = place + len(piece), seen + len(parts[-1])
         if seen >= 5 and not parts[0].startswith(b"WARC/") and not b"".join(parts).startswith(b"WARC/"):
@@ -126,22 +128,41 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return (whole, place - len(squeezed.unused_data)) if whole.startswith(b"WARC/") else None
 
 
+def _begins(window: _Window, at: int) -> bool:
+    """Whether a member at ``at`` begins like a WARC record."""
+    try:
+        return zlib.decompressobj(31).decompress(window.bytes_at(at, 1 << 12), 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
 def _scan(path: str, start: int, end: int) -> Iterator[bytes]:
-    """The decoded records of ``path`` whose members start from ``start`` on and before ``end``."""
+    """The decoded records of ``path`` whose members start from ``start`` on and before ``end``.
+
+    A file begins with a record, and one follows on the other: where none does, something is damaged,
+    which is an error. The task that owns a record also looks whether the next one begins.
+    """
     window, at = _Window(path), start
+    due = 0 if start == 0 else None  # where a record has to begin
     while at < end:
         piece = window.bytes_at(at, min(_READ, end - at + len(MAGIC) - 1))
         found = piece.find(MAGIC)
+        if due == at and found != 0:
+            raise ValueError(f"no record begins at {at} of {path}")
         if found < 0 or at + found >= end:
             at += max(1, len(piece) - len(MAGIC) + 1)
             continue
         at += found
         got = _member(window, at)
+        if got is None and due == at:
+            raise ValueError(f"no record begins at {at} of {path}")
         if got is None:
             at += 1
         else:
             yield got[0]
-            at = got[1]
+            at = due = got[1]
+    if due is not None and end <= due < window.size and not _begins(window, due):
+        raise ValueError(f"no record begins at {due} of {path}")
 
 
 def _parse(whole: bytes) -> dict:
@@ -177,7 +198,8 @@ def read_warc(files: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     payload_bytes and payload_digest are of the full payload: what a response holds, what a revisit
     declares. A response's declared digest is there to compare. Ranges are dealt in turn over tasks: one
     for each TASK_BYTES of all files, but, where there are as many ranges, four for each core at
-    least. One record is held at a time. No files give no rows; empty files give none.
+    least. One record is held at a time. No files give no rows; empty files give none. A record that
+    breaks off or fails its checksum, and bytes between records, are an error.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))
     there = files.filter("length > 0")

@@ -671,3 +671,26 @@ def test_shared_folder_is_cleared(spark, tmp_path):
     import os
 
     assert not os.path.exists(path) and common.clean_up(spark) == 0
+
+
+@pytest.mark.parametrize("split", [1 << 20, 700])
+def test_damaged_archives_are_an_error(spark, tmp_path, split):
+    rnd = random.Random(1)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "".join(rnd.choice("abcdefghij") for _ in range(900 + i))) for i in range(5)], "page_id long, url string, html string")
+    files = warc.write_warc(pages.coalesce(1), f"file://{tmp_path}/w").collect()
+    whole = max(files, key=lambda r: r.length)
+    with open(whole.path.removeprefix("file://"), "rb") as f:
+        data = f.read()
+    starts = [i for i in range(len(data)) if warc._begins(warc._Window(whole.path), i)]
+
+    def read(content: bytes) -> int:
+        path = tmp_path / f"{rnd.random()}.warc.gz"
+        path.write_bytes(content)
+        return warc.read_warc(spark.createDataFrame([(f"file://{path}", len(content))], "path string, length long"), split_bytes=split).count()
+
+    assert read(data) == len(starts)
+    third = starts[2]
+    damaged = [data[:-9], data[: third + 40], data[: third + 300] + bytes([data[third + 300] ^ 4]) + data[third + 301 :], data[:third] + b"x" + data[third + 1 :], data[:third] + b"junk" + data[third:], b"junk" + data, data[: third + 10] + b"\xff\xff" + data[third + 12 :]]
+    for content in damaged:
+        with pytest.raises(Exception, match="damaged|no record begins"):
+            read(content)
