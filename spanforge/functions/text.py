@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +23,6 @@ LANGUAGE_ARTICLES = {
     "zh": (),
     "hi": (),
 }
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def col(c: Column | str) -> Column:
@@ -52,9 +54,27 @@ def words_and_marks(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
 
 
-def strip_accents(text: Column | str) -> Column:
-    """Letters of Latin-1 without their accents."""
-    return F.translate(col(text), _ACCENTED, _PLAIN)
+@functools.cache
+def accents(marks: str = "M") -> tuple[str, str]:
+    """Characters of all planes that hold or are marks, and what is left of those that hold some, in the same order; the marks themselves come last.
+
+    What is left is the canonical decomposition, of as many steps as it takes, without characters of
+    the category ``marks``, put together again.
+    """
+    held, left, gone = [], [], []
+    for c in map(chr, itertools.chain(range(1, 0xD800), range(0xE000, 0x110000))):
+        plain = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith(marks)))
+        if not plain:
+            gone.append(c)
+        elif plain != c and len(plain) == 1:
+            held.append(c)
+            left.append(plain)
+    return "".join(held + gone), "".join(left)
+
+
+def strip_accents(text: Column | str, marks: str = "M") -> Column:
+    """Characters without their accents, and no accents of their own; ``marks``: the category that counts as accents, Mn for those that take no room."""
+    return F.translate(col(text), *accents(marks))
 
 
 def normalize_mention(text: Column | str, lower: bool = False) -> Column:

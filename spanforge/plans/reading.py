@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
 from spanforge.operators import disambiguation, linking, mentions, packing, sampling, subwords, windows
 from spanforge.operators import sentences as S
 from spanforge.plans import catalogue as C
@@ -174,3 +175,8 @@ def subword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.array_join(F.transform(F.filter("tokens", lambda t: t["piece"].rlike("^[\x21-\x7E]*$")), lambda t: t["piece"]), "")
     ends = F.aggregate("tokens", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda s, t: F.struct(t["end"].alias("at"), (s["ok"] & (t["start"] <= s["at"]) & (t["end"] >= s["at"])).alias("ok")))
     return rows.select("doc_id", "sentence", (joined == pieces).alias("whole"), (ends["ok"] & (ends["at"] == F.length("text"))).alias("covers"))
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, strip_accents(lower(x[i])) AS plain FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))")
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", F.col("sentence").alias("line"), T.strip_accents(F.lower("text")).alias("plain"))

@@ -10,6 +10,7 @@ from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
 from spanforge.session import fresh_path
 from spanforge.sources import pages as P
+from spanforge.sources import records
 
 
 def _in_files(rows: DataFrame, key: str, value: Column, path: str) -> None:
@@ -122,3 +123,14 @@ def tags_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = C._QUERIES["iob_entities"](spark, sf_dir).select(F.col("doc_id").alias("doc"), "start", "end", F.when(F.col("start") % 7 == 0, "NIL").otherwise(F.col("type")).alias("label"))
     words = C._tags(spark, sf_dir).select(F.col("doc_id").alias("doc"), "pos", F.floor(F.col("pos") / 12).cast("int").alias("sentence"), "word", "label")
     return jobs.sentence_tags(spans, words)
+
+
+@query(rf"""SELECT doc_id AS page_id, lang, array_to_string(list_transform(regexp_extract_all(text, '{C.WORDS}'), lambda w: length(w) - 3), ',') AS word_ids, array_to_string(list_transform(regexp_extract_all(text, '{C.WORDS}'), lambda w: left(w, 2)), ' ') AS heads, round(n_chars / 2, 3) AS half FROM documents""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as examples in record files, read back."""
+    words = F.regexp_extract_all("text", F.lit(C.WORDS), F.lit(0))
+    rows = C._t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang", F.transform(words, lambda w: (F.length(w) - 3).cast("long")).alias("word_ids"), F.transform(words, lambda w: F.substring(w, 1, 2)).alias("heads"), (F.col("n_chars") / 2).cast("float").alias("half"))
+    path = fresh_path(spark, "records")
+    records.write_records(rows, path, file_records=2000)
+    back = records.read_records(spark, path, "page_id long, lang string, word_ids array<long>, heads array<string>, half float")
+    return back.select("page_id", "lang", F.array_join(F.transform("word_ids", lambda n: n.cast("string")), ",").alias("word_ids"), F.array_join("heads", " ").alias("heads"), F.round(F.col("half").cast("double"), 3).alias("half"))
