@@ -218,8 +218,9 @@ def write_records(rows: DataFrame, folder: str, *, file_records: int = FILE_RECO
             return pa.RecordBatch.from_pydict({"path": [path], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH).to_pylist()
+            step = min(BATCH, file_records)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step).to_pylist()
                 if out is None:
                     path, n = f"{folder}/{uuid.uuid4().hex}.tfrecord.gz", 0
                     where, name = _open(path)
