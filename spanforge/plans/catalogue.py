@@ -668,7 +668,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from spanforge.plans import inputs, reading, work  # noqa: F401  add their own
+    from spanforge.plans import formats, inputs, reading, work  # noqa: F401  add their own
 
     return dict(_QUERIES)
 

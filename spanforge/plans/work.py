@@ -9,8 +9,9 @@ from spanforge.operators import jobs, vocabulary
 from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
 from spanforge.session import fresh_path
+from spanforge.sources import files, records, sinks
 from spanforge.sources import pages as P
-from spanforge.sources import records
+from spanforge.streaming import metrics
 
 
 def _in_files(rows: DataFrame, key: str, value: Column, path: str) -> None:
@@ -134,3 +135,31 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write_records(rows, path, file_records=2000)
     back = records.read_records(spark, path, "page_id long, lang string, word_ids array<long>, heads array<string>, half float")
     return back.select("page_id", "lang", F.array_join(F.transform("word_ids", lambda n: n.cast("string")), ",").alias("word_ids"), F.array_join("heads", " ").alias("heads"), F.round(F.col("half").cast("double"), 3).alias("half"))
+
+
+@query(f"""WITH {C._SQL_LINES}, k AS (SELECT name, title, count(*) AS n FROM orders3 GROUP BY ALL), q AS (SELECT DISTINCT page, name FROM orders3) SELECT page, name, title, n FROM q JOIN k USING (name)""")
+def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of each order looked up in a bucketed table of names and titles."""
+    import uuid
+
+    links = C._order_links(spark, sf_dir)
+    counts = links.groupBy("name", "title").agg(F.count("*").alias("n"))
+    name = f"names_{uuid.uuid4().hex}"
+    sinks.write_buckets(counts, name, fresh_path(spark, "buckets"), "name", 8)
+    return files.looked_up(spark.table(name), links.select("page", "name").distinct(), "name").select("page", "name", "title", "n")
+
+
+@query("""WITH r AS (SELECT event_type AS model, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS step FROM events)
+SELECT model, step, count(*) AS n, round(avg(value), 6) AS mean FROM r GROUP BY ALL HAVING count(*) = 50""")
+def step_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each 50 events of a type, over a stream of files."""
+    kind = "model string, place long, value double"
+    rows = C._t(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("place"), "value")
+    source = fresh_path(spark, "events")
+    bounds = rows.agg(F.min("place").alias("low"), F.max("place").alias("high")).first()
+    width = max(1, ((bounds.high or 0) - (bounds.low or 0)) // 4 + 1)
+    for i in range(4 if bounds.low is not None else 0):  # four files, one after another
+        rows.filter(F.floor((F.col("place") - bounds.low) / width) == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    out = metrics.all_available(metrics.step_means(stream, 50), fresh_path(spark, "checkpoint"), fresh_path(spark, "means"))
+    return out.select("model", "step", "n", F.round("mean", 6).alias("mean"))

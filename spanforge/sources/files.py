@@ -61,7 +61,7 @@ def relation_json(spark: SparkSession, path: str) -> DataFrame:
 
 def relation_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(id, sentence, label) from blocks of two lines, id and quoted sentence by a tab, then the label; <e1> and <e2> become <ent> and <ent2>."""
-    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"\r?\n\s*\r?\n")).alias("b"))
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\r?\n\s*\r?\n")).alias("b"))
     two = blocks.select(F.split(F.trim("b"), r"\r?\n").alias("l")).withColumn("f", F.split(F.get("l", F.lit(0)), "\t"))
     text = F.regexp_replace(F.get("f", F.lit(1)), r'^"\s*|\s*"$', "")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"</?e1>", "<ent>"), r"</?e2>", "<ent2>"), r" \.", ".")
@@ -244,3 +244,8 @@ def answer_language(path: str) -> tuple[str, bool]:
     """The language whose normal form an evaluation file's answers have, and whether all marks count: by names like dev-context-de-question-en.json, else English with ASCII marks."""
     found = re.search(r"context-(\w\w)-question", path.rpartition("/")[2])
     return (found[1], True) if found else ("en", False)
+
+
+def looked_up(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table``, as write_buckets leaves it, for ``keys`` (key, ...), each key once or more; the table isn't shuffled."""
+    return table.join(keys.hint("shuffle_merge"), key)

@@ -18,6 +18,17 @@ def write_lookup(rows: DataFrame, path: str, key: str) -> None:
     rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def write_buckets(rows: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """A table ``name`` under ``path`` to look up and join by ``key``: in buckets of it, sorted, with a Bloom filter of the keys in each file.
+
+    Joins by key leave such a table where it is: only the other side is shuffled, and two tables of
+    as many buckets are not shuffled at all. A search for single keys reads one bucket, and of that
+    only row groups whose filter may hold them. Choose buckets of some hundred MB each.
+    """
+    writer = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", path).option(f"parquet.bloom.filter.enabled#{key}", "true").saveAsTable(name)
+
+
 def write_lines(rows: DataFrame, path: str, *columns: str) -> None:
     rows.select(F.concat_ws("\t", *columns).alias("value")).write.mode("overwrite").text(path)
 

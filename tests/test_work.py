@@ -168,3 +168,43 @@ def test_shared_tokens(spark):
     frame = spark.createDataFrame(rows, "p array<string>, g array<string>").withColumn("i", F.monotonically_increasing_id())
     got = [r.f for r in frame.select("i", token_f1(F.col("p"), F.col("g")).alias("f")).orderBy("i").collect()]
     assert got == [4 / 7, 0.0, 0.0, 0.0, 1.0, 0.0]
+
+
+# tables to look up, streams
+
+
+def test_lookups_leave_the_table_where_it_is(spark, tmp_path):
+    from spanforge.sources import files, sinks
+
+    rows = spark.range(2000).selectExpr("concat('k', id % 700) as key", "id")
+    sinks.write_buckets(rows, "lookup_rows", f"file://{tmp_path}/b", "key", 6)
+    try:
+        keys = spark.createDataFrame([("k3",), ("k699",), ("none",), (None,)], "key string")
+        found = files.looked_up(spark.table("lookup_rows"), keys, "key")
+        assert sorted(r.id for r in found.collect()) == [3, 699, 703, 1399, 1403]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        initial = plan[plan.find("Initial Plan") :] if "Initial Plan" in plan else plan
+        assert initial.count("Exchange hashpartitioning(key") == 1  # of the keys alone
+        shown = spark.sql("explain formatted select * from lookup_rows where key = 'k5'").first()[0]
+        assert "SelectedBucketsCount: 1 out of 6" in shown
+    finally:
+        spark.sql("drop table lookup_rows")
+
+
+def test_step_means_over_batches(spark, tmp_path):
+    from spanforge.streaming import metrics
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), i, None if i % 13 == 0 else float(i)) for i in range(230)] + [("n", 1000 + i, None) for i in range(10)]
+    kind = "model string, place long, value double"
+    for part in (rows[:90], rows[90:91], rows[91:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = metrics.all_available(metrics.step_means(stream, 10), f"{tmp_path}/c", f"{tmp_path}/out")
+    want = {}
+    for m in "abn":
+        own = [v for x, _, v in rows if x == m]
+        for i in range(len(own) // 10):
+            some = [v for v in own[10 * i : 10 * i + 10] if v is not None]
+            want[m, i] = (10, round(sum(some) / len(some), 9) if some else None)
+    assert {(r.model, r.step): (r.n, None if r["mean"] is None else round(r["mean"], 9)) for r in got.collect()} == want
