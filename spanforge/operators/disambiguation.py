@@ -82,6 +82,7 @@ def align(mentions: DataFrame, spans: DataFrame) -> DataFrame:
 
     Where a mention's span is depends on where the one before was found, so that a document is one step.
     """
+    import bisect
     import re
 
     import pandas as pd
@@ -90,9 +91,14 @@ def align(mentions: DataFrame, spans: DataFrame) -> DataFrame:
         plain = lambda t: re.sub(r"[\W]+", "", t.lower())
         out, at = [], 0
         found = list(right.sort_values("start").itertuples(index=False))
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(found):
+            places.setdefault(plain(x.text), []).append(i)
         for m in left.sort_values("mention").itertuples(index=False):
-            place = next((i for i in range(at, len(found)) if plain(found[i].text) == plain(m.text)), None)
-            if place is not None:
+            own = places.get(plain(m.text), [])
+            behind = bisect.bisect_left(own, at)
+            if behind < len(own):
+                place = own[behind]
                 out.append((m.doc, m.mention, found[place].start, found[place].end))
                 at = place + 1
         return pd.DataFrame(out, columns=["doc", "mention", "start", "end"]).astype({"mention": "int64", "start": "int64", "end": "int64"}) if out else pd.DataFrame({"doc": left.doc[:0], "mention": pd.Series([], dtype="int64"), "start": pd.Series([], dtype="int64"), "end": pd.Series([], dtype="int64")})

@@ -66,7 +66,7 @@ def hashed_names(names: DataFrame) -> DataFrame:
             one, two = run_hashes(hashes, np.cumsum(n) - n, n, _powers(len(hashes) + 1))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(n, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["name", "n", "h1", "h2"])
 
-    split = names.select("name").filter("name <> ''").distinct().select("name", _word_hashes(F.split("name", " ")).alias("hashes"))
+    split = names.select("name").filter("name is not null").distinct().select("name", _word_hashes(F.split("name", " ")).alias("hashes"))
     return split.mapInArrow(run, "name string, n int, h1 long, h2 long")
 
 

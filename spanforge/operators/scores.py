@@ -20,8 +20,8 @@ def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 @F.pandas_udf(IntegerType())
-def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many tokens, as 64-bit hashes, two arrays share, each as often as in both; null if one is null."""
+def _shared_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many numbers two arrays share, each as often as in both; null if one is null."""
     counts = [pd.DataFrame(dict(zip(("row", "token"), _flat(x), strict=True))).groupby(["row", "token"], sort=False).size() for x in (a, b)]
     both = pd.concat(counts, axis=1, join="inner").min(axis=1).groupby(level="row").sum()
     same = both.reindex(np.arange(len(a)), fill_value=0).astype("Int32")
@@ -29,10 +29,15 @@ def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     return same.reset_index(drop=True)
 
 
+def shared_tokens(a: Column, b: Column) -> Column:
+    """How many tokens two arrays share, by 64-bit hashes, each as often as in both; null if one is null."""
+    hashes = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    return _shared_hashes(hashes(a), hashes(b))
+
+
 def token_f1(pred: Column, gold: Column, empty_counts: bool = False) -> Column:
     """F1 of token arrays, 0 without overlap; ``empty_counts``: if one is empty, whether both are."""
-    hashes = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
-    same = shared_tokens(hashes(pred), hashes(gold))
+    same = shared_tokens(pred, gold)
     f1 = F.when(same > 0, 2.0 * same / (F.size(pred) + F.size(gold))).otherwise(0.0)
     if not empty_counts:
         return f1

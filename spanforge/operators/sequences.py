@@ -53,17 +53,22 @@ def greedy_spans(scored: DataFrame, by: str) -> DataFrame:
     Which spans fall depends on which better ones stand, so a group's spans are taken in order; a
     group is one document's spans.
     """
+    import bisect
+
     import pandas as pd
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "start", "end", "label"], ascending=[False, True, True, True])
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans taken, in order, with their ends
+        ends: list[int] = []
         keep = []
-        for start, end in zip(frame.start, frame.end, strict=True):
-            ok = all(end <= a or start >= b for a, b in taken)
+        for start, end in zip(frame.start.tolist(), frame.end.tolist(), strict=True):
+            at = bisect.bisect_left(starts, start)
+            ok = (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at])
             keep.append(ok)
             if ok:
-                taken.append((start, end))
+                starts.insert(at, start)
+                ends.insert(at, end)
         return frame[keep]
 
     rows = scored.filter("label <> 'O'")
