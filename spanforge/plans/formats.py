@@ -187,3 +187,70 @@ def packed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.examples(rows.select("page", F.floor(F.col("sent") / 100).cast("int").alias("bin"), "sent", "words", entities.alias("entities")))
     right = F.filter("entities", lambda e: F.get(F.col("words"), e["start"]) == e["title"])
     return packed.agg(F.sum(F.size(right)).alias("lines"), F.sum(F.size("words")).alias("words"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS text, round(o_totalprice / 7, 4) AS score FROM orders")
+def written_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "predictions")
+    sinks.write_predictions(C._t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.round(F.col("o_totalprice") / 7, 4).alias("score")), path)
+    return spark.read.schema("id long, text string, score double").json(path)
+
+
+def _page_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, mentions) of each page: its links as entities of as many as their titles' characters, at places two apart."""
+    links = C._links(spark, sf_dir)
+    place = (2 * F.col("pos")).cast("int")
+    one = F.struct("pos", F.struct(F.length("title").alias("entity"), place.alias("start"), (place + 1 + F.length("text") % 3).cast("int").alias("end")).alias("m"))
+    own = links.groupBy(F.col("page_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("mentions"))
+    none = F.expr("cast(array() as array<struct<entity:int,start:int,end:int>>)")
+    return C._t(spark, sf_dir, "pages").select(F.col("page_id").alias("id")).join(own, "id", "left").select("id", F.coalesce("mentions", none).alias("mentions"))
+
+
+_SQL_PAGE_MENTIONS = f"{C._SQL_ANCHORS}, pm AS (SELECT page_id AS id, pos, length(title) AS entity, 2 * pos AS s, 2 * pos + 1 + length(text) % 3 AS e, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM links)"
+
+
+@query(f"""WITH {_SQL_PAGE_MENTIONS}, f AS (SELECT id, string_agg(entity, ',' ORDER BY pos) AS ids, string_agg(s || CASE WHEN e > s + 1 THEN ',' || (s + 1) ELSE ',-1' END, ';' ORDER BY pos) AS places FROM pm WHERE rn <= 4 GROUP BY 1)
+SELECT page_id AS id, coalesce(ids, '0') AS ids, coalesce(places, '-1,-1') AS places FROM pages LEFT JOIN f ON id = page_id""")
+def entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four links of each page as entities with two places each."""
+    out = features.entity_features(_page_mentions(spark, sf_dir), 4, 2)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("id", joined(F.col("entity_ids")).alias("ids"), F.array_join(F.transform("positions", joined), ";").alias("places"))
+
+
+@query(f"""WITH {_SQL_PAGE_MENTIONS}, q AS (SELECT id, string_agg(s, ',' ORDER BY pos) AS m FROM pm WHERE e < 6 GROUP BY 1), c AS (SELECT id, string_agg(s, ',' ORDER BY pos) AS m FROM pm WHERE s > 6 GROUP BY 1)
+SELECT page_id AS id, concat_ws(',', q.m, c.m) AS starts FROM pages LEFT JOIN q ON q.id = page_id LEFT JOIN c ON c.id = page_id""")
+def sided_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page that end before place 6 as a question's, and those that start behind it as a context's."""
+    rows = _page_mentions(spark, sf_dir).select("id", F.col("mentions").alias("question"), F.col("mentions").alias("context"), F.lit(6).alias("context_start"))
+    return features.sided_mentions(rows).select("id", F.array_join(F.transform("mentions", lambda m: m["start"].cast("string")), ",").alias("starts"))
+
+
+@query(rf"""WITH w AS (SELECT conv_id * 1000000 + turn AS id, list_transform(regexp_extract_all(coalesce(text, ''), '{C.WORDS}'), lambda x: length(x)) AS n FROM conversations),
+b AS (SELECT id, n, (row_number() OVER (ORDER BY id) - 1) // 8 AS batch FROM w), m AS (SELECT *, max(len(n)) OVER (PARTITION BY batch) AS most FROM b)
+SELECT id, batch, array_to_string(list_resize(n, most, -1), ',') AS padded FROM m""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(C.WORDS), F.lit(0))
+    rows = C._t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), F.transform(words, lambda w: F.length(w)).alias("n"))
+    out = packing.padded_batches(rows, "id", 8, {"n": -1})
+    return out.select("id", F.col("batch").cast("long").alias("batch"), F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("padded"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_resize(range(l_linenumber, least(l_linenumber + 5, l_linenumber + CAST(l_quantity AS INTEGER) % 7 + 1)), 5, -1), ',') AS places FROM lineitem")
+def inclusive_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C._t(spark, sf_dir, "lineitem")
+    places = T.inclusive_positions(F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") % 7, 5)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query(f"WITH {C._SQL_ENTITIES} SELECT CAST(doc_id AS VARCHAR) AS doc, start, \"end\" FROM en")
+def mention_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of words, those of mentions with six fields, a document line before each; mentions read back."""
+    path = fresh_path(spark, "mentions")
+    spans = C._QUERIES["iob_entities"](spark, sf_dir).select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), F.col("start").alias("first"))
+    line = F.when(F.col("first").isNull(), F.regexp_replace("word", "\t", " ")).otherwise(F.concat_ws("\t", F.lit("w"), F.when(F.col("pos") == F.col("first"), "B").otherwise("I"), F.lit("m"), F.lit("e"), F.lit("u"), F.lit("i")))
+    words = C._tags(spark, sf_dir).join(spans, ["doc_id", "pos"], "left").select("doc_id", "pos", line.alias("line"))
+    whole = words.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    out = whole.select(F.concat(F.lit("-DOCSTART- ("), "doc_id", F.lit("\n"), "lines").alias("value"))
+    out.repartition(8).write.text(path)
+    return files.mention_lines(spark, path)[1].select("doc", F.col("start").cast("int").alias("start"), "end")
