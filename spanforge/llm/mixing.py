@@ -129,7 +129,8 @@ def mix(docs: DataFrame, *, seed: int = 17, block_words: int = BLOCK_WORDS, shar
     times their size. Sources are ranked together, a row each. Null texts have size 0 and take 0; a
     null source is a source of its own; a null doc_id is an id like another. Repeated rows are equal
     in all columns but the spans and what follows from them, and give the same multiset in each run.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows. Rows of sources and shards go to all
+    tasks up to SMALL_ROWS of them, beyond that both sides are shuffled; results are equal.
     """
     docs = wanted(docs, {"doc_id": "long", "text": "string", "source": "string"})
     sized = materialize(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")

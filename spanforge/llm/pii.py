@@ -184,7 +184,10 @@ def _equals(n: int):
 def find_pii(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans added by context), n_spans (all).
 
-    Context is what stands within CONTEXT characters on each side. Null and empty texts have no spans (counts 0, the digest of an empty string, spans ''). Null
+    Context is what stands within CONTEXT characters on each side: of a longer word next to a hit its
+    nearest CONTEXT characters make the pattern. Words that aren't base spans are instances if they have
+    six characters or more without the marks around them; shorter ones are never added.
+    Null and empty texts have no spans (counts 0, the digest of an empty string, spans ''). Null
     and repeated doc_ids stay as they are, repeated rows are each their own; an instance counts once
     for a pattern however often it occurs. Other columns are ignored; an empty table gives no rows.
     """
