@@ -137,16 +137,16 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "lang", F.array_join(F.transform("word_ids", lambda n: n.cast("string")), ",").alias("word_ids"), F.array_join("heads", " ").alias("heads"), F.round(F.col("half").cast("double"), 3).alias("half"))
 
 
-@query(f"""WITH {C._SQL_LINES}, k AS (SELECT name, title, count(*) AS n FROM orders3 GROUP BY ALL), q AS (SELECT DISTINCT page, name FROM orders3) SELECT page, name, title, n FROM q JOIN k USING (name)""")
+@query(f"""WITH {C._SQL_LINES}, k AS (SELECT name, count(DISTINCT title) AS titles, count(*) AS n FROM orders3 GROUP BY ALL), q AS (SELECT DISTINCT page, name FROM orders3) SELECT page, name, titles, n FROM q JOIN k USING (name)""")
 def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names of each order looked up in a bucketed table of names and titles."""
+    """The names of each order looked up in a bucketed table of how many titles and links a name has."""
     import uuid
 
     links = C._order_links(spark, sf_dir)
-    counts = links.groupBy("name", "title").agg(F.count("*").alias("n"))
+    counts = links.groupBy("name").agg(F.count_distinct("title").alias("titles"), F.count("*").alias("n"))
     name = f"names_{uuid.uuid4().hex}"
     sinks.write_buckets(counts, name, fresh_path(spark, "buckets"), "name", 8)
-    return files.looked_up(spark.table(name), links.select("page", "name").distinct(), "name").select("page", "name", "title", "n")
+    return files.looked_up(spark.table(name), links.select("page", "name").distinct(), "name").select("page", "name", "titles", "n")
 
 
 @query("""WITH r AS (SELECT event_type AS model, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS step FROM events)
