@@ -114,7 +114,7 @@ def paragraphs(pages: DataFrame, *, capital: bool = True, media: tuple[str, ...]
     null or nothing but markup has none.
     """
     lines = F.split(marked_text("text", media), r"[ \t]*\n\s*")
-    rows = pages.select("page_id", "title", F.posexplode(F.filter(F.transform(lines, F.trim), lambda x: x != "")).alias("paragraph", "marked"))
+    rows = pages.select("page_id", "title", F.posexplode(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")).alias("paragraph", "marked"))
     pieces = F.regexp_extract_all("marked", F.lit(f"{_LINK}[^{_LINK}{_LINK_END}]*{_LINK_END}|[^{_LINK}{_LINK_END}]+"), F.lit(0))
 
     def piece(x: Column) -> Column:
