@@ -49,6 +49,13 @@ def needs_prefix_space(text: Column | str, start: Column | str) -> Column:
     return (col(start) == 0) | (F.substring(col(text), col(start), F.lit(1)) == " ")
 
 
+def prefix_places(text: Column | str) -> Column:
+    """All places of a text, its end too, at which ``needs_prefix_space`` holds, in order. The text is cut into its characters once, so that work grows with it."""
+    signs = F.regexp_extract_all(col(text), F.lit("(?s)."), F.lit(0))
+    # as a lambda's variable the characters are made once, not once for each place
+    return F.get(F.transform(F.array(signs), lambda x: F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: (i == 0) | (F.get(x, i - 1) == " "))), F.lit(0))
+
+
 def words_and_marks(text: Column | str) -> Column:
     """Default tokens: runs of word characters, and single other characters."""
     return F.regexp_extract_all(col(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
