@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.operators.ordering import in_order
 
+#: Words whose spans a task makes at a time, but for the words of a single longer sentence, which are only counted together.
+_WORDS = 20_000
+
 
 def stride_starts(n: Column | str, length: int, stride: int) -> Column:
     """Starts of windows of ``length`` over n words, ``stride`` apart; the last is the first that reaches the end."""
@@ -52,19 +59,50 @@ def spans(sentences: DataFrame, longest: int) -> DataFrame:
 def word_spans(sentences: DataFrame, longest: int, most: int) -> DataFrame:
     """(doc_id, sentence, start, end, first, last, chunk) of sentences (doc_id, sentence, sizes: subwords of each word): all spans of whole words with up to ``longest`` subwords, in as few even chunks of up to ``most`` as it takes.
 
-    start and end count subwords, first and last (exclusive) words.
+    start and end count subwords, first and last (exclusive) words; each word has one subword at least.
+    A sentence stays whole in its task, so that nothing is shuffled. Spans are made for some
+    sentences at a time, and of a long one in parts of its words.
     """
-    words = sentences.select("doc_id", "sentence", F.posexplode("sizes").alias("first", "size"))
-    by = Window.partitionBy("doc_id", "sentence").orderBy("first")
-    words = words.withColumn("end", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
-    # each word has one subword at least, so that no span has more words than subwords
-    ahead = F.collect_list(F.struct("end", (F.col("first") + 1).alias("last"))).over(by.rowsBetween(Window.currentRow, longest - 1))
-    rows = words.withColumn("ahead", ahead).select("doc_id", "sentence", "first", (F.col("end") - F.col("size")).cast("int").alias("start"), F.explode("ahead").alias("x"))
-    rows = rows.select("doc_id", "sentence", "start", "x.end", "first", "x.last").filter(F.col("end") - F.col("start") <= longest)
-    whole = Window.partitionBy("doc_id", "sentence")
-    n = F.count("*").over(whole)
-    at = F.row_number().over(whole.orderBy("first", "last")) - 1
-    return rows.withColumn("chunk", F.floor(at / F.ceil(n / F.ceil(n / F.lit(most)))).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sizes")
+            own = lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            after = np.cumsum(own)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + _WORDS, side="right")))
+                low, counts = int(after[at] - own[at]), own[at:stop]
+                sums = np.concatenate([[0], np.cumsum(flat[low : after[stop - 1]])])
+                row = np.repeat(np.arange(len(counts)), counts)
+                begin = np.repeat(np.cumsum(counts) - counts, counts)  # of each word its sentence's first word
+                limit = np.repeat(np.cumsum(counts), counts)
+                words = np.arange(len(row))
+                # how many spans begin at each word: sums rise, as each word has a subword at least
+                until = np.minimum(np.minimum(np.searchsorted(sums, sums[words] + longest, side="right") - 1, words + longest), limit)
+                spans = np.maximum(until - words, 0)
+                n = np.bincount(row, weights=spans, minlength=len(counts)).astype(np.int64)
+                width = np.ceil(n / np.ceil(n / most, where=n > 0, out=np.ones(len(n)))).astype(np.int64)
+                before = np.cumsum(spans) - spans  # of each word the spans before it
+                rank = before - np.repeat((np.cumsum(n) - n), counts)  # in its sentence
+                for i in range(0, len(words), _WORDS):
+                    own_spans = spans[i : i + _WORDS]
+                    first = np.repeat(words[i : i + _WORDS], own_spans)
+                    if not len(first):
+                        continue
+                    nth = np.arange(len(first)) - np.repeat(np.cumsum(own_spans) - own_spans, own_spans)
+                    last, r = first + nth + 1, row[first]
+                    zero = begin[first]
+                    base = sums[zero]
+                    columns = [sums[first] - base, sums[last] - base, first - zero, last - zero, (rank[first] + nth) // np.maximum(width[r], 1)]
+                    keys = [batch.column(c).take(pa.array(r + at)) for c in ("doc_id", "sentence")]
+                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c.astype(np.int32)) for c in columns]], ["doc_id", "sentence", "start", "end", "first", "last", "chunk"])
+                at = stop
+
+    kinds = dict(sentences.dtypes)
+    rows = sentences.select("doc_id", "sentence", F.col("sizes").cast("array<int>").alias("sizes"))
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, sentence {kinds['sentence']}, start int, end int, first int, last int, chunk int")
 
 
 def numbered_windows(rows: DataFrame, *by: str, first: int = 1_000_000_000) -> DataFrame:
