@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 
 def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file, line, text) of all lines, counted from 0 in each file; ``recursive``: of folders within too. A file is one row before it is cut."""
-    whole = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
-    return whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(file, line, text) of all lines, counted from 0 in each file; ``recursive``: of folders within too. What follows a file's last line break is a line only if it isn't empty.
+
+    Large files are read in splits. A line's number is its place in the split and the lines of the
+    file's splits before it, of which only a row for each split meets the others.
+    """
+    value = F.regexp_replace("value", "\r$", "").alias("text")
+    raw = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n").text(path)
+    raw = raw.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("__from"), F.monotonically_increasing_id().alias("__id"), value)
+    before = Window.partitionBy("file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "__from").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return raw.join(F.broadcast(splits), ["file", "__from"]).select("file", (F.col("__id") - F.col("__first") + F.col("__before")).cast("int").alias("line"), "text")
 
 
 def vocab_tsv(spark: SparkSession, path: str) -> DataFrame:
