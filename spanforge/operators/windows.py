@@ -32,12 +32,51 @@ def max_context(windows: DataFrame) -> DataFrame:
     """(doc_id, word, window): the window where each word has most context, from (doc_id, window, start, size).
 
     A word's score is the smaller of its contexts left and right plus a hundredth of the window's
-    size; the first window wins ties.
+    size; the first window wins ties. Only windows are shuffled: a document's go by in order, and
+    words come from a window once no later one can hold them.
     """
-    words = windows.filter("size > 0").select("*", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word"))
-    left = F.col("word") - F.col("start")
-    score = F.least(left, F.col("size") - 1 - left) + 0.01 * F.col("size")
-    return words.groupBy("doc_id", "word").agg(F.max_by("window", F.struct(score.alias("score"), -F.col("window"))).alias("window"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, best, own, at = None, np.zeros(0), np.zeros(0, np.int32), 0  # scores and windows of words from ``at`` on
+        out: list[tuple] = []
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            n = [len(x[2]) for x in out]
+            docs = pa.array([x[0] for x in out], kinds_[0]).take(pa.array(np.repeat(np.arange(len(out)), n)))
+            words = np.concatenate([np.arange(x[1], x[1] + len(x[2])) for x in out])
+            keep = np.concatenate([x[2] for x in out])
+            there = keep >= 0
+            return pa.RecordBatch.from_arrays([docs.filter(pa.array(there)), pa.array(words[there].astype(np.int32)), pa.array(keep[there].astype(np.int32))], ["doc_id", "word", "window"])
+
+        for batch in batches:
+            kinds_ = [batch.column("doc_id").type]
+            for d, window, start, size in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "window", "start", "size")], strict=True):
+                if d != doc or start > at + len(own):
+                    out.append((doc, at, own))
+                    held += len(own)
+                    doc, at, best, own = d, start, np.zeros(0), np.zeros(0, np.int32)
+                elif start > at:
+                    out.append((doc, at, own[: start - at]))
+                    held += start - at
+                    best, own, at = best[start - at :], own[start - at :], start
+                more = max(0, size - len(own))
+                best, own = np.append(best, np.full(more, -np.inf)), np.append(own, np.full(more, -1, np.int32))
+                left = np.arange(size)
+                score = np.minimum(left, size - 1 - left) + 0.01 * size
+                better = (score > best[:size]) | ((score == best[:size]) & (window < own[:size]))
+                best[:size][better], own[:size][better] = score[better], window
+                if held > _WORDS:
+                    yield told()
+                    out, held = [], 0
+        if len(own):
+            out.append((doc, at, own))
+        if out:
+            yield told()
+
+    kinds = dict(windows.dtypes)
+    ordered = windows.filter("size > 0").select("doc_id", "window", "start", "size").repartition("doc_id").sortWithinPartitions("doc_id", "start", "window")
+    return ordered.mapInArrow(run, f"doc_id {kinds['doc_id']}, word int, window int")
 
 
 def centred_context(sentences: DataFrame, most: int) -> DataFrame:
