@@ -68,18 +68,37 @@ def _pieces(content: bytes) -> tuple[Callable, list[str], list[bytes]]:
     return encode, names, held
 
 
-def _one(text: str, ids: list[int], before: int, held: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-    """Starts and ends in characters of ``text`` of tokens that also hold ``before`` bytes in front of it, and how many tokens end in each of its words."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    char = np.append(np.cumsum((data & 0xC0) != 0x80) - 1, len(text))  # of each byte
-    ends = np.cumsum([len(held[i]) for i in ids]) - before if ids else np.zeros(0, np.int64)
-    starts = np.clip(np.concatenate([[-before], ends[:-1]])[: len(ends)], 0, len(data))
-    ends = np.clip(ends, 0, len(data))
-    last = np.where(ends > starts, char[np.maximum(ends - 1, 0)] + 1, char[ends])
+def _placed(texts: list[str], found: list[tuple[list[int], int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of ``texts``, one text behind the other: ids, starts and ends in characters of their text; how many tokens a text has; how many tokens end in each word; how many words a text has.
+
+    ``found``: the ids of each text, which also hold that many bytes in front of it; ``lengths``: bytes of each token.
+    """
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    lead = (data & 0xC0) != 0x80
+    chars = np.array([len(t) for t in texts], np.int64)
+    char_from = np.cumsum(chars) - chars
+    # a byte for each character's first one; a text's bytes end where its characters do
+    firsts = np.append(np.flatnonzero(lead), len(data))
+    byte_from, byte_to = firsts[char_from], firsts[char_from + chars]
+    char = np.append(np.cumsum(lead) - 1, len(firsts) - 1)
+    n = np.array([len(ids) for ids, _ in found], np.int64)
+    ids = np.concatenate([np.asarray(ids, np.int64) for ids, _ in found]) if n.sum() else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), n)
+    upto = np.cumsum(lengths[ids])
+    base = np.concatenate([[0], upto])[np.cumsum(n) - n] + np.array([b for _, b in found], np.int64)
+    size = byte_to - byte_from
+    ends = upto - base[row]
+    starts = np.clip(ends - lengths[ids], 0, size[row])
+    ends = np.clip(ends, 0, size[row])
+    low = byte_from[row]
+    place = lambda at: np.where(at < size[row], char[np.minimum(low + at, len(data))] - char_from[row], chars[row])
+    last = np.where(ends > starts, char[np.maximum(low + ends - 1, 0)] - char_from[row] + 1, place(ends))
     breaks = np.flatnonzero(data == 32)
-    words = text.count(" ") + 1 if text else 0
-    sizes = np.bincount(np.searchsorted(breaks, np.maximum(ends - 1, 0), side="right"), minlength=words) if words else np.zeros(0, np.int64)
-    return char[starts].tolist(), last.tolist(), sizes.tolist()
+    spaces = np.searchsorted(breaks, byte_to) - np.searchsorted(breaks, byte_from)
+    words = np.where(chars > 0, spaces + 1, 0)
+    word_from = np.cumsum(words) - words
+    word = np.searchsorted(breaks, low + np.maximum(ends - 1, 0), side="right") - np.searchsorted(breaks, byte_from)[row] + word_from[row]
+    return ids, place(starts), last, n, np.bincount(word, minlength=int(words.sum())), words
 
 
 def subwords(docs: DataFrame, model: str, *, prefix: Column | bool = True) -> DataFrame:
@@ -99,25 +118,25 @@ def subwords(docs: DataFrame, model: str, *, prefix: Column | bool = True) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, names, held = kind(content)
+        names, lengths = pa.array(names, pa.string()), np.array([len(h) for h in held], np.int64)
         for batch in batches:
-            length = np.cumsum(batch.column("text").to_pandas().str.len().to_numpy())
+            size = np.cumsum(batch.column("text").to_pandas().str.len().to_numpy())
             at = 0
             while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + _CHARS, side="right")))
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHARS, side="right")))
                 part = batch.slice(at, stop - at)
                 at = stop
                 keys = list(zip(part.column("text").to_pylist(), part.column("__prefix").to_pylist(), strict=True))
                 distinct = [k for k in dict.fromkeys(keys) if k[0]]
-                found = dict(zip(distinct, encode([t for t, _ in distinct], [p for _, p in distinct]), strict=True)) if distinct else {}
-                done = {(t, p): ([], [], [], []) for t, p in keys if not t}
-                for (t, p), (ids, before) in found.items():
-                    done[t, p] = (ids, *_one(t, ids, before, held))
-                rows_ = [done[k] for k in keys]
-                ids, starts, ends = ([x for r in rows_ for x in r[i]] for i in range(3))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows_])]), pa.int32())
-                tokens = pa.StructArray.from_arrays([pa.array([names[i] for i in ids], pa.string()), *[pa.array(x, pa.int32()) for x in (ids, starts, ends)]], names=["piece", "id", "start", "end"])
-                sizes = pa.array([r[3] for r in rows_], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.ListArray.from_arrays(offsets, tokens), sizes], [*columns, "tokens", "sizes"])
+                found = encode([t for t, _ in distinct], [p for _, p in distinct]) if distinct else []
+                ids, starts, ends, n, ended, words = _placed([t for t, _ in distinct], found, lengths)
+                place = {k: i for i, k in enumerate(distinct)}
+                rows_ = pa.array([place.get(k, len(distinct)) for k in keys])  # texts without tokens: the empty list behind the others
+                lists = lambda n: pa.array(np.concatenate([[0], np.cumsum(n), [n.sum()]]), pa.int32())
+                structs = pa.StructArray.from_arrays([names.take(pa.array(ids)), *[pa.array(x, pa.int32()) for x in (ids, starts, ends)]], names=["piece", "id", "start", "end"])
+                tokens = pa.ListArray.from_arrays(lists(n), structs).take(rows_)
+                sizes = pa.ListArray.from_arrays(lists(words), pa.array(ended, pa.int32())).take(rows_)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], tokens, sizes], [*columns, "tokens", "sizes"])
 
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.select(*[F.col(f"`{c}`") for c in columns]).dtypes)
     return rows.mapInArrow(run, f"{kept}, {_TOKENS}")
