@@ -10,7 +10,7 @@ from spanforge.operators import disambiguation, linking, mentions, packing, samp
 from spanforge.operators import sentences as S
 from spanforge.plans import catalogue as C
 from spanforge.plans.catalogue import query
-from spanforge.session import fresh_path
+from spanforge.session import fresh_path, keep
 from spanforge.sources import dump
 from spanforge.sources import pages as P
 
@@ -127,9 +127,10 @@ SELECT page, mention, title, CAST(score AS BIGINT) AS score, round FROM r WHERE
 def global_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = C._order_links(spark, sf_dir)
     known = mentions.mention_db(links, links.select("page", "name"), top=5).select("name", "title", F.col("link_count").alias("score"))
-    candidates = links.select("page", "name").distinct().join(known, "name").select("page", F.col("name").alias("mention"), "title", "score")
     topics = C._t(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.col("s_nationkey").alias("topic"))
-    return disambiguation.global_choices(candidates, topics, weight=2)[0]
+    # candidates are listed for each name, before the pages meet them
+    lists = keep(disambiguation.candidate_lists(disambiguation.with_topics(known, topics), "name"), "known")
+    return disambiguation.choices_in_rounds(links.select("page", "name").join(lists, "name").withColumnRenamed("name", "mention"), weight=2)
 
 
 @query(f"""WITH {C._SQL_SIZES}, q AS (SELECT dataset, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () AS rate FROM z),
