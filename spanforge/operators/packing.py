@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import padded, share_of
 from spanforge.operators.ordering import in_order
+from spanforge.session import small_batches
+
+#: Tokens whose rows a task makes together, but for those of a single longer document.
+_HELD = 50_000
 
 
 def pack_sentences(sentences: DataFrame, most: int, least: int = 1) -> DataFrame:
@@ -57,6 +63,92 @@ def action_of(u: Column) -> Column:
     return F.when(u < 0.8, "mask").when(u < 0.9, "random").otherwise("keep")
 
 
+def _digests(key: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MD5 of key, - and place, as two whole numbers that order as its hexadecimal form does."""
+    start = key + "-" if key is not None else ""
+    raw = np.frombuffer(b"".join([hashlib.md5(f"{start}{p}".encode()).digest() for p in places.tolist()]), ">u8").reshape(-1, 2)
+    return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
+
+
+def _draws(name: str, key: str, places: np.ndarray) -> np.ndarray:
+    """``draw`` of name, key and each place."""
+    return (_digests(name if key is None else f"{name}-{key}", places)[0] >> np.uint64(32)).astype(np.float64) / 4294967296.0
+
+
+def _actions(u: np.ndarray) -> np.ndarray:
+    """``action_of`` as 0 to 2."""
+    return np.where(u < 0.8, 0, np.where(u < 0.9, 1, 2)).astype(np.int8)
+
+
+_ACTIONS = ("mask", "random", "keep")
+
+
+def _masked_rows(batches: Iterator[pa.RecordBatch], masks: Callable[[str, int, int, dict[str, np.ndarray]], np.ndarray], flags: list[str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pos, flags, masked, action) of documents (doc_id, key, n, budget, flags: arrays), by the actions (-1: none) that ``masks`` tells of each; some are held at a time."""
+
+    def told(batch: pa.RecordBatch, docs: list[int], actions: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(x) for x in actions])
+        of, action = np.repeat(docs, n), np.concatenate(actions)
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        some = batch.slice(docs[0], docs[-1] - docs[0] + 1)
+        named = pa.DictionaryArray.from_arrays(pa.array(action, mask=action < 0), list(_ACTIONS)).cast(pa.string())
+        columns = [batch.column("doc_id").take(pa.array(of)), pa.array(pos.astype(np.int32)), *[some.column(c).flatten() for c in flags], pa.array(action >= 0), named]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", *flags, "masked", "action"])
+
+    for batch in batches:
+        docs, actions, held = [], [], 0
+        keys, lists = batch.column("key").to_pylist(), [batch.column(c) for c in flags]
+        n, budget = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("n", "budget"))
+        for i, key in enumerate(keys):
+            if n[i] > 0:
+                own = {c: x[i].values.to_numpy(zero_copy_only=False).astype(bool) for c, x in zip(flags, lists, strict=True)}
+                docs.append(i)
+                actions.append(masks(key, int(n[i]), int(budget[i]), own))
+                held += int(n[i])
+            if held > _HELD or docs and i == len(keys) - 1:
+                yield told(batch, docs, actions)
+                docs, actions, held = [], [], 0
+
+
+def masked_group_lists(docs: DataFrame, rate: float = 0.15) -> DataFrame:
+    """``masked_groups`` of documents (doc_id, subword, entity: an array of flags each), which are a row each: nothing is shuffled."""
+
+    def masks(key: str, n: int, budget: int, own: dict[str, np.ndarray]) -> np.ndarray:
+        starts = np.flatnonzero(np.concatenate([[True], ~own["subword"][1:]]))
+        size = np.diff(np.append(starts, n))
+        entity = own["entity"]
+        action = np.full(n, -1, np.int8)
+        left = budget - int(entity.sum())
+        if left > 0:
+            free = np.flatnonzero(~np.logical_or.reduceat(entity, starts))
+            high, low = _digests(key, starts[free])
+            chosen = []
+            for g in free[np.lexsort((low, high))].tolist():
+                if size[g] <= left:
+                    chosen.append(g)
+                    left -= int(size[g])
+                    if not left:
+                        break
+            chosen = np.array(chosen, np.int64)
+            if len(chosen):
+                of = np.repeat(_actions(_draws("action", key, starts[chosen])), size[chosen])
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(size[chosen]) - size[chosen], size[chosen])
+                action[np.repeat(starts[chosen], size[chosen]) + nth] = of
+        masked = np.flatnonzero(entity)
+        if len(masked):
+            action[masked] = _actions(_draws("action", key, masked))
+        if (action < 0).all():
+            one = int(hashlib.md5(("forced" if key is None else f"forced-{key}").encode()).hexdigest()[:8], 16) / 4294967296.0
+            action[int(one * max(1, n - 2))] = 0
+        return action
+
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    n = F.size("subword")
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), n.alias("n"), share_of(n, rate).alias("budget"), "subword", "entity")
+    return rows.mapInArrow(lambda b: _masked_rows(b, masks, ["subword", "entity"]), f"doc_id {kind}, pos int, subword boolean, entity boolean, masked boolean, action string")
+
+
 def masked_groups(tokens: DataFrame, rate: float = 0.15) -> DataFrame:
     """tokens (doc_id, pos from 0, subword, entity: whether in the span of a masked entity) with masked and action, whole words together.
 
@@ -65,34 +157,9 @@ def masked_groups(tokens: DataFrame, rate: float = 0.15) -> DataFrame:
     is left. Where nothing fits, one token (but the last two, if there are others) is masked. A word
     has one draw for what becomes of its tokens, an entity's tokens one each.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = (~F.col("subword") | (F.col("pos") == 0)).cast("int")
-    rows = tokens.withColumn("__group", F.sum(starts).over(order))
-    groups = rows.groupBy("doc_id", "__group").agg(F.count("*").alias("size"), F.min("pos").alias("pos"), F.max("entity").alias("blocked"))
-    stats = tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("entity").alias("used"))
-    drawn = groups.join(stats, "doc_id").withColumn("left", share_of(F.col("n"), rate) - F.col("used")).withColumn("hash", F.md5(F.concat_ws("-", "doc_id", "pos")))
-    kind = dict(tokens.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, left = object(), 0
-        for batch in batches:
-            keep = []
-            for d, size, budget in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "size", "left")], strict=True):
-                if d != doc:
-                    doc, left = d, budget
-                keep.append(size <= left)
-                if size <= left:
-                    left -= size
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "__group"])
-
-    ordered = drawn.filter("not blocked").select("doc_id", "hash", "__group", "size", "left").repartition("doc_id").sortWithinPartitions("doc_id", "hash")
-    chosen = ordered.mapInArrow(run, f"doc_id {kind}, __group long").withColumn("__chosen", F.lit(True))
-    joined = rows.join(chosen, ["doc_id", "__group"], "left").join(stats.select("doc_id", "n"), "doc_id")
-    some = F.max(F.col("entity") | F.col("__chosen").isNotNull()).over(Window.partitionBy("doc_id"))
-    forced = ~some & (F.col("pos") == F.floor(draw(F.lit("forced"), "doc_id") * F.greatest(F.lit(1), F.col("n") - 2)))
-    first = F.first("pos").over(Window.partitionBy("doc_id", "__group").orderBy("pos"))
-    action = F.when(forced, "mask").when(F.col("entity"), action_of(draw(F.lit("action"), "doc_id", "pos"))).when(F.col("__chosen"), action_of(draw(F.lit("action"), "doc_id", first)))
-    return joined.withColumn("action", action).withColumn("masked", F.col("action").isNotNull()).select(*[f"`{c}`" for c in tokens.columns], "masked", "action")
+    lists = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "subword", "entity"))).alias("all"))
+    out = masked_group_lists(lists.select("doc_id", F.col("all.subword").alias("subword"), F.col("all.entity").alias("entity")), rate)
+    return out.withColumn("pos", F.col("pos").cast(dict(tokens.dtypes)["pos"]))
 
 
 def masked_entities(entities: DataFrame, rate: float = 0.3) -> DataFrame:
@@ -104,13 +171,19 @@ def masked_entities(entities: DataFrame, rate: float = 0.3) -> DataFrame:
     return rows.withColumn("action", F.when(F.col("masked"), action_of(draw(F.lit("entity action"), "doc_id", "index")))).withColumn("positions", moved)
 
 
-def masked_words(words: DataFrame, rate: float = 0.15) -> DataFrame:
-    """words (doc_id, pos) with masked and action: ``rate`` of a document's words, 1 at least; of them 80 % mask, 10 % random, 10 % keep."""
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("-", "doc_id", "pos")), "pos")
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    rows = words.withColumn("masked", F.row_number().over(order) <= share_of(n, rate))
-    u = draw(F.lit("action"), "doc_id", "pos")
-    return rows.withColumn("action", F.when(F.col("masked"), action_of(u)))
+def masked_words(docs: DataFrame, rate: float = 0.15) -> DataFrame:
+    """(doc_id, pos, masked, action) of the words of docs (doc_id, n: how many): ``rate`` of a document's words, 1 at least; of them 80 % mask, 10 % random, 10 % keep. Nothing is shuffled."""
+
+    def masks(key: str, n: int, budget: int, own: dict[str, np.ndarray]) -> np.ndarray:
+        high, low = _digests(key, np.arange(n))
+        masked = np.lexsort((low, high))[:budget]
+        action = np.full(n, -1, np.int8)
+        action[masked] = _actions(_draws("action", key, masked))
+        return action
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("n").cast("int").alias("n"), share_of(F.col("n"), rate).alias("budget"))
+    return rows.mapInArrow(lambda b: _masked_rows(b, masks, []), f"doc_id {kind}, pos int, masked boolean, action string")
 
 
 def mixing_rates(sizes: DataFrame, smoothing: float = 0.7) -> DataFrame:
