@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -13,20 +13,37 @@ from spanforge.operators.ordering import in_order
 from spanforge.session import keep
 
 
-def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([0 if x is None else len(x) for x in arrays])
-    some = [x for x in arrays if x is not None]
-    return np.repeat(np.arange(len(arrays)), size), np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64)
-
-
-@F.pandas_udf(IntegerType())
-def _shared_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many numbers two arrays share, each as often as in both; null if one is null."""
-    counts = [pd.DataFrame(dict(zip(("row", "token"), _flat(x), strict=True))).groupby(["row", "token"], sort=False).size() for x in (a, b)]
-    both = pd.concat(counts, axis=1, join="inner").min(axis=1).groupby(level="row").sum()
-    same = both.reindex(np.arange(len(a)), fill_value=0).astype("Int32")
-    same[a.isna().to_numpy() | b.isna().to_numpy()] = pd.NA
-    return same.reset_index(drop=True)
+#: Tokens that a task counts together, but for a single longer pair.
+_TOKENS = 250_000
+
+
+def _shared(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many numbers the arrays of each row share, each as often as in both."""
+    own = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (a, b)]
+    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in own])
+    token = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (a, b)])
+    if not len(row):
+        return np.zeros(len(a), np.int32)
+    order = np.lexsort((token, row))
+    left = (order < own[0].sum()).astype(np.int64)
+    row, token = row[order], token[order]
+    starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])]))
+    in_a = np.add.reduceat(left, starts)
+    both = np.minimum(in_a, np.diff(np.append(starts, len(row))) - in_a)
+    return np.bincount(row[starts], weights=both, minlength=len(a)).astype(np.int32)
+
+
+@F.arrow_udf(IntegerType())
+def _shared_hashes(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many numbers two arrays share, each as often as in both; null if one is null. Some rows are counted at a time, so that memory doesn't follow a batch's texts."""
+    after = np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + b.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out, at = [np.zeros(0, np.int32)], 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + _TOKENS, side="right")))
+        out.append(_shared(a.slice(at, stop - at), b.slice(at, stop - at)))
+        at = stop
+    null = a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate(out), pa.int32(), mask=null)
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
