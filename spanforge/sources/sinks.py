@@ -57,9 +57,16 @@ def write_bio(lines: DataFrame, path: str) -> None:
     out.repartition("file").sortWithinPartitions("file", "line").select("value").write.mode("overwrite").text(path)
 
 
+def write_tag_lists(sentences: DataFrame, path: str) -> None:
+    """``write_tags`` of sentences (sentence, lines: array of "word gold pred" in order), a row each: only they are shuffled, a text each. Those without lines are left out."""
+    text = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
+    # by explode, so that the text is put together once, and no filter on it goes before the shuffle
+    out = sentences.select("sentence", F.explode(F.filter(F.array(text), lambda x: x != "\n")).alias("value"))
+    out.repartitionByRange("sentence").sortWithinPartitions("sentence").select("value").write.mode("overwrite").text(path)
+
+
 def write_tags(rows: DataFrame, path: str) -> None:
     """Lines "word gold pred" of rows (sentence, pos, word, gold, pred) in order, an empty one behind each sentence."""
-    last = F.col("pos") == F.max("pos").over(Window.partitionBy("sentence"))
-    line = F.concat_ws(" ", "word", "gold", "pred")
-    out = rows.withColumn("value", F.when(last, F.concat(line, F.lit("\n"))).otherwise(line))
-    out.repartitionByRange("sentence").sortWithinPartitions("sentence", "pos").select("value").write.mode("overwrite").text(path)
+    line = F.struct("pos", F.concat_ws(" ", "word", "gold", "pred").alias("line"))
+    lists = rows.groupBy("sentence").agg(F.array_sort(F.collect_list(line)).alias("all"))
+    write_tag_lists(lists.select("sentence", F.col("all.line").alias("lines")), path)
