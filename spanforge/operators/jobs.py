@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from spanforge.functions.text import normalize_mention
 from spanforge.operators import linking, scores
 from spanforge.operators.names import name_runs
+from spanforge.session import small_batches
 from spanforge.sources import files
 from spanforge.sources.pages import resolve
 
@@ -128,16 +132,49 @@ def answers_or_empty(answers: DataFrame, ids: DataFrame) -> DataFrame:
     return answers.select("id", "rank", "text", "score").unionByName(none.select("id", F.lit(1).alias("rank"), F.lit("empty").alias("text"), F.lit(0.0).alias("score")))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _span_tags(places: pa.Array, spans: pa.Array) -> pa.Array:
+    """The tag at each place, which rise, by the spans (start, end, label) of a document; null spans: none."""
+    size, own = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (places, spans))
+    flat, found = places.flatten(), spans.flatten()
+    start, end, label = (pc.struct_field(found, c) for c in ("start", "end", "label"))
+    named = pc.and_(pc.less(start, end), pc.invert(pc.is_in(label, pa.array(["NIL", "O", None], pa.string())))).fill_null(False)
+    row_of = np.repeat(np.arange(len(own)), own)[named.to_numpy(zero_copy_only=False)]
+    start, end = (x.filter(named).to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, end))
+    coded = label.filter(named).dictionary_encode()
+    code_of = coded.indices.to_numpy(zero_copy_only=False)
+    unknown = flat.is_null().to_numpy(zero_copy_only=False)
+    pos, row = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size)
+    code, first = np.full(len(pos), -1), np.zeros(len(pos), bool)
+    if len(start) and len(pos):
+        # a document's places lie behind those of the one before
+        low = min(pos.min(), start.min())
+        width = max(pos.max() + 1, end.max()) - low
+        order = np.lexsort((start, row_of))
+        begin, stop, kinds = (start - low + row_of * width)[order], (end - low + row_of * width)[order], code_of[order]
+        at = pos - low + row * width
+        of = np.searchsorted(begin, at, side="right") - 1
+        code = np.where((of >= 0) & (at < stop[of]) & ~unknown, kinds[of], -1)
+        head = np.append(True, row[1:] != row[:-1])
+        first = (at == begin[of]) & (np.append(-1, code[:-1]) == code) & ~head
+    values = ["O"] + [f"{x}-{k}" for k in coded.dictionary.to_pylist() for x in "IB"]
+    tags = pa.DictionaryArray.from_arrays(pa.array(np.where(code < 0, 0, 1 + 2 * code + first).astype(np.int32)), pa.array(values, pa.string()))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), tags.cast(pa.string()))
+
+
+def tag_lists(docs: DataFrame) -> DataFrame:
+    """docs (places: array<long>, rising, spans: array of struct<start, end, label> that don't overlap, ...) with preds, the tag at each place as ``sentence_tags`` has it; a document is a row, and nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn("preds", _span_tags("places", "spans"))
+
+
 def sentence_tags(spans: DataFrame, words: DataFrame) -> DataFrame:
     """(doc, sentence, pos, word, label, pred) for words (doc, pos, sentence, word, label), pos through the document: spans (doc, start, end, label) that don't overlap as tags, cut at sentences; spans labelled NIL or O count as none.
 
-    A tag in a sentence is I- where the word before it, through the document, has another type, else
+    Words meet as one row for each document. A tag in a sentence is I- where the word before it, through the document, has another type, else
     B- at its span's first word: so one that goes on behind a sentence's end stays I-.
     """
-    named = spans.filter(~F.col("label").isin("NIL", "O"))
-    covered = named.select("doc", F.col("label").alias("type"), "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    rows = words.join(covered, ["doc", "pos"], "left")
-    before = F.lag("type").over(Window.partitionBy("doc").orderBy("pos"))
-    first = (F.col("pos") == F.col("start")) & before.eqNullSafe(F.col("type"))
-    tag = F.when(F.col("type").isNull(), "O").otherwise(F.concat(F.when(first, "B-").otherwise("I-"), "type"))
-    return rows.select("doc", "sentence", "pos", "word", "label", tag.alias("pred"))
+    lists = words.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "word", "label"))).alias("words"))
+    own = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "label")).alias("spans"))
+    rows = tag_lists(lists.join(own, "doc", "left").withColumn("places", F.col("words.pos").cast("array<long>")))
+    return rows.select("doc", F.explode(F.arrays_zip("words", "preds")).alias("w")).select("doc", "w.words.sentence", "w.words.pos", "w.words.word", "w.words.label", F.col("w.preds").alias("pred"))
