@@ -2,8 +2,10 @@
 
 Runs are never made: prefix sums of the words' hashes give the hash of any run, and a Bloom filter of
 a fixed size tells in the task which of them can be names. Those few rows, of a page, a place and
-two hashes, then meet the names by a join. The work for a text grows with its words and with the
-number of different lengths of names, not with the names.
+two hashes, then meet the names by a join. A name's head is its first words, as many as the largest
+power of two that it has: only where a head stands are the lengths tried that share its size, so that
+the work for a text grows with its words and the logarithm of the longest name, not with the names
+or their different lengths.
 """
 
 from __future__ import annotations
@@ -55,23 +57,29 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _head(n: int) -> int:
+    """How many words the head of a name of ``n`` words has."""
+    return 1 << (int(n).bit_length() - 1)
+
+
 def hashed_names(names: DataFrame) -> DataFrame:
-    """(name, n, h1, h2) of the distinct names (name: words parted by single spaces): number of words, and two hashes of all of them."""
+    """(name, n, h1, h2, g1, g2) of the distinct names (name: words parted by single spaces): number of words, and two hashes of all of them and of their heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("hashes")
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            one, two = run_hashes(hashes, np.cumsum(n) - n, n, _powers(len(hashes) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(n, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["name", "n", "h1", "h2"])
+            head = np.array([_head(x) for x in n.tolist()], np.int64)
+            found = [h for size in (n, head) for h in run_hashes(hashes, np.cumsum(n) - n, size, _powers(len(hashes) + 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(n, pa.int32()), *[pa.array(h.view(np.int64)) for h in found]], ["name", "n", "h1", "h2", "g1", "g2"])
 
     split = names.select("name").filter("name is not null").distinct().select("name", _word_hashes(F.split("name", " ")).alias("hashes"))
-    return split.mapInArrow(run, "name string, n int, h1 long, h2 long")
+    return split.mapInArrow(run, "name string, n int, h1 long, h2 long, g1 long, g2 long")
 
 
 def _filter_bits(hashed: DataFrame) -> np.ndarray:
-    """The Bloom filter over both hashes of the names; at most SLOTS rows come to the driver."""
+    """The Bloom filter over both hashes (h1, h2) of the names or heads; at most SLOTS rows come to the driver."""
     bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h2", 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
     rows = hashed.select(F.col("h1").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3]).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(SLOTS, np.uint64)
@@ -96,6 +104,8 @@ def name_runs(docs: DataFrame, names: DataFrame, longest: int | None = None) ->
     hashed = keep(hashed.filter(F.col("n") <= longest) if longest else hashed, "names")
     lengths = sorted(r.n for r in hashed.select("n").distinct().collect())  # a number for each length of names
     bits = _filter_bits(hashed)
+    by_head = {h: [n for n in lengths if _head(n) == h] for h in sorted({_head(n) for n in lengths})}
+    heads = _filter_bits(hashed.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))) if len(by_head) < len(lengths) else bits
     kind = dict(docs.dtypes)["page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,27 +119,33 @@ def name_runs(docs: DataFrame, names: DataFrame, longest: int | None = None) ->
                 part, own = batch.slice(at, stop - at), size[at:stop]
                 at = stop
                 flat = part.column("hashes").flatten()
-                known = ~flat.is_null().to_numpy(zero_copy_only=False)
+                nulls = flat.is_null().to_numpy(zero_copy_only=False)
                 hashes = flat.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 if len(hashes) >= len(powers[0][0]):
                     powers = _powers(2 * len(hashes))
                 row = np.repeat(np.arange(len(own)), own)
                 first = np.cumsum(own) - own
                 left = np.repeat(first + own, own) - np.arange(len(hashes))  # words from here to the text's end
-                unknown = np.concatenate([[0], np.cumsum(~known)])
+                unknown = np.concatenate([[0], np.cumsum(nulls)])
                 sums = []
                 for up, down in powers:
                     total = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(_mixed(hashes + np.uint64(1)) * up[: len(hashes)], out=total[1:])
                     sums.append((total, down))
-                for n in lengths:
-                    starts = np.flatnonzero(left >= n)
-                    one, two = (_mixed((total[starts + n] - total[starts]) * down[starts]) for total, down in sums)
-                    hit = _may_be_names(bits, one, two) & (unknown[starts + n] == unknown[starts])
-                    starts = starts[hit]
-                    if len(starts):
-                        page = part.column("page").take(pa.array(row[starts]))
-                        yield pa.RecordBatch.from_arrays([page, pa.array(starts - first[row[starts]], pa.int32()), pa.array(np.full(len(starts), n), pa.int32()), pa.array(one[hit].view(np.int64)), pa.array(two[hit].view(np.int64))], ["page", "start", "n", "h1", "h2"])
+                for h, some in by_head.items():
+                    # where a head stands and the shortest of its names has room; a single length is looked up itself
+                    n = some[0] if len(some) == 1 else h
+                    until = max(0, len(hashes) - n + 1)
+                    one, two = (_mixed((total[n:] - total[:until]) * down[:until]) for total, down in sums) if until else (np.zeros(0, np.uint64),) * 2
+                    hit = np.flatnonzero(_may_be_names(bits if len(some) == 1 else heads, one, two) & (left[:until] >= some[0]))
+                    for n in some:
+                        starts = hit[(left[hit] >= n) & (unknown[np.minimum(hit + n, len(hashes))] == unknown[hit])]
+                        one, two = (_mixed((total[starts + n] - total[starts]) * down[starts]) for total, down in sums)
+                        known = _may_be_names(bits, one, two)
+                        starts, one, two = starts[known], one[known], two[known]
+                        if len(starts):
+                            page = part.column("page").take(pa.array(row[starts]))
+                            yield pa.RecordBatch.from_arrays([page, pa.array(starts - first[row[starts]], pa.int32()), pa.array(np.full(len(starts), n), pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["page", "start", "n", "h1", "h2"])
 
     known = F.transform("words", lambda w: F.when(w.isNotNull(), F.xxhash64(w)))
     rows = docs.filter(F.size("words") > 0).select("page", known.alias("hashes"))
