@@ -3,7 +3,8 @@
 Breaks follow the default rules of Unicode's annex 29, as one regular expression. What a language
 abbreviates is found by the likelihood ratio of Kiss and Strunk (2006): a word that nearly always has
 a full stop behind it, is short, and is seldom without one. The candidates of a break and the
-abbreviations meet by a join, so that a language's list may be of any size.
+abbreviations meet by a join, so that a language's list may be of any size. Only the sizes of pieces
+are shuffled, no text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import blank_astral
+from spanforge.session import keep
 
 #: Signs that end sentences, besides full stops; signs that go on with one; locales whose usual breaks know abbreviations.
 STOPS = ".․﹒．"
@@ -23,6 +24,12 @@ _PARA = r"\r\n\x85\u2028\u2029"
 _CLOSE = r"[\p{Ps}\p{Pe}\p{Pi}\p{Pf}'\"]"
 _SPACE = r"[\p{Zs}\t\x0B\x0C]"
 _MARK = "\ue000"
+#: All that can begin a break, as one range but for what stands below it: most characters need no other look.
+_BEGINS = r"(?=[!?.;\r\n\x85\u037e\u0589-\uffff])"
+#: White space and separators: what \p{Z} and \s are.
+_BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Keys that pieces without a candidate are dealt over.
+_SALTS = 64
 #: The score from which on a word is an abbreviation, and the share of its occurrences that a true one has with a full stop.
 LEAST_SCORE, SHARE = 0.3, 0.99
 
@@ -48,7 +55,8 @@ def word_stops(docs: DataFrame) -> DataFrame:
 
 
 def abbreviation_scores(stops: DataFrame) -> DataFrame:
-    """``stops`` (lang, word, n_stop, n_plain) with score, for words that have a full stop somewhere."""
+    """``stops`` (lang, word, n_stop, n_plain) with score, for words that have a full stop somewhere. They are written, as they serve twice."""
+    stops = keep(stops, "stops")
     totals = stops.groupBy("lang").agg((F.sum("n_stop") / F.sum(F.col("n_stop") + F.col("n_plain"))).alias("p"))
     rows = stops.filter("n_stop > 0").join(totals, "lang")
     ratio = 2 * (F.col("n_stop") * F.log(SHARE / F.col("p")) + F.when(F.col("n_plain") > 0, F.col("n_plain") * F.log((1 - SHARE) / (1 - F.col("p")))).otherwise(0.0))
@@ -64,10 +72,16 @@ def abbreviations(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFram
 
 
 def _pieces(text: Column, locale: str) -> Column:
-    marked = F.regexp_replace(F.replace(blank_astral(text), F.lit(_MARK), F.lit(" ")), break_pattern(locale), "$0" + _MARK)
+    marked = F.regexp_replace(F.regexp_replace(text, rf"[{_MARK}\x{{10000}}-\x{{10FFFF}}]", " "), _BEGINS + f"(?:{break_pattern(locale)})", "$0" + _MARK)
     return F.filter(F.split(marked, _MARK), lambda x: x != "")
 
 
+def _last_word(piece: str, core: str) -> Column:
+    """The word of letters, in lower case, that a full stop at the end of ``piece`` stands behind, or ''; ``core`` is the piece without blanks at its end, and only what follows its last space is looked at."""
+    tail = F.lower(F.concat(F.substring_index(core, " ", -1), F.substring(F.col(piece), F.length(core) + 1, F.length(piece))))
+    return F.when(F.col(core).endswith("."), F.regexp_extract(tail, r"(?s)(?:^|[\x20\x09-\x0D\p{Ps}\p{Pi}'\"])(\p{L}[\p{L}.]*)\.[\p{Zs}\t]*$", 1)).otherwise("")
+
+
 def sentences(docs: DataFrame, splitter: str = "en", known: DataFrame | None = None) -> DataFrame:
     """(page, sentence, start, end) of docs (page, lang, text): sentences, numbered from 0, by places in the text.
 
@@ -78,24 +92,26 @@ def sentences(docs: DataFrame, splitter: str = "en", known: DataFrame | None = N
     texts have no sentences.
     """
     locale = "en" if splitter == TRAINED else splitter
-    rows = docs.select("page", "lang", F.posexplode(_pieces(F.col("text"), locale)).alias("i", "piece"))
+    rows = docs.select("page", "lang", F.posexplode(_pieces(F.col("text"), locale)).alias("i", "piece")).withColumn("core", F.rtrim("piece", F.lit(_BLANK)))
+    back, size = F.length("core"), F.length("piece")
+    front = size - F.length(F.ltrim("piece", F.lit(_BLANK)))
+    rows = rows.select("page", "lang", "i", size.alias("size"), front.alias("front"), back.alias("back"), _last_word("piece", "core").alias("last"))
     by = Window.partitionBy("page").orderBy("i")
     if known is not None and (splitter == TRAINED or locale.split("_")[0].split("-")[0] in ABBREVIATING):
-        # a paragraph's end ends a sentence whatever stands before it
-        word = F.regexp_extract(F.lower("piece"), r"(?s)(?:^|[\x20\x09-\x0D\p{Ps}\p{Pi}'\"])(\p{L}[\p{L}.]*)\.[\p{Zs}\t]*$", 1)
-        short = known.select("lang", F.col("word").alias("last"), F.lit(True).alias("goes_on")).distinct()
-        rows = rows.withColumn("last", word).join(short, ["lang", "last"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+        # a written list is sent to all tasks if it is small; where it isn't, pieces without a candidate are dealt over many keys that no word is
+        short = keep(known.select("lang", F.col("word").alias("last")).filter(F.col("last").rlike(r"^\p{L}")).distinct(), "abbreviations").withColumn("goes_on", F.lit(True))
+        none = F.concat(F.lit(" "), F.pmod(F.xxhash64("page", "i"), F.lit(_SALTS)))
+        rows = rows.withColumn("last", F.when(F.col("last") == "", none).otherwise(F.col("last")))
+        rows = rows.join(short, ["lang", "last"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
     else:
         rows = rows.withColumn("goes_on", F.lit(False))
-    size = F.length("piece")
-    end = F.sum(size).over(by)
+    end = F.sum("size").over(by)
     begins = F.when(F.lag("goes_on", 1, False).over(by), 0).otherwise(1)
-    placed = rows.select("page", "i", "piece", (end - size).alias("start"), end.alias("end"), begins.alias("begins"))
+    placed = rows.select("page", "i", "front", "back", (end - F.col("size")).alias("start"), end.alias("end"), begins.alias("begins"))
     numbered = placed.withColumn("sentence", F.sum("begins").over(by) - 1)
     if splitter != TRAINED:
         return numbered.groupBy("page", "sentence").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end")).withColumn("sentence", F.col("sentence").cast("int"))
-    front, back = F.length("piece") - F.length(F.regexp_replace("piece", r"^[\p{Z}\s]+", "")), F.length(F.regexp_replace("piece", r"[\p{Z}\s]+$", ""))
-    seen = numbered.filter(back > 0).withColumn("from", F.col("start") + front).withColumn("to", F.col("start") + back)
+    seen = numbered.filter("back > 0").withColumn("from", F.col("start") + F.col("front")).withColumn("to", F.col("start") + F.col("back"))
     whole = seen.groupBy("page", "sentence").agg(F.min("from").cast("int").alias("start"), F.max("to").cast("int").alias("end"))
     rank = F.row_number().over(Window.partitionBy("page").orderBy("sentence")) - 1
     return whole.withColumn("sentence", rank)
