@@ -91,7 +91,9 @@ def centred_context(sentences: DataFrame, most: int) -> DataFrame:
 
 def spans(sentences: DataFrame, longest: int) -> DataFrame:
     """(doc_id, sentence, start, end): all spans of up to ``longest`` words of each sentence (doc_id, sentence, n)."""
-    starts = sentences.filter("n > 0").select("doc_id", "sentence", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("start"))
+    # not as a filter, which Spark would move below the words' count and count twice
+    words = F.when(F.col("n") > 0, F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))
+    starts = sentences.select("doc_id", "sentence", "n", F.explode(words).alias("start"))
     return starts.select("doc_id", "sentence", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n").cast("int"), F.col("start") + longest))).alias("end"))
 
 
