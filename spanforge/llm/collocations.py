@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import SLOTS, materialize, sieve, text_slices, wanted
+from spanforge.llm.common import in_packed, materialize, packed, sieve, text_slices, wanted
 from spanforge.llm.words import bytes_of, hash_spans, mix
 
 LEAST, TOP, NO_LANG = 30, 2000, "und"
@@ -107,21 +107,6 @@ def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first ^ (second << np.uint64(17) | second >> np.uint64(47))
 
 
-def _bits(passing: DataFrame) -> np.ndarray:
-    """A sieve as an array; SLOTS rows at most come to the driver."""
-    table = passing.toArrow()
-    bits = np.zeros(SLOTS, np.uint64)
-    bits[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return bits
-
-
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    own = np.zeros(len(keys), np.uint64)
-    for i in range(4):
-        own |= np.uint64(1) << (keys >> np.uint64(20 + 6 * i) & np.uint64(63))
-    return bits[(keys & np.uint64(SLOTS - 1)).astype(np.int64)] & own == own
-
-
 @dataclass
 class Lists:
     """Lists of the positions of phrases of one length. at: all positions, in order; code: whose list each is in; ids: the words' ids of each phrase, a row each."""
@@ -166,12 +151,12 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches, block):
             post = postings(block_of(part.column("text"), part.column("lang")))
-            post = post.only(_passes(words, post.ids[:, 0]))
+            post = post.only(in_packed(words, post.ids[:, 0]))
             found = extended(post, post)
             if pairs is None:
                 out = [found]
             else:
-                found = found.only(_passes(pairs, _pair_key(found.ids[:, 0], found.ids[:, 1])))
+                found = found.only(in_packed(pairs, _pair_key(found.ids[:, 0], found.ids[:, 1])))
                 three = extended(_followed(found), post)
                 out = [three, extended(_followed(three), post)]
             for lists in out:
@@ -195,9 +180,9 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, block: int = BLOCK)
     """Candidates (w1..w4, m, lang, words, a, before, after) of two to four words, and (lang, n)."""
     counted = materialize(word_counts(docs, block).filter(f"n >= {least} or word is null"), "words")
     one = counted.filter(f"word is not null and n >= {least}")
-    words = _bits(sieve(one, F.col("id"), "word_sieve"))
+    words = packed(sieve(one, F.col("id"), "word_sieve"))
     pairs = materialize(phrase_counts(docs, words, None, block).filter(f"n >= {least}"), "pairs")
-    runs = phrase_counts(docs, words, _bits(sieve(pairs, pair_key(F.col("w1"), F.col("w2")), "pair_sieve")), block)
+    runs = phrase_counts(docs, words, packed(sieve(pairs, pair_key(F.col("w1"), F.col("w2")), "pair_sieve")), block)
     runs = materialize(runs.filter(f"n >= {least}"), "runs")
     none = F.array().cast("array<long>")
     shorter = one.select(F.col("id").alias("w1"), "lang", F.array("word").alias("words"), F.col("n").alias("a"), none.alias("before"), none.alias("after"))

@@ -6,18 +6,19 @@ import atexit
 import itertools
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Up to so many rows and bytes a table is broadcast.
-SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
+#: Up to so many rows and bytes a table is broadcast: the driver holds it several times over while it is sent.
+SMALL_ROWS, SMALL_BYTES = 50_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,14 +76,15 @@ def clean_up(spark: SparkSession) -> int:
     return done
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", *, spread: Column, at_most: int | None = None, salts: int = 16) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", *, spread: Column, at_most: int | None = None, salts: int = 16, sift: bool = False) -> DataFrame:
     """Null-safe equi-join of ``big`` with ``small``, which has one row for each key.
 
     ``small`` is measured first, in rows and in bytes (as JSON text): up to SMALL_ROWS and
     SMALL_BYTES it is broadcast. ``at_most`` is a bound of its rows that the caller knows, which
     spares the measuring where rows are a few numbers wide. Beyond that both sides are shuffled,
     ``big`` salted by ``spread`` and ``small`` repeated ``salts`` times, so that a key with a third
-    of the rows is dealt over many tasks.
+    of the rows is dealt over many tasks. ``sift``: rows of ``big`` that a sieve of ``small``'s keys
+    rules out aren't shuffled, for wide rows few of which are met; it runs in Python.
     """
     keys = [f"__k{i}" for i in range(len(on))]
     for k, c in zip(keys, on, strict=True):
@@ -90,10 +92,16 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     if (at_most <= SMALL_ROWS) if at_most is not None else _fits(small):
         same = [big[c].eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)]
         return big.join(F.broadcast(small), same, how).drop(*keys)
+    rest = None
+    if sift:
+        passes = in_sieve(sieve(small, F.xxhash64(*keys), "keys"))(F.xxhash64(*on))
+        rest, big = big.filter(~passes) if how == "left" else None, big.filter(passes)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = [salted[c].eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)]
-    return salted.join(copies, [salted["__salt"] == F.col("__copy"), *same], how).drop("__salt", "__copy", *keys)
+    # Spark's guess of the copies' size leaves the copying out
+    out = salted.join(copies.hint("merge"), [salted["__salt"] == F.col("__copy"), *same], how).drop("__salt", "__copy", *keys)
+    return out if rest is None else out.unionByName(rest, allowMissingColumns=True)
 
 
 def _fits(small: DataFrame) -> bool:
@@ -172,3 +180,30 @@ def sifted(big: DataFrame, key: Column, passing: DataFrame) -> DataFrame:
     own = big.withColumn("__slot", slot).withColumn("__own", bits)
     met = own.join(F.broadcast(passing.withColumnsRenamed({"slot": "__at", "bits": "__bits"})), F.col("__slot") == F.col("__at"))
     return met.filter(F.col("__bits").bitwiseAND(F.col("__own")) == F.col("__own")).select(*[F.col(f"`{c}`") for c in big.columns])
+
+
+def packed(passing: DataFrame) -> np.ndarray:
+    """A sieve as an array; SLOTS rows at most come to the driver."""
+    table = passing.toArrow()
+    bits = np.zeros(SLOTS, np.uint64)
+    bits[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def in_packed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` may be in a packed sieve."""
+    own = np.zeros(len(keys), np.uint64)
+    for i in range(4):
+        own |= np.uint64(1) << (keys >> np.uint64(20 + 6 * i) & np.uint64(63))
+    return bits[(keys & np.uint64(SLOTS - 1)).astype(np.int64)] & own == own
+
+
+def in_sieve(keys: DataFrame) -> Callable[[Column], Column]:
+    """Whether a 64-bit hash, not null, may be in the sieve ``keys``, told in Python: only its bits are broadcast, not a row for each slot."""
+    sent = keys.sparkSession.sparkContext.broadcast(packed(keys))
+
+    @F.arrow_udf(BooleanType())
+    def told(key: pa.Array) -> pa.Array:
+        return pa.array(in_packed(sent.value, key.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return told

@@ -259,7 +259,7 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     # a set meets the rows with its representative's id and text, whatever else has that id
     chosen = members.select("sid", "first", "mark", "cluster", "copies", "n_blocks", "block")
     marked = docs.withColumnRenamed("doc_id", "first").withColumn("mark", F.xxhash64("text"))
-    found = join_small(marked, chosen, ["first", "mark"], "inner", spread=F.monotonically_increasing_id())
+    found = join_small(marked, chosen, ["first", "mark"], "inner", spread=F.monotonically_increasing_id(), sift=True)
     paired = _block_pairs(_of_set(found, n).dropDuplicates(["sid"])).select("cluster", "n_blocks", "a", "b", "block", "sid", "copies", "text")
     compared = materialize(_compare(paired.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "n_blocks", "a", "b", "sid"), n, threshold), "compared")
 
@@ -297,7 +297,7 @@ def keep_one(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recal
     decided = join_small(linked, winners, ["root"], "inner", spread=F.col("mark")).groupBy("doc_id", "mark").agg(F.max(F.col("key") == F.col("winner")).alias("__stays"), F.count("*").alias("__rows"))
     decided = materialize(decided, "decided")
     marked = docs.withColumn("__mark", F.xxhash64(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = join_small(marked, decided.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left", spread=F.col("__mark")).filter("__stays is null or __stays")
+    kept = join_small(marked, decided.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left", spread=F.col("__mark"), sift=True).filter("__stays is null or __stays")
     out = kept.filter("__stays is null or __rows = 1")
     if not decided.filter("__stays and __rows > 1").isEmpty():  # the same row more than once
         out = out.unionByName(kept.filter("__stays and __rows > 1").dropDuplicates(["__id", "__mark"]))

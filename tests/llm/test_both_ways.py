@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from spanforge.llm import common, mixing, pieces, pii, token_counts, warc
+from spanforge.llm import common, mixing, ngram_join, pieces, pii, token_counts, warc
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,39 @@ def test_decoding_and_archives_with_clashing_columns(spark):
     plain = spark.createDataFrame(pages, "page_id long, url string, html string")
     wide = plain.selectExpr("*", "1 as payload", "'q' as record_type", "2 as path", "3 as refers_to", "4 as leader")
     assert sorted(map(tuple, warc.round_trip(wide).collect()), key=repr) == sorted(map(tuple, warc.round_trip(plain).collect()), key=repr)
+
+
+def _near(n):
+    """Texts of which every tenth has a near copy and every seventh a copy, null ids and repeated rows among them."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{rnd.randrange(9999)}" for _ in range(60)), "a") for i in range(n)]
+    rows += [(n + i, rows[i][1] + " end", "b") for i in range(0, n, 10)] + [(2 * n + i, rows[i][1], "c") for i in range(0, n, 7)]
+    return rows + [(0, rows[0][1], "a")] * 2 + [(None, rows[1][1], None), (None, rows[10][1], "d"), (5 * n, None, "e")]
+
+
+def test_near_duplicates_beyond_small_tables(spark, monkeypatch):
+    df = spark.createDataFrame(_near(200), "doc_id long, text string, source string")
+    links, kept = (sorted(map(tuple, f(df).collect()), key=repr) for f in (ngram_join.jaccard_join, ngram_join.keep_one))
+    monkeypatch.setattr(common, "SMALL_ROWS", -1)
+    assert sorted(map(tuple, ngram_join.jaccard_join(df).collect()), key=repr) == links
+    plan = ngram_join.keep_one(df)
+    assert sorted(map(tuple, plan.collect()), key=repr) == kept
+    # texts that a sieve of the keys rules out go past the join
+    assert "told(xxhash64(" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_driver_sends_few_rows(spark):
+    small = spark.range(60_000).selectExpr("id as key", "id * 2 as value")
+    big = spark.range(7).selectExpr("id * 20000 as key", "id")
+    joined = common.join_small(big, small, ["key"], "left", spread=big["id"])
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in joined.collect()) == [(k * 20000, k, k * 40000 if k < 3 else None) for k in range(7)]
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_sifted_joins_are_the_same(spark, monkeypatch, how):
+    small = spark.createDataFrame([(i if i else None, f"k{i % 3}" if i % 4 else None, i) for i in range(0, 900, 3)], "a long, b string, value long")
+    big = spark.createDataFrame([(i if i else None, f"k{i % 3}" if i % 4 else None, "x" * i) for i in range(1000)], "a long, b string, text string")
+    monkeypatch.setattr(common, "SMALL_ROWS", -1)
+    plain, sifted = (sorted(map(tuple, common.join_small(big, small, ["a", "b"], how, spread=big["text"], sift=s).select("a", "b", "text", "value").collect()), key=repr) for s in (False, True))
+    assert sifted == plain and len(plain) == (1000 if how == "left" else 300)
