@@ -10,7 +10,9 @@ Counting: tasks pre-aggregate word hashes and send them, sorted and packed by se
 space, to the task that merges a segment: it keeps the exact unigram counts and sets the bits of the
 segment's own filter. Scoring: if all segments together are within ``broadcast_bytes``, they are
 broadcast. Beyond that nothing is: documents are dealt to buckets, a bucket's distinct hashes go to
-the segments, and what these answer meets the bucket's documents; the scores are the same.
+the segments, whose answers, in the order of the hashes, meet the bucket's documents; the scores are
+the same. Messages go to groups of neighbouring segments: their number is that of tasks or buckets
+times that of segments, so that with many segments of their own they would be many and tiny.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ B, BETA = 1.5, 400.0
 BITS, PROBES = 10, 6
 SEGMENT_BYTES, BROADCAST_BYTES = 4 << 20, 192 << 20
 _FLUSH = 1_000_000
+#: As powers of two: up to so many groups have one segment each, and buckets the texts of one; a group has so many segments at most, and a bucket the texts of so many.
+LEAST_GROUPS, GROUP, BUCKET = 6, 4, 2
 _C = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNIGRAM, BIGRAM = 0, 1
@@ -67,8 +71,13 @@ def unpack(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(dtype).ravel()
 
 
+def group_bits(segment_bits: int) -> int:
+    """Leading bits of a hash that tell its group of segments."""
+    return max(min(segment_bits, LEAST_GROUPS), segment_bits - GROUP)
+
+
 def _by_segment(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, stop) of sorted ``keys``."""
+    """(segment, start, stop) of sorted ``keys``; with fewer ``bits`` groups of segments."""
     if not len(keys):
         return []
     segment = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -88,6 +97,15 @@ class Filter:
         sizes[segment] = len(raw) * 8
         return cls(segment_bits, np.zeros_like(sizes), sizes, np.frombuffer(raw, np.uint8))
 
+    @classmethod
+    def several(cls, segment_bits: int, raw: dict[int, bytes]) -> Filter:
+        starts, sizes = np.zeros((2, 1 << segment_bits), np.uint64)
+        at = 0
+        for segment, data in raw.items():
+            starts[segment], sizes[segment] = at * 8, len(data) * 8
+            at += len(data)
+        return cls(segment_bits, starts, sizes, np.frombuffer(b"".join(raw.values()), np.uint8))
+
     @staticmethod
     def places(keys: np.ndarray, level: int, sizes: np.ndarray, probe: int) -> np.ndarray:
         mixed = mix(keys + np.full(1, level, np.uint64) * _C)
@@ -142,10 +160,10 @@ def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
             rows = []
             for kind in (UNIGRAM, BIGRAM):
                 keys, n = np.unique(np.concatenate(held[kind]), return_counts=True) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                rows += [(kind, s, pack(keys[a:b]), pack(n[a:b].astype(np.uint32))) for s, a, b in _by_segment(keys, segment_bits)]
+                rows += [(kind, g, pack(keys[a:b]), pack(n[a:b].astype(np.uint32))) for g, a, b in _by_segment(keys, group_bits(segment_bits))]
                 held[kind].clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "segment", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "group", "keys", "counts"])
 
         for part in text_slices(batches):
             toks, offsets = tokens(part.column("text"))
@@ -157,24 +175,31 @@ def count_ngrams(docs: DataFrame, segment_bits: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        for (kind, segment), group in itertools.groupby(rows, lambda r: r[:2]):
-            packed = [(unpack(k, np.uint64), unpack(c, np.uint32)) for _, _, k, c in group]
-            keys, place = np.unique(np.concatenate([k for k, _ in packed]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([c for _, c in packed])).astype(np.int64)
-            data = Filter.build(keys, counts) if kind == BIGRAM else pack(counts)
-            row = {"kind": kind, "segment": segment, "keys": None if kind == BIGRAM else pack(keys), "data": data, "distinct": len(keys), "total": int(counts.sum())}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())]))
-
-    packed = docs.select("text").mapInArrow(count, "kind int, segment int, keys binary, counts binary")
-    packed = packed.repartition("kind", "segment").sortWithinPartitions("kind", "segment")
+        for (kind, _), group in itertools.groupby(rows, lambda r: r[:2]):
+            parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for _, _, k, c in group:
+                own, n = unpack(k, np.uint64), unpack(c, np.uint32)
+                for segment, a, b in _by_segment(own, segment_bits):
+                    parts.setdefault(segment, []).append((own[a:b], n[a:b]))
+            for segment in sorted(parts):
+                own = parts.pop(segment)
+                keys, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([c for _, c in own])).astype(np.int64)
+                data = Filter.build(keys, counts) if kind == BIGRAM else pack(counts)
+                row = {"kind": kind, "segment": segment, "keys": None if kind == BIGRAM else pack(keys), "data": data, "distinct": len(keys), "total": int(counts.sum())}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())]))
+
+    packed = docs.select("text").mapInArrow(count, "kind int, group int, keys binary, counts binary")
+    packed = packed.repartition("kind", "group").sortWithinPartitions("kind", "group")
     return materialize(packed.mapInArrow(merge, "kind int, segment int, keys binary, data binary, distinct long, total long"), "lm-counts")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(part: pa.RecordBatch, exact: Callable, pair_levels: Callable, total: int, distinct: int, beta: float) -> pa.RecordBatch:
-    toks, offsets = tokens(part.column("text"))
+def _score(part: pa.RecordBatch, read: tuple[np.ndarray, np.ndarray], exact: Callable, pair_levels: Callable, total: int, distinct: int, beta: float) -> pa.RecordBatch:
+    """``part`` scored; read: its ``tokens``."""
+    toks, offsets = read
     before, both = pairs(toks, offsets)
     distinct_toks, place = np.unique(np.concatenate([toks, np.where(before == START, END, before)]), return_inverse=True)
     counts = exact(distinct_toks)[place]  # as many texts begin as end
@@ -215,57 +240,68 @@ def _broadcast_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, tot
         keys, found, starts, sizes, bits = sent.value
         exact, pair = Exact(keys, found), Filter(segment_bits, starts, sizes, bits)
         for part in text_slices(batches):
-            yield _score(part, exact, pair.levels, total, distinct, beta)
+            yield _score(part, tokens(part.column("text")), exact, pair.levels, total, distinct, beta)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, RESULT)
 
 
+def _distinct(read: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Distinct hashes of words and of pairs, sorted; the end is among the words."""
+    words, both = [np.array([END])], [np.zeros(0, np.uint64)]
+    for toks, offsets in read:
+        words.append(toks)
+        both.append(pairs(toks, offsets)[1])
+    return [np.unique(np.concatenate(x)) for x in (words, both)]
+
+
 def _shuffled_scores(docs: DataFrame, counts: DataFrame, segment_bits: int, buckets: int, total: int, distinct: int, beta: float) -> DataFrame:
     # a bucket asks for a word once, however often it occurs: segments get a share of distinct hashes each, frequent words or not
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    dealt = materialize(dealt.repartition("bucket").sortWithinPartitions("bucket"), "lm-buckets")
+    bits = group_bits(segment_bits)
+    counts = counts.withColumn("group", F.shiftright("segment", segment_bits - bits))
+    kinds = {UNIGRAM: np.int64, BIGRAM: np.uint8}
+
+    def slices(texts: pa.Table) -> Iterator[pa.RecordBatch]:
+        return text_slices(iter(texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()))
 
     def ask(left: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
             bucket = left.column("bucket")[0].as_py()
-            seen: list[list[np.ndarray]] = [[], []]
-            for part in text_slices(iter(left.combine_chunks().to_batches())):
-                toks, offsets = tokens(part.column("text"))
-                seen[UNIGRAM].append(np.unique(toks))
-                seen[BIGRAM].append(np.unique(pairs(toks, offsets)[1]))
-            seen[UNIGRAM].append(np.array([END]))
-            for kind in (UNIGRAM, BIGRAM):
-                keys = np.unique(np.concatenate(seen[kind]))
-                rows += [(kind, s, bucket, pack(keys[a:b])) for s, a, b in _by_segment(keys, segment_bits)]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["kind", "segment", "bucket", "keys"])
+            for kind, keys in enumerate(_distinct([tokens(part.column("text")) for part in slices(left)])):
+                rows += [(kind, g, bucket, pack(keys[a:b])) for g, a, b in _by_segment(keys, bits)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["kind", "group", "bucket", "keys"])
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         rows = []
-        if asked.num_rows and table.num_rows:
-            t = table.to_pylist()[0]
-            if t["kind"] == BIGRAM:
-                look = Filter.single(segment_bits, t["segment"], t["data"]).levels
+        if asked.num_rows:
+            kind = asked.column("kind")[0].as_py()
+            segments = sorted(table.to_pylist(), key=lambda r: r["segment"])
+            if kind == BIGRAM:
+                look = Filter.several(segment_bits, {r["segment"]: r["data"] for r in segments}).levels
             else:
-                look = Exact(unpack(t["keys"], np.uint64), unpack(t["data"], np.int64))
-            for kind, bucket, keys in zip(*[asked.column(c).to_pylist() for c in ("kind", "bucket", "keys")], strict=True):
-                own = unpack(keys, np.uint64)
-                found = look(own)
-                rows.append((bucket, kind, pack(own[found > 0]), pack(found[found > 0].astype(np.int64))))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "found"])
+                none = np.zeros(0, np.uint64)
+                look = Exact(np.concatenate([none, *[unpack(r["keys"], np.uint64) for r in segments]]), np.concatenate([none.view(np.int64), *[unpack(r["data"], np.int64) for r in segments]]))
+            for group, bucket, keys in zip(*[asked.column(c).to_pylist() for c in ("group", "bucket", "keys")], strict=True):
+                rows.append((bucket, kind, group, pack(look(unpack(keys, np.uint64)).astype(kinds[kind]))))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "group", "found"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        look = {}
-        for kind in (UNIGRAM, BIGRAM):
-            own = [(unpack(a["keys"], np.uint64), unpack(a["found"], np.int64)) for a in answers.to_pylist() if a["kind"] == kind]
-            keys, found = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            by = np.argsort(keys)
-            look[kind] = Exact(keys[by], found[by])
-        out = [_score(p, look[UNIGRAM], lambda k: look[BIGRAM](k).astype(np.int64), total, distinct, beta) for p in text_slices(iter(texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()), limit=1 << 21)]
+        parts = list(slices(texts))
+        read = [tokens(part.column("text")) for part in parts]
+        told = sorted(answers.to_pylist(), key=lambda a: a["group"])
+        look = []
+        for (kind, dtype), keys in zip(kinds.items(), _distinct(read), strict=True):
+            found = np.concatenate([np.zeros(0, dtype), *[unpack(a["found"], dtype) for a in told if a["kind"] == kind]])
+            if len(found) != len(keys):
+                raise ValueError(f"{len(keys)} hashes asked for, {len(found)} answered")
+            look.append(Exact(keys, found))
+        out = [_score(part, r, look[UNIGRAM], lambda k: look[BIGRAM](k).astype(np.int64), total, distinct, beta) for part, r in zip(parts, read, strict=True)]
         return pa.Table.from_batches(out) if out else pa.Table.from_pydict({}, pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
 
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "kind int, segment int, bucket int, keys binary")
-    answered = asked.groupBy("kind", "segment").cogroup(counts.groupBy("kind", "segment")).applyInArrow(answer, "bucket int, kind int, keys binary, found binary")
+    # both groupings of the texts go by the same shuffle
+    asked = dealt.groupBy("bucket").applyInArrow(ask, "kind int, group int, bucket int, keys binary")
+    answered = asked.groupBy("kind", "group").cogroup(counts.groupBy("kind", "group")).applyInArrow(answer, "bucket int, kind int, group int, found binary")
     return dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(score, RESULT)
 
 
@@ -287,4 +323,4 @@ def score_texts(docs: DataFrame, *, beta: float = BETA, segment_bytes: int = SEG
     held, total, distinct = counts.agg(F.sum(F.when(F.col("kind") == BIGRAM, F.octet_length("data")).otherwise(F.col("distinct") * 16)), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("total"))), F.sum(F.when(F.col("kind") == UNIGRAM, F.col("distinct")))).first()
     if (held or 0) <= broadcast_bytes:
         return _broadcast_scores(docs, counts, segment_bits, total or 0, distinct or 0, beta)
-    return _shuffled_scores(docs, counts, segment_bits, int(segments), total or 0, distinct or 0, beta)
+    return _shuffled_scores(docs, counts, segment_bits, max(min(int(segments), 1 << LEAST_GROUPS), int(segments) >> BUCKET), total or 0, distinct or 0, beta)

@@ -351,6 +351,30 @@ def test_lm(spark, docs):
     assert lm.score_texts(empty(spark)).count() == 0
 
 
+def test_lm_messages_go_to_groups_of_segments(spark, docs, monkeypatch):
+    import numpy as np
+
+    from spanforge.llm import common
+
+    assert [lm.group_bits(b) for b in (0, 3, 6, 8, 10, 12, 14)] == [0, 3, 6, 6, 6, 8, 10]
+    # a message for each group of sorted keys, and each segment's keys in one of them
+    keys = np.sort(lm.mix(np.arange(5000, dtype=np.uint64)))
+    assert len(lm._by_segment(keys, lm.group_bits(12))) == 256 and len(lm._by_segment(keys, 12)) > 2500
+    raw = {s: lm.Filter.build(keys[a:b], np.arange(a, b) % 9 + 1) for s, a, b in lm._by_segment(keys, 12)[100:116]}
+    asked = np.concatenate([keys[a:b] for s, a, b in lm._by_segment(keys, 12)[90:130]])
+    alone = [lm.Filter.single(12, s, raw[s]).levels(np.array([k]))[0] if (s := int(k >> np.uint64(52))) in raw else 0 for k in asked]
+    assert lm.Filter.several(12, raw).levels(asked).tolist() == alone and any(alone)
+    # hundreds of segments, few groups and buckets: the same scores, and no texts are written or shuffled twice
+    _, df = docs
+    n = len(common._written)
+    monkeypatch.setattr(lm, "LEAST_GROUPS", 2)
+    far = lm.score_texts(df, broadcast_bytes=-1, segment_bytes=200)
+    rows = sorted((repr(r.doc_id), round(r.score, 9), round(r.base_score, 9), r.n_known, r.held_out) for r in far.collect())
+    assert "ReusedExchange" in far._jdf.queryExecution().executedPlan().toString()
+    assert [p.rpartition("/")[2][:9] for p in common._written[n:]] == ["lm-counts"]
+    assert rows == sorted((repr(r.doc_id), round(r.score, 9), round(r.base_score, 9), r.n_known, r.held_out) for r in lm.score_texts(df, segment_bytes=200).collect())
+
+
 def test_lm_scores_by_a_plain_model(spark):
     """Counts of pairs by a dictionary, quantised as the filter's levels are; the filter adds rare false hits only."""
     rnd = random.Random(21)
