@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import keep
+
 
 def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(file, line, text) of all lines, counted from 0 in each file; ``recursive``: of folders within too. What follows a file's last line break is a line only if it isn't empty.
@@ -181,7 +188,8 @@ def mention_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     -DOCSTART- lines name documents. A line of six fields or more is part of a mention: B begins
     one and I makes it longer by a word; another tag is an error. Blank lines hold a place, as an
-    empty word, but for the one behind a file's last line break.
+    empty word, but for the one behind a file's last line break. For mentions lines stay where they
+    are read: what is shuffled are their places, in lists.
     """
     rows = lines(spark, path)
     last = F.max("line").over(Window.partitionBy("file"))
@@ -191,11 +199,69 @@ def mention_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     name = F.when(start, F.substring(F.get(F.split("text", r"\s+"), F.lit(1)), 2, 1 << 20))
     rows = rows.withColumn("doc", F.last(name, ignorenulls=True).over(upto)).filter(~start).withColumn("f", F.split("text", "\t"))
     words = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file", "doc").orderBy("line")) - 1)
-    tag = F.when(F.size("f") >= 6, F.get("f", F.lit(1)))
-    tagged = words.withColumn("tag", F.when(tag.isin("B", "I") | tag.isNull(), tag).otherwise(F.raise_error(F.concat(F.lit("no mention tag: "), tag)))).filter("tag is not null")
-    runs = tagged.withColumn("mention", F.sum((F.col("tag") == "B").cast("int")).over(Window.partitionBy("file", "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-    spans = runs.groupBy("file", "doc", "mention").agg(F.min("pos").alias("start"), F.count("*").alias("n"))
-    return words.select("file", "doc", "pos", F.get("f", F.lit(0)).alias("word")), spans.select("file", "doc", "mention", "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+    return words.select("file", "doc", "pos", F.get("f", F.lit(0)).alias("word")), _mention_spans(spark, path)
+
+
+def _mention_spans(spark: SparkSession, path: str) -> DataFrame:
+    """The mentions of ``mention_lines``: a split's pieces of documents, then each piece's places from what the document's pieces before it come to."""
+    value = F.trim(F.regexp_replace("value", "\r$", "")).alias("text")
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("from"), value)
+    pieces = keep(raw.mapInArrow(_mention_pieces, "file string, from long, k long, doc string, n long, lead int, starts array<int>, sizes array<int>"), "pieces")
+    # a split's first piece may go on with a document of the splits before; only a row for each split meets the others
+    ends = pieces.groupBy("file", "from").agg(F.max(F.when(F.col("doc").isNotNull(), F.struct("k", "doc"))).alias("end"))
+    before = Window.partitionBy("file").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "from", F.last("end.doc", ignorenulls=True).over(before).alias("__doc"))
+    own = pieces.join(F.broadcast(ends), ["file", "from"]).withColumn("doc", F.coalesce("doc", "__doc"))
+    upto = Window.partitionBy("file", "doc").orderBy("from", "k").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("__words", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("__begun", F.coalesce(F.sum(F.size("starts") - F.col("lead")).over(upto), F.lit(0)))
+    runs = own.select("file", "doc", "lead", "__words", "__begun", F.posexplode(F.arrays_zip("starts", "sizes")).alias("i", "run"))
+    runs = runs.select("file", "doc", (F.col("__begun") + F.col("i") - F.col("lead")).alias("mention"), (F.col("__words") + F.col("run.starts")).cast("int").alias("start"), F.col("run.sizes").alias("n"))
+    spans = runs.groupBy("file", "doc", "mention").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
+    return spans.select("file", "doc", "mention", "start", (F.col("start") + F.col("n")).cast("int").alias("end"))
+
+
+def _mention_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, from, text) in order -> a row for each piece of a document that a batch holds of a split.
+
+    k: its place in the split; doc: null before the split's first name; n: its words; starts, sizes:
+    its mentions, the first of which goes on with one from before if lead is 1.
+    """
+    at, k, doc = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = pa.StructArray.from_arrays([batch.column(c) for c in ("file", "from")], ["file", "from"])
+        changed = np.logical_or.reduce([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in where.flatten()]) if len(where) > 1 else np.zeros(0, bool)
+        for low, high in itertools.pairwise([0, *(np.flatnonzero(changed) + 1).tolist(), len(where)]):
+            here = where[low].as_py()
+            if here != at:
+                at, k, doc = here, 0, None
+            text = batch.column("text").slice(low, high - low)
+            head = pc.starts_with(text, "-DOCSTART-").to_numpy(zero_copy_only=False)
+            piece = np.cumsum(head)
+            first = np.append(0, np.flatnonzero(head) + 1)  # of each piece; the one before the first name may have no lines
+            docs = [doc]
+            for x in text.filter(pa.array(head)).to_pylist():
+                found = re.split(r"[ \t\n\x0b\f\r]+", x)
+                doc = found[1][1:] if len(found) > 1 else doc
+                docs.append(doc)
+            tagged = np.flatnonzero((pc.count_substring(text, "\t").to_numpy(zero_copy_only=False) >= 5) & ~head)
+            tags = pc.list_element(pc.split_pattern(text.take(pa.array(tagged)), "\t", max_splits=2), 1) if len(tagged) else pa.array([], pa.string())
+            begins = pc.equal(tags, "B").to_numpy(zero_copy_only=False)
+            wrong = ~begins & ~pc.equal(tags, "I").to_numpy(zero_copy_only=False)
+            if wrong.any():
+                raise ValueError(f"no mention tag: {tags[int(np.flatnonzero(wrong)[0])].as_py()}")
+            of = piece[tagged]
+            opens = np.flatnonzero(begins | np.append(True, of[1:] != of[:-1])[: len(of)])
+            sizes = np.diff(np.append(opens, len(of)))
+            n = np.diff(np.append(first, len(text) + 1)) - 1
+            count = np.bincount(of[opens], minlength=len(docs))
+            lead = np.bincount(of[opens], ~begins[opens], minlength=len(docs))
+            offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((tagged - first[piece[tagged]])[opens], sizes)]
+            same = [pa.array([at[c]] * len(docs), t) for c, t in (("file", pa.string()), ("from", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(k, k + len(docs))), pa.array(docs, pa.string()), pa.array(n.astype(np.int64)), pa.array(lead.astype(np.int32)), *lists], ["file", "from", "k", "doc", "n", "lead", "starts", "sizes"])
+            k += len(docs)
 
 
 def entity_candidates(spark: SparkSession, path: str) -> DataFrame:
