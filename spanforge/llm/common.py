@@ -6,6 +6,7 @@ import atexit
 import itertools
 import shutil
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,11 +184,22 @@ def sifted(big: DataFrame, key: Column, passing: DataFrame) -> DataFrame:
 
 
 def packed(passing: DataFrame) -> np.ndarray:
-    """A sieve as an array; SLOTS rows at most come to the driver."""
-    table = passing.toArrow()
-    bits = np.zeros(SLOTS, np.uint64)
-    bits[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return bits
+    """A sieve as an array. Tasks put its slots together, so that 8 MB at most, deflated, come to the driver, and no row for each slot."""
+    width = SLOTS >> 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots, bits = batch.column("slot").to_numpy(), batch.column("bits").to_numpy().view(np.uint64)
+            for part in np.unique(slots // width).tolist():
+                here = slots // width == part
+                own.setdefault(part, np.zeros(width, np.uint64))[slots[here] % width] = bits[here]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in own.values()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(SLOTS, np.uint64)
+    for r in passing.repartition(16, F.shiftright("slot", 16)).mapInArrow(run, "part int, bits binary").collect():
+        out[r.part * width : (r.part + 1) * width] |= np.frombuffer(zlib.decompress(r.bits), np.uint64)
+    return out
 
 
 def in_packed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -82,3 +82,20 @@ def test_sifted_joins_are_the_same(spark, monkeypatch, how):
     monkeypatch.setattr(common, "SMALL_ROWS", -1)
     plain, sifted = (sorted(map(tuple, common.join_small(big, small, ["a", "b"], how, spread=big["text"], sift=s).select("a", "b", "text", "value").collect()), key=repr) for s in (False, True))
     assert sifted == plain and len(plain) == (1000 if how == "left" else 300)
+
+
+def test_a_sieve_is_packed_by_tasks(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    def no_rows(*_):
+        raise AssertionError("a row for each slot goes to the driver")
+
+    passing = common.sieve(spark.range(3000), F.xxhash64("id"), "some")
+    want = np.zeros(common.SLOTS, np.uint64)
+    for r in passing.collect():
+        want[r.slot] = np.int64(r.bits).view(np.uint64)
+    monkeypatch.setattr(type(passing), "toArrow", no_rows)
+    monkeypatch.setattr(DataFrame, "toArrow", no_rows)
+    assert (common.packed(passing) == want).all() and want.any()
